@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
+from formweave.functions.literals import lookup, string_map
 from formweave.rules import meanings
 
 # Java's \s is ASCII only; form text also carries no-break and wide spaces.
@@ -55,10 +56,6 @@ def fuzzy_score(a: Column, b: Column) -> Column:
     return F.greatest(token_jaccard(a, b), trigram_jaccard(a, b))
 
 
-def _map_literal(table: dict) -> Column:
-    return F.create_map(*[F.lit(x) for pair in table.items() for x in pair])
-
-
 def fold_place(c: Column) -> Column:
     """Place-name key: lower case, accents removed, other characters to spaces."""
     src, dst = meanings.mark_folding()
@@ -67,19 +64,20 @@ def fold_place(c: Column) -> Column:
 
 
 def alias_group(c: Column) -> Column:
-    return F.element_at(_map_literal(meanings.alias_groups()), normalize_label(c))
+    groups = {k: str(v) for k, v in meanings.alias_groups().items()}
+    return F.element_at(string_map(groups), normalize_label(c)).cast("int")
 
 
 def country_key(c: Column) -> Column:
-    return F.element_at(_map_literal(meanings.country_aliases()), fold_place(c))
+    return F.element_at(string_map(meanings.country_aliases()), fold_place(c))
 
 
 def state_key(c: Column) -> Column:
-    return F.element_at(_map_literal(meanings.state_aliases()), fold_place(c))
+    return F.element_at(string_map(meanings.state_aliases()), fold_place(c))
 
 
 def dial_for_country(c: Column) -> Column:
-    return F.element_at(_map_literal(meanings.country_dials()), country_key(c))
+    return F.element_at(string_map(meanings.country_dials()), country_key(c))
 
 
 def dial_from_phone(c: Column) -> Column:
@@ -103,19 +101,20 @@ def meaning_keys(c: Column) -> Column:
     t: text, a: alias group, c: country, s: state.  The relation is not
     transitive, so a string keeps all its keys and is never reduced to one.
     """
-    aliases = _map_literal({k: f"a:{v}" for k, v in meanings.alias_groups().items()})
-    countries = _map_literal({k: f"c:{v}" for k, v in meanings.country_aliases().items()})
-    states = _map_literal({k: f"s:{v}" for k, v in meanings.state_aliases().items()})
+    aliases = {k: [f"a:{v}"] for k, v in meanings.alias_groups().items()}
+    places: dict[str, list[str]] = {k: [f"c:{v}"] for k, v in meanings.country_aliases().items()}
+    for spelling, region in meanings.state_aliases().items():
+        places.setdefault(spelling, []).append(f"s:{region}")
+    none = F.array().cast("array<string>")
     per_variant = F.transform(
         meaning_variants(c),
-        lambda v: F.array(
-            F.concat(F.lit("t:"), v),
-            F.element_at(aliases, v),
-            F.element_at(countries, fold_place(v)),
-            F.element_at(states, fold_place(v)),
+        lambda v: F.concat(
+            F.array(F.concat(F.lit("t:"), v)),
+            F.coalesce(lookup(aliases, v), none),
+            F.coalesce(lookup(places, fold_place(v)), none),
         ),
     )
-    return F.array_compact(F.flatten(per_variant))
+    return F.flatten(per_variant)
 
 
 def same_meaning(a: Column, b: Column) -> Column:
