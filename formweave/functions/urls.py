@@ -45,15 +45,18 @@ def url_host(url: Column) -> Column:
     return _url_parts(url)[1]
 
 
-def detect_ats(url: Column, rules: list[tuple[str, str]] | None = None) -> Column:
+def ats_of_host(host: Column, rules: list[tuple[str, str]] | None = None) -> Column:
     """First host rule that matches, else 'generic'."""
-    host = url_host(url)
     chain = F
     for name, pattern in rules or hosts.ATS_HOSTS:
         chain = chain.when(host.rlike(pattern), F.lit(name))
     return chain.otherwise(F.lit("generic"))
 
 
+def detect_ats(url: Column, rules: list[tuple[str, str]] | None = None) -> Column:
+    return ats_of_host(url_host(url), rules)
+
+
 def parse_job_title(title: Column, ats: Column) -> Column:
     """struct(company, role) guessed from a page title; unknown members are null."""
     t = collapse(title)
