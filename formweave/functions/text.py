@@ -10,6 +10,9 @@ from formweave.rules import meanings
 
 # Java's \s is ASCII only; form text also carries no-break and wide spaces.
 WS = r"[\s\u000B\u00A0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000\uFEFF]"
+# ASCII word boundaries: \b also looks at accented letters on some JVMs
+WORD_START = r"(?<![A-Za-z0-9_])"
+WORD_END = r"(?![A-Za-z0-9_])"
 
 
 def collapse(c: Column) -> Column:
@@ -123,8 +126,8 @@ def same_meaning(a: Column, b: Column) -> Column:
 
 def looks_like_consent(label: Column) -> Column:
     return label.rlike(
-        r"(?i)\b(i (agree|consent|certify|acknowledge|confirm|accept)|terms (and|&) conditions"
-        r"|privacy (policy|notice)|by (checking|submitting))\b"
+        rf"(?i){WORD_START}(i (agree|consent|certify|acknowledge|confirm|accept)|terms (and|&) conditions"
+        rf"|privacy (policy|notice)|by (checking|submitting)){WORD_END}"
     )
 
 

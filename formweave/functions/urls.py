@@ -5,14 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from formweave.functions.text import WS, collapse
+from formweave.functions.text import WORD_END, WORD_START, WS, collapse
 from formweave.rules import hosts
 
 # Words that mark a role and the trailing noise of titles.
 ROLE_WORDS = (
-    r"(?i)\b(engineer|developer|manager|director|analyst|designer|scientist|consultant|lead|intern"
+    rf"(?i){WORD_START}(engineer|developer|manager|director|analyst|designer|scientist|consultant|lead|intern"
     r"|architect|specialist|officer|head|vp|president|recruiter|marketer|accountant|nurse|teacher"
-    r"|writer|associate|coordinator|administrator)\b"
+    rf"|writer|associate|coordinator|administrator){WORD_END}"
 )
 TITLE_NOISE = rf"(?i){WS}*[-–—|·]{WS}*(careers?|jobs?|job board|apply|application|hiring){WS}*$"
 URL_TOKENS = r"(?i)apply|application|careers?|jobs?|vacanc|position|opening|recruit"
