@@ -5,7 +5,8 @@ map-side combine, ordered by (ts_us, seq).
 
 Change rows: cand, seq, ts_us, op (detected, filled, applied, status,
 reminder, delete), url, ats, title, jd, field_count, filled, reviewed,
-failed, status, reminder_days.
+failed, status, reminder_days, and optionally fills (how many fills a
+compacted row stands for).
 """
 
 from __future__ import annotations
@@ -31,6 +32,47 @@ def _order() -> Column:
     return F.struct("ts_us", "seq")
 
 
+def _since_delete(rows: DataFrame) -> DataFrame:
+    """Rows from the last delete of their URL on, that delete included."""
+    deleted = rows.filter("op = 'delete'").groupBy("cand", "url").agg(F.max(_order()).alias("deleted_at"))
+    later = F.col("deleted_at").isNull() | (_order() >= F.col("deleted_at"))
+    return rows.join(deleted, ["cand", "url"], "left").filter(later).drop("deleted_at")
+
+
+def compact_changes(changes: DataFrame) -> DataFrame:
+    """The few change rows per URL that give the same applications as all of them.
+
+    Kept as the state of a stream: at most seven rows per (cand, url).  Fills
+    are counted on their last row, so a delete must not arrive after fills
+    that happened later than it.
+    """
+    rows = changes.withColumn("url_key", canonical_url(F.col("url")))
+    if "fills" not in rows.columns:
+        rows = rows.withColumn("fills", F.when(F.col("op") == "filled", F.lit(1)).otherwise(0).cast("long"))
+    live = _since_delete(rows.withColumn("raw", F.col("url")).withColumn("url", F.col("url_key")))
+    op, order = F.col("op"), _order()
+    upsert = op.isin(UPSERTS)
+    last = lambda cond: F.max(F.when(cond, order))
+    first = lambda cond: F.min(F.when(cond, order))
+    picks = live.groupBy("cand", "url").agg(
+        F.array_compact(
+            F.array(
+                first(upsert), last(upsert & (F.col("title") != "")), first(upsert & (F.col("jd") != "")),
+                last(op == "filled"), last(op.isin("status", "applied")), last(op == "reminder"), last(op == "delete"),
+            )
+        ).alias("keep"),
+        last(op == "filled").alias("last_fill"),
+        F.sum("fills").alias("all_fills"),
+    )
+    return (
+        live.join(picks, ["cand", "url"])
+        .filter(F.array_contains("keep", order))
+        .withColumn("fills", F.when(order == F.col("last_fill"), F.col("all_fills")).otherwise(0))
+        .withColumn("url", F.col("raw"))
+        .drop("keep", "last_fill", "all_fills", "raw", "url_key")
+    )
+
+
 def applications(changes: DataFrame) -> DataFrame:
     """One row per (cand, canonical url).
 
@@ -41,15 +83,9 @@ def applications(changes: DataFrame) -> DataFrame:
     """
     rows = changes.withColumn("raw_url", F.col("url")).withColumn("url", canonical_url(F.col("url")))
     op, order = F.col("op"), _order()
-    deleted = (
-        rows.filter(op == "delete").groupBy("cand", "url").agg(F.max(order).alias("deleted_at"))
-    )
-    live = (
-        rows.filter(op != "delete")
-        .join(deleted, ["cand", "url"], "left")
-        .filter(F.col("deleted_at").isNull() | (order > F.col("deleted_at")))
-    )
+    live = _since_delete(rows).filter(op != "delete")
     upsert, fill = op.isin(UPSERTS), op == "filled"
+    fills = F.when(fill, F.col("fills") if "fills" in changes.columns else F.lit(1))
     sets_status = op.isin("status", "applied")
     new_status = F.when(op == "applied", F.lit("applied")).otherwise(F.col("status"))
     due = F.when(F.col("reminder_days") == 0, F.lit(None)).otherwise(
@@ -65,7 +101,7 @@ def applications(changes: DataFrame) -> DataFrame:
         F.max_by("title", pick(upsert & (F.col("title") != ""), order)).alias("title"),
         F.min_by("jd", pick(upsert & (F.col("jd") != ""), order)).alias("jd"),
         F.max_by(stats, pick(fill, order)).alias("stats"),
-        F.count_if(fill).alias("times_filled"),
+        F.coalesce(F.sum(fills), F.lit(0)).alias("times_filled"),
         F.max_by(F.struct(order.alias("at"), new_status.alias("value")), pick(sets_status, order)).alias("set"),
         F.max_by(F.struct(order.alias("at"), due.alias("value")), pick(op == "reminder", order)).alias("remind"),
     )

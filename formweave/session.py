@@ -22,11 +22,15 @@ def build_session(app: str = "formweave", master: str | None = None, **conf: str
     return builder.getOrCreate()
 
 
-def checkpoint_dir(spark: SparkSession, fallback: str | None = None) -> str | None:
-    """The shared checkpoint folder of the cluster; `fallback` only where unset."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if folder is None and fallback is not None:
-        folder = fallback
-    if folder is not None and spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(folder)
+def checkpoint_dir(spark: SparkSession) -> str:
+    """The shared checkpoint folder the cluster names.
+
+    Only where none is named (as in a local trial) a folder inside the
+    session's warehouse, which every executor can reach, is used.
+    """
+    context = spark.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    folder = named or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints"
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(folder)
     return folder

@@ -7,7 +7,7 @@ import pytest
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
-from formweave.session import build_session  # noqa: E402
+from formweave.session import build_session, checkpoint_dir  # noqa: E402
 
 
 @pytest.fixture(scope="session")
@@ -24,5 +24,6 @@ def spark(tmp_path_factory):
         },
     )
     session.sparkContext.setLogLevel("ERROR")
+    checkpoint_dir(session)
     yield session
     session.stop()
