@@ -1,8 +1,8 @@
 """Registered queries over the given tables and their SQL twins."""
 
-from formweave.plans import history, usage
+from formweave.plans import history, pages, texts, usage
 
-MODULES = [usage, history]
+MODULES = [usage, history, texts, pages]
 
 
 def queries():
