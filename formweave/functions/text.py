@@ -41,18 +41,30 @@ def trigrams_of(norm: Column) -> Column:
     return F.array_distinct(F.regexp_extract_all(padded, F.lit(r"(?s)(?=(.{3}))"), F.lit(1)))
 
 
+def bind(value: Column, body) -> Column:
+    """Evaluate `value` once and use it several times inside `body`."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def set_jaccard(a: Column, b: Column) -> Column:
-    inter = F.size(F.array_intersect(a, b))
-    union = F.size(a) + F.size(b) - inter
-    return F.when((F.size(a) == 0) | (F.size(b) == 0), F.lit(0.0)).otherwise(inter / union)
+    sets = F.struct(a.alias("a"), b.alias("b"), F.size(F.array_intersect(a, b)).alias("both"))
+    ratio = lambda s: s["both"] / (F.size(s["a"]) + F.size(s["b"]) - s["both"])
+    return bind(
+        sets, lambda s: F.when((F.size(s["a"]) == 0) | (F.size(s["b"]) == 0), F.lit(0.0)).otherwise(ratio(s))
+    )
+
+
+def _jaccard_of(a: Column, b: Column, elements) -> Column:
+    both = F.struct(elements(a).alias("a"), elements(b).alias("b"))
+    return bind(both, lambda s: set_jaccard(s["a"], s["b"]))
 
 
 def token_jaccard(a: Column, b: Column) -> Column:
-    return set_jaccard(tokens_of(a), tokens_of(b))
+    return _jaccard_of(a, b, tokens_of)
 
 
 def trigram_jaccard(a: Column, b: Column) -> Column:
-    return set_jaccard(trigrams_of(a), trigrams_of(b))
+    return _jaccard_of(a, b, trigrams_of)
 
 
 def fuzzy_score(a: Column, b: Column) -> Column:

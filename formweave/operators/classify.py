@@ -30,7 +30,7 @@ def classify_forms(pages: DataFrame, signals: DataFrame) -> DataFrame:
             "page_id", "kind", "autocomplete", "accept", label.alias("label"), normalize_label(label).alias("norm"),
             normalize_label(F.coalesce(F.col("section_heading"), F.lit(""))).alias("section"),
         )
-        .withColumn("key", lexicon_key(F.col("norm"), F.col("section")))
+        .withColumn("key", lexicon_key("norm", "section"))
     )
     resume = (kind == "file") & (
         F.col("label").rlike(r"(?i)resume|cv|curriculum") | F.coalesce(F.col("accept").rlike(r"(?i)pdf|doc"), F.lit(False))

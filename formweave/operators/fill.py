@@ -22,7 +22,9 @@ FIELD_COLUMNS = ["frame_path", "selector", "member_selectors", "kind", "widget_h
 
 def _payload(kind: str, **given: Column) -> Column:
     given["type"] = F.lit(kind)
-    return F.struct(*[given.get(n, F.lit(None)).cast(t).alias(n) for n, t in PAYLOAD.items()])
+    return F.struct(
+        *[given[n].cast(t).alias(n) if n in given else F.expr(f"CAST(NULL AS {t}) AS {n}") for n, t in PAYLOAD.items()]
+    )
 
 
 def _picked(option: Column) -> Column:

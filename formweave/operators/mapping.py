@@ -37,7 +37,10 @@ NO_TEMPLATE = "couldn't detect the company/role for your template answer"
 
 
 def _decision(**given: Column) -> Column:
-    cells = [given.get(name, F.lit(None)).cast(kind).alias(name) for name, kind in DECISION.items()]
+    cells = [
+        given[name].cast(kind).alias(name) if name in given else F.expr(f"CAST(NULL AS {kind}) AS {name}")
+        for name, kind in DECISION.items()
+    ]
     return F.struct(*cells)
 
 
@@ -54,10 +57,7 @@ def match_keys(signals: DataFrame) -> DataFrame:
     label = F.coalesce(F.col("label"), F.lit(""))
     hidden = ~F.coalesce(F.col("visible"), F.lit(True))
     consent = (F.col("kind") == "checkbox") & looks_like_consent(label)
-    match = R.match_field(
-        F.col("ats"), F.col("id_attr"), F.col("name_attr"), F.col("autocomplete"), F.col("norm"),
-        F.col("section_norm"), F.col("kind"),
-    )
+    match = R.match_field("ats", "id_attr", "name_attr", "autocomplete", "norm", "section_norm", "kind")
     return (
         signals.withColumn("norm", normalize_label(label))
         .withColumn("section_norm", normalize_label(F.coalesce(F.col("section_heading"), F.lit(""))))

@@ -5,12 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from formweave.functions.text import meaning_keys, normalize_label, tokens_of
-
-
-def bind(value: Column, body) -> Column:
-    """Evaluate `value` once and use it several times inside `body`."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
+from formweave.functions.text import bind, meaning_keys, normalize_label, tokens_of
 
 
 def prepared(options: Column) -> Column:

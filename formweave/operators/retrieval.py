@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from formweave.functions.text import fuzzy_score, tokens_of, trigram_jaccard, trigrams_of
+from formweave.session import checkpoint_dir
 
 FUZZY_THRESHOLD = 0.85
 DEDUP_THRESHOLD = 0.92
@@ -50,39 +51,48 @@ def rarity(texts: DataFrame, measures: list[Callable[[Column], Column]]) -> list
     ]
 
 
-def _signatures(texts: DataFrame, elements: Callable[[Column], Column], counts: Column, t: float) -> DataFrame:
-    """Rows (grp, text, n, prefix, sig) of every text, one per prefix key."""
-    ordered = F.transform(
-        F.array_sort(
-            F.transform(elements(F.col("text")), lambda e: F.struct(F.get(counts, F.pmod(F.xxhash64(e), F.lit(RARITY_BUCKETS)).cast("int")).alias("c"), e.alias("e")))
-        ),
-        lambda s: s["e"],
+def _signatures(texts: DataFrame, measures: list[Callable[[Column], Column]], counts: list[Column], t: float) -> DataFrame:
+    """Rows (grp, text, n, prefix, key, k, sig) of every text, one per measure and prefix key."""
+    def rare_first(elements: Callable[[Column], Column], c: Column) -> Column:
+        # 64-bit hashes sort and travel cheaper than strings; what they select is scored on the texts
+        hashes = F.transform(elements(F.col("text")), lambda e: F.xxhash64(e))
+        ranked = F.transform(
+            hashes, lambda h: F.struct(F.get(c, F.pmod(h, F.lit(RARITY_BUCKETS)).cast("int")).alias("c"), h.alias("h"))
+        )
+        return F.transform(F.sort_array(ranked), lambda s: s["h"])
+
+    sets = F.array(
+        *[
+            F.struct(F.lit(m).alias("m"), rare_first(elements, c).alias("ordered"))
+            for m, (elements, c) in enumerate(zip(measures, counts, strict=True))
+        ]
     )
-    n = F.col("n")
+    n, ordered = F.col("n"), F.col("ordered")
     single = F.greatest(n - F.ceil(n * t - 1e-9).cast("int") + 1, F.lit(0))
     double = F.least(single + 1, n)
-    one = F.when(n >= PAIR_LIMIT * t - 1, F.transform(F.slice("ordered", 1, single), lambda e: F.array(e)))
+    one = F.when(n >= PAIR_LIMIT * t - 1, F.transform(F.slice(ordered, 1, single), lambda e: F.array(e)))
     pairs = F.flatten(
         F.transform(
-            F.slice("ordered", 1, single),
+            F.slice(ordered, 1, single),
             lambda a, i: F.transform(
-                F.slice(F.slice("ordered", 1, double), i + 2, F.greatest(double - i - 1, F.lit(0))),
+                F.slice(F.slice(ordered, 1, double), i + 2, F.greatest(double - i - 1, F.lit(0))),
                 lambda b: F.array(a, b),
             ),
         )
     )
     # a lone element has no second one: two such sets are equal or disjoint
-    two = F.when(n == 1, F.array(F.slice("ordered", 1, 1))).when(n <= PAIR_LIMIT, pairs)
-    none = F.array().cast("array<array<string>>")
+    two = F.when(n == 1, F.array(F.slice(ordered, 1, 1))).when(n <= PAIR_LIMIT, pairs)
+    none = F.array().cast("array<array<bigint>>")
     return (
-        texts.withColumn("ordered", ordered)
-        .withColumn("n", F.size("ordered"))
-        .filter("n > 0")
+        # the outer form keeps the optimizer from computing all sets twice, once to see whether there are any
+        texts.select("grp", "text", F.explode_outer(sets).alias("s"))
+        .select("grp", "text", F.col("s.m").alias("m"), F.col("s.ordered").alias("ordered"), F.size("s.ordered").alias("n"))
         .select(
-            "grp", "text", "n", F.slice("ordered", 1, double).alias("prefix"),
-            F.explode(F.concat(F.coalesce(one, none), F.coalesce(two, none))).alias("key"),
+            "grp", "text", "m", "n", F.slice("ordered", 1, double).alias("prefix"),
+            F.explode_outer(F.concat(F.coalesce(one, none), F.coalesce(two, none))).alias("key"),
         )
-        .select("grp", "text", "n", "prefix", F.size("key").alias("k"), F.xxhash64("key").alias("sig"), "key")
+        .filter("key IS NOT NULL")
+        .select("grp", "text", "n", "prefix", F.size("key").alias("k"), F.xxhash64("m", "key").alias("sig"), "key")
     )
 
 
@@ -99,8 +109,8 @@ def _salted(left: DataFrame, right: DataFrame) -> tuple[DataFrame, DataFrame]:
     return l, r
 
 
-def _candidates(left: DataFrame, right: DataFrame, elements, t: float, counts: Column) -> DataFrame:
-    l, r = _salted(_signatures(left, elements, counts, t), _signatures(right, elements, counts, t))
+def _candidates(left: DataFrame, right: DataFrame, measures, t: float, counts: list[Column]) -> DataFrame:
+    l, r = _salted(_signatures(left, measures, counts, t), _signatures(right, measures, counts, t))
     a, b = l.alias("a"), r.alias("b")
     common = F.array_intersect(F.col("a.prefix"), F.col("b.prefix"))
     return (
@@ -124,12 +134,12 @@ def similar_pairs(left: DataFrame, right: DataFrame, t: float, tokens: bool = Tr
     both = left.select("grp", "text").unionByName(right.select("grp", "text"))
     measures = [trigrams_of, tokens_of] if tokens else [trigrams_of]
     score = fuzzy_score if tokens else trigram_jaccard
-    found = None
-    for elements, counts in zip(measures, rarity(both, measures), strict=True):
-        part = _candidates(left, right, elements, t, counts)
-        found = part if found is None else found.unionByName(part)
-    scored = found.withColumn("score", score(F.col("text"), F.col("other")))
-    return scored.filter(F.col("score") >= t)
+    found = _candidates(left, right, measures, t, rarity(both, measures))
+    # distinct pairs first, spread evenly; the score hangs on the count so that
+    # it is not pulled into the join and computed for every shared key
+    pairs = found.groupBy("grp", "text", "other").agg(F.count("*").alias("keys"))
+    scored = pairs.withColumn("score", F.when(F.col("keys") > 0, score(F.col("text"), F.col("other"))))
+    return scored.filter(F.col("score") >= t).drop("keys")
 
 
 def answer_keys(answers: DataFrame) -> DataFrame:
@@ -139,7 +149,9 @@ def answer_keys(answers: DataFrame) -> DataFrame:
 
 
 def _match(questions: DataFrame, answers: DataFrame, t: float, tokens: bool) -> DataFrame:
-    distinct = questions.filter("key <> ''").select("cand", "key").distinct()
+    # used several times below: written once, so that what the questions come from is not run again
+    checkpoint_dir(questions.sparkSession)
+    distinct = questions.filter("key <> ''").select("cand", "key").distinct().checkpoint()
     looked_up = distinct.join(answer_keys(answers), ["cand", "key"], "left")
     exact = looked_up.filter("id IS NOT NULL").select(
         "cand", "key", "id", F.lit("answer-exact").alias("source"), F.lit(1.0).alias("score")

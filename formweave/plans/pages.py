@@ -43,10 +43,10 @@ def page_titles(spark: SparkSession, d: str) -> DataFrame:
     pages = table(spark, d, "pages").withColumn("host", U.url_host(F.col("url"))).withColumn("t", collapse(_title(F.col("html"))))
     shapes = F.array(
         F.struct(F.lit("plain").alias("shape"), F.col("t").alias("title")),
-        F.struct(F.lit("board").alias("shape"), F.concat(F.lit("Job Application for Nurse at "), F.col("host"), F.lit(" - Careers"))),
-        F.struct(F.lit("at").alias("shape"), F.concat(F.lit("Head writer at "), F.col("host"))),
-        F.struct(F.lit("role_last").alias("shape"), F.concat(F.col("host"), F.lit(" | Data Analyst"))),
-        F.struct(F.lit("unclear").alias("shape"), F.concat(F.col("host"), F.lit(" – Team"))),
+        F.struct(F.lit("board").alias("shape"), F.concat(F.lit("Job Application for Nurse at "), F.col("host"), F.lit(" - Careers")).alias("title")),
+        F.struct(F.lit("at").alias("shape"), F.concat(F.lit("Head writer at "), F.col("host")).alias("title")),
+        F.struct(F.lit("role_last").alias("shape"), F.concat(F.col("host"), F.lit(" | Data Analyst")).alias("title")),
+        F.struct(F.lit("unclear").alias("shape"), F.concat(F.col("host"), F.lit(" – Team")).alias("title")),
     )
     rows = pages.select("page_id", "host", F.inline(shapes)).withColumn("ats", U.ats_of_host(F.col("host"), HOST_RULES))
     return rows.withColumn("c", U.parse_job_title(F.col("title"), F.col("ats"))).select(

@@ -151,7 +151,10 @@ QUERIES = {
 }
 
 _NORM = r"trim(regexp_replace(regexp_replace(lower({0}), '\(required\)|\(optional\)', ' ', 'g'), '[^\p{{L}}\p{{N}}]+', ' ', 'g'))"
-_TRI = "list_distinct(list_transform(range(1, length({0}) + 1), lambda i: substr(' ' || {0} || ' ', i, 3)))"
+_TRI = (
+    "list_distinct(list_concat(list_concat(regexp_extract_all(' ' || {0} || ' ', '(?s).{{3}}'), "
+    "regexp_extract_all({0} || ' ', '(?s).{{3}}')), regexp_extract_all(substr({0} || ' ', 2), '(?s).{{3}}')))"
+)
 _TOK = "list_distinct(list_filter(string_split({0}, ' '), lambda x: x <> ''))"
 _TEXTS = f"""
 t AS (SELECT 'd' AS src, doc_id AS id, text FROM documents UNION ALL SELECT 'b', item_id, text FROM benchmark
