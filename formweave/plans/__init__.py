@@ -1,8 +1,8 @@
 """Registered queries over the given tables and their SQL twins."""
 
-from formweave.plans import forms, history, pages, texts, usage
+from formweave.plans import cvs, forms, history, pages, texts, usage
 
-MODULES = [usage, history, texts, pages, forms]
+MODULES = [usage, history, texts, pages, forms, cvs]
 
 
 def queries():

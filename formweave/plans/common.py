@@ -14,6 +14,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """For rows that are dear to process: a scan with fewer partitions than cores is dealt out evenly.
+
+    A scan of large tables has partitions enough and is left as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def micros(c: str) -> Column:
     return F.unix_micros(F.col(c).cast("timestamp"))
 

@@ -18,7 +18,7 @@ from formweave.operators import fill as L
 from formweave.operators.classify import classify_forms
 from formweave.operators.mapping import map_fields
 from formweave.operators.profiles import profile_values
-from formweave.plans.common import table
+from formweave.plans.common import spread, table
 from formweave.session import checkpoint_dir
 
 QUESTION = "What makes this team interesting to you?"
@@ -71,7 +71,7 @@ def _fill(template: str) -> Column:
 
 
 def form_pages(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "customer").select(
+    return spread(table(spark, d, "customer")).select(
         F.col("c_custkey").cast("string").alias("page_id"),
         _by_segment({s: _fill(u) for s, (u, _) in LAYOUTS.items()}).alias("url"),
         _by_segment({s: _fill(h) for s, (_, h) in LAYOUTS.items()}).alias("html"),

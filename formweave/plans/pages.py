@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from formweave.functions import urls as U
 from formweave.functions.text import collapse
 from formweave.operators import extract as X
-from formweave.plans.common import table
+from formweave.plans.common import spread, table
 
 # the given hosts are no job boards, so an own ordered rule table exercises first match
 HOST_RULES = [("blog", r"(?i)^blog\."), ("mobile", r"(?i)^m\."), ("com", r"(?i)\.example\.com$"), ("lever", r"(?i)\.example\.net$")]
@@ -64,7 +64,7 @@ def answer_templates(spark: SparkSession, d: str) -> DataFrame:
 
 def page_job_texts(spark: SparkSession, d: str) -> DataFrame:
     """The longest text block of each page, whole pages parsed."""
-    return X.job_descriptions(X.page_nodes(table(spark, d, "pages")))
+    return X.job_descriptions(X.page_nodes(spread(table(spark, d, "pages"))))
 
 
 QUERIES = {f.__name__: f for f in (page_urls, page_boards, page_titles, answer_templates, page_job_texts)}

@@ -11,11 +11,11 @@ from formweave.functions import text as X
 from formweave.operators import answers as A
 from formweave.operators import options as O
 from formweave.operators import retrieval as R
-from formweave.plans.common import table
+from formweave.plans.common import spread, table
 
 
 def _all_texts(spark: SparkSession, d: str) -> DataFrame:
-    docs = table(spark, d, "documents").select(F.lit("d").alias("src"), F.col("doc_id").alias("id"), "text")
+    docs = spread(table(spark, d, "documents")).select(F.lit("d").alias("src"), F.col("doc_id").alias("id"), "text")
     items = table(spark, d, "benchmark").select(F.lit("b").alias("src"), F.col("item_id").alias("id"), "text")
     turns = table(spark, d, "conversations").select(
         F.lit("c").alias("src"), (F.col("conv_id") * 1000 + F.col("turn")).alias("id"), "text"
@@ -54,7 +54,7 @@ def _lines(df: DataFrame, *keep: str) -> DataFrame:
 
 
 def _questions(spark: SparkSession, d: str) -> DataFrame:
-    return _lines(table(spark, d, "documents"), "doc_id").select(F.lit("c").alias("cand"), "key")
+    return _lines(spread(table(spark, d, "documents").select("doc_id", "text")), "doc_id").select(F.lit("c").alias("cand"), "key")
 
 
 def _stored(spark: SparkSession, d: str) -> DataFrame:
@@ -89,7 +89,7 @@ def question_answer_pairs(spark: SparkSession, d: str) -> DataFrame:
 
 def answers_saved(spark: SparkSession, d: str) -> DataFrame:
     """All document lines saved as questions, per source, in document order."""
-    lines = _lines(table(spark, d, "documents"), "doc_id", "source")
+    lines = _lines(spread(table(spark, d, "documents").select("doc_id", "text", "source")), "doc_id", "source")
     saves = lines.select(
         F.col("source").alias("cand"), (F.col("doc_id") * 100_000 + F.col("line")).alias("seq"),
         F.col("doc_id").alias("ts_us"), F.col("raw").alias("question"), F.concat(F.lit("answer "), "doc_id").alias("answer"),
