@@ -26,6 +26,7 @@ STATUSES = ["saved", "applied", "interviewing", "offer", "rejected"]
 CSV_HEADER = "title,company_domain,url,ats,status,first_seen,last_filled,times_filled,fields_filled,reminder"
 UPSERTS = ["detected", "filled", "applied"]
 US_PER_DAY = 86_400_000_000
+BROADCAST_ROWS = 100_000
 
 
 def _order() -> Column:
@@ -33,8 +34,15 @@ def _order() -> Column:
 
 
 def _since_delete(rows: DataFrame) -> DataFrame:
-    """Rows from the last delete of their URL on, that delete included."""
+    """Rows from the last delete of their URL on, that delete included.
+
+    Deletes are rare.  They are counted first, reading only their columns: a
+    checked small number is broadcast, so that the changes go unshuffled into
+    the combining aggregation; a larger number joins by key.
+    """
     deleted = rows.filter("op = 'delete'").groupBy("cand", "url").agg(F.max(_order()).alias("deleted_at"))
+    if deleted.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        deleted = F.broadcast(deleted)
     later = F.col("deleted_at").isNull() | (_order() >= F.col("deleted_at"))
     return rows.join(deleted, ["cand", "url"], "left").filter(later).drop("deleted_at")
 
