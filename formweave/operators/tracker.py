@@ -219,6 +219,11 @@ def csv_line() -> Column:
     return F.concat_ws(",", *[csv_quote(c) for c in cells])
 
 
+def without(rows: DataFrame, removed: DataFrame, *keys: str) -> DataFrame:
+    """Rows whose key is not among the removed ones; with key `cand` alone it clears a candidate."""
+    return rows.join(removed.select(*keys), list(keys), "left_anti")
+
+
 def documents_by_role(documents: DataFrame) -> DataFrame:
     """The latest document per candidate and role."""
     latest = Window.partitionBy("cand", "role").orderBy(F.col("added_us").desc(), F.col("id").desc())

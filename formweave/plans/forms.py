@@ -20,6 +20,7 @@ from formweave.operators.mapping import map_fields
 from formweave.operators.profiles import profile_values
 from formweave.plans.common import spread, table
 from formweave.session import checkpoint_dir
+from formweave.sources import files
 
 QUESTION = "What makes this team interesting to you?"
 NEAR_QUESTION = "What really makes this team interesting to you?"
@@ -198,9 +199,25 @@ def profile_lookup(spark: SparkSession, d: str) -> DataFrame:
     return profile_values(_profiles(spark, d)).select("cand", "key", "text", "explicit")
 
 
+def bundle_round_trip(spark: SparkSession, d: str) -> DataFrame:
+    """All candidates exported and imported again."""
+    settings = table(spark, d, "customer").select(
+        F.col("c_custkey").cast("string").alias("cand"), F.lit("MM/DD/YYYY").alias("date_format_hint")
+    )
+    bundle = files.export_bundle(_profiles(spark, d), _answers(spark, d), _documents(spark, d), settings, 0)
+    profiles, answers, documents, _ = files.import_bundle(bundle)
+    part = lambda df, section, value: df.select("cand", F.lit(section).alias("section"), value.alias("value"))
+    return (
+        part(profiles, "profile", F.concat_ws(" ", "basics.email", "explicit.salaryMin"))
+        .unionByName(part(answers, "answer", F.col("question_text")))
+        .unionByName(part(documents, "document", F.col("file_name")))
+    )
+
+
 QUERIES = {
     f.__name__: f
-    for f in (form_signals, form_detection, field_mapping, field_actions, fill_instructions, eval_scores, profile_lookup)
+    for f in (form_signals, form_detection, field_mapping, field_actions, fill_instructions, eval_scores, profile_lookup,
+              bundle_round_trip)
 }
 
 _C = """c AS (SELECT CAST(c_custkey AS VARCHAR) AS k, c_mktsegment AS seg, c_nationkey AS n, c_acctbal > 5000 AS given,
@@ -316,4 +333,8 @@ SELECT k AS cand, key, text, explicit FROM (
   UNION ALL
   SELECT k, unnest(['preferences.workAuth', 'preferences.requiresSponsorship', 'preferences.salaryMin', 'eeo.gender']),
          unnest(['Yes', 'No', '$' || bal, 'Prefer not to say']), true FROM c WHERE given)""",
+    "bundle_round_trip": f"""WITH {_C}
+SELECT k AS cand, 'profile' AS section, 'c' || k || '@mail.example' || CASE WHEN given THEN ' $' || bal ELSE '' END AS value FROM c
+UNION ALL SELECT k, 'answer', CASE n % 4 WHEN 2 THEN '{NEAR_QUESTION}' ELSE '{QUESTION}' END FROM c WHERE n % 2 = 0
+UNION ALL SELECT k, 'document', 'cv' || k || '.pdf' FROM c WHERE n % 3 <> 0""",
 }

@@ -134,11 +134,34 @@ def settings_merged(spark: SparkSession, d: str) -> DataFrame:
     return K.merged_settings(patches, {"date_format_hint": "MM/DD/YYYY", "auto_detect": True})
 
 
+def answer_usage(spark: SparkSession, d: str) -> DataFrame:
+    """One saved answer per customer, orders as its uses; all belong to one candidate."""
+    answers = table(spark, d, "customer").select(
+        F.lit(0).alias("cand"), F.col("c_custkey").alias("id"), F.lit("q").alias("question_text"), F.lit("key").alias("normalized_key"),
+        F.array(F.lit("5-LOW")).alias("alias_keys"), F.lit("a").alias("answer"), F.lit(0).cast("long").alias("times_used"),
+        F.lit(0).cast("long").alias("last_used_us"), F.lit(0).cast("long").alias("created_us"),
+    )
+    uses = table(spark, d, "orders").select(
+        F.lit(0).alias("cand"), F.col("o_custkey").alias("answer_id"), micros("o_orderdate").alias("ts_us"),
+        F.col("o_orderkey").alias("seq"), F.col("o_orderpriority").alias("question_key"),
+        (F.col("o_orderstatus") == "F").alias("confirmed_fuzzy"),
+    )
+    used = K.answers_after_use(answers, uses)
+    return used.select("id", "times_used", "last_used_us", F.array_join("alias_keys", ";").alias("aliases"))
+
+
+def customers_cleared(spark: SparkSession, d: str) -> DataFrame:
+    """Fill-log entries left after the customers in debt cleared theirs."""
+    debt = table(spark, d, "customer").filter("c_acctbal < 0").select(F.col("c_custkey").alias("cand"))
+    return K.without(_entries(spark, d), debt, "cand").select("cand", "id")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         history_upsert, history_page, history_status_counts, history_search, history_newest_first, history_csv,
         reminders_due, fill_log_ring, outcome_rates, documents_by_role, profile_last_good, settings_merged,
+        answer_usage, customers_cleared,
     )
 }
 
@@ -236,4 +259,14 @@ SELECT cand, coalesce(arg_max(CASE op WHEN 'status' THEN 'DD/MM/YYYY' WHEN 'remi
                               (ts_us, seq)) FILTER (op IN ('status', 'reminder')), 'MM/DD/YYYY') AS date_format_hint,
        coalesce(arg_max(op = 'applied', (ts_us, seq)) FILTER (op IN ('delete', 'applied')), true) AS auto_detect
 FROM c GROUP BY cand""",
+    "answer_usage": """
+WITH u AS (SELECT o_custkey AS id, epoch_us(o_orderdate) AS ts, o_orderkey AS seq,
+                  CASE WHEN o_orderstatus = 'F' THEN o_orderpriority END AS k FROM orders),
+k AS (SELECT id, k, min((ts, seq)) AS since FROM u WHERE k IS NOT NULL AND k <> '5-LOW' GROUP BY id, k),
+a AS (SELECT id, string_agg(k, ';' ORDER BY since) AS s FROM k GROUP BY id),
+n AS (SELECT id, count(*) AS n, max(ts) AS last FROM u GROUP BY id)
+SELECT c_custkey AS id, coalesce(n, 0) AS times_used, coalesce(last, 0) AS last_used_us, '5-LOW' || coalesce(';' || s, '') AS aliases
+FROM customer LEFT JOIN n ON n.id = c_custkey LEFT JOIN a ON a.id = c_custkey""",
+    "customers_cleared": f"""WITH {_CHANGES}
+SELECT cand, seq AS id FROM c WHERE cand NOT IN (SELECT c_custkey FROM customer WHERE c_acctbal < 0)""",
 }
