@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from formweave.llm import line_dedup, near_dedup, toxicity, warc
+from formweave.llm import impact_topk, line_dedup, near_dedup, toxicity, vptree, warc
 from formweave.llm.shared import table, whole_text
 
 
@@ -19,6 +19,14 @@ def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return impact_topk.top_k(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+
+
+def op6_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vptree.nearest(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+
+
 def op7_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return near_dedup.near_dedup(docs, shingle=3, similar=85).select("doc_id", "n_shingles", "component_id", "kept")
@@ -42,6 +50,8 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_warc": op1_warc,
+    "op5_topk": op5_topk,
+    "op6_ann": op6_ann,
     "op7_minhash": op7_minhash,
     "op9_toxicity": op9_toxicity,
     "op10_line_dedup": op10_line_dedup,
@@ -57,6 +67,18 @@ ORACLES = {
           CASE WHEN n >= 1000 AND page_id <> holder THEN holder END AS refers_to
         FROM m
     """,
+    "op5_topk": """
+        WITH v AS (
+          SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::BIGINT) AS q FROM embeddings
+          WHERE embedding IS NOT NULL AND len(embedding) > 0
+            AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+        s AS (
+          SELECT a.vec_id AS query_id, b.vec_id AS vec_id,
+            list_sum(list_transform(list_zip(a.q, b.q), lambda z: z[1] * z[2]))::BIGINT AS score
+          FROM v a JOIN v b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id AND len(a.q) = len(b.q))
+        SELECT query_id, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id))::INT AS rank, vec_id, score
+        FROM s QUALIFY rank <= 10
+    """,
     "op10_line_dedup": """
         WITH l AS (
           SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,

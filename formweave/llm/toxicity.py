@@ -36,8 +36,8 @@ from formweave.llm.shared import written
 
 #: Labelled rows of each class that are learnt from, at most.
 PER_CLASS = 10_000
-EPOCHS = 2
-ALPHA, BETA, L1, L2 = 0.3, 1.0, 1.5, 0.1
+EPOCHS = 4
+ALPHA, BETA, L1, L2 = 1.0, 1.0, 4.0, 0.1
 THRESHOLD = 0.3
 
 
