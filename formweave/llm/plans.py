@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from formweave.llm import impact_topk, line_dedup, near_dedup, toxicity, vptree, warc
+from formweave.llm import impact_topk, line_dedup, near_dedup, packing, token_counts, toxicity, vptree, warc
 from formweave.llm.shared import table, whole_text
 
 
@@ -19,6 +20,17 @@ def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    counted = token_counts.count_tokens(docs, public_tokenizers.path("byte_bpe_50k.json"))
+    return counted.select("doc_id", "n_bytes", "n_tokens", "over_limit")
+
+
+def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
+
+
 def op5_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return impact_topk.top_k(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
 
@@ -50,6 +62,8 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_warc": op1_warc,
+    "op2_token_counts": op2_token_counts,
+    "op4_packing": op4_packing,
     "op5_topk": op5_topk,
     "op6_ann": op6_ann,
     "op7_minhash": op7_minhash,
