@@ -14,7 +14,9 @@ of the one before), and in a class round by round:
 * gaps are lowered by what they took, and the next round begins.
 
 When gaps take next to nothing any more, new sequences are opened for the
-tokens still waiting and rounds go on.  Ties in size go by position in the
+tokens still waiting (a tenth more in all classes but the last, smaller
+pieces will fill them), and if that isn't enough, once more, now with a slot
+for every piece.  Ties in size go by position in the
 table, so equal documents are spread over partitions like any others.  A
 round moves some 30 bytes a piece, and the number of rounds depends on the
 size classes, not on the number of documents.
@@ -26,6 +28,7 @@ result; other columns are ignored.
 
 from __future__ import annotations
 
+import math
 import zlib
 from functools import partial
 
@@ -44,7 +47,9 @@ END_ID = 1
 #: Pieces up to capacity / 2^CLASSES are one class.
 CLASSES = 6
 #: Rounds go on while they place this share of the waiting pieces.
-WORTH = 0.03
+WORTH = 0.2
+#: Sequences opened for a class that smaller pieces follow, against what its tokens need.
+SPARE = 1.1
 
 PIECES = "item bigint, doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
 SWEPT = "item bigint, length bigint, seq bigint, part int, rank bigint, is_slot boolean"
@@ -185,12 +190,14 @@ def pack(items: DataFrame, capacity: int = CAPACITY, classes: int = CLASSES) ->
         if not most:
             break
         waiting = items.filter((F.col("length") <= most) & (F.col("length") > floor))
-        least, n, tokens = waiting.agg(F.min("length"), F.count("*"), F.sum("length")).first()
+        least, n = waiting.agg(F.min("length"), F.count("*")).first()
+        opened = False
         while n:
             waiting, n_left, placed = state.round(waiting, least, most)
             if n_left and placed < WORTH * n:
-                tokens = waiting.agg(F.sum("length")).first()[0]
-                state.open(-(-tokens // capacity))
+                tokens = waiting.agg(F.sum("length")).first()[0] * (SPARE if c < classes else 1)
+                state.open(-(-n_left // (capacity // most)) if opened else math.ceil(tokens / capacity))
+                opened = True
             n = n_left
     placed = state.placed[0]
     for more in state.placed[1:]:
