@@ -14,10 +14,13 @@ before combining, and most texts then have no combination at all.
 Texts with equal shingle sets are one class before anything is compared.
 In every bucket each class is first compared with the bucket's smallest one.
 Links that hold make components; a second pass compares what shares a bucket
-but not a component, all pairs of it, so a large group of near-copies costs
-its size, not its square, and yet no pair in a bucket is passed over unless
-its ends are connected already.  A link counts only if it holds on the full
-sets of both texts (64-bit shingle hashes).
+but not a component.  So a large group of near-copies costs its size, and yet
+no pair in a bucket is passed over unless its ends are connected already.
+The second pass compares sketches first (the least shingle of each of 512
+parts of the hash range), large buckets in blocks, and goes on only with
+pairs within 4.5 standard deviations of the limit (one true link in 300,000
+is missed by that); sketches never leave the task as pairs.  A link counts
+only if it holds on the full sets of both texts (64-bit shingle hashes).
 
 Defined cases: null or empty texts, or white space only, have an empty set
 and are linked with nothing; texts shorter than a shingle are one shingle;
@@ -44,6 +47,9 @@ SHINGLE = 5
 SIMILAR = 80
 HALVES = 11
 WIDTH = 3
+PARTS, NONE, SIGMAS = 512, 255, 4.5
+#: Members of a bucket that are compared in one go.
+BLOCK = 1024
 
 PROFILE = "doc bigint, text_key bigint, n bigint, s1 bigint, s2 bigint, halves array<bigint>"
 
@@ -90,10 +96,70 @@ def _profiles(batches, size: int, halves: int, width: int):
         )
 
 
+def _sketch(shingles: np.ndarray) -> bytes:
+    """Seven bits of the least shingle of each of PARTS equal parts of the hash range; NONE where a part has none."""
+    out = np.full(PARTS, NONE, np.uint8)
+    parts = (shingles >> np.uint64(64 - PARTS.bit_length() + 1)).astype(np.int64)
+    part, first = np.unique(parts, return_index=True)
+    out[part] = mix(shingles[first]) & np.uint64(127)
+    return out.tobytes()
+
+
 def _set_rows(batches, size: int):
     for batch in batches:
-        found = [s.view(np.int64) for _, offsets, data in text_chunks(batch["text"]) for s in _sets(offsets, data, size)]
-        yield pa.RecordBatch.from_arrays([batch["node"], pa.array(found, pa.list_(pa.int64()))], names=["node", "shingles"])
+        found = [s for _, offsets, data in text_chunks(batch["text"]) for s in _sets(offsets, data, size)]
+        sets = pa.array([s.view(np.int64) for s in found], pa.list_(pa.int64()))
+        yield pa.RecordBatch.from_arrays(
+            [batch["node"], sets, pa.array(map(_sketch, found), pa.binary())], names=["node", "shingles", "sketch"]
+        )
+
+
+def _close(a: np.ndarray, b: np.ndarray, similar: int) -> np.ndarray:
+    """Which sketches of b may be of sets similar to that of the sketch a."""
+    filled = ((a != NONE) | (b != NONE)).sum(axis=1)
+    equal = ((a == b) & (a != NONE)).sum(axis=1)
+    # of about so many different shingles one for each filled part was drawn, without putting back
+    union = np.maximum(filled, -PARTS * np.log1p(-np.minimum(filled, PARTS - 0.5) / PARTS))
+    t = similar / 100
+    # different shingles have the same seven bits by chance
+    chance = (1 - t) / 128
+    spread = np.sqrt(filled * (t * (1 - t) * (1 - filled / np.maximum(union, 1)) + chance))
+    return equal >= filled * t - SIGMAS * spread - 1
+
+
+def _near_pairs(batches, similar: int):
+    """Batches of (bucket, i, j, block, node, label, sketch), sorted by bucket, i, j: pairs (a, b) whose sketches are close."""
+    def pairs(rows):
+        block, node, label = (np.array([r[k] for r in rows]) for k in (1, 2, 3))
+        sketch = np.frombuffer(b"".join(r[4] for r in rows), np.uint8).reshape(len(rows), PARTS)
+        i, j = rows[0][0][1:]
+        for x in np.flatnonzero(block == i):
+            other = (block == j) & (label != label[x]) & ((i != j) | (node > node[x]))
+            near = np.flatnonzero(other)
+            near = near[_close(sketch[x], sketch[near], similar)]
+            for y in near:
+                yield min(node[x], node[y]), max(node[x], node[y])
+
+    def runs():
+        rows, key = [], None
+        for batch in batches:
+            columns = (batch[c].to_pylist() for c in ("bucket", "i", "j", "block", "node", "label", "sketch"))
+            for *now, block, node, label, sketch in zip(*columns, strict=True):
+                if now != key and rows:
+                    yield rows
+                    rows = []
+                key = now
+                rows.append((now, block, node, label, sketch))
+        if rows:
+            yield rows
+
+    found = []
+    for rows in runs():
+        found += pairs(rows)
+        if len(found) > 50_000:
+            yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
+            found = []
+    yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
 
 def _shared_halves(profiles: DataFrame, halves: int) -> DataFrame:
@@ -130,6 +196,25 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, similar: int) -> DataFrame:
     ).select("a", "b")
 
 
+def _unconnected(buckets: DataFrame, labels: DataFrame) -> DataFrame:
+    """(bucket, i, j, block, node, label) of buckets that more than one component has; blocks i and j are to be compared."""
+    rows = buckets.join(labels, "node", "left").select("bucket", "node", F.coalesce("label", "node").alias("label"))
+    # buckets with the same members are one
+    mixed = (
+        rows.groupBy("bucket").agg(
+            F.min("label").alias("x"), F.max("label").alias("y"), F.count("*").alias("n"),
+            F.sum(F.xxhash64("node").cast("decimal(20,0)")).alias("h"), F.sum(F.xxhash64(F.lit(1), "node").cast("decimal(20,0)")).alias("g"),
+        )
+        .filter("x < y").groupBy("n", "h", "g").agg(F.min("bucket").alias("bucket"))
+        .select("bucket", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
+    )
+    dealt = rows.join(mixed, "bucket").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
+    return dealt.select("bucket", "block", "node", "label", other).select(
+        "bucket", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "label"
+    )
+
+
 def near_components(docs: DataFrame, shingle: int = SHINGLE, similar: int = SIMILAR, halves: int = HALVES, width: int = WIDTH) -> DataFrame:
     """(doc, text_key, n, component): one row per distinct (doc_id, text) with its set size and its component.
 
@@ -154,7 +239,7 @@ def near_components(docs: DataFrame, shingle: int = SHINGLE, similar: int = SIMI
     )
     needed = stars.select(F.col("a").alias("node")).union(stars.select("b")).distinct()
     wanted = named.join(needed, named["doc"] == needed["node"]).select("node", "text")
-    sets = written(wanted.mapInArrow(partial(_set_rows, size=shingle), "node bigint, shingles array<bigint>"), "sets")
+    sets = written(wanted.mapInArrow(partial(_set_rows, size=shingle), "node bigint, shingles array<bigint>, sketch binary"), "sets")
     links = written(_confirmed(stars, sets, similar), "star-links")
     # a node whose document has another node is linked with it
     twice = member.join(member.groupBy("doc").agg(F.min("node").alias("a"), F.max("node").alias("b")).filter("a < b"), "doc").select(
@@ -163,14 +248,10 @@ def near_components(docs: DataFrame, shingle: int = SHINGLE, similar: int = SIMI
     links = links.union(twice.filter("a <> b"))
     labels = components(links)
 
-    # what meets in a bucket but isn't connected yet: all pairs
-    own = F.coalesce("label", "node").alias("label")
-    labelled = buckets.join(labels, "node", "left").select("bucket", "node", own)
-    mixed = labelled.groupBy("bucket").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x < y").select("bucket")
-    rest = written(labelled.join(mixed, "bucket"), "rest")
-    a = rest.select("bucket", F.col("node").alias("a"), F.col("label").alias("la"))
-    b = rest.select("bucket", F.col("node").alias("b"), F.col("label").alias("lb"))
-    more = a.join(b, "bucket").filter("a < b AND la <> lb").select("a", "b").distinct().join(stars, ["a", "b"], "left_anti")
+    rest = _unconnected(buckets, labels).join(sets.select("node", "sketch"), "node")
+    order = ["bucket", "i", "j"]
+    close = rest.repartition(*order).sortWithinPartitions(*order).mapInArrow(partial(_near_pairs, similar=similar), "a bigint, b bigint")
+    more = close.distinct().join(stars, ["a", "b"], "left_anti")
     late = written(_confirmed(written(more, "rest-pairs"), sets, similar), "rest-links")
     if not late.isEmpty():
         # the components found so far stand for their links
