@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from formweave.llm import impact_topk, line_dedup, near_dedup, packing, token_counts, toxicity, vptree, warc
+from formweave.llm import impact_topk, line_dedup, near_dedup, packing, repeats, token_counts, toxicity, vptree, warc
 from formweave.llm.shared import table, whole_text
 
 
@@ -44,6 +44,14 @@ def op7_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_dedup(docs, shingle=3, similar=85).select("doc_id", "n_shingles", "component_id", "kept")
 
 
+def op8_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return repeats.cut_repeats(docs).select(
+        "doc_id", F.octet_length(whole_text()).cast("long").alias("n_bytes"), "n_removed", "n_spans",
+        F.sha2(F.coalesce("kept", F.lit(bytearray())), 256).alias("kept_sha256"),
+    )
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = toxicity.train_on_rest(docs, table(spark, sf_dir, "labels"))
@@ -67,6 +75,7 @@ QUERIES = {
     "op5_topk": op5_topk,
     "op6_ann": op6_ann,
     "op7_minhash": op7_minhash,
+    "op8_suffix_array": op8_suffix_array,
     "op9_toxicity": op9_toxicity,
     "op10_line_dedup": op10_line_dedup,
 }
