@@ -5,7 +5,7 @@ minhashes.  A table key is the combination of key i of the first collection
 with key j of the second, so halves * halves tables cost only
 2 * halves * width minhashes.  Two texts of similarity s miss each other with
 probability 1 - (1 - (1 - s^width)^halves)^2: at 0.85 with the given
-parameters that is 6e-5, far less above it.
+parameters that is 9e-5, far less above it.
 
 The tensor form also thins the tables out: a combination can only meet
 another one if both halves do, so a half that no other text has is left out
@@ -16,10 +16,11 @@ In every bucket each class is first compared with the bucket's smallest one.
 Links that hold make components; a second pass compares what shares a bucket
 but not a component.  So a large group of near-copies costs its size, and yet
 no pair in a bucket is passed over unless its ends are connected already.
-The second pass compares sketches first (the least shingle of each of 512
-parts of the hash range), large buckets in blocks, and goes on only with
-pairs within 4.5 standard deviations of the limit (one true link in 300,000
-is missed by that); sketches never leave the task as pairs.  A link counts
+The second pass goes by the keys of the first collection alone, which are
+fewer rows and pass over no pair of a table.  It compares sketches first (the
+least shingle of each of 512 parts of the hash range), large buckets in
+blocks, and goes on only with pairs within 4.5 standard deviations of the
+limit (one true link in 300,000 is missed by that), each at its first common key.  A link counts
 only if it holds on the full sets of both texts (64-bit shingle hashes).
 
 Defined cases: null or empty texts, or white space only, have an empty set
@@ -45,8 +46,8 @@ from formweave.llm.shared import written
 SHINGLE = 5
 #: Similarity in hundredths.
 SIMILAR = 80
-HALVES = 11
-WIDTH = 3
+HALVES = 17
+WIDTH = 5
 PARTS, NONE, SIGMAS = 512, 255, 4.5
 #: Members of a bucket that are compared in one go.
 BLOCK = 1024
@@ -128,38 +129,40 @@ def _close(a: np.ndarray, b: np.ndarray, similar: int) -> np.ndarray:
 
 
 def _near_pairs(batches, similar: int):
-    """Batches of (bucket, i, j, block, node, label, sketch), sorted by bucket, i, j: pairs (a, b) whose sketches are close."""
+    """Batches of (bucket, i, j, block, node, label, first, sketch), sorted by bucket, i, j: pairs (a, b) whose sketches are close."""
     def pairs(rows):
+        (bucket, i, j), firsts = rows[0][0], [r[4] for r in rows]
         block, node, label = (np.array([r[k] for r in rows]) for k in (1, 2, 3))
-        sketch = np.frombuffer(b"".join(r[4] for r in rows), np.uint8).reshape(len(rows), PARTS)
-        i, j = rows[0][0][1:]
+        sketch = np.frombuffer(b"".join(r[5] for r in rows), np.uint8).reshape(len(rows), PARTS)
         for x in np.flatnonzero(block == i):
-            other = (block == j) & (label != label[x]) & ((i != j) | (node > node[x]))
-            near = np.flatnonzero(other)
-            near = near[_close(sketch[x], sketch[near], similar)]
-            for y in near:
-                yield min(node[x], node[y]), max(node[x], node[y])
+            near = np.flatnonzero((block == j) & (label != label[x]) & ((i != j) | (node > node[x])))
+            for y in near[_close(sketch[x], sketch[near], similar)]:
+                if min(set(firsts[x]) & set(firsts[y])) == bucket:
+                    yield min(node[x], node[y]), max(node[x], node[y])
 
     def runs():
         rows, key = [], None
         for batch in batches:
-            columns = (batch[c].to_pylist() for c in ("bucket", "i", "j", "block", "node", "label", "sketch"))
-            for *now, block, node, label, sketch in zip(*columns, strict=True):
+            columns = (batch[c].to_pylist() for c in ("bucket", "i", "j", "block", "node", "label", "first", "sketch"))
+            for *now, block, node, label, first, sketch in zip(*columns, strict=True):
                 if now != key and rows:
                     yield rows
                     rows = []
                 key = now
-                rows.append((now, block, node, label, sketch))
+                rows.append((now, block, node, label, first, sketch))
         if rows:
             yield rows
 
+    def batch_of(found):
+        return pa.RecordBatch.from_arrays([pa.array([p[k] for p in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
+
     found = []
     for rows in runs():
         found += pairs(rows)
         if len(found) > 50_000:
-            yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
+            yield batch_of(found)
             found = []
-    yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
+    yield batch_of(found)
 
 
 def _shared_halves(profiles: DataFrame, halves: int) -> DataFrame:
@@ -174,14 +177,13 @@ def _shared_halves(profiles: DataFrame, halves: int) -> DataFrame:
     )
 
 
-def _buckets(profiles: DataFrame, halves: int) -> DataFrame:
-    """(bucket, node) of all tables, where a bucket has at least two classes; low is its smallest."""
-    shared = written(_shared_halves(profiles, halves), "halves")
-    rows = shared.select("node", F.explode("first").alias("a"), "second").select(
-        "node", "a", F.explode("second").alias("b")
-    ).select("node", F.xxhash64("a", "b").alias("bucket"))
-    met = rows.groupBy("bucket").agg(F.min("node").alias("low"), F.max("node").alias("high")).filter("low < high")
-    return written(rows.join(met.select("bucket", "low"), "bucket"), "buckets")
+def _stars(shared: DataFrame) -> DataFrame:
+    """(a, b): in every table, each class with the smallest one of its bucket."""
+    rows = shared.select("node", F.explode("first").alias("x"), "second").select(
+        "node", "x", F.explode("second").alias("y")
+    ).select("node", F.xxhash64("x", "y").alias("bucket"))
+    met = rows.groupBy("bucket").agg(F.min("node").alias("a"), F.max("node").alias("b")).filter("a < b").select("bucket", "a")
+    return rows.join(met, "bucket").filter("node <> a").select("a", F.col("node").alias("b")).distinct()
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, similar: int) -> DataFrame:
@@ -196,22 +198,22 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, similar: int) -> DataFrame:
     ).select("a", "b")
 
 
-def _unconnected(buckets: DataFrame, labels: DataFrame) -> DataFrame:
-    """(bucket, i, j, block, node, label) of buckets that more than one component has; blocks i and j are to be compared."""
-    rows = buckets.join(labels, "node", "left").select("bucket", "node", F.coalesce("label", "node").alias("label"))
-    # buckets with the same members are one
-    mixed = (
-        rows.groupBy("bucket").agg(
-            F.min("label").alias("x"), F.max("label").alias("y"), F.count("*").alias("n"),
-            F.sum(F.xxhash64("node").cast("decimal(20,0)")).alias("h"), F.sum(F.xxhash64(F.lit(1), "node").cast("decimal(20,0)")).alias("g"),
-        )
-        .filter("x < y").groupBy("n", "h", "g").agg(F.min("bucket").alias("bucket"))
-        .select("bucket", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
+def _unconnected(shared: DataFrame, sets: DataFrame, labels: DataFrame) -> DataFrame:
+    """(bucket, i, j, block, node, label, first, sketch) of keys that more than one component has; blocks i and j are to be compared."""
+    nodes = shared.join(sets.select("node"), "node").join(labels, "node", "left").select(
+        "node", "first", F.coalesce("label", "node").alias("label")
     )
-    dealt = rows.join(mixed, "bucket").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    rows = nodes.select("node", "label", F.explode("first").alias("bucket"))
+    mixed = rows.groupBy("bucket").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.count("*").alias("n")).filter("x < y").select(
+        "bucket", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")
+    )
+    met = rows.join(mixed, "bucket").groupBy("node").agg(F.collect_list(F.struct("bucket", "blocks")).alias("met"))
+    dealt = nodes.join(met, "node").join(sets.select("node", "sketch"), "node").select("*", F.explode("met").alias("m")).select(
+        "node", "label", "first", "sketch", "m.*"
+    ).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
-    return dealt.select("bucket", "block", "node", "label", other).select(
-        "bucket", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "label"
+    return dealt.select("*", other).select(
+        "bucket", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "label", "first", "sketch"
     )
 
 
@@ -233,10 +235,8 @@ def near_components(docs: DataFrame, shingle: int = SHINGLE, similar: int = SIMI
     member = filled.join(classes.select("s1", "s2", "node"), ["s1", "s2"]).select("doc", "text_key", "node")
     member = written(member, "members")
 
-    buckets = _buckets(classes, halves)
-    stars = written(
-        buckets.filter("node <> low").select(F.col("low").alias("a"), F.col("node").alias("b")).distinct(), "stars"
-    )
+    shared = written(_shared_halves(classes, halves), "halves")
+    stars = written(_stars(shared), "stars")
     needed = stars.select(F.col("a").alias("node")).union(stars.select("b")).distinct()
     wanted = named.join(needed, named["doc"] == needed["node"]).select("node", "text")
     sets = written(wanted.mapInArrow(partial(_set_rows, size=shingle), "node bigint, shingles array<bigint>, sketch binary"), "sets")
@@ -248,7 +248,7 @@ def near_components(docs: DataFrame, shingle: int = SHINGLE, similar: int = SIMI
     links = links.union(twice.filter("a <> b"))
     labels = components(links)
 
-    rest = _unconnected(buckets, labels).join(sets.select("node", "sketch"), "node")
+    rest = _unconnected(shared, sets, labels)
     order = ["bucket", "i", "j"]
     close = rest.repartition(*order).sortWithinPartitions(*order).mapInArrow(partial(_near_pairs, similar=similar), "a bigint, b bigint")
     more = close.distinct().join(stars, ["a", "b"], "left_anti")
