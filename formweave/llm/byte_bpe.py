@@ -1,10 +1,13 @@
 """Byte-level BPE encoding and decoding with Spark's higher-order functions.
 
-A word is an array of byte pieces (as hex digits).  `aggregate` folds merges
-over it: in each step the adjacent pair of least rank, the leftmost of
-equals, becomes one piece; ranks come from a literal map that is part of the
-plan, cut into small buckets by a checksum of the key, so that a lookup
-looks at a few entries.  Decoding looks pieces up in a literal array and
+A word is a row of byte pieces (as hex digits in brackets).  All tokens that
+its bytes hold are looked up in a literal rank map, which is part of the plan
+and cut into small buckets by a checksum of the key, so that a lookup looks
+at a few entries.  `aggregate` folds the merges that make these tokens over
+the pieces by ascending rank: each turns every pair it applies to, from the
+left, into one piece.  That is the order of pair-wise merging, for a merged
+piece only enters merges of higher rank, and a token is only ever made from
+one pair of pieces, the one that its own bytes end up as.  Decoding looks pieces up in a literal array and
 concatenates them.
 
 Words repeat, and folding is dear, so it is done for distinct words.  One
@@ -38,8 +41,8 @@ from pyspark.sql import types as T
 from formweave.llm.shared import written
 from formweave.llm.vocabulary import BYTE_LEVEL_WORDS, read_ranks
 
-FREQUENT = 400_000
-FOLD_BYTES = 128
+FREQUENT = 1_000_000
+FOLD_BYTES = 64
 BUCKETS = 16384
 #: Words that a counting task holds before it passes them on.
 HELD = 500_000
@@ -51,58 +54,62 @@ def _let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def merged_pair(token: bytes, ranks: dict[bytes, int]) -> tuple[bytes, bytes] | None:
+    """The two pieces that merge into a token, by merging its bytes up to the last step."""
+    pieces = [token[i : i + 1] for i in range(len(token))]
+    while len(pieces) > 2:
+        rank, at = min((ranks.get(pieces[i] + pieces[i + 1], NO_RANK), i) for i in range(len(pieces) - 1))
+        if rank == NO_RANK:
+            return None
+        pieces[at : at + 2] = [pieces[at] + pieces[at + 1]]
+    return (pieces[0], pieces[1]) if len(pieces) == 2 else None
+
+
 class Literals:
-    """The vocabulary as literals of a plan."""
+    """The vocabulary as literals of a plan.
+
+    Merges are looked up by what they make.  `f` is the pair to find and `t`
+    the piece that takes its place, pieces being written as <hex digits>.
+    """
 
     def __init__(self, ranks: dict[bytes, int]):
-        maps: list[dict[str, int]] = [{} for _ in range(BUCKETS)]
+        maps: list[dict[str, dict]] = [{} for _ in range(BUCKETS)]
         names = [""] * (max(ranks.values()) + 1)
+        self.longest = max(map(len, ranks))
         for piece, rank in ranks.items():
             digits = piece.hex().upper()
-            maps[zlib.crc32(digits.encode()) % BUCKETS][digits] = rank
             names[rank] = digits
-        # both fold to constants before the query runs
-        self.maps = F.from_json(F.lit(json.dumps(maps)), "array<map<string,int>>")
+            pair = merged_pair(piece, ranks)
+            entry = {"r": rank} | ({"f": "".join(f"<{x.hex().upper()}>" for x in pair), "t": f"<{digits}>"} if pair else {})
+            maps[zlib.crc32(digits.encode()) % BUCKETS][digits] = entry
+        # all fold to constants before the query runs
+        self.maps = F.from_json(F.lit(json.dumps(maps)), "array<map<string,struct<r:int,f:string,t:string>>>")
         self.pieces = F.split(F.lit(",".join(names)), ",")
         self.numbers = F.split(F.lit(",".join(np.array([i], "<u4").tobytes().hex() for i in range(len(names)))), ",")
 
-    def rank(self, digits: Column) -> Column:
-        bucket = F.get(self.maps, (F.crc32(digits.cast("binary")) % BUCKETS).cast("int"))
-        return F.coalesce(bucket[digits], F.lit(NO_RANK))
+    def entry(self, digits: Column) -> Column:
+        return F.get(self.maps, (F.crc32(digits.cast("binary")) % BUCKETS).cast("int"))[digits]
 
     def encode(self, word: Column) -> Column:
         """array<int>: ids of a word in binary."""
-        digits = F.hex(word)
         n = F.octet_length(word)
-        start = _let(digits, lambda d: F.transform(F.sequence(F.lit(1), n), lambda i: F.substring(d, i * 2 - 1, F.lit(2))))
-        pairs = lambda p: F.transform(
-            F.slice(p, F.lit(2), F.greatest(F.size(p) - 1, F.lit(0))), lambda right, i: self.rank(F.concat(F.get(p, i), right))
-        )
 
-        def merge(state: Column, least: Column) -> Column:
-            p, r = state["p"], state["r"]
-            at = F.array_position(r, least).cast("int")  # from 1
-
-            def merged(at: Column, piece: Column) -> Column:
-                size = F.size(p)
-                left = F.when(at > 1, F.array(self.rank(F.concat(F.get(p, at - 2), piece)))).otherwise(F.array().cast("array<int>"))
-                right = F.when(at < size - 1, F.array(self.rank(F.concat(piece, F.get(p, at + 1))))).otherwise(F.array().cast("array<int>"))
-                return F.struct(
-                    F.concat(F.slice(p, F.lit(1), at - 1), F.array(piece), F.slice(p, at + 2, size)).alias("p"),
-                    F.concat(F.slice(r, F.lit(1), F.greatest(at - 2, F.lit(0))), left, right, F.slice(r, at + 2, size)).alias("r"),
-                )
-
-            return _let(at, lambda a: _let(F.concat(F.get(p, a - 1), F.get(p, a)), lambda piece: merged(a, piece)))
-
-        def step(state: Column, _: Column) -> Column:
-            return _let(F.coalesce(F.array_min(state["r"]), F.lit(NO_RANK)), lambda least: F.when(least < NO_RANK, merge(state, least)).otherwise(state))
-
-        begin = _let(start, lambda p: F.struct(p.alias("p"), pairs(p).alias("r")))
-        folded = F.aggregate(F.sequence(F.lit(1), n), begin, step, lambda s: s["p"])
-        whole = self.rank(digits)
-        return F.when(n == 0, F.array().cast("array<int>")).when(whole < NO_RANK, F.array(whole)).otherwise(
-            F.transform(folded, lambda piece: self.rank(piece))
-        )
+        def stretches(d: Column) -> Column:
+            # all tokens that the word's bytes hold
+            return F.flatten(F.transform(F.sequence(F.lit(1), n - 1), lambda i: F.transform(
+                F.sequence(F.lit(2), F.least(n - i + 1, F.lit(self.longest))), lambda k: self.entry(F.substring(d, i * 2 - 1, k * 2))
+            )))
+
+        def fold(d: Column) -> Column:
+            merges = F.sort_array(F.filter(stretches(d), lambda m: m["f"].isNotNull()))
+            pieces = F.aggregate(merges, F.regexp_replace(d, "(..)", "<$1>"), lambda state, m: F.replace(state, m["f"], m["t"]))
+            # <61><6263> to its pieces
+            return F.transform(F.split(F.btrim(pieces, F.lit("<>")), "><"), lambda p: self.entry(p)["r"])
+
+        def ids(d: Column) -> Column:
+            return _let(self.entry(d)["r"], lambda whole: F.when(whole.isNotNull(), F.array(whole)).otherwise(fold(d)))
+
+        return F.when(n == 0, F.array().cast("array<int>")).otherwise(_let(F.hex(word), ids))
 
     def decode(self, ids: Column) -> Column:
         """binary: the concatenated pieces of ids."""
@@ -156,11 +163,11 @@ def _word_counts(batches, pattern: str):
     yield from passed_on()
 
 
-def _placed(batches, pattern: str, known: dict[str, bytes], ranks: dict[bytes, int], fold_bytes: int):
+def _placed(batches, pattern: str, sent, ranks: dict[bytes, int], fold_bytes: int):
     """docs with __known: ids by stretches between words that are not known, __open: those words, __which: which of them comes when."""
     import regex
 
-    find = regex.compile(pattern).findall
+    find, known = regex.compile(pattern).findall, sent.value
     for batch in batches:
         stretches, words, order = [], [], []
         for text in batch["text"].to_pylist():
@@ -204,13 +211,14 @@ def encode_documents(docs: DataFrame, path: str, pattern: str = BYTE_LEVEL_WORDS
     found = written(spread.select("word", literals.encode(F.col("word").cast("binary")).alias("ids")), "frequent-ids").toArrow()
     values = found["ids"].combine_chunks()
     cuts, flat = np.asarray(values.offsets), values.values.to_numpy().astype("<i4")
-    known = {w: flat[a:b].tobytes() for w, a, b in zip(found["word"].to_pylist(), cuts[:-1], cuts[1:], strict=True)}
+    # a broadcast variable, for a worker keeps it from task to task
+    known = docs.sparkSession.sparkContext.broadcast({w: flat[a:b].tobytes() for w, a, b in zip(found["word"].to_pylist(), cuts[:-1], cuts[1:], strict=True)})
 
     extra = [
         T.StructField("__known", T.ArrayType(T.ArrayType(T.IntegerType()))), T.StructField("__open", T.ArrayType(T.BinaryType())),
         T.StructField("__which", T.ArrayType(T.IntegerType())),
     ]
-    place = partial(_placed, pattern=pattern, known=known, ranks=ranks, fold_bytes=fold_bytes)
+    place = partial(_placed, pattern=pattern, sent=known, ranks=ranks, fold_bytes=fold_bytes)
     placed = docs.mapInArrow(place, T.StructType([*docs.schema.fields, *extra]))
     none = F.array().cast("array<int>")
     folded = F.transform("__open", lambda w: literals.encode(w))
