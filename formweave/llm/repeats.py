@@ -48,6 +48,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from formweave.llm.bytewords import _VALUES, _powers, mix, text_chunks
 from formweave.llm.shared import new_folder, written
@@ -356,12 +357,12 @@ def _one_by_one(rows: DataFrame, length: int) -> DataFrame:
     return late.select("doc", "text_key", "start", F.lit(1).cast("bigint").alias("starts"))
 
 
-def _cut_rows(batches, length: int):
+def _cut_rows(batches, length: int, as_text: bool):
     """docs with starts to (.., kept, n_removed, n_spans)."""
     for batch in batches:
         kept, removed, spans = [], [], []
-        columns = (batch[c].to_pylist() for c in ("__bytes", "__starts", "__copy"))
-        for text, starts, copy in zip(*columns, strict=True):
+        values = (batch[c].to_pylist() for c in ("__bytes", "__starts", "__copy"))
+        for text, starts, copy in zip(*values, strict=True):
             if copy and text is not None and len(text) >= length:
                 starts = [{"start": 0, "starts": len(text) - length + 1}]
             if not starts:
@@ -386,8 +387,9 @@ def _cut_rows(batches, length: int):
             removed.append(gone)
             spans.append(n)
         rest = [c for c in batch.schema.names if c not in ("__bytes", "__starts", "__copy")]
+        left = [None if k is None else k.decode("utf-8", "ignore") for k in kept] if as_text else kept
         yield pa.RecordBatch.from_arrays(
-            [*(batch[c] for c in rest), pa.array(kept, pa.binary()), pa.array(removed, pa.int64()), pa.array(spans, pa.int64())],
+            [*(batch[c] for c in rest), pa.array(left, pa.string() if as_text else pa.binary()), pa.array(removed, pa.int64()), pa.array(spans, pa.int64())],
             names=[*rest, "kept", "n_removed", "n_spans"],
         )
 
@@ -420,8 +422,12 @@ def repeats(docs: DataFrame, length: int = LENGTH, hot_runs: int = HOT_RUNS, blo
     return written(starts, "starts", folder), copies
 
 
-def cut_repeats(docs: DataFrame, length: int = LENGTH, **options) -> DataFrame:
-    """docs with kept (binary: what is left of the text's UTF-8 bytes), n_removed and n_spans."""
+def cut_repeats(docs: DataFrame, length: int = LENGTH, as_text: bool = False, **options) -> DataFrame:
+    """docs with kept (what is left of the text's UTF-8 bytes), n_removed and n_spans.
+
+    kept is binary, or with `as_text` a string without the halves of
+    characters at the cuts.
+    """
     columns = [c for c in docs.columns if c not in ("kept", "n_removed", "n_spans")]
     starts, copies = repeats(docs, length, **options)
     lists = starts.groupBy("doc", "text_key").agg(F.collect_list(F.struct("start", "starts")).alias("__starts"))
@@ -429,6 +435,9 @@ def cut_repeats(docs: DataFrame, length: int = LENGTH, **options) -> DataFrame:
     known = known.withColumnsRenamed({"doc": "__doc", "text_key": "__key"})
     on = (docs["doc_id"].cast("long") == known["__doc"]) & (F.xxhash64(docs["text"]) == known["__key"])
     joined = docs.select(*columns).join(known, on, "left").drop("__doc", "__key").withColumn("__bytes", F.col("text").cast("binary"))
-    fields = [f for f in docs.select(*columns).schema.fields]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields) + ", kept binary, n_removed bigint, n_spans bigint"
-    return joined.mapInArrow(partial(_cut_rows, length=length), schema)
+    made = [
+        T.StructField("kept", T.StringType() if as_text else T.BinaryType()),
+        T.StructField("n_removed", T.LongType()), T.StructField("n_spans", T.LongType()),
+    ]
+    schema = T.StructType([*docs.select(*columns).schema.fields, *made])
+    return joined.mapInArrow(partial(_cut_rows, length=length, as_text=as_text), schema)

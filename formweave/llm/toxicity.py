@@ -154,17 +154,17 @@ def _score_texts(column: pa.Array, model: Model) -> np.ndarray:
     return np.concatenate(parts)
 
 
-def _scored(batches, model: Model):
+def _scored(batches, model: Model, name: str):
     for batch in batches:
         score = pa.array(_score_texts(batch["text"], model), pa.float64())
-        yield pa.RecordBatch.from_arrays([*batch.columns, score], names=[*batch.schema.names, "score"])
+        yield pa.RecordBatch.from_arrays([*batch.columns, score], names=[*batch.schema.names, name])
 
 
-def score(docs: DataFrame, model: Model) -> DataFrame:
-    """docs with their score from 0 to 1."""
-    docs = docs.drop("score")
-    schema = T.StructType([*docs.schema.fields, T.StructField("score", T.DoubleType())])
-    return docs.mapInArrow(partial(_scored, model=model), schema)
+def score(docs: DataFrame, model: Model, name: str = "score") -> DataFrame:
+    """docs with their score from 0 to 1 in a column `name`."""
+    docs = docs.drop(name)
+    schema = T.StructType([*docs.schema.fields, T.StructField(name, T.DoubleType())])
+    return docs.mapInArrow(partial(_scored, model=model, name=name), schema)
 
 
 def held_out(doc_id: str = "doc_id"):
