@@ -180,34 +180,51 @@ def _run_rows(batches, length: int):
 
 
 def suffix_order(text: np.ndarray, ends: np.ndarray, depth: int) -> np.ndarray:
-    """Suffixes of text in order of their first `depth` symbols or more; ends (places of separators) differ from all else, and come first."""
-    n = len(text)
-    rank = text.astype(np.int64) + len(ends)
-    rank[ends] = np.arange(len(ends))
-    # eight symbols at a time first: a separator and what follows it in one key would not do, so two, then doubled
-    order = np.argsort(rank, kind="stable")
-    rank = _ranks(rank[order], order)
-    width = 1
-    while width < depth:
-        next_rank = np.zeros(n, np.int64)
-        next_rank[: n - width] = rank[width:] + 1
-        key = rank * (n + 1) + next_rank
-        order = np.argsort(key, kind="stable")
-        rank = _ranks(key[order], order)
+    """Suffixes of text in order of their first `depth` symbols or more; ends (places of separators) differ from all else, and come first.
+
+    Sorted by eight symbols first, and then by twice as many each time, only
+    what is not told apart yet.  A suffix with a separator among the first
+    eight symbols is told apart by it at once.
+    """
+    n, width = len(text), 8
+    is_end = np.zeros(n + width, bool)
+    is_end[ends] = True
+    to_end = ends[np.searchsorted(ends, np.arange(n))] - np.arange(n)
+    packed = np.zeros(n, np.uint64)
+    padded = np.append(text, np.zeros(width, np.uint8)).astype(np.uint64)
+    for i in range(width):
+        # what follows a separator counts for nothing, and a separator is less than a zero byte
+        packed = (packed << np.uint64(8)) | np.where(to_end > i, padded[i : i + n], np.uint64(0))
+    short = to_end < width
+    # shorter suffixes first where bytes are equal, then by separator
+    last = np.where(short, to_end * (len(ends) + 1) + np.searchsorted(ends, np.arange(n)), np.iinfo(np.int64).max)
+    order = np.lexsort((last, packed))
+    ends_first = is_end[order]
+    order = np.concatenate([order[ends_first], order[~ends_first]])
+    new = np.ones(n, bool)
+    new[1:] = (packed[order[1:]] != packed[order[:-1]]) | (last[order[1:]] != last[order[:-1]])
+    # a rank is where the suffixes that are alike so far begin
+    rank = np.empty(n, np.int64)
+    rank[order] = np.maximum.accumulate(np.where(new, np.arange(n), 0))
+    open_ = ~new
+    open_[:-1] |= ~new[1:]
+    slots = np.flatnonzero(open_)
+    while width < depth and len(slots):
+        some = order[slots]
+        key = rank[some] * (n + 1) + np.where(some + width < n, rank[np.minimum(some + width, n - 1)] + 1, 0)
+        by = np.argsort(key, kind="stable")
+        some, key = some[by], key[by]
+        order[slots] = some
+        new = np.ones(len(slots), bool)
+        new[1:] = key[1:] != key[:-1]
+        rank[some] = slots[np.maximum.accumulate(np.where(new, np.arange(len(slots)), 0))]
+        alike = ~new
+        alike[:-1] |= ~new[1:]
+        slots = slots[alike]
         width *= 2
-        if rank[order[-1]] == n - 1:
-            break
     return order
 
 
-def _ranks(ordered: np.ndarray, order: np.ndarray) -> np.ndarray:
-    new = np.zeros(len(order), np.int64)
-    new[1:] = ordered[1:] != ordered[:-1]
-    out = np.empty(len(order), np.int64)
-    out[order] = np.cumsum(new)
-    return out
-
-
 def common_prefixes(text: np.ndarray, ends: np.ndarray, order: np.ndarray, length: int) -> np.ndarray:
     """Whether each suffix in order has at least `length` symbols in common with the one before it.
 
