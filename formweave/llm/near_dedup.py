@@ -238,7 +238,8 @@ def near_components(docs: DataFrame, shingle: int = SHINGLE, similar: int = SIMI
     shared = written(_shared_halves(classes, halves), "halves")
     stars = written(_stars(shared), "stars")
     needed = stars.select(F.col("a").alias("node")).union(stars.select("b")).distinct()
-    wanted = named.join(needed, named["doc"] == needed["node"]).select("node", "text")
+    # alike at every size: a small `needed` would be broadcast, a large one not
+    wanted = named.join(needed.hint("merge"), named["doc"] == needed["node"]).select("node", "text")
     sets = written(wanted.mapInArrow(partial(_set_rows, size=shingle), "node bigint, shingles array<bigint>, sketch binary"), "sets")
     links = written(_confirmed(stars, sets, similar), "star-links")
     # a node whose document has another node is linked with it
