@@ -144,7 +144,7 @@ def looks_like_consent(label: Column) -> Column:
 
 
 def strip_urls(c: Column) -> Column:
-    return F.regexp_replace(c, r"(?i)(https?|chrome(-extension)?|file)://\S+", "<url>")
+    return F.regexp_replace(c, r"(?i)(https?|chrome(-extension)?|file)://[^\s" + WS[3:-1] + r"]+", "<url>")
 
 
 def truncate(c: Column, n: int = 60) -> Column:

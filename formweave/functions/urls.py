@@ -22,19 +22,47 @@ _AUTHORITY = r"(?i)^(https?|ftp|wss?)://(?:[^/?#@]*@)?([^/?#:]+|\[[^\]]*\])(?::(
 _DEFAULT_PORT = {"http": "80", "https": "443", "ftp": "21", "ws": "80", "wss": "443"}
 
 
+_DOTS = r"(?i)^(\.|%2e){1,2}$"
+_UNSAFE = "[^\\x21-\\x7e]|[\"<>`{}]"
+
+
+def _escaped(path: Column) -> Column:
+    """Blanks, quotes, braces and all but ASCII as percent-encoded UTF-8."""
+    one = lambda c: F.when(c.rlike(_UNSAFE), F.regexp_replace(F.hex(c.cast("binary")), "(..)", "%$1")).otherwise(c)
+    return F.when(path.rlike(_UNSAFE), F.array_join(F.transform(F.split(path, ""), one), "")).otherwise(path)
+
+
+def _without_dots(path: Column) -> Column:
+    """'.' and '..' segments resolved."""
+    parts = F.split(path, "/")
+    is_last = lambda i: i == F.size(parts) - 1
+
+    def step(done: Column, part: Column) -> Column:
+        name = part["name"]
+        up = F.slice(done, F.lit(1), F.greatest(F.size(done) - 1, F.lit(1)))
+        rest = F.when(F.length(F.regexp_replace(name, "(?i)%2e", ".")) == 2, up).otherwise(done)
+        closed = F.when(part["last"], F.array_append(rest, F.lit(""))).otherwise(rest)
+        return F.when(name.rlike(_DOTS), closed).otherwise(F.array_append(done, name))
+
+    named = F.transform(parts, lambda p, i: F.struct(p.alias("name"), is_last(i).alias("last")))
+    # the part before the first slash is empty and always stays
+    folded = F.aggregate(F.slice(named, F.lit(2), F.greatest(F.size(parts) - 1, F.lit(0))), F.array(F.lit("")), step)
+    return F.when(path.rlike(r"(?i)/(\.|%2e){1,2}(/|$)"), F.array_join(folded, "/")).otherwise(path)
+
+
 def _url_parts(url: Column) -> tuple[Column, Column, Column, Column]:
     part = lambda i: F.regexp_extract(F.trim(url), _AUTHORITY, i)
     return F.lower(part(1)), F.lower(part(2)), part(3), part(4)
 
 
 def canonical_url(url: Column) -> Column:
-    """Scheme, host, non-default port and path; what does not parse stays as it is."""
-    scheme, host, port, path = _url_parts(url)
+    """Scheme, host, non-default port and path in normal form; what does not parse stays as it is."""
+    scheme, host, port, path = _url_parts(F.translate(url, "\t\n\r", ""))
     ports = F.create_map(*[F.lit(x) for kv in _DEFAULT_PORT.items() for x in kv])
     shown_port = F.when((port == "") | (port == F.element_at(ports, scheme)), F.lit("")).otherwise(
         F.concat(F.lit(":"), port)
     )
-    shown_path = F.when(path == "", F.lit("/")).otherwise(path)
+    shown_path = F.when(path == "", F.lit("/")).otherwise(_escaped(_without_dots(path)))
     return F.when(scheme == "", url).otherwise(
         F.concat(scheme, F.lit("://"), host, shown_port, shown_path)
     )

@@ -108,12 +108,12 @@ def with_hours_since_install(events: DataFrame, installs: DataFrame) -> DataFram
 def drop_opted_out(events: DataFrame, toggles: DataFrame) -> DataFrame:
     """Remove events sent while the client's usage switch was off.
 
-    toggles: client_id, ts_us, enabled; clients start enabled.  The opt-out
+    toggles: client_id, ts_us, seq (order of the same time), enabled; clients start enabled.  The opt-out
     event of the very switch that turns it off is still sent.  The off
     periods are few, so each is copied to every salt and the events of one
     client spread over the salts.
     """
-    in_order = Window.partitionBy("client_id").orderBy("ts_us")
+    in_order = Window.partitionBy("client_id").orderBy("ts_us", "seq")
     off = (
         toggles.withColumn("off_until", F.lead("ts_us").over(in_order))
         .filter(~F.col("enabled"))
@@ -193,19 +193,19 @@ def params_as_json(params: Column) -> Column:
 def collection_payload(events: DataFrame, user_properties: dict[str, str]) -> DataFrame:
     """client_id and the JSON record to send for each sanitised event with a session_id."""
     user = F.to_json(F.struct(*[F.struct(F.lit(v).alias("value")).alias(k) for k, v in user_properties.items()]))
+    # the members of an object, without its braces
+    inner = lambda s: F.regexp_replace(F.to_json(s), r"^\{|\}$", "")
     members = F.concat_ws(
         ",",
         F.nullif(params_as_json(F.col("params")), F.lit("")),
-        F.concat(F.lit('"session_id":"'), F.col("session_id"), F.lit('"')),
+        inner(F.struct(F.col("session_id").cast("string").alias("session_id"))),
         F.lit(f'"engagement_time_msec":{rules.ENGAGEMENT_TIME_MSEC}'),
     )
     payload = F.concat(
-        F.lit('{"client_id":'), F.to_json(F.array(F.col("client_id").cast("string"))),
+        F.lit("{"), inner(F.struct(F.coalesce(F.col("client_id").cast("string"), F.lit("")).alias("client_id"))),
         F.lit(',"user_properties":'), user,
         F.lit(',"events":[{"name":"'), F.col("event"), F.lit('","params":{'), members, F.lit("}}]}"),
     )
-    # to_json needs a container; unwrap the one-element array around the id
-    payload = F.regexp_replace(payload, r'^\{"client_id":\[(.*?)\],', r'{"client_id":$1,')
     return events.select("client_id", "event_id", "ts_us", payload.alias("payload"))
 
 

@@ -26,7 +26,6 @@ STATUSES = ["saved", "applied", "interviewing", "offer", "rejected"]
 CSV_HEADER = "title,company_domain,url,ats,status,first_seen,last_filled,times_filled,fields_filled,reminder"
 UPSERTS = ["detected", "filled", "applied"]
 US_PER_DAY = 86_400_000_000
-BROADCAST_ROWS = 100_000
 
 
 def _order() -> Column:
@@ -36,13 +35,10 @@ def _order() -> Column:
 def _since_delete(rows: DataFrame) -> DataFrame:
     """Rows from the last delete of their URL on, that delete included.
 
-    Deletes are rare.  They are counted first, reading only their columns: a
-    checked small number is broadcast, so that the changes go unshuffled into
-    the combining aggregation; a larger number joins by key.
+    Deletes are rare and reduced to one row per URL; adaptive execution sees
+    their size and decides on the join.
     """
     deleted = rows.filter("op = 'delete'").groupBy("cand", "url").agg(F.max(_order()).alias("deleted_at"))
-    if deleted.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
-        deleted = F.broadcast(deleted)
     later = F.col("deleted_at").isNull() | (_order() >= F.col("deleted_at"))
     return rows.join(deleted, ["cand", "url"], "left").filter(later).drop("deleted_at")
 
@@ -233,10 +229,10 @@ def documents_by_role(documents: DataFrame) -> DataFrame:
 def current_profiles(versions: DataFrame) -> DataFrame:
     """The last saved profile if valid, else the one before it, else an empty one (null).
 
-    versions: cand, ts_us, valid, profile.  At most two rows per candidate
+    versions: cand, ts_us, seq (which of the same time is later), valid, profile.  At most two rows per candidate
     and map task are shuffled.
     """
-    newest = Window.partitionBy("cand").orderBy(F.col("ts_us").desc())
+    newest = Window.partitionBy("cand").orderBy(F.col("ts_us").desc(), F.col("seq").desc())
     two = versions.withColumn("_rank", F.row_number().over(newest)).filter("_rank <= 2")
     usable = F.when(F.col("valid"), F.col("_rank"))
     return two.groupBy("cand").agg(F.min_by("profile", usable).alias("profile"))

@@ -5,26 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from formweave.session import SETTINGS
-
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    # naive timestamps are read as UTC
-    spark.conf.set("spark.sql.session.timeZone", SETTINGS["spark.sql.session.timeZone"])
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """For rows that are dear to process: a scan with fewer partitions than cores is dealt out evenly.
-
-    A scan of large tables has partitions enough and is left as it is.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
-
-
 def micros(c: str) -> Column:
-    return F.unix_micros(F.col(c).cast("timestamp"))
+    """Microseconds since 1970, naive timestamps and dates being UTC whatever the session's time zone is."""
+    return F.timestamp_diff("MICROSECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), F.col(c).cast("timestamp_ntz"))
 
 
 def usage_events(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -18,7 +18,7 @@ from formweave.operators import fill as L
 from formweave.operators.classify import classify_forms
 from formweave.operators.mapping import map_fields
 from formweave.operators.profiles import profile_values
-from formweave.plans.common import spread, table
+from formweave.plans.common import table
 from formweave.session import checkpoint_dir
 from formweave.sources import files
 
@@ -72,7 +72,7 @@ def _fill(template: str) -> Column:
 
 
 def form_pages(spark: SparkSession, d: str) -> DataFrame:
-    return spread(table(spark, d, "customer")).select(
+    return table(spark, d, "customer").select(
         F.col("c_custkey").cast("string").alias("page_id"),
         _by_segment({s: _fill(u) for s, (u, _) in LAYOUTS.items()}).alias("url"),
         _by_segment({s: _fill(h) for s, (_, h) in LAYOUTS.items()}).alias("html"),
@@ -80,7 +80,17 @@ def form_pages(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _signals(spark: SparkSession, d: str) -> DataFrame:
-    return X.form_signals(X.page_nodes(X.with_form_controls(form_pages(spark, d))))
+    return X.form_signals(X.page_nodes(form_pages(spark, d)))
+
+
+def page_gate(spark: SparkSession, d: str) -> DataFrame:
+    """Pages on which a floating button would be shown: two fields at least; a customer's page, or a single-field one."""
+    pages = form_pages(spark, d)
+    single = pages.withColumns({
+        "page_id": F.concat("page_id", F.lit("-single")),
+        "html": F.concat(F.lit("<label>Mail <input type=email name=m"), "page_id", F.lit("></label>")),
+    })
+    return X.with_form_controls(pages.unionByName(single)).select("page_id")
 
 
 def _stored_signals(spark: SparkSession, d: str) -> DataFrame:
@@ -216,7 +226,7 @@ def bundle_round_trip(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (form_signals, form_detection, field_mapping, field_actions, fill_instructions, eval_scores, profile_lookup,
+    for f in (form_signals, page_gate, form_detection, field_mapping, field_actions, fill_instructions, eval_scores, profile_lookup,
               bundle_round_trip)
 }
 
@@ -291,6 +301,7 @@ def _text(value: str | None) -> str:
 _BOARD_SQL = "CASE seg WHEN 'AUTOMOBILE' THEN 'greenhouse' WHEN 'BUILDING' THEN 'lever' WHEN 'FURNITURE' THEN 'ashby' ELSE 'generic' END"
 
 ORACLES = {
+    "page_gate": "SELECT CAST(c_custkey AS VARCHAR) AS page_id FROM customer",
     "form_signals": f"WITH {_C} " + "\nUNION ALL ".join(
         f"SELECT k AS page_id, 'top:f{i}' AS ref, '{kind}' AS kind, '{label}' AS label, '{src}' AS label_source, {req} AS required, "
         f"{_text(head)} AS section_heading, '{_BOARDS[seg]}' AS ats, "

@@ -117,9 +117,8 @@ def documents_by_role(spark: SparkSession, d: str) -> DataFrame:
 
 def profile_last_good(spark: SparkSession, d: str) -> DataFrame:
     """orders as profile versions, valid unless their number of fields is a multiple of three."""
-    order = F.col("ts_us") * 1 + F.col("seq") / F.lit(1e9)
     versions = changes(spark, d).select(
-        "cand", order.alias("ts_us"), (F.col("field_count") % 3 != 0).alias("valid"), F.col("seq").alias("profile")
+        "cand", "ts_us", "seq", (F.col("field_count") % 3 != 0).alias("valid"), F.col("seq").alias("profile")
     )
     return K.current_profiles(versions)
 
@@ -251,7 +250,7 @@ SELECT cand, seq AS id, ts_us AS added_us, CASE WHEN ats = 'lever' THEN 'resume'
 QUALIFY row_number() OVER (PARTITION BY cand, ats ORDER BY ts_us DESC, seq DESC) = 1""",
     "profile_last_good": f"""WITH {_CHANGES},
 r AS (SELECT cand, seq, field_count % 3 <> 0 AS valid,
-             row_number() OVER (PARTITION BY cand ORDER BY ts_us + seq / 1e9 DESC) AS n FROM c)
+             row_number() OVER (PARTITION BY cand ORDER BY ts_us DESC, seq DESC) AS n FROM c)
 SELECT cand, coalesce(max(seq) FILTER (n = 1 AND valid), max(seq) FILTER (n = 2 AND valid)) AS profile
 FROM r GROUP BY cand""",
     "settings_merged": f"""WITH {_CHANGES}

@@ -11,14 +11,15 @@ from formweave.functions import text as X
 from formweave.operators import answers as A
 from formweave.operators import options as O
 from formweave.operators import retrieval as R
-from formweave.plans.common import spread, table
+from formweave.plans.common import table
 
 
 def _all_texts(spark: SparkSession, d: str) -> DataFrame:
-    docs = spread(table(spark, d, "documents")).select(F.lit("d").alias("src"), F.col("doc_id").alias("id"), "text")
-    items = table(spark, d, "benchmark").select(F.lit("b").alias("src"), F.col("item_id").alias("id"), "text")
+    named = lambda c: F.col(c).cast("string").alias("id")
+    docs = table(spark, d, "documents").select(F.lit("d").alias("src"), named("doc_id"), "text")
+    items = table(spark, d, "benchmark").select(F.lit("b").alias("src"), named("item_id"), "text")
     turns = table(spark, d, "conversations").select(
-        F.lit("c").alias("src"), (F.col("conv_id") * 1000 + F.col("turn")).alias("id"), "text"
+        F.lit("c").alias("src"), F.concat_ws("-", "conv_id", "turn").alias("id"), "text"
     )
     return docs.unionByName(items).unionByName(turns)
 
@@ -54,7 +55,7 @@ def _lines(df: DataFrame, *keep: str) -> DataFrame:
 
 
 def _questions(spark: SparkSession, d: str) -> DataFrame:
-    return _lines(spread(table(spark, d, "documents").select("doc_id", "text")), "doc_id").select(F.lit("c").alias("cand"), "key")
+    return _lines(table(spark, d, "documents").select("doc_id", "text"), "doc_id").select(F.lit("c").alias("cand"), "key")
 
 
 def _stored(spark: SparkSession, d: str) -> DataFrame:
@@ -89,9 +90,9 @@ def question_answer_pairs(spark: SparkSession, d: str) -> DataFrame:
 
 def answers_saved(spark: SparkSession, d: str) -> DataFrame:
     """All document lines saved as questions, per source, in document order."""
-    lines = _lines(spread(table(spark, d, "documents").select("doc_id", "text", "source")), "doc_id", "source")
+    lines = _lines(table(spark, d, "documents").select("doc_id", "text", "source"), "doc_id", "source")
     saves = lines.select(
-        F.col("source").alias("cand"), (F.col("doc_id") * 100_000 + F.col("line")).alias("seq"),
+        F.col("source").alias("cand"), F.concat_ws("-", "doc_id", F.lpad(F.col("line").cast("string"), 10, "0")).alias("seq"),
         F.col("doc_id").alias("ts_us"), F.col("raw").alias("question"), F.concat(F.lit("answer "), "doc_id").alias("answer"),
     )
     none = spark.createDataFrame([], schemas.ANSWERS)
@@ -157,8 +158,8 @@ _TRI = (
 )
 _TOK = "list_distinct(list_filter(string_split({0}, ' '), lambda x: x <> ''))"
 _TEXTS = f"""
-t AS (SELECT 'd' AS src, doc_id AS id, text FROM documents UNION ALL SELECT 'b', item_id, text FROM benchmark
-      UNION ALL SELECT 'c', conv_id * 1000 + turn, text FROM conversations),
+t AS (SELECT 'd' AS src, doc_id::VARCHAR AS id, text FROM documents UNION ALL SELECT 'b', item_id::VARCHAR, text FROM benchmark
+      UNION ALL SELECT 'c', conv_id || '-' || turn, text FROM conversations),
 n AS (SELECT src, id, {_NORM.format('text')} AS norm FROM t)"""
 
 

@@ -62,7 +62,7 @@ def telemetry_sanitize(spark: SparkSession, d: str) -> DataFrame:
 def _toggles(events: DataFrame) -> DataFrame:
     """Purchases stand in for settings changes: k below 50 switches off."""
     k = F.get_json_object("params_json", "$.k").cast("int")
-    return events.filter("event = 'purchase'").select("client_id", "ts_us", (k >= 50).alias("enabled"))
+    return events.filter("event = 'purchase'").select("client_id", "ts_us", F.col("event_id").alias("seq"), (k >= 50).alias("enabled"))
 
 
 def telemetry_opt_out(spark: SparkSession, d: str) -> DataFrame:
@@ -135,7 +135,7 @@ clean AS (SELECT *, CASE event WHEN 'click' THEN '"k":' || k
 
 _OFF = """
 toggles AS (SELECT client_id, ts_us, k >= 50 AS enabled,
-                   lead(ts_us) OVER (PARTITION BY client_id ORDER BY ts_us) AS until
+                   lead(ts_us) OVER (PARTITION BY client_id ORDER BY ts_us, event_id) AS until
             FROM e WHERE event = 'purchase'),
 off AS (SELECT client_id, ts_us AS off_from, until FROM toggles WHERE NOT enabled)"""
 

@@ -27,11 +27,13 @@ def build_session(app: str = "formweave", master: str | None = None, **conf: str
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared checkpoint folder the cluster names.
 
-    Only where none is named (as in a local trial) a folder inside the
-    session's warehouse, which every executor can reach, is used.
+    Only where none is named and driver and executors are one process (as in
+    a local trial) a folder inside the session's warehouse is used.
     """
     context = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if not named and not context.master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     folder = named or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints"
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(folder)

@@ -316,7 +316,7 @@ def page_rows(html: str, own_ui_attr: str | None = None) -> Iterator[dict]:
             yield {"node": "block", "pos": el.pos, "text": el.text()}
     for el in controls:
         lab = labels_of.get(el.pos)
-        own_for = for_label.get(el.attrs.get("id", ""))
+        own_for = for_label.get(el.attrs["id"]) if el.attrs.get("id") else None
         wrap = el.closest("label")
         fieldset = el.closest("fieldset")
         legend = next((e for e in fieldset.elements() if e.tag == "legend"), None) if fieldset else None

@@ -49,7 +49,7 @@ def test_order_of_checks(spark):
     rows = [("c", i, i, "extension_error", '{"context":"x"}', True) for i in range(25)]
     rows += [("c", 100, 5 * minute, "onboarding_completed", "{}", True), ("c", 101, 70 * minute, "onboarding_completed", "{}", True),
              ("c", 102, 40 * minute, "unknown", "{}", False), ("c", 103, 65 * minute, "panel_opened", "{}", False)]
-    toggles = spark.createDataFrame([("c", 4 * minute, False), ("c", 60 * minute, True)], "client_id string, ts_us long, enabled boolean")
+    toggles = spark.createDataFrame([("c", 4 * minute, 1, False), ("c", 60 * minute, 2, True)], "client_id string, ts_us long, seq long, enabled boolean")
     got = {r.event_id: r.session_id for r in T.prepare_events(frame(spark, rows), toggles).collect()}
     # 20 errors; the first milestone fell into the opted-out time and is used up
     assert set(got) == {*range(20), 103}
@@ -58,7 +58,7 @@ def test_order_of_checks(spark):
 
 def test_opt_out_event_itself_is_sent(spark):
     rows = [("c", 1, 10, "telemetry_opt_out", "{}", False), ("c", 2, 10, "panel_opened", "{}", False), ("c", 3, 9, "panel_opened", "{}", False)]
-    toggles = spark.createDataFrame([("c", 10, False)], "client_id string, ts_us long, enabled boolean")
+    toggles = spark.createDataFrame([("c", 10, 1, False)], "client_id string, ts_us long, seq long, enabled boolean")
     assert {r.event_id for r in T.drop_opted_out(frame(spark, rows), toggles).collect()} == {1, 3}
 
 

@@ -88,7 +88,7 @@ def test_stateless_steps_and_firsts(spark, source):
     assert sorted(r.event_id for r in clean) == sorted(r.event_id for r in T.sanitize(batch).collect())
     firsts = {(r.client_id, r.event) for r in run(spark, usage.first_events(stream())) if r.client_id != "flush"}
     assert firsts == {(r.client_id, r.event) for r in T.first_only(batch).collect()}
-    toggles = spark.createDataFrame([("a", 0, False)], "client_id string, ts_us long, enabled boolean")
+    toggles = spark.createDataFrame([("a", 0, 1, False)], "client_id string, ts_us long, seq long, enabled boolean")
     left = run(spark, usage.opted_in(stream(), toggles))
     assert {r.client_id for r in left} == {"b", "flush"}
     days = run(spark, usage.daily_activity(stream()))
