@@ -13,40 +13,40 @@ ATS_HOSTS = [
     ("ashby", r"(?i)(^|\.)jobs\.ashbyhq\.com$"),
 ]
 
-# board | key | id pattern | name pattern
-ADAPTER_TEXT = r"""
-greenhouse | basics.firstName | ^first_name$ | ^job_application\[first_name\]$
-greenhouse | basics.lastName | ^last_name$ | ^job_application\[last_name\]$
-greenhouse | basics.email | ^email$ | ^job_application\[email\]$
-greenhouse | basics.phone | ^phone$ | ^job_application\[phone\]$
-greenhouse | location.full | ^(job_application_location¦candidate-location¦auto_complete_input)$ |
-greenhouse | attachments.resume | ^resume$ | ^job_application\[resume\]$
-greenhouse | attachments.coverLetter | ^cover_letter$ | ^job_application\[cover_letter\]$
-greenhouse | eeo.gender | ^job_application_gender$ | ^job_application\[gender\]$
-greenhouse | eeo.hispanic | ^job_application_hispanic_ethnicity$ | ^job_application\[hispanic_ethnicity\]$
-greenhouse | eeo.race | ^job_application_race$ | ^job_application\[race\]$
-greenhouse | eeo.veteran | ^job_application_veteran_status$ | ^job_application\[veteran_status\]$
-greenhouse | eeo.disability | ^job_application_disability_status$ | ^job_application\[disability_status\]$
-lever | basics.fullName | | ^name$
-lever | basics.email | | ^email$
-lever | basics.phone | | ^phone$
-lever | work.company | | ^org$
-lever | location.full | | ^location$
-lever | links.linkedin | | (?i)^urls\[LinkedIn\]$
-lever | links.github | | ^urls\[Git[Hh]ub\]$
-lever | links.portfolio | | (?i)^urls\[Portfolio\]$
-lever | links.website | | (?i)^urls\[(Other¦Website)\]$
-lever | attachments.resume | | ^resume$
-lever | eeo.gender | | ^eeo\[gender\]$
-lever | eeo.race | | ^eeo\[race\]$
-lever | eeo.veteran | | ^eeo\[veteran\]$
-lever | eeo.disability | | ^eeo\[disability\]$
-ashby | basics.fullName | ^_systemfield_name$ |
-ashby | basics.email | ^_systemfield_email$ |
-ashby | basics.phone | ^_systemfield_phone$ |
-ashby | location.full | ^_systemfield_location$ |
-ashby | attachments.resume | ^_systemfield_resume$ |
-"""
+# board, key, id pattern, name pattern
+ADAPTERS = [
+    ("greenhouse", "basics.firstName", r"^first_name$", r"^job_application\[first_name\]$"),
+    ("greenhouse", "basics.lastName", r"^last_name$", r"^job_application\[last_name\]$"),
+    ("greenhouse", "basics.email", r"^email$", r"^job_application\[email\]$"),
+    ("greenhouse", "basics.phone", r"^phone$", r"^job_application\[phone\]$"),
+    ("greenhouse", "location.full", r"^(job_application_location|candidate-location|auto_complete_input)$", None),
+    ("greenhouse", "attachments.resume", r"^resume$", r"^job_application\[resume\]$"),
+    ("greenhouse", "attachments.coverLetter", r"^cover_letter$", r"^job_application\[cover_letter\]$"),
+    ("greenhouse", "eeo.gender", r"^job_application_gender$", r"^job_application\[gender\]$"),
+    ("greenhouse", "eeo.hispanic", r"^job_application_hispanic_ethnicity$", r"^job_application\[hispanic_ethnicity\]$"),
+    ("greenhouse", "eeo.race", r"^job_application_race$", r"^job_application\[race\]$"),
+    ("greenhouse", "eeo.veteran", r"^job_application_veteran_status$", r"^job_application\[veteran_status\]$"),
+    ("greenhouse", "eeo.disability", r"^job_application_disability_status$", r"^job_application\[disability_status\]$"),
+    ("lever", "basics.fullName", None, r"^name$"),
+    ("lever", "basics.email", None, r"^email$"),
+    ("lever", "basics.phone", None, r"^phone$"),
+    ("lever", "work.company", None, r"^org$"),
+    ("lever", "location.full", None, r"^location$"),
+    ("lever", "links.linkedin", None, r"(?i)^urls\[LinkedIn\]$"),
+    ("lever", "links.github", None, r"^urls\[Git[Hh]ub\]$"),
+    ("lever", "links.portfolio", None, r"(?i)^urls\[Portfolio\]$"),
+    ("lever", "links.website", None, r"(?i)^urls\[(Other|Website)\]$"),
+    ("lever", "attachments.resume", None, r"^resume$"),
+    ("lever", "eeo.gender", None, r"^eeo\[gender\]$"),
+    ("lever", "eeo.race", None, r"^eeo\[race\]$"),
+    ("lever", "eeo.veteran", None, r"^eeo\[veteran\]$"),
+    ("lever", "eeo.disability", None, r"^eeo\[disability\]$"),
+    ("ashby", "basics.fullName", r"^_systemfield_name$", None),
+    ("ashby", "basics.email", r"^_systemfield_email$", None),
+    ("ashby", "basics.phone", r"^_systemfield_phone$", None),
+    ("ashby", "location.full", r"^_systemfield_location$", None),
+    ("ashby", "attachments.resume", r"^_systemfield_resume$", None),
+]
 # end of fixed values
 
 
@@ -58,9 +58,4 @@ class AdapterRule(NamedTuple):
 
 
 def adapter_rules() -> list[AdapterRule]:
-    """`¦` stands for `|` inside a pattern, since `|` separates the cells."""
-    rules = []
-    for line in ADAPTER_TEXT.strip().splitlines():
-        ats, key, id_re, name_re = (c.strip().replace("¦", "|") for c in line.split("|"))
-        rules.append(AdapterRule(ats, key, id_re or None, name_re or None))
-    return rules
+    return [AdapterRule(*rule) for rule in ADAPTERS]
