@@ -13,7 +13,7 @@ from formweave import schemas
 from formweave.operators.tracker import CSV_HEADER, csv_line, documents_by_role, newest_first
 
 BUNDLE_FORMAT, DIAGNOSTICS_FORMAT, FORMAT_VERSION = "formweave-bundle", "formweave-diagnostics", 1
-NOTE = "Structure only. No form values or profile data are included."
+NOTE = "Holds the form's outline; nothing a person typed or saved is in here."
 MIME_BY_ENDING = {"txt": "text/plain", "pdf": "application/pdf",
                   "docx": "application/vnd.openxmlformats-officedocument.wordprocessingml.document"}
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from formweave import schemas
 
 FIELD = {
-    "cand": "ada", "page_id": "p1", "pos": 0, "frame_path": "top", "selector": "#x", "kind": "text", "label": "",
+    "cand": "runa", "page_id": "p1", "pos": 0, "frame_path": "top", "selector": "#x", "kind": "text", "label": "",
     "label_source": "label-for", "required": False, "visible": True, "in_shadow": False, "widget_hint": "native",
     "ats": "generic", "date_format_hint": "MM/DD/YYYY",
 }
@@ -31,10 +31,10 @@ def fields(spark, cases):
     return from_records(spark, records, schemas.SIGNALS)
 
 
-EXPLICIT_ADA = {
-    "workAuth": "Yes", "requiresSponsorship": "No", "salary": "$150,000", "salaryMin": "$140,000",
-    "salaryMax": "$160,000", "startDate": "2026-08-01", "relocation": "Yes", "remote": "Remote",
-    "noticePeriod": "1 month", "gender": "Prefer not to say", "race": "Decline to self-identify",
+EXPLICIT = {
+    "workAuth": "Yes", "requiresSponsorship": "No", "salary": "CHF 91,500", "salaryMin": "CHF 88,000",
+    "salaryMax": "CHF 97,000", "startDate": "2031-02-15", "relocation": "No", "remote": "Hybrid",
+    "noticePeriod": "10 weeks", "gender": "Prefer not to say", "race": "Decline to self-identify",
     "hispanic": "No", "veteran": "I am not a protected veteran", "disability": "No, I do not have a disability",
 }
 
@@ -42,16 +42,16 @@ EXPLICIT_ADA = {
 def person(cand, explicit=None, **parts):
     base = {
         "cand": cand, "version": 1,
-        "basics": {"firstName": "Ada", "lastName": "Lovelace", "email": "ada@example.com",
-                   "phone": "+44 20 7946 0958", "pronouns": "she/her"},
-        "location": {"street": "221B Baker Street", "city": "London", "region": "Greater London",
-                     "country": "United Kingdom", "postalCode": "SW1A 1AA"},
-        "links": {"linkedin": "https://linkedin.com/in/ada", "github": "", "portfolio": "https://ada.dev", "website": ""},
-        "work": [{"company": "Analytical Engines Ltd", "title": "Staff Engineer", "start": "2021-03", "end": "",
-                  "current": True, "location": "London", "description": "Compilers."}],
-        "education": [{"school": "University of London", "degree": "BSc", "field": "Mathematics",
-                       "start": "2012-09", "end": "2016-06", "gpa": "3.9"}],
-        "skills": ["TypeScript", "Rust"],
+        "basics": {"firstName": "Runa", "lastName": "Okoye", "email": "runa.okoye@post.example",
+                   "phone": "+41 44 555 0187", "pronouns": "they/them"},
+        "location": {"street": "Seestrasse 7", "city": "Winterthur", "region": "Kanton Zürich",
+                     "country": "Switzerland", "postalCode": "8400"},
+        "links": {"linkedin": "https://linkedin.com/in/runa-okoye", "github": "", "portfolio": "https://okoye.example", "website": ""},
+        "work": [{"company": "Glacier Gauges AG", "title": "Field Hydrologist", "start": "2022-11", "end": "",
+                  "current": True, "location": "Chur", "description": "Snow melt."}],
+        "education": [{"school": "Alpine Polytechnic", "degree": "MSc", "field": "Earth Science",
+                       "start": "2015-02", "end": "2020-07", "gpa": "5.2"}],
+        "skills": ["Surveying", "Kriging"],
         "explicit": explicit or {},
     }
     return {**base, **parts}

@@ -27,7 +27,7 @@ ROWS = {
 
 def decisions(spark):
     return spark.createDataFrame(
-        [("ada", "p1", ref, c, s, v, o, m, ch, d, 0.9, a, "r", sa) for ref, (c, s, v, o, m, ch, d, a, sa) in ROWS.items()], DECISIONS)
+        [("runa", "p1", ref, c, s, v, o, m, ch, d, 0.9, a, "r", sa) for ref, (c, s, v, o, m, ch, d, a, sa) in ROWS.items()], DECISIONS)
 
 
 def signals(spark):
@@ -37,11 +37,11 @@ def signals(spark):
 
 
 def overrides(spark, *rows):
-    return spark.createDataFrame([("ada", "p1", *r) for r in rows], "cand string, page_id string, ref string, value string, included boolean, save boolean")
+    return spark.createDataFrame([("runa", "p1", *r) for r in rows], "cand string, page_id string, ref string, value string, included boolean, save boolean")
 
 
 def test_instructions(spark):
-    out = L.instructions(decisions(spark), signals(spark), documents(spark, document("ada", "d1", "resume", "cv.pdf")))
+    out = L.instructions(decisions(spark), signals(spark), documents(spark, document("runa", "d1", "resume", "cv.pdf")))
     got = {r.ref: (r.payload.type, r.amber) for r in out.collect()}
     assert got == {"text": ("text", False), "option": ("option", True), "multi": ("multi", False), "check": ("check", False),
                    "file": ("file", True), "review": ("text", True), "answer": ("text", True)}
@@ -51,8 +51,8 @@ def test_overrides_and_attempts(spark):
     o = overrides(spark, ("review", "no way!", True, False), ("option", "", False, False), ("blank", "z", True, False))
     targets = L.fill_targets(decisions(spark), o)
     assert {r.ref for r in targets.select("ref").collect()} == {"text", "option", "multi", "check", "file", "lost", "review", "answer"}
-    tried = spark.createDataFrame([("ada", "p1", "top", "#text")], "cand string, page_id string, frame_path string, selector string")
-    out = L.reviewed_instructions(targets, signals(spark), documents(spark, document("ada", "d1", "resume", "cv.pdf")), tried)
+    tried = spark.createDataFrame([("runa", "p1", "top", "#text")], "cand string, page_id string, frame_path string, selector string")
+    out = L.reviewed_instructions(targets, signals(spark), documents(spark, document("runa", "d1", "resume", "cv.pdf")), tried)
     got = {r.ref: (r.payload.type, r.payload.option_value) for r in out.collect()}
     assert got == {"option": ("option", "1"), "multi": ("multi", None), "check": ("check", None), "file": ("file", None),
                    "review": ("option", "n"), "answer": ("text", None)}
@@ -60,8 +60,8 @@ def test_overrides_and_attempts(spark):
 
 def test_outcomes_counts_and_uses(spark):
     outcomes = spark.createDataFrame(
-        [("ada", "p1", "text", True, True, None), ("ada", "p1", "answer", True, False, None), ("ada", "p1", "file", False, False, "boom"),
-         ("ada", "p1", "review", True, True, None)],
+        [("runa", "p1", "text", True, True, None), ("runa", "p1", "answer", True, False, None), ("runa", "p1", "file", False, False, "boom"),
+         ("runa", "p1", "review", True, True, None)],
         "cand string, page_id string, ref string, ok boolean, verified boolean, error string")
     rows = L.classify_outcomes(decisions(spark), outcomes)
     got = {r.ref: r.outcome for r in rows.collect()}

@@ -68,13 +68,13 @@ def test_urls(spark):
 
 
 def test_titles(spark):
-    rows = [("Job Application for Staff Engineer at Stripe", "greenhouse"), ("Backend Developer at Acme Corp", "generic"),
-            ("Acme - Frontend Engineer", "lever"), ("Umbrella Inc | Product Designer", "generic"), ("Data Analyst at Initech - Careers", "generic"),
+    rows = [("Job Application for Night Nurse at Lakeside", "greenhouse"), ("Music Teacher at Hill School", "generic"),
+            ("Quarry - Site Manager", "lever"), ("Kiln & Clay | Glaze Specialist", "generic"), ("Tram Coordinator at Linie 9 - Careers", "generic"),
             ("", "generic"), ("A - B", "lever"), ("A - B", "generic"), ("Welcome", "generic"), ("Nurse", "generic")]
     c = U.parse_job_title(F.col("t"), F.col("a"))
     assert values(spark, "t string, a string", rows, c["company"], c["role"]) == [
-        ("Stripe", "Staff Engineer"), ("Acme Corp", "Backend Developer"), ("Acme", "Frontend Engineer"), ("Umbrella Inc", "Product Designer"),
-        ("Initech", "Data Analyst"), (None, None), ("A", "B"), ("B", "A"), (None, None), (None, "Nurse")]
+        ("Lakeside", "Night Nurse"), ("Hill School", "Music Teacher"), ("Quarry", "Site Manager"), ("Kiln & Clay", "Glaze Specialist"),
+        ("Linie 9", "Tram Coordinator"), (None, None), ("A", "B"), ("B", "A"), (None, None), (None, "Nurse")]
 
 
 def test_templates(spark):
@@ -88,16 +88,16 @@ def opts(*pairs):
 
 
 def test_options(spark):
-    countries = opts(("us", "United States"), ("uk", "United Kingdom"), ("de", "Germany"))
-    rows = [("USA",), ("Kingdom",), ("United",), ("France",), ("",)]
+    countries = opts(("it", "Italy"), ("gr", "Greece"), ("za", "South Africa"), ("kr", "South Korea"))
+    rows = [("Italia",), ("Africa",), ("South",), ("Peru",), ("",)]
     r = resolve_option(F.col("d"), countries)
     assert values(spark, "d string", rows, r["option"]["value"], r["quality"]) == [
-        ("us", "exact"), ("uk", "substring"), (None, None), (None, None), (None, None)]
-    dials = opts(("a", "United States (+1)"), ("b", "United Kingdom (+44)"), ("c", "South Africa (+27)"))
-    assert values(spark, "d string", [("+27",), ("+44",)], resolve_option(F.col("d"), dials)["option"]["value"]) == ["c", "b"]
+        ("it", "exact"), ("za", "substring"), (None, None), (None, None), (None, None)]
+    dials = opts(("a", "Chile (+56)"), ("b", "Norway (+47)"), ("c", "Japan (+81)"))
+    assert values(spark, "d string", [("+81",), ("+47",)], resolve_option(F.col("d"), dials)["option"]["value"]) == ["c", "b"]
     each = resolve_each(F.split("d", ";"), countries)
-    got = values(spark, "d string", [("Germany;USA;U.S.",), ("Kingdom;DE",), ("x",)], F.transform(each["options"], lambda o: o["value"]), each["quality"])
-    assert got == [(["de", "us"], "exact"), (["uk", "de"], "substring"), (None, None)]
+    got = values(spark, "d string", [("Greece;Italia;IT",), ("Africa;GR",), ("x",)], F.transform(each["options"], lambda o: o["value"]), each["quality"])
+    assert got == [(["gr", "it"], "exact"), (["za", "gr"], "substring"), (None, None)]
 
 
 def test_confidence_and_bands(spark):

@@ -3,58 +3,58 @@
 from __future__ import annotations
 
 import pytest
-from people import EXPLICIT_ADA, answer, answers, document, documents, fields, options, person, profiles
+from people import EXPLICIT, answer, answers, document, documents, fields, options, person, profiles
 
 from formweave.operators.mapping import map_fields
 
-GENDER = options(("m", "Male"), ("f", "Female"), ("d", "Decline To Self Identify"))
-YES_NO = options(("1", "Yes"), ("0", "No"))
-WHY = "Why do you want to work here?"
+GENDER = options(("1", "Woman"), ("2", "Man"), ("3", "Nonbinary"), ("9", "Prefer not to answer"))
+YES_NO = options(("j", "Yes"), ("n", "No"))
+WHY = "Which of our rivers would you measure first?"
 DOCX = "application/vnd.openxmlformats-officedocument.wordprocessingml.document"
 
 CASES = {
-    "adapter": {"ats": "greenhouse", "id_attr": "first_name", "label": "Something Weird"},
-    "token": {"autocomplete": "section-x shipping given-name", "label": "???"},
-    "lexicon": {"label": "LinkedIn Profile"},
-    "nothing": {"label": "Favorite dinosaur"},
-    "no_value": {"label": "GitHub"},
+    "adapter": {"ats": "greenhouse", "id_attr": "first_name", "label": "Box 12"},
+    "token": {"autocomplete": "section-x shipping given-name", "label": "---"},
+    "lexicon": {"label": "Your LinkedIn page"},
+    "nothing": {"label": "Best glacier"},
+    "no_value": {"label": "GitHub name"},
     "eeo_unset": {"kind": "select", "label": "Gender", "options": GENDER},
     "eeo_set": {"cand": "set", "kind": "select", "label": "Gender", "options": GENDER},
     "sponsor": {"cand": "set", "kind": "radio_group", "options": YES_NO,
-                "label": "Will you now or in the future require sponsorship for employment visa status?"},
-    "salary_unset": {"label": "Salary expectations"},
-    "salary_answer": {"cand": "bob", "label": "Salary expectations"},
-    "consent": {"kind": "checkbox", "label": "I agree to the terms and conditions"},
-    "not_offered": {"cand": "set", "kind": "select", "options": options(("x", "Maybe")),
-                    "label": "Are you legally authorized to work in the United States?"},
+                "label": "Would you need sponsorship to take up this post?"},
+    "salary_unset": {"label": "Desired salary per year"},
+    "salary_answer": {"cand": "teo", "label": "Desired salary per year"},
+    "consent": {"kind": "checkbox", "label": "I consent to the storage of this form"},
+    "not_offered": {"cand": "set", "kind": "select", "options": options(("?", "Ask me later")),
+                    "label": "Are you eligible to work in this canton?"},
     "country": {"kind": "select", "label": "Country",
-                "options": options(("US", "United States of America"), ("GB", "United Kingdom"))},
+                "options": options(("AT", "Austria"), ("CH", "Switzerland"))},
     "dial": {"kind": "select", "label": "Country code",
-             "options": options(("us", "United States (+1)"), ("gb", "United Kingdom (+44)"))},
-    "exact": {"cand": "bob", "kind": "textarea", "label": WHY},
-    "fuzzy": {"cand": "bob", "kind": "textarea", "label": "Why do you really want to work here?"},
-    "far": {"cand": "bob", "kind": "textarea", "label": "Describe your leadership style"},
-    "alias": {"cand": "bob", "label": "What drives you (required)"},
-    "custom": {"cand": "bob", "ats": "greenhouse", "label": "Describe a project you are proud of",
+             "options": options(("a", "Austria (+43)"), ("s", "Switzerland (+41)"))},
+    "exact": {"cand": "teo", "kind": "textarea", "label": WHY},
+    "fuzzy": {"cand": "teo", "kind": "textarea", "label": "Which of our many rivers would you measure first?"},
+    "far": {"cand": "teo", "kind": "textarea", "label": "Name a bridge you like"},
+    "alias": {"cand": "teo", "label": "Where to begin (required)"},
+    "custom": {"cand": "teo", "ats": "greenhouse", "label": "Tell of a gauge you built",
                "name_attr": "job_application[answers_attributes][0][text_value]"},
-    "standard": {"cand": "set", "ats": "greenhouse", "label": "What is your notice period?",
+    "standard": {"cand": "set", "ats": "greenhouse", "label": "Length of your notice period",
                  "name_attr": "job_application[answers_attributes][1][text_value]"},
-    "template": {"cand": "bob", "kind": "textarea", "label": "Motivation", "company": "Acme", "role": "Staff Engineer"},
-    "template_open": {"cand": "bob", "kind": "textarea", "label": "Motivation", "company": "Acme"},
+    "template": {"cand": "teo", "kind": "textarea", "label": "Your letter to us", "company": "Pegel Werke", "role": "Gauge Keeper"},
+    "template_open": {"cand": "teo", "kind": "textarea", "label": "Your letter to us", "company": "Pegel Werke"},
     "file": {"cand": "set", "kind": "file", "label": "Resume/CV", "id_attr": "resume", "ats": "greenhouse"},
     "file_none": {"kind": "file", "label": "Resume/CV"},
-    "file_mismatch": {"cand": "bob", "kind": "file", "label": "Your CV", "accept": ".pdf"},
+    "file_mismatch": {"cand": "teo", "kind": "file", "label": "Your CV", "accept": ".pdf"},
     "file_star": {"cand": "set", "kind": "file", "label": "cover", "accept": "image/*, application/*"},
-    "too_long": {"cand": "bob", "kind": "textarea", "label": "Tell us about yourself", "max_length": 100},
+    "too_long": {"cand": "teo", "kind": "textarea", "label": "Anything else about you", "max_length": 100},
     "hidden": {"label": "Email", "visible": False},
     "date": {"label": "Start date", "section_heading": "Work Experience", "placeholder": "MM/YYYY"},
     "date_input": {"label": "Start date", "section_heading": "Education", "kind": "date"},
     "ended": {"label": "End date", "section_heading": "Employment"},
-    "skills": {"kind": "multiselect", "label": "Which of the following skills do you have?",
-               "options": options(("go", "Go"), ("rust", "Rust"), ("ts", "TypeScript"))},
-    "skills_none": {"kind": "multiselect", "label": "Skills", "options": options(("cobol", "COBOL"))},
+    "skills": {"kind": "multiselect", "label": "Which of the following skills have you used in the field?",
+               "options": options(("d", "Diving"), ("k", "Kriging"), ("s", "Surveying"))},
+    "skills_none": {"kind": "multiselect", "label": "Skills", "options": options(("w", "Welding"))},
     "skills_text": {"label": "Skills"},
-    "salary_min": {"cand": "set", "kind": "number", "label": "Minimum salary (USD)"},
+    "salary_min": {"cand": "set", "kind": "number", "label": "Minimum salary (CHF)"},
     "salary_min_unset": {"kind": "number", "label": "Minimum salary"},
     "not_number": {"kind": "number", "label": "Full name"},
     "box": {"kind": "checkbox", "label": "City"},
@@ -63,65 +63,65 @@ CASES = {
 
 @pytest.fixture(scope="module")
 def decided(spark):
-    people = profiles(spark, person("ada"), person("bob"), person("set", EXPLICIT_ADA))
+    people = profiles(spark, person("runa"), person("teo"), person("set", EXPLICIT))
     saved = answers(
         spark,
-        answer("bob", "a1", WHY, "Because compilers.", aliases=["what drives you"]),
-        answer("bob", "a2", "Salary expectations", "$180,000"),
-        answer("bob", "a3", "Describe a project you are proud of", "The compiler."),
-        answer("bob", "a4", "Motivation", "I admire {company} and the {Role} post."),
-        answer("bob", "a5", "Tell us about yourself", "x" * 500),
+        answer("teo", "a1", WHY, "The Thur, for its floods.", aliases=["where to begin"]),
+        answer("teo", "a2", "Desired salary per year", "CHF 104,000"),
+        answer("teo", "a3", "Tell of a gauge you built", "A float in a well."),
+        answer("teo", "a4", "Your letter to us", "{company} measures well, and so would I as {Role}."),
+        answer("teo", "a5", "Anything else about you", "y" * 101),
     )
     docs = documents(
         spark,
-        document("set", "d1", "resume", "ada.pdf"),
-        document("set", "d3", "coverLetter", "cover.pdf"),
-        document("bob", "d2", "resume", "bob.docx", DOCX),
+        document("set", "d1", "resume", "okoye-cv.pdf"),
+        document("set", "d3", "coverLetter", "letter.pdf"),
+        document("teo", "d2", "resume", "teo-cv.docx", DOCX),
     )
     return {r.ref: r for r in map_fields(fields(spark, CASES), people, saved, docs).collect()}
 
 
 # name -> members the decision must have
 EXPECTED = {
-    "adapter": dict(canonical="basics.firstName", source="adapter", value="Ada", action="fill", confidence=1.0),
+    "adapter": dict(canonical="basics.firstName", source="adapter", value="Runa", action="fill", confidence=1.0),
     "token": dict(canonical="basics.firstName", source="autocomplete", action="fill", confidence=0.978),
-    "lexicon": dict(canonical="links.linkedin", value="https://linkedin.com/in/ada", confidence=0.91),
+    "lexicon": dict(canonical="links.linkedin", value="https://linkedin.com/in/runa-okoye", confidence=0.91),
     "nothing": dict(action="abstain", canonical=None, reason="no rule, token, lexicon or saved answer matched"),
     "no_value": dict(action="abstain", canonical="links.github", reason="no profile value for links.github"),
     "eeo_unset": dict(action="review", canonical="eeo.gender", value=None),
-    "eeo_set": dict(action="fill-amber", option=("d", "Decline To Self Identify")),
-    "sponsor": dict(canonical="preferences.requiresSponsorship", option=("0", "No"), action="fill-amber"),
+    "eeo_set": dict(action="fill-amber", option=("9", "Prefer not to answer")),
+    "sponsor": dict(canonical="preferences.requiresSponsorship", option=("n", "No"), action="fill-amber"),
     "salary_unset": dict(action="review", canonical="preferences.salary"),
-    "salary_answer": dict(action="fill-amber", canonical="preferences.salary", value="$180,000", source="answer-exact"),
+    "salary_answer": dict(action="fill-amber", canonical="preferences.salary", value="CHF 104,000", source="answer-exact"),
     "consent": dict(action="review", canonical=None, reason="consent checkboxes always need you"),
     "not_offered": dict(action="review", option=None, reason='"Yes" is not among this field\'s options'),
-    "country": dict(option=("GB", "United Kingdom"), action="fill"),
-    "dial": dict(option=("gb", "United Kingdom (+44)"), value="+44", action="fill-amber",
+    "country": dict(option=("CH", "Switzerland"), action="fill"),
+    "dial": dict(option=("s", "Switzerland (+41)"), value="+41", action="fill-amber",
                  reason="matched the field label (closest option)", confidence=0.76),
-    "exact": dict(source="answer-exact", value="Because compilers.", action="fill", confidence=0.955,
-                  canonical="custom.why do you want to work here"),
+    "exact": dict(source="answer-exact", value="The Thur, for its floods.", action="fill", confidence=0.955,
+                  canonical="custom.which of our rivers would you measure first"),
     "fuzzy": dict(source="answer-fuzzy", action="fill-amber", saved_answer_id="a1"),
     "far": dict(action="abstain"),
     "alias": dict(source="answer-exact", saved_answer_id="a1"),
-    "custom": dict(source="answer-exact", value="The compiler."),
-    "standard": dict(canonical="preferences.noticePeriod", value="1 month"),
-    "template": dict(value="I admire Acme and the Staff Engineer post.", action="fill"),
+    "custom": dict(source="answer-exact", value="A float in a well."),
+    "standard": dict(canonical="preferences.noticePeriod", value="10 weeks"),
+    "template": dict(value="Pegel Werke measures well, and so would I as Gauge Keeper.", action="fill"),
     "template_open": dict(action="review", saved_answer_id="a4",
                           reason="couldn't detect the company/role for your template answer"),
-    "file": dict(document_id="d1", action="fill-amber", reason="will attach ada.pdf"),
+    "file": dict(document_id="d1", action="fill-amber", reason="will attach okoye-cv.pdf"),
     "file_none": dict(action="abstain", reason="no resume stored in your vault"),
-    "file_mismatch": dict(action="review", reason="form wants .pdf but your resume is bob.docx"),
+    "file_mismatch": dict(action="review", reason="form wants .pdf but your resume is teo-cv.docx"),
     "file_star": dict(document_id="d3", action="fill-amber", canonical="attachments.coverLetter"),
     "too_long": dict(action="review", reason="answer exceeds the field's 100-character limit"),
     "hidden": dict(action="abstain", reason="field not visible"),
-    "date": dict(canonical="work.start", value="03/2021"),
-    "date_input": dict(canonical="education.start", value="2012-09-01"),
+    "date": dict(canonical="work.start", value="11/2022"),
+    "date_input": dict(canonical="education.start", value="2015-02-01"),
     "ended": dict(action="abstain", canonical="work.end"),
-    "skills": dict(canonical="skills.list", options_multi=[("ts", "TypeScript"), ("rust", "Rust")],
-                   value="TypeScript, Rust", action="fill"),
+    "skills": dict(canonical="skills.list", options_multi=[("s", "Surveying"), ("k", "Kriging")],
+                   value="Surveying, Kriging", action="fill"),
     "skills_none": dict(action="review", reason="none of your values match this field's options"),
-    "skills_text": dict(value="TypeScript, Rust", action="fill"),
-    "salary_min": dict(canonical="preferences.salaryMin", value="140000", action="fill-amber"),
+    "skills_text": dict(value="Surveying, Kriging", action="fill"),
+    "salary_min": dict(canonical="preferences.salaryMin", value="88000", action="fill-amber"),
     "salary_min_unset": dict(action="review", canonical="preferences.salaryMin"),
     "not_number": dict(action="review", reason="this field needs a number"),
     "box": dict(action="review", reason="checkbox needs a yes/no answer"),
