@@ -184,6 +184,36 @@ SELECT key, id, 'answer-fuzzy', round(score, 6) FROM s WHERE score >= {threshold
 QUALIFY row_number() OVER (PARTITION BY key ORDER BY score DESC, id) = 1"""
 
 
+def _saved_sql() -> str:
+    """Keys in order of first save; the recursion walks only keys with an earlier similar one and keeps those that follow."""
+    t = R.DEDUP_THRESHOLD
+    return f"""WITH RECURSIVE
+l AS (SELECT source AS cand, doc_id, unnest(string_split(text, chr(10))) AS raw,
+        generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line FROM documents),
+k AS (SELECT cand, doc_id AS ts, doc_id || '-' || lpad(CAST(line AS VARCHAR), 10, '0') AS seq, {_NORM.format('raw')} AS key FROM l),
+f AS MATERIALIZED (SELECT cand, key, min((ts, seq)) AS first, max((ts, seq)) AS last, {_TRI.format('key')} AS t
+      FROM k WHERE key <> '' GROUP BY cand, key),
+p AS MATERIALIZED (SELECT a.cand, a.key, b.key AS other, b.first AS other_first, {_jaccard('a.t', 'b.t')} AS score
+      FROM f a JOIN f b ON a.cand = b.cand AND b.first < a.first
+        AND len(a.t) >= {t} * len(b.t) - 1e-9 AND len(b.t) >= {t} * len(a.t) - 1e-9
+      WHERE score >= {t}),
+d AS MATERIALIZED (SELECT p.cand, p.key, list(other) AS others, row_number() OVER (PARTITION BY p.cand ORDER BY any_value(f.first)) AS n
+      FROM p JOIN f ON f.cand = p.cand AND f.key = p.key GROUP BY p.cand, p.key),
+w(cand, n, following) AS (
+  SELECT DISTINCT cand, CAST(0 AS BIGINT), CAST([] AS VARCHAR[]) FROM d
+  UNION ALL
+  SELECT w.cand, d.n, CASE WHEN len(list_filter(d.others, lambda x: NOT list_contains(w.following, x))) > 0
+                      THEN list_append(w.following, d.key) ELSE w.following END
+  FROM w JOIN d ON d.cand = w.cand AND d.n = w.n + 1),
+s AS (SELECT cand, unnest(arg_max(following, n)) AS key FROM w GROUP BY cand),
+c AS (SELECT p.cand, p.key, arg_min(p.other, (-score, other_first, other)) AS leader FROM p
+      WHERE (p.cand, p.key) IN (SELECT cand, key FROM s) AND (p.cand, p.other) NOT IN (SELECT cand, key FROM s) GROUP BY p.cand, p.key),
+h AS (SELECT f.cand, f.key, f.last, coalesce(c.leader, f.key) AS leader FROM f LEFT JOIN c ON c.cand = f.cand AND c.key = f.key)
+SELECT h.cand, h.cand || '-' || any_value(o.first[2]) AS id, h.leader AS normalized_key, count(*) - 1 AS aliases,
+  'answer ' || max(h.last)[1] AS answer, any_value(o.first[1]) AS created_us, max(h.last)[1] AS last_used_us
+FROM h JOIN f o ON o.cand = h.cand AND o.key = h.leader GROUP BY h.cand, h.leader"""
+
+
 ORACLES = {
     "label_normalize": f"WITH {_TEXTS} SELECT src, id, norm FROM n",
     "label_sets": f"""WITH {_TEXTS}
@@ -196,6 +226,7 @@ SELECT conv_id, turn, round({_jaccard('wa', 'wb')}, 6) AS words, round({_jaccard
        round(greatest({_jaccard('wa', 'wb')}, {_jaccard('ta', 'tb')}), 6) AS score FROM s""",
     "answer_retrieval": _retrieval_sql(R.FUZZY_THRESHOLD, True),
     "answer_duplicates": _retrieval_sql(R.DEDUP_THRESHOLD, False),
+    "answers_saved": _saved_sql(),
     "question_answer_pairs": f"""
 WITH n AS (SELECT *, lead(text) OVER w AS answer, lead(role) OVER w AS next_role FROM conversations
            WINDOW w AS (PARTITION BY conv_id ORDER BY turn))
