@@ -20,7 +20,6 @@ from formweave.rules import telemetry as rules
 
 US_PER_MINUTE = 60_000_000
 US_PER_DAY = 86_400_000_000
-OPT_OUT_SALTS = 16
 NUMERIC_TYPES = r"^(TINYINT|SMALLINT|INT|BIGINT|FLOAT|DOUBLE|DECIMAL.*)$"
 
 
@@ -105,29 +104,58 @@ def with_hours_since_install(events: DataFrame, installs: DataFrame) -> DataFram
     return events.join(installs, "client_id", "left").withColumn("hours_since_install", hours).drop("installed_us")
 
 
+def _off_from(switch: Column, event: Column, ts_us: Column) -> Column:
+    """Whether an event falls to a switch (ts_us, enabled) that was off; the opt-out event of that very switch does not."""
+    farewell = (event == "telemetry_opt_out") & (ts_us == switch["ts_us"])
+    return F.coalesce(~switch["enabled"] & ~farewell, F.lit(False))
+
+
 def drop_opted_out(events: DataFrame, toggles: DataFrame) -> DataFrame:
     """Remove events sent while the client's usage switch was off.
 
-    toggles: client_id, ts_us, seq (order of the same time), enabled; clients start enabled.  The opt-out
-    event of the very switch that turns it off is still sent.  The off
-    periods are few, so each is copied to every salt and the events of one
-    client spread over the salts.
+    toggles: client_id, ts_us, seq (order of the same time), enabled; clients
+    start enabled.  The opt-out event of the very switch that turns it off is
+    still sent.
+
+    An as-of lookup: switches and events of one client and day are put in
+    order and each event takes the last switch before it; what was set at the
+    day's start comes from one row a client and day.
     """
+    day = F.floor(F.col("ts_us") / US_PER_DAY).alias("_day")
+    switch = F.struct("ts_us", "seq", "enabled")
+    last = toggles.groupBy("client_id", day).agg(F.max(switch).alias("s"))
+    days = events.select("client_id", day).distinct()
+    earlier = Window.partitionBy("client_id").orderBy("_day").rowsBetween(Window.unboundedPreceding, -1)
+    opening = days.join(last, ["client_id", "_day"], "full").select(
+        "client_id", "_day", F.last("s", ignorenulls=True).over(earlier).alias("_switch")
+    ).filter("_switch IS NOT NULL")
+
+    rows = events.select("*", day, F.lit(None).cast("struct<ts_us:bigint,seq:bigint,enabled:boolean>").alias("_switch"), F.lit(2).alias("_kind"))
+    of_switch = lambda c: F.struct(c["ts_us"].cast("bigint").alias("ts_us"), c["seq"].cast("bigint").alias("seq"), c["enabled"].alias("enabled"))
+    marks = toggles.select("client_id", "ts_us", day, of_switch(switch).alias("_switch"), F.lit(1).alias("_kind")).unionByName(
+        opening.select("client_id", F.lit(None).cast("bigint").alias("ts_us"), "_day", of_switch(F.col("_switch")).alias("_switch"), F.lit(0).alias("_kind"))
+    )
+    # the opening row first, switches before events of the same time
+    in_order = Window.partitionBy("client_id", "_day").orderBy(F.col("ts_us").asc_nulls_first(), "_kind", "_switch.seq")
+    so_far = F.last("_switch", ignorenulls=True).over(in_order.rowsBetween(Window.unboundedPreceding, 0))
+    held = rows.unionByName(marks, allowMissingColumns=True).withColumn("_switch", so_far)
+    return held.filter((F.col("_kind") == 2) & ~_off_from(F.col("_switch"), F.col("event"), F.col("ts_us"))).select(*events.columns)
+
+
+def drop_opted_out_stream(events: DataFrame, toggles: DataFrame) -> DataFrame:
+    """The same for a stream of events and a table of toggles, where rows can't be put in order: a join with the off periods."""
     in_order = Window.partitionBy("client_id").orderBy("ts_us", "seq")
     off = (
         toggles.withColumn("off_until", F.lead("ts_us").over(in_order))
         .filter(~F.col("enabled"))
         .select("client_id", F.col("ts_us").alias("off_from"), "off_until")
-        .withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(OPT_OUT_SALTS - 1))))
     )
-    salted = events.withColumn("salt", F.pmod(F.xxhash64("event_id"), F.lit(OPT_OUT_SALTS)).cast("int"))
-    e, o = salted.alias("e"), off.alias("o")
+    e, o = events.alias("e"), off.alias("o")
     inside = (F.col("e.ts_us") >= F.col("o.off_from")) & (
         F.col("o.off_until").isNull() | (F.col("e.ts_us") < F.col("o.off_until"))
     )
     farewell = (F.col("e.event") == "telemetry_opt_out") & (F.col("e.ts_us") == F.col("o.off_from"))
-    same = (F.col("e.client_id") == F.col("o.client_id")) & (F.col("e.salt") == F.col("o.salt"))
-    return e.join(o, same & inside & ~farewell, "left_anti").drop("salt")
+    return e.join(o, (F.col("e.client_id") == F.col("o.client_id")) & inside & ~farewell, "left_anti")
 
 
 def _literal_map(schema: dict[str, list[str]]) -> Column:

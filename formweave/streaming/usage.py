@@ -32,7 +32,7 @@ def sanitized(stream: DataFrame, schema: dict[str, list[str]] | None = None) ->
 
 def opted_in(stream: DataFrame, toggles: DataFrame) -> DataFrame:
     """Join with the static table of switch changes."""
-    return T.drop_opted_out(stream, toggles)
+    return T.drop_opted_out_stream(stream, toggles)
 
 
 def sessions(stream: DataFrame, lateness: str = LATENESS, gap_minutes: int = rules.SESSION_GAP_MINUTES) -> DataFrame:
