@@ -52,11 +52,16 @@ BATCH_ROWS = 5000
 
 
 class Element:
-    __slots__ = ("tag", "attrs", "parent", "children", "pos", "end")
+    __slots__ = ("tag", "attrs", "parent", "children", "pos", "end", "place", "kids", "holds_control", "before")
 
     def __init__(self, tag: str, attrs: dict[str, str], parent: Element | None, pos: int):
         self.tag, self.attrs, self.parent, self.pos, self.end = tag, attrs, parent, pos, pos
         self.children: list[Element | str] = []
+        # element children, place among them, and whether a native control is inside
+        self.kids: list[Element] = []
+        self.place, self.holds_control = 0, False
+        # for each child the text before it, made when first asked for
+        self.before: dict[int, str] | None = None
 
     def elements(self) -> Iterator[Element]:
         stack = [c for c in reversed(self.children) if isinstance(c, Element)]
@@ -82,12 +87,19 @@ class Element:
             el = el.parent
         return el
 
-    def has_control(self) -> bool:
-        return any(e.tag in NATIVE for e in self.elements())
-
-    @property
-    def siblings(self) -> list[Element]:
-        return [c for c in self.parent.children if isinstance(c, Element)] if self.parent else []
+    def text_before(self, child: Element) -> str:
+        """Collapsed text of the children before one, without those that hold controls, up to LABEL_CUT."""
+        if self.before is None:
+            self.before, so_far = {}, ""
+            for part in self.children:
+                if isinstance(part, Element):
+                    self.before[part.place] = so_far
+                    if part.holds_control:
+                        continue
+                    part = part.text() if len(so_far) < LABEL_CUT else ""
+                if len(so_far) < LABEL_CUT:
+                    so_far = squeeze(f"{so_far} {part}")[:LABEL_CUT]
+        return self.before[child.place]
 
 
 class _Builder(HTMLParser):
@@ -108,6 +120,8 @@ class _Builder(HTMLParser):
             seen.setdefault(k, v or "")
         new = Element(tag, seen, self.current, self.count)
         self.count += 1
+        new.place = len(self.current.kids)
+        self.current.kids.append(new)
         self.current.children.append(new)
         if tag not in VOID:
             self.current = new
@@ -162,7 +176,7 @@ def _selectors(el: Element) -> tuple[str, list[str]]:
     path: list[str] = []
     cur = el
     while cur.parent is not None and cur.parent.tag != "#root" and len(path) < 8:
-        path.insert(0, f"{cur.tag}:nth-child({cur.siblings.index(cur) + 1})")
+        path.insert(0, f"{cur.tag}:nth-child({cur.place + 1})")
         if cur.parent.attrs.get("id"):
             path.insert(0, f"#{_css(cur.parent.attrs['id'])}")
             break
@@ -182,19 +196,10 @@ def _near_texts(el: Element) -> list[str]:
         parent = node.parent
         if parent is None or parent.tag == "#root":
             break
-        before = []
-        for child in parent.children:
-            if child is node:
-                break
-            if isinstance(child, str):
-                before.append(child)
-            elif not child.has_control():
-                before.append(child.text())
-        out.append(squeeze(" ".join(before))[:LABEL_CUT])
-        earlier = parent.siblings
-        at = next(i for i, s in enumerate(earlier) if s is parent) if earlier else 0
-        for sib in reversed(earlier[max(0, at - 3):at]):
-            if not sib.has_control():
+        out.append(parent.text_before(node))
+        at = parent.place
+        for sib in reversed(parent.parent.kids[max(0, at - 3):at]):
+            if not sib.holds_control:
                 out.append(squeeze(sib.text())[:LABEL_CUT])
         node = parent
     return out
@@ -267,6 +272,9 @@ def page_rows(html: str, own_ui_attr: str | None = None) -> Iterator[dict]:
     builder.close()
     root = builder.root
     every = list(root.elements())
+    for el in reversed(every):
+        if el.tag in NATIVE or el.holds_control:
+            el.parent.holds_control = True
     by_id: dict[str, Element] = {}
     for el in every:
         if el.attrs.get("id"):
@@ -312,7 +320,7 @@ def page_rows(html: str, own_ui_attr: str | None = None) -> Iterator[dict]:
         if (
             el.tag in ("main", "article") or "description" in names or "job-detail" in names
             or "description" in el.attrs.get("id", "").lower()
-        ) and not el.has_control() and not own_ui(el):
+        ) and not el.holds_control and not own_ui(el):
             yield {"node": "block", "pos": el.pos, "text": el.text()}
     for el in controls:
         lab = labels_of.get(el.pos)
