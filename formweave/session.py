@@ -10,6 +10,8 @@ SETTINGS = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # rows of texts and pages are dear to process: more and smaller scan tasks
+    "spark.sql.files.maxPartitionBytes": "16m",
     # checkpoint files go when the data frames they belong to are gone
     "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
 }

@@ -67,3 +67,24 @@ def test_thirty_minutes_stay_together(spark):
     rows = [("c", i, t * m, "panel_opened", "{}", False) for i, t in enumerate([29, 59, 89, 120])] + [("d", 9, 1, "x", "{}", False)]
     got = sorted((r.client_id, r.session_start // m, r.session_end // m, r.events) for r in T.sessions(frame(spark, rows)).collect())
     assert got == [("c", 29, 89, 3), ("c", 120, 120, 1), ("d", 0, 0, 1)]
+
+
+def test_payload_is_json_whatever_the_client_is_called(spark):
+    cell = {"client_id": '],"x":[', "session_id": 'a"b', "event_id": 1, "ts_us": 5, "event": "panel_opened", "params": []}
+    schema = "client_id string, session_id string, event_id long, ts_us long, event string, params array<struct<name:string,value:string,is_number:boolean>>"
+    sent = T.collection_payload(spark.createDataFrame([cell], schema), {"language": "en"})
+    got = json.loads(sent.first().payload)
+    assert got["client_id"] == cell["client_id"] and got["events"][0]["params"]["session_id"] == 'a"b'
+
+
+def test_switches_of_one_moment_and_over_days(spark):
+    day = T.US_PER_DAY
+    toggles = spark.createDataFrame(
+        [("a", 10, 1, False), ("a", 10, 2, True), ("b", 10, 1, True), ("b", 10, 2, False), ("c", 5, 1, False), ("c", 3 * day, 1, True)],
+        "client_id string, ts_us long, seq long, enabled boolean")
+    events = spark.createDataFrame(
+        [("a", 11, "x"), ("b", 9, "x"), ("b", 10, "telemetry_opt_out"), ("b", 10, "x"), ("b", 9 * day, "x"), ("c", 4, "x"), ("c", 2 * day, "x"),
+         ("c", 3 * day, "x"), ("d", 1, "x")], "client_id string, ts_us long, event string")
+    want = {("a", 11, "x"), ("b", 9, "x"), ("b", 10, "telemetry_opt_out"), ("c", 4, "x"), ("c", 3 * day, "x"), ("d", 1, "x")}
+    assert {tuple(r) for r in T.drop_opted_out(events, toggles).collect()} == want
+    assert {tuple(r) for r in T.drop_opted_out_stream(events, toggles).collect()} == want

@@ -140,3 +140,17 @@ def test_sql_functions(spark):
     X.register_sql_functions(spark)
     row = spark.sql("SELECT normalize_label('A *') AS n, fuzzy_score('first name', 'last name') AS f").first()
     assert row.n == "a" and round(row.f, 4) == 0.4615
+
+
+def test_wide_spaces_end_links_and_part_dates(spark):
+    rows = [("see https://a.example/x next", "Mar 2021"), ("file:///a b", "3 / 2021")]
+    got = values(spark, "s string, d string", rows, X.strip_urls(F.col("s")), D.iso_month(F.col("d")))
+    assert got == [("see <url> next", "2021-03"), ("<url> b", "2021-03")]
+
+
+def test_url_paths_in_normal_form(spark):
+    rows = [("https://h.example/a b/../c",), ("https://h.example/a/./b/..",), ("https://h.example/é?x",), ("https://h.example/../../x/",),
+            ("https://h.example/a/%2E%2e/b",), ("https://h.example//a//",), ("https://h.example/.a/..b",), ("https://h.example/a\n/b",)]
+    assert values(spark, "u string", rows, U.canonical_url(F.col("u"))) == [
+        "https://h.example/c", "https://h.example/a/", "https://h.example/%C3%A9", "https://h.example/x/",
+        "https://h.example/b", "https://h.example//a//", "https://h.example/.a/..b", "https://h.example/a/b"]

@@ -212,3 +212,18 @@ def test_form_classifier(spark):
         "+1 email field", "+2 application-like URL"]
     assert got["login"].reasons == ["+1 email field", "-4 password/payment fields present"]
     assert got["one"].reasons == ["fewer than 2 visible fields"]
+
+
+def test_few_controls_and_empty_for(spark):
+    html = {
+        "none": "<p>Nothing to fill in</p>",
+        "one": "<label for=''>Cookie notice</label><input type=email placeholder='Your mail'>",
+        "two": "<label for=''>Cookie notice</label><label for=q>Boat</label><input id=q><input aria-label=Harbour>",
+        "list": "<div role=listbox aria-label=Tide></div>",
+    }
+    pages = spark.createDataFrame([(p, "https://x.example/", h) for p, h in html.items()], "page_id string, url string, html string")
+    found = {}
+    for r in X.form_signals(X.page_nodes(pages)).collect():
+        found.setdefault(r.page_id, []).append(r.label)
+    assert {p: sorted(labels) for p, labels in found.items()} == {"one": ["Your mail"], "two": ["Boat", "Harbour"], "list": ["Tide"]}
+    assert {r.page_id for r in X.with_form_controls(pages).collect()} == {"two"}
