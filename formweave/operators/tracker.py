@@ -188,16 +188,22 @@ def fill_log(entries: DataFrame, limit: int = FILL_LOG_LIMIT) -> DataFrame:
     return entries.withColumn("_rank", F.row_number().over(newest)).filter(F.col("_rank") <= limit).drop("_rank")
 
 
-def outcome_rates(entries: DataFrame, *by: str) -> DataFrame:
-    """Shares of filled, review, abstain and failed outcomes per day and the given columns."""
+def outcome_rates(entries: DataFrame, *by: str, totals: bool = False) -> DataFrame:
+    """Numbers of filled, review, abstain and failed outcomes per day and the given columns.
+
+    With `totals` also per day and each shorter list of these columns, down
+    to the day alone; columns summed over are null.
+    """
     o = entries.select("at_us", "domain", "ats", F.explode("outcomes").alias("o")).select(
         F.floor(F.col("at_us") / US_PER_DAY).alias("day"), "domain", "ats",
         F.coalesce("o.source", F.lit("none")).alias("source"), F.col("o.outcome").alias("outcome"),
     )
     share = lambda v: F.count_if(F.col("outcome") == v).alias(v)
-    return o.groupBy("day", *by).agg(
+    # a rollup also has the total of all days
+    grouped = o.rollup("day", *by) if totals else o.groupBy("day", *by)
+    return grouped.agg(
         F.count("*").alias("fields"), *[share(v) for v in ("filled", "review", "abstain", "failed")]
-    )
+    ).filter("day IS NOT NULL")
 
 
 def csv_quote(c: Column) -> Column:

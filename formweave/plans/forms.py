@@ -188,8 +188,8 @@ def fill_instructions(spark: SparkSession, d: str) -> DataFrame:
     return out.select("page_id", "ref", F.col("payload.type").alias("type"), "amber")
 
 
-def eval_scores(spark: SparkSession, d: str) -> DataFrame:
-    """Golden labels of every page against the decisions, per board and overall."""
+def _scored(spark: SparkSession, d: str) -> DataFrame:
+    """Golden labels of every page against the decisions."""
     label = lambda s, c: F.struct(F.lit(s).alias("selector"), F.lit(c).alias("canonical"))
     golden = table(spark, d, "customer").select(
         F.col("c_custkey").cast("string").alias("page_id"),
@@ -198,11 +198,22 @@ def eval_scores(spark: SparkSession, d: str) -> DataFrame:
         _by_segment({s: F.array(*[F.lit(x) for x in no]).cast("array<string>") for s, (_, no) in GOLDEN.items()}).alias("expect_no_fill"),
     )
     signals = _stored_signals(spark, d)
-    scored = E.scores(E.judge(golden, signals, _decisions(spark, d, signals)))
-    return scored.filter("page_id IS NULL").select(
-        F.coalesce(F.col("ats"), F.lit("all")).alias("ats"), "labels", "detected", "filled", "correct", "forbidden",
-        F.round("recall", 6).alias("recall"), F.round("precision", 6).alias("precision"),
-    )
+    return E.scores(E.judge(golden, signals, _decisions(spark, d, signals))).withColumns({
+        "recall": F.round("recall", 6), "precision": F.round("precision", 6),
+    })
+
+
+_SCORES = ["labels", "detected", "filled", "correct", "forbidden", "recall", "precision"]
+
+
+def eval_scores(spark: SparkSession, d: str) -> DataFrame:
+    """Scores per board and overall."""
+    return _scored(spark, d).filter("page_id IS NULL").select(F.coalesce(F.col("ats"), F.lit("all")).alias("ats"), *_SCORES)
+
+
+def eval_pages(spark: SparkSession, d: str) -> DataFrame:
+    """Scores of every page."""
+    return _scored(spark, d).filter("page_id IS NOT NULL").select("page_id", "ats", *_SCORES)
 
 
 def profile_lookup(spark: SparkSession, d: str) -> DataFrame:
@@ -226,7 +237,7 @@ def bundle_round_trip(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (form_signals, page_gate, form_detection, field_mapping, field_actions, fill_instructions, eval_scores, profile_lookup,
+    for f in (form_signals, page_gate, form_detection, field_mapping, field_actions, fill_instructions, eval_scores, eval_pages, profile_lookup,
               bundle_round_trip)
 }
 
@@ -300,6 +311,21 @@ def _text(value: str | None) -> str:
 
 _BOARD_SQL = "CASE seg WHEN 'AUTOMOBILE' THEN 'greenhouse' WHEN 'BUILDING' THEN 'lever' WHEN 'FURNITURE' THEN 'ashby' ELSE 'generic' END"
 
+def _eval_sql(by: str, group: str) -> str:
+    return f"""WITH {_C}, {_X},
+g AS (SELECT page_id, {_BOARD_SQL} AS ats, ref, seg, action IN ('fill', 'fill-amber') AS f,
+        NOT (seg = 'MACHINERY' AND ref = 'top:f0') AND NOT (seg = 'HOUSEHOLD' AND ref = 'top:f4') AS is_label,
+        NOT (seg = 'HOUSEHOLD' AND ref = 'top:f3') AS right_key
+      FROM x WHERE NOT (seg = 'BUILDING' AND ref = 'top:f2') AND NOT (seg = 'FURNITURE' AND ref = 'top:f2')
+        AND NOT (seg = 'HOUSEHOLD' AND ref = 'top:f0')
+      UNION ALL SELECT k, 'ashby', NULL, seg, false, true, false FROM c WHERE seg = 'FURNITURE'),
+r AS (SELECT {by}, count(*) FILTER (is_label) AS labels, count(*) FILTER (is_label AND ref IS NOT NULL) AS detected,
+        count(*) FILTER (f) AS filled, count(*) FILTER (is_label AND f AND right_key) AS correct,
+        count(*) FILTER (NOT is_label AND f) AS forbidden FROM g GROUP BY {group})
+SELECT *, CASE WHEN labels > 0 THEN round(detected / labels, 6) END AS recall,
+  CASE WHEN filled > 0 THEN round(correct / filled, 6) END AS precision FROM r"""
+
+
 ORACLES = {
     "page_gate": "SELECT CAST(c_custkey AS VARCHAR) AS page_id FROM customer",
     "form_signals": f"WITH {_C} " + "\nUNION ALL ".join(
@@ -324,17 +350,8 @@ SELECT page_id, count(*) FILTER (action IN ('fill', 'fill-amber')) AS ready, cou
 SELECT page_id, ref, CASE WHEN canonical = 'attachments.resume' THEN 'file' WHEN canonical = 'skills.list' THEN 'multi'
   WHEN action <> 'review' AND (canonical IN ('eeo.gender', 'preferences.workAuth', 'preferences.requiresSponsorship', 'location.country'))
   THEN 'option' ELSE 'text' END AS type, action <> 'fill' AS amber FROM x WHERE value IS NOT NULL""",
-    "eval_scores": f"""WITH {_C}, {_X},
-g AS (SELECT {_BOARD_SQL} AS ats, ref, seg, action IN ('fill', 'fill-amber') AS f,
-        NOT (seg = 'MACHINERY' AND ref = 'top:f0') AND NOT (seg = 'HOUSEHOLD' AND ref = 'top:f4') AS is_label,
-        NOT (seg = 'HOUSEHOLD' AND ref = 'top:f3') AS right_key
-      FROM x WHERE NOT (seg = 'BUILDING' AND ref = 'top:f2') AND NOT (seg = 'FURNITURE' AND ref = 'top:f2')
-        AND NOT (seg = 'HOUSEHOLD' AND ref = 'top:f0')
-      UNION ALL SELECT 'ashby', NULL, seg, false, true, false FROM c WHERE seg = 'FURNITURE'),
-r AS (SELECT coalesce(ats, 'all') AS ats, count(*) FILTER (is_label) AS labels, count(*) FILTER (is_label AND ref IS NOT NULL) AS detected,
-        count(*) FILTER (f) AS filled, count(*) FILTER (is_label AND f AND right_key) AS correct,
-        count(*) FILTER (NOT is_label AND f) AS forbidden FROM g GROUP BY ROLLUP (ats))
-SELECT *, round(detected / labels, 6) AS recall, CASE WHEN filled > 0 THEN round(correct / filled, 6) END AS precision FROM r""",
+    "eval_scores": _eval_sql("coalesce(ats, 'all') AS ats", "ROLLUP (ats)"),
+    "eval_pages": _eval_sql("page_id, ats", "page_id, ats"),
     "profile_lookup": f"""WITH {_C}
 SELECT k AS cand, key, text, explicit FROM (
   SELECT k, unnest(['basics.firstName', 'basics.lastName', 'basics.fullName', 'basics.email', 'basics.phone', 'basics.phoneCountryCode',

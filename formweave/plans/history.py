@@ -41,6 +41,7 @@ def changes(spark: SparkSession, d: str) -> DataFrame:
         F.floor(fields / 8).alias("failed"),
         F.when(price > 450_000, "interviewing").otherwise("rejected").alias("status"),
         F.when(F.col("o_orderpriority") == "2-HIGH", 0).otherwise(7).alias("reminder_days"),
+        F.col("o_orderpriority").alias("priority"),
     )
 
 
@@ -77,21 +78,27 @@ def reminders_due(spark: SparkSession, d: str) -> DataFrame:
     return K.reminders_due(K.applications(changes(spark, d)), NOW_US).select("cand", "url", "reminder_us", "message")
 
 
-def _entries(spark: SparkSession, d: str) -> DataFrame:
-    """orders as fill-log entries."""
-    return changes(spark, d).select("cand", F.col("seq").alias("id"), F.col("ts_us").alias("at_us"), "ats", "filled")
-
-
 def fill_log_ring(spark: SparkSession, d: str) -> DataFrame:
     """All orders of one priority form one log, so that the limit really bites."""
-    logs = _entries(spark, d).join(
-        table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), "o_orderpriority"), "id"
+    logs = changes(spark, d).select(
+        F.col("priority").alias("cand"), F.col("seq").alias("id"), F.col("ts_us").alias("at_us"), "ats", "filled"
     )
-    return K.fill_log(logs.withColumn("cand", F.col("o_orderpriority"))).select("cand", "id", "at_us")
+    return K.fill_log(logs).select("cand", "id", "at_us")
+
+
+def outcome_rollup(spark: SparkSession, d: str) -> DataFrame:
+    """Field outcomes by domain (of the supplier), board (of the part) and tier, with totals; 'all' stands for a total."""
+    shown = lambda c: F.coalesce(F.col(c), F.lit("all")).alias(c)
+    rates = K.outcome_rates(_outcomes(spark, d), "domain", "ats", "source", totals=True)
+    return rates.select("day", *[shown(c) for c in ("domain", "ats", "source")], "fields", "filled", "review", "abstain", "failed")
 
 
 def outcome_rates(spark: SparkSession, d: str) -> DataFrame:
     """lineitems as field outcomes of their order."""
+    return K.outcome_rates(_outcomes(spark, d), "source")
+
+
+def _outcomes(spark: SparkSession, d: str) -> DataFrame:
     li = table(spark, d, "lineitem")
     outcome = (
         F.when(F.col("l_returnflag") == "R", "failed")
@@ -100,11 +107,11 @@ def outcome_rates(spark: SparkSession, d: str) -> DataFrame:
         .otherwise("abstain")
     )
     source = F.when(F.col("l_discount") > 0.05, "lexicon").when(F.col("l_discount") > 0.02, "adapter")
-    entries = li.select(
-        micros("l_shipdate").alias("at_us"), F.lit("").alias("domain"), F.lit("generic").alias("ats"),
+    return li.select(
+        micros("l_shipdate").alias("at_us"), F.concat(F.lit("shop"), (F.col("l_suppkey") % 7).cast("string")).alias("domain"),
+        F.concat(F.lit("board"), (F.col("l_partkey") % 3).cast("string")).alias("ats"),
         F.array(F.struct(source.alias("source"), outcome.alias("outcome"))).alias("outcomes"),
     )
-    return K.outcome_rates(entries, "source")
 
 
 def documents_by_role(spark: SparkSession, d: str) -> DataFrame:
@@ -159,7 +166,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         history_upsert, history_page, history_status_counts, history_search, history_newest_first, history_csv,
-        reminders_due, fill_log_ring, outcome_rates, documents_by_role, profile_last_good, settings_merged,
+        reminders_due, fill_log_ring, outcome_rates, outcome_rollup, documents_by_role, profile_last_good, settings_merged,
         answer_usage, customers_cleared,
     )
 }
@@ -245,6 +252,15 @@ WITH o AS (SELECT epoch_us(l_shipdate) // 86400000000 AS day,
 SELECT day, source, count(*) AS fields, count(*) FILTER (outcome = 'filled') AS filled,
    count(*) FILTER (outcome = 'review') AS review, count(*) FILTER (outcome = 'abstain') AS abstain,
    count(*) FILTER (outcome = 'failed') AS failed FROM o GROUP BY day, source""",
+    "outcome_rollup": """
+WITH o AS (SELECT epoch_us(l_shipdate) // 86400000000 AS day, 'shop' || (l_suppkey % 7) AS domain, 'board' || (l_partkey % 3) AS ats,
+   CASE WHEN l_discount > 0.05 THEN 'lexicon' WHEN l_discount > 0.02 THEN 'adapter' ELSE 'none' END AS source,
+   CASE WHEN l_returnflag = 'R' THEN 'failed' WHEN l_linestatus = 'O' THEN 'filled'
+        WHEN l_quantity > 25 THEN 'review' ELSE 'abstain' END AS outcome FROM lineitem)
+SELECT day, coalesce(domain, 'all') AS domain, coalesce(ats, 'all') AS ats, coalesce(source, 'all') AS source,
+   count(*) AS fields, count(*) FILTER (outcome = 'filled') AS filled, count(*) FILTER (outcome = 'review') AS review,
+   count(*) FILTER (outcome = 'abstain') AS abstain, count(*) FILTER (outcome = 'failed') AS failed
+FROM o GROUP BY day, ROLLUP (domain, ats, source)""",
     "documents_by_role": f"""WITH {_CHANGES}
 SELECT cand, seq AS id, ts_us AS added_us, CASE WHEN ats = 'lever' THEN 'resume' ELSE 'coverLetter' END AS role FROM c
 QUALIFY row_number() OVER (PARTITION BY cand, ats ORDER BY ts_us DESC, seq DESC) = 1""",

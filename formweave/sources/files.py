@@ -84,7 +84,7 @@ def validated(
 def write_history_csv(apps: DataFrame, path: str) -> None:
     """Newest first; the unquoted header is the first line of the first part file."""
     spark = apps.sparkSession
-    lines = newest_first(apps).select(
+    lines = apps.select(
         F.lit(1).alias("part"), F.col("first_seen_us").alias("at"), "id", csv_line().alias("value")
     )
     header = spark.range(1).select(
