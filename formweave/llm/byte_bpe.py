@@ -41,7 +41,7 @@ from pyspark.sql import types as T
 from formweave.llm.shared import written
 from formweave.llm.vocabulary import BYTE_LEVEL_WORDS, read_ranks
 
-FREQUENT = 1_000_000
+FREQUENT = 500_000
 FOLD_BYTES = 64
 BUCKETS = 16384
 #: Words that a counting task holds before it passes them on.
@@ -87,29 +87,32 @@ class Literals:
         self.pieces = F.split(F.lit(",".join(names)), ",")
         self.numbers = F.split(F.lit(",".join(np.array([i], "<u4").tobytes().hex() for i in range(len(names)))), ",")
 
-    def entry(self, digits: Column) -> Column:
-        return F.get(self.maps, (F.crc32(digits.cast("binary")) % BUCKETS).cast("int"))[digits]
+    @staticmethod
+    def entry(maps: Column, digits: Column) -> Column:
+        return F.get(maps, (F.crc32(digits.cast("binary")) % BUCKETS).cast("int"))[digits]
 
     def encode(self, word: Column) -> Column:
         """array<int>: ids of a word in binary."""
         n = F.octet_length(word)
 
-        def stretches(d: Column) -> Column:
+        def stretches(maps: Column, d: Column) -> Column:
             # all tokens that the word's bytes hold
             return F.flatten(F.transform(F.sequence(F.lit(1), n - 1), lambda i: F.transform(
-                F.sequence(F.lit(2), F.least(n - i + 1, F.lit(self.longest))), lambda k: self.entry(F.substring(d, i * 2 - 1, k * 2))
+                F.sequence(F.lit(2), F.least(n - i + 1, F.lit(self.longest))), lambda k: self.entry(maps, F.substring(d, i * 2 - 1, k * 2))
             )))
 
-        def fold(d: Column) -> Column:
-            merges = F.sort_array(F.filter(stretches(d), lambda m: m["f"].isNotNull()))
+        def fold(maps: Column, d: Column) -> Column:
+            merges = F.sort_array(F.filter(stretches(maps, d), lambda m: m["f"].isNotNull()))
             pieces = F.aggregate(merges, F.regexp_replace(d, "(..)", "<$1>"), lambda state, m: F.replace(state, m["f"], m["t"]))
             # <61><6263> to its pieces
-            return F.transform(F.split(F.btrim(pieces, F.lit("<>")), "><"), lambda p: self.entry(p)["r"])
+            return F.transform(F.split(F.btrim(pieces, F.lit("<>")), "><"), lambda p: self.entry(maps, p)["r"])
 
-        def ids(d: Column) -> Column:
-            return _let(self.entry(d)["r"], lambda whole: F.when(whole.isNotNull(), F.array(whole)).otherwise(fold(d)))
+        def ids(maps: Column, d: Column) -> Column:
+            return _let(self.entry(maps, d)["r"], lambda whole: F.when(whole.isNotNull(), F.array(whole)).otherwise(fold(maps, d)))
 
-        return F.when(n == 0, F.array().cast("array<int>")).otherwise(_let(F.hex(word), ids))
+        # the literal stands in the plan once
+        found = _let(self.maps, lambda maps: _let(F.hex(word), lambda d: ids(maps, d)))
+        return F.when(n == 0, F.array().cast("array<int>")).otherwise(found)
 
     def decode(self, ids: Column) -> Column:
         """binary: the concatenated pieces of ids."""
@@ -163,11 +166,33 @@ def _word_counts(batches, pattern: str):
     yield from passed_on()
 
 
+class KnownWords:
+    """Ids of frequent words: on the driver and on the way an Arrow table in bytes, in a worker a dictionary, made once."""
+
+    def __init__(self, table: pa.Table):
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, table.schema) as out:
+            out.write_table(table)
+        self.data, self.made = sink.getvalue().to_pybytes(), None
+
+    def __getstate__(self):
+        return {"data": self.data, "made": None}
+
+    def ids(self) -> dict[str, bytes]:
+        if self.made is None:
+            table = pa.ipc.open_stream(self.data).read_all()
+            values = table["ids"].combine_chunks()
+            cuts, flat = np.asarray(values.offsets), values.values.to_numpy().astype("<i4")
+            self.made = {w: flat[a:b].tobytes() for w, a, b in zip(table["word"].to_pylist(), cuts[:-1], cuts[1:], strict=True)}
+            self.data = b""
+        return self.made
+
+
 def _placed(batches, pattern: str, sent, ranks: dict[bytes, int], fold_bytes: int):
     """docs with __known: ids by stretches between words that are not known, __open: those words, __which: which of them comes when."""
     import regex
 
-    find, known = regex.compile(pattern).findall, sent.value
+    find, known = regex.compile(pattern).findall, sent.value.ids()
     for batch in batches:
         stretches, words, order = [], [], []
         for text in batch["text"].to_pylist():
@@ -209,10 +234,8 @@ def encode_documents(docs: DataFrame, path: str, pattern: str = BYTE_LEVEL_WORDS
     top = written(counts.filter(F.octet_length("word") <= fold_bytes).orderBy(F.desc("n"), "word").limit(frequent).select("word"), "frequent-words")
     spread = top.repartition(4 * docs.sparkSession.sparkContext.defaultParallelism)
     found = written(spread.select("word", literals.encode(F.col("word").cast("binary")).alias("ids")), "frequent-ids").toArrow()
-    values = found["ids"].combine_chunks()
-    cuts, flat = np.asarray(values.offsets), values.values.to_numpy().astype("<i4")
     # a broadcast variable, for a worker keeps it from task to task
-    known = docs.sparkSession.sparkContext.broadcast({w: flat[a:b].tobytes() for w, a, b in zip(found["word"].to_pylist(), cuts[:-1], cuts[1:], strict=True)})
+    known = docs.sparkSession.sparkContext.broadcast(KnownWords(found))
 
     extra = [
         T.StructField("__known", T.ArrayType(T.ArrayType(T.IntegerType()))), T.StructField("__open", T.ArrayType(T.BinaryType())),
