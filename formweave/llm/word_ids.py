@@ -11,8 +11,7 @@ from __future__ import annotations
 import json
 import re
 import unicodedata
-
-import numpy as np
+from struct import pack
 
 from formweave.llm.vocabulary import WordCache, byte_letters, plain_specials
 
@@ -34,12 +33,14 @@ def encoder(spec: dict):
     )
     if not known:
         raise ValueError("not a tokenizer of lower-case words")
-    model = Tokenizer.from_str(json.dumps(spec)).model
+    tokenize = Tokenizer.from_str(json.dumps(spec)).model.tokenize
     letters = str.maketrans({chr(b): letter for b, letter in byte_letters().items()})
 
     def ids(word: str) -> bytes:
-        tokens = model.tokenize(word.encode().decode("latin-1").translate(letters))
-        return np.array([t.id for t in tokens], "<u4").tobytes()
+        # printable ASCII stands for itself
+        plain = word if word.isascii() and word.isprintable() else word.encode().decode("latin-1").translate(letters)
+        found = [t.id for t in tokenize(plain)]
+        return pack(f"<{len(found)}I", *found)
 
     find = regex.compile(split["pattern"]["Regex"]).findall
     numbers = plain_specials(spec)
@@ -56,7 +57,7 @@ def encoder(spec: dict):
         parts = cut(text)
         out = [b"".join(map(look, words(parts[0])))]
         for special, rest in zip(parts[1::2], parts[2::2], strict=True):
-            out += [np.array([numbers[special]], "<u4").tobytes(), *map(look, words(rest))]
+            out += [pack("<I", numbers[special]), *map(look, words(rest))]
         return b"".join(out)
 
     return encode
