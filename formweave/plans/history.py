@@ -78,11 +78,14 @@ def reminders_due(spark: SparkSession, d: str) -> DataFrame:
     return K.reminders_due(K.applications(changes(spark, d)), NOW_US).select("cand", "url", "reminder_us", "message")
 
 
+def _entries(spark: SparkSession, d: str) -> DataFrame:
+    """orders as fill-log entries."""
+    return changes(spark, d).select("cand", F.col("seq").alias("id"), F.col("ts_us").alias("at_us"), "ats", "filled", "priority")
+
+
 def fill_log_ring(spark: SparkSession, d: str) -> DataFrame:
     """All orders of one priority form one log, so that the limit really bites."""
-    logs = changes(spark, d).select(
-        F.col("priority").alias("cand"), F.col("seq").alias("id"), F.col("ts_us").alias("at_us"), "ats", "filled"
-    )
+    logs = _entries(spark, d).withColumn("cand", F.col("priority")).drop("priority")
     return K.fill_log(logs).select("cand", "id", "at_us")
 
 
