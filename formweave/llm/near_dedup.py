@@ -4,8 +4,10 @@ Two collections of `halves` short keys are made per text, each of `width`
 minhashes.  A table key is the combination of key i of the first collection
 with key j of the second, so halves * halves tables cost only
 2 * halves * width minhashes.  Two texts of similarity s miss each other with
-probability 1 - (1 - (1 - s^width)^halves)^2: at 0.85 with the given
-parameters that is 9e-5, far less above it.
+probability 1 - (1 - (1 - s^width)^halves)^2.  The number of halves follows
+from the limit, so that a pair at exactly the limit is missed with
+probability MISS at most, one above it far less: 17 halves at 0.85 (9.4e-5),
+25 at 0.80 (9.8e-5).  Low limits need very many; give a smaller width there.
 
 The tensor form also thins the tables out: a combination can only meet
 another one if both halves do, so a half that no other text has is left out
@@ -32,6 +34,7 @@ are carried unread.
 
 from __future__ import annotations
 
+import math
 from functools import partial
 
 import numpy as np
@@ -46,8 +49,9 @@ from formweave.llm.shared import written
 SHINGLE = 5
 #: Similarity in hundredths.
 SIMILAR = 80
-HALVES = 17
 WIDTH = 5
+#: Probability at most that a pair at exactly the limit shares no table key.
+MISS = 1e-4
 PARTS, NONE, SIGMAS = 512, 255, 4.5
 #: Members of a bucket that are compared in one go.
 BLOCK = 1024
@@ -55,6 +59,12 @@ BLOCK = 1024
 PROFILE = "doc bigint, text_key bigint, n bigint, s1 bigint, s2 bigint, halves array<bigint>"
 
 
+def enough_halves(similar: int, width: int = WIDTH) -> int:
+    """The least number of halves with which a pair at the limit is missed with probability MISS at most."""
+    each = (similar / 100) ** width
+    return math.ceil(math.log(1 - math.sqrt(1 - MISS)) / math.log1p(-each)) if each < 1 else 1
+
+
 def _sets(offsets: np.ndarray, data: np.ndarray, size: int):
     """The sorted distinct shingle hashes of each text of a chunk."""
     h, first = words(offsets, data)
@@ -217,12 +227,13 @@ def _unconnected(shared: DataFrame, sets: DataFrame, labels: DataFrame) -> DataF
     )
 
 
-def near_components(docs: DataFrame, shingle: int = SHINGLE, similar: int = SIMILAR, halves: int = HALVES, width: int = WIDTH) -> DataFrame:
+def near_components(docs: DataFrame, shingle: int = SHINGLE, similar: int = SIMILAR, halves: int | None = None, width: int = WIDTH) -> DataFrame:
     """(doc, text_key, n, component): one row per distinct (doc_id, text) with its set size and its component.
 
     Texts are linked if their sets of `shingle` words have at least
-    `similar` hundredths in common.
+    `similar` hundredths in common; without `halves` as many are made as this limit needs.
     """
+    halves = halves or enough_halves(similar, width)
     text = F.coalesce(F.col("text"), F.lit(""))
     named = docs.filter("doc_id IS NOT NULL").select(
         F.col("doc_id").cast("long").alias("doc"), F.xxhash64(text).alias("text_key"), text.alias("text")

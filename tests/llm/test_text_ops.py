@@ -96,6 +96,20 @@ def test_chain_of_near_copies_is_one_component(spark):
     assert {r["component_id"] for r in got.collect()} == {c for _, c in H.components(texts, 5, 80).values()}
 
 
+@pytest.mark.parametrize(("similar", "halves"), [(80, 25), (85, 17), (100, 1)])
+def test_halves_follow_the_limit(similar, halves):
+    miss = lambda n: 1 - (1 - (1 - (similar / 100) ** 5) ** n) ** 2
+    assert near_dedup.enough_halves(similar) == halves
+    assert miss(halves) <= 1e-4 and (halves == 1 or miss(halves - 1) > 1e-4)
+
+
+def test_pairs_at_the_limit_are_found(spark):
+    # 13 words each, moved by one: 8 of 10 shingles in common
+    texts = {2 * p + i: " ".join(f"w{p}x{k}" for k in range(i, i + 13)) for p in range(4000) for i in range(2)}
+    got = near_dedup.near_components(documents(spark, texts))
+    assert got.filter("component = doc AND doc % 2 = 1").count() <= 2
+
+
 def test_near_dedup_of_repeated_rows_and_missing_ids(spark):
     text = prose(50)
     rows = [(5, text), (5, text), (5, prose(40)), (9, text), (None, text), (None, text)]
