@@ -4,7 +4,7 @@ Documents become pieces of at most `capacity` tokens.  A piece larger than
 half a sequence opens its own.  The rest go down by size classes (each half
 of the one before), and in a class round by round:
 
-* every open gap offers slots: as many as pieces of the class surely fit;
+* every open gap offers slots: as many as the longest pieces that wait surely fit;
 * pieces and slots are range-sorted together by size, and each partition is
   swept once: a slot takes the largest piece before it that no smaller slot
   has taken, so each piece gets its successor among the slots;
@@ -13,10 +13,9 @@ of the one before), and in a class round by round:
   partition, settle which ranks belong together, and a join on them does it;
 * gaps are lowered by what they took, and the next round begins.
 
-When gaps take next to nothing any more, new sequences are opened for the
-tokens still waiting (a tenth more in all classes but the last, smaller
-pieces will fill them), and if that isn't enough, once more, now with a slot
-for every piece.  Ties in size go by position in the
+When gaps take next to nothing any more, as many new sequences are opened as
+the tokens still waiting need, none to spare, and if that isn't enough, once
+more, now with a slot for every piece.  Ties in size go by position in the
 table, so equal documents are spread over partitions like any others.  A
 round moves some 30 bytes a piece, and the number of rounds depends on the
 size classes, not on the number of documents.
@@ -28,7 +27,6 @@ result; other columns are ignored.
 
 from __future__ import annotations
 
-import math
 import zlib
 from functools import partial
 
@@ -47,9 +45,7 @@ END_ID = 1
 #: Pieces up to capacity / 2^CLASSES are one class.
 CLASSES = 6
 #: Rounds go on while they place this share of the waiting pieces.
-WORTH = 0.2
-#: Sequences opened for a class that smaller pieces follow, against what its tokens need.
-SPARE = 1.1
+WORTH = 0.03
 
 PIECES = "item bigint, doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
 SWEPT = "item bigint, length bigint, seq bigint, part int, rank bigint, is_slot boolean"
@@ -139,7 +135,7 @@ class Packing:
         self.gaps = self.gaps.unionByName(fresh)
 
     def round(self, waiting: DataFrame, least: int, most: int) -> tuple[DataFrame, int, int]:
-        """Match waiting pieces (item, length) of the class (least .. most); what still waits, how many, how many were placed."""
+        """Match waiting pieces (item, length) of lengths least .. most; what still waits, how many, how many were placed."""
         n_slots = F.greatest(F.lit(1), F.floor(F.col("gap") / most)).cast("int")
         slots = self.gaps.filter(F.col("gap") >= least).select(
             "seq", "gap", n_slots.alias("n"), F.posexplode(F.array_repeat(F.lit(0), n_slots)).alias("slot", "x")
@@ -190,13 +186,14 @@ def pack(items: DataFrame, capacity: int = CAPACITY, classes: int = CLASSES) ->
         if not most:
             break
         waiting = items.filter((F.col("length") <= most) & (F.col("length") > floor))
-        least, n = waiting.agg(F.min("length"), F.count("*")).first()
+        # slots by the longest piece there is, not by the class: six of 680 tokens fit where four of 1024 do
+        least, most, n = waiting.agg(F.min("length"), F.max("length"), F.count("*")).first()
         opened = False
         while n:
             waiting, n_left, placed = state.round(waiting, least, most)
             if n_left and placed < WORTH * n:
-                tokens = waiting.agg(F.sum("length")).first()[0] * (SPARE if c < classes else 1)
-                state.open(-(-n_left // (capacity // most)) if opened else math.ceil(tokens / capacity))
+                tokens, most = waiting.agg(F.sum("length"), F.max("length")).first()
+                state.open(-(-n_left // (capacity // most)) if opened else -(-tokens // capacity))
                 opened = True
             n = n_left
     placed = state.placed[0]

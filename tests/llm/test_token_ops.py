@@ -119,6 +119,17 @@ def test_packing_is_tight(spark, kind):
     assert n <= least * 1.02 + 1
 
 
+@pytest.mark.parametrize(("parts", "longer"), [(3, 0), (5, 0), (6, 0), (6, 1)])
+def test_equal_parts_of_a_sequence_are_tight(spark, parts, longer):
+    # with a longer piece fewer slots surely fit at first
+    n, length = 6000, 4096 // parts
+    of = lambda item: length + 300 * (item < longer)
+    items = spark.createDataFrame([(i, of(i)) for i in range(n)], "item long, length long")
+    got = packing.pack(items, 4096).collect()
+    used = check_packing([{"sequence_id": r["sequence_id"], "offset": r["offset"], "length": of(r["item"])} for r in got], 4096)
+    assert len(got) == n and used <= n // parts + 2
+
+
 def test_partitions_meet_by_rank():
     # two pieces wait in part 0, one in part 1; part 1 has one slot over, part 2 three
     assert packing._meet([(0, 2, 0), (1, 1, 1), (2, 0, 3)]) == [(0, 1, 2, 1, 0), (1, 0, 1, 2, 0), (0, 0, 1, 2, 1)]
