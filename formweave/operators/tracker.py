@@ -192,18 +192,22 @@ def outcome_rates(entries: DataFrame, *by: str, totals: bool = False) -> DataFra
     """Numbers of filled, review, abstain and failed outcomes per day and the given columns.
 
     With `totals` also per day and each shorter list of these columns, down
-    to the day alone; columns summed over are null.
+    to the day alone; columns summed over are null, and n_summed says how
+    many of the last ones are (a null in the others is a value).  Outcomes
+    without a time are the day null.
     """
     o = entries.select("at_us", "domain", "ats", F.explode("outcomes").alias("o")).select(
         F.floor(F.col("at_us") / US_PER_DAY).alias("day"), "domain", "ats",
         F.coalesce("o.source", F.lit("none")).alias("source"), F.col("o.outcome").alias("outcome"),
     )
     share = lambda v: F.count_if(F.col("outcome") == v).alias(v)
-    # a rollup also has the total of all days
-    grouped = o.rollup("day", *by) if totals else o.groupBy("day", *by)
-    return grouped.agg(
-        F.count("*").alias("fields"), *[share(v) for v in ("filled", "review", "abstain", "failed")]
-    ).filter("day IS NOT NULL")
+    counts = [F.count("*").alias("fields"), *[share(v) for v in ("filled", "review", "abstain", "failed")]]
+    if not totals:
+        return o.groupBy("day", *by).agg(*counts)
+    # unlike a rollup's, all these sets hold the day
+    sets = [["day", *by[:n]] for n in range(len(by), -1, -1)]
+    summed = sum((F.grouping(c).cast("int") for c in by), F.lit(0))
+    return o.groupingSets(sets, "day", *by).agg(*counts, summed.alias("n_summed"))
 
 
 def csv_quote(c: Column) -> Column:

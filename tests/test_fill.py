@@ -109,3 +109,18 @@ def test_page_past_the_end_shows_the_last(spark):
     apps = apps.unionByName(spark.createDataFrame([("d", "x", 1)], "cand string, id string, first_seen_us long"))
     page = K.history_page(apps, page=9)
     assert sorted((r.cand, r.page, r.n) for r in page.groupBy("cand", "page").agg(F.count("*").alias("n")).collect()) == [("c", 2, 10), ("d", 0, 1)]
+
+
+def test_outcomes_without_a_day_or_a_domain(spark):
+    rows = [(0, "a", "x"), (None, "a", "x"), (None, None, "x"), (0, None, None)]
+    entries = spark.createDataFrame(rows, "at_us long, domain string, ats string").withColumn(
+        "outcomes", F.array(F.struct(F.lit("lexicon").alias("source"), F.lit("filled").alias("outcome")))
+    )
+    got = K.outcome_rates(entries, "source").collect()
+    assert sorted((str(r.day), r.source, r.fields, r.filled) for r in got) == [("0", "lexicon", 2, 2), ("None", "lexicon", 2, 2)]
+    got = K.outcome_rates(entries, "domain", "ats", totals=True).collect()
+    assert {(r.day, r.domain, r.ats, r.n_summed): r.fields for r in got} == {
+        (0, "a", "x", 0): 1, (0, "a", None, 1): 1, (0, None, None, 0): 1, (0, None, None, 1): 1, (0, None, None, 2): 2,
+        (None, "a", "x", 0): 1, (None, "a", None, 1): 1, (None, None, "x", 0): 1, (None, None, None, 1): 1, (None, None, None, 2): 2,
+    }
+    assert len(got) == 10
