@@ -82,16 +82,19 @@ def _fit(batches, epochs: int, alpha: float, beta: float, l1: float, l2: float):
         rows += [np.asarray(x.values).view(np.uint64) for x in batch["features"]]
     if not rows:
         return
-    # what one document has alone L1 would zero; most of it goes by a coarse look first, to keep memory low
-    once, twice = np.zeros(1 << COARSE_BITS, bool), np.zeros(1 << COARSE_BITS, bool)
-    coarse = lambda r: r >> np.uint64(64 - COARSE_BITS)
-    for r in rows:
-        at = coarse(r)
-        twice[at[once[at]]] = True
-        once[at] = True
-    rows = [r[twice[coarse(r)]] for r in rows]
+    # gradients are below 1: with epochs <= l1 what one document has alone stays zero
+    least = 2 if epochs <= l1 else 1
+    if least > 1:
+        # most of it goes by a coarse look first, to keep memory low
+        once, twice = np.zeros(1 << COARSE_BITS, bool), np.zeros(1 << COARSE_BITS, bool)
+        coarse = lambda r: r >> np.uint64(64 - COARSE_BITS)
+        for r in rows:
+            at = coarse(r)
+            twice[at[once[at]]] = True
+            once[at] = True
+        rows = [r[twice[coarse(r)]] for r in rows]
     keys, counts = np.unique(np.concatenate(rows), return_counts=True)
-    keys = keys[counts > 1]
+    keys = keys[counts >= least]
     order = np.random.default_rng(5).permutation(len(rows))
     z, n = np.zeros(len(keys) + 1), np.zeros(len(keys) + 1)  # the last is the intercept
     places = []

@@ -6,6 +6,7 @@ import random
 
 import helpers as H
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.errors import SparkRuntimeException
 
@@ -228,6 +229,15 @@ def test_toxicity_on_held_out_rows(spark):
     assert rows[600]["score"] == rows[601]["score"] < 0.5 < rows[602]["score"]
 
 
+@pytest.mark.parametrize(("epochs", "l1", "learnt"), [(4, 4.0, set()), (8, 0.5, {1, 2})])
+def test_features_of_one_document_go_only_where_l1_zeroes_them(epochs, l1, learnt):
+    rows = pa.RecordBatch.from_arrays(
+        [pa.array([1, 0]), pa.array([[1], [2]], pa.list_(pa.int64()))], names=["toxic", "features"]
+    )
+    (out,) = toxicity._fit([rows], epochs, 0.1, 1.0, l1, 0.0)
+    assert {k for k, i in zip(out["key"].to_pylist(), out["intercept"].to_pylist(), strict=True) if not i} == learnt
+
+
 @pytest.mark.parametrize(("marks", "low", "high"), [([], 0, 0.01), ([(1, 1)], 0.99, 1), ([(1, 0), (1, 0)], 0, 0.01)])
 def test_toxicity_without_two_classes(spark, marks, low, high):
     docs = documents(spark, {1: "a b", 2: None})
