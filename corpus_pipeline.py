@@ -6,7 +6,9 @@ pieces.  A stage works on all that its predecessor kept.
 
 Defined cases, for all stages: null and empty texts are kept (they score as
 clean, hold no lines, are no copies and pack as the end token); rows without
-a doc_id are kept and never compared; an empty table goes through; columns
+a doc_id are kept and never compared; rows that repeat a doc_id with equal
+text are one document to each stage, so all of them stay or go alike and
+are packed each; an empty table goes through; columns
 that documents have besides are carried to the last stage.  n_chars, where
 it is there, follows the text.
 """

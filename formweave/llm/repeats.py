@@ -31,9 +31,9 @@ Equal whole texts need none of this: the one with the smallest doc_id stands
 for all, and the others are removed as a whole if they have `length` bytes.
 
 Defined cases: a null or empty text loses nothing (null stays null); texts
-shorter than `length` lose nothing; of rows that repeat a doc_id with equal
-text all but one lose their text as copies (which one is not said, for they are
-equal); with different texts they are ordered by a hash of the text; rows
+shorter than `length` lose nothing; rows that repeat a doc_id with equal text
+are no copies of each other: they stay or lose the same passages alike;
+with different texts they are ordered by a hash of the text; rows
 without a doc_id are kept whole and count for nothing; bytes that are not
 whole characters after a removal are left as they are in `kept` (binary);
 an empty table gives an empty result; other columns are carried unread.
