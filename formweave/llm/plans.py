@@ -14,7 +14,7 @@ def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select(
         F.col("page_id").alias("record_id"), "url", F.col("html").cast("binary").alias("payload")
     )
-    return warc.read_index(warc.write_archive(pages)).select(
+    return warc.read_back(warc.write_archive(pages)).select(
         F.col("record_id").alias("page_id"), F.col("n_bytes").alias("payload_bytes"),
         F.col("sha1").alias("payload_digest"), "record_type", "refers_to",
     )

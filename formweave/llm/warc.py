@@ -165,3 +165,29 @@ def read_records(archive: Archive) -> DataFrame:
     end = F.lit(bytearray(b"\r\n\r\n"))
     body = F.when(field(F.col("header"), "WARC-Type") == "revisit", F.lit(EMPTY)).otherwise(F.col("payload"))
     return archive.headers().join(payloads, "address").select("record_id", "payload", F.concat("header", body, end).alias("record"))
+
+
+def read_back(archive: Archive) -> DataFrame:
+    """record_id, record_type, refers_to, n_bytes and sha1, all taken from the records put together.
+
+    A response's payload is cut from its record; a revisit's record has none,
+    its payload is the one it refers to.  A wrong digest or length is an error.
+    """
+    end = "\r\n\r\n"
+    rows = read_records(archive).withColumn("head", F.concat(F.substring_index(F.col("record").cast("string"), end, 1), F.lit(end)))
+    start = F.octet_length("head")
+    body = F.substring(F.col("record"), start + 1, F.octet_length("record") - start - len(end))
+    head = F.col("head")
+    number = lambda c: F.regexp_extract(c, r"(-?\d+)>$", 1).try_cast("long")
+    found = rows.select(
+        number(field(head, "WARC-Record-ID")).alias("record_id"), field(head, "WARC-Type").alias("record_type"),
+        number(field(head, "WARC-Refers-To")).alias("refers_to"),
+        F.regexp_extract(field(head, "WARC-Payload-Digest"), "^sha1:(.*)$", 1).alias("claimed"),
+        field(head, "Content-Length").cast("long").alias("length"), F.octet_length(body).cast("long").alias("in_record"),
+        F.when(field(head, "WARC-Type") == "revisit", F.col("payload")).otherwise(body).alias("whole"),
+    ).select("*", F.sha1("whole").alias("sha1"))
+    right = (F.col("claimed") == F.col("sha1")) & (F.col("length") == F.col("in_record"))
+    return found.select(
+        "record_id", "record_type", "refers_to", F.octet_length("whole").cast("long").alias("n_bytes"),
+        F.when(right, F.col("sha1")).otherwise(F.raise_error(F.lit("record does not match its header"))).alias("sha1"),
+    )

@@ -9,8 +9,9 @@ import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.errors import SparkRuntimeException
+from pyspark.sql import functions as F
 
-from formweave.llm import line_dedup, near_dedup, repeats, toxicity, warc
+from formweave.llm import line_dedup, near_dedup, plans, repeats, toxicity, warc
 
 RNG = random.Random(4)
 WORDS = ["".join(RNG.choice("aeioubdgkmnprst") for _ in range(RNG.randint(2, 8))) for _ in range(300)]
@@ -201,6 +202,14 @@ def test_damaged_payload_is_an_error(spark):
         warc.read_index(damaged).collect()
 
 
+def test_query_reads_the_records(spark, monkeypatch):
+    whole = warc.read_records
+    cut = lambda archive: whole(archive).withColumn("record", F.expr("substring(record, 1, octet_length(record) - 5)"))
+    monkeypatch.setattr(warc, "read_records", cut)
+    with pytest.raises(SparkRuntimeException, match="record does not match"):
+        plans.op1_warc(spark, "/root/testdata/sf0.001").collect()
+
+
 def test_empty_archive(spark):
     records = spark.createDataFrame([], "record_id long, url string, payload binary")
     assert warc.read_index(warc.write_archive(records)).count() == 0
