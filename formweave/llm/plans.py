@@ -6,8 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from formweave.llm import byte_bpe, impact_topk, line_dedup, near_dedup, packing, repeats, token_counts, toxicity, vptree, warc
-from formweave.llm.shared import table, whole_text
+from formweave.llm import byte_bpe, impact_topk, line_dedup, merkle, near_dedup, packing, repeats, token_counts, toxicity, vptree, warc
+from formweave.llm.shared import LOWER, UPPER, table, whole_text
 
 
 def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -78,6 +78,17 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select(*merkle.FIELDS)
+    changed = merkle.leaf_hash(text=F.translate("text", UPPER, LOWER))
+    shown = F.when(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 0, changed)
+    found = merkle.proofs(merkle.build(docs, keep={"shown": shown}))
+    folded = merkle.folded(F.coalesce("shown", "leaf"), F.col("path"))
+    return found.select(
+        "doc_id", "leaf", "subroot", "root", F.sha2(merkle.proof_text(F.col("path")), 256).alias("proof_sha256"), folded.alias("folded_root")
+    ).withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
 QUERIES = {
     "op1_warc": op1_warc,
     "op2_token_counts": op2_token_counts,
@@ -89,8 +100,25 @@ QUERIES = {
     "op8_suffix_array": op8_suffix_array,
     "op9_toxicity": op9_toxicity,
     "op10_line_dedup": op10_line_dedup,
+    "op13_merkle": op13_merkle,
 }
 
+
+def _crc32(text: str) -> str:
+    """SQL for the CRC-32 of an ASCII text, bit by bit."""
+    bits = "list_reduce(range(8), lambda x, i: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END, xor(c, b))"
+    values = f"list_transform(string_split({text}, ''), lambda z: ascii(z)::BIGINT)"
+    return f"xor(list_reduce({values}, lambda c, b: {bits}, 4294967295::BIGINT), 4294967295::BIGINT)"
+
+
+def _field(value: str) -> str:
+    return f"coalesce(octet_length(encode(({value})::VARCHAR)) || ':' || ({value})::VARCHAR, '-')"
+
+
+def _leaf(text: str) -> str:
+    return "sha256(" + " || ".join(_field(c) for c in ("doc_id", "source", "lang", "n_chars", text)) + ")"
+
+
 ORACLES = {
     "op1_warc": """
         WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS body FROM pages),
@@ -128,4 +156,48 @@ ORACLES = {
           sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (keeper IS NULL OR keeper = k.doc_id), '')) AS kept_sha256
         FROM k LEFT JOIN r USING (key) GROUP BY k.doc_id
     """,
+    "op13_merkle": f"""
+        WITH RECURSIVE d AS (
+          SELECT doc_id, coalesce('=' || lang, '') AS tree, {_leaf("text")} AS leaf,
+            CASE WHEN {_crc32("doc_id::VARCHAR")} % 3 = 0
+              THEN {_leaf("translate(text, '" + UPPER + "', '" + LOWER + "')")} ELSE {_leaf("text")} END AS shown
+          FROM documents),
+        l AS (
+          SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i,
+            count(*) OVER (PARTITION BY tree) AS leaves FROM d),
+        nodes AS (
+          SELECT tree, 0 AS level, i, leaf AS h, leaves AS n FROM l
+          UNION ALL
+          SELECT tree, any_value(level) + 1, i // 8, sha256(string_agg(h, '' ORDER BY i)), any_value((n + 7) // 8)
+          FROM nodes WHERE n > 1 GROUP BY tree, i // 8),
+        subroots AS (
+          SELECT tree, h, row_number() OVER (ORDER BY encode(tree)) - 1 AS i, count(*) OVER () AS n FROM nodes WHERE n = 1),
+        upper AS (
+          SELECT '' AS tree, 0 AS level, i, h, n FROM subroots
+          UNION ALL
+          SELECT '', any_value(level) + 1, i // 8, sha256(string_agg(h, '' ORDER BY i)), any_value((n + 7) // 8)
+          FROM upper WHERE n > 1 GROUP BY i // 8),
+        runs AS (
+          SELECT 0 AS part, tree, level, i // 8 AS run, list(h ORDER BY i) AS hs FROM nodes WHERE n > 1 GROUP BY ALL
+          UNION ALL
+          SELECT 1, tree, level, i // 8, list(h ORDER BY i) FROM upper WHERE n > 1 GROUP BY ALL),
+        steps AS (
+          SELECT row_number() OVER () AS id, 0 AS part, tree, 0 AS level, i, '' AS proof, shown AS folded, doc_id, leaf, tree AS own, false AS done
+          FROM l
+          UNION ALL
+          SELECT s.id, CASE WHEN r.run IS NULL THEN s.part + 1 ELSE s.part END,
+            CASE WHEN r.run IS NULL THEN '' ELSE s.tree END,
+            CASE WHEN r.run IS NULL THEN 0 ELSE s.level + 1 END,
+            CASE WHEN r.run IS NULL THEN u.i ELSE s.i // 8 END,
+            CASE WHEN r.run IS NULL THEN s.proof ELSE s.proof || array_to_string(r.hs[1:s.i % 8], '') || array_to_string(r.hs[s.i % 8 + 2:], '') END,
+            CASE WHEN r.run IS NULL THEN s.folded
+              ELSE sha256(array_to_string(r.hs[1:s.i % 8], '') || s.folded || array_to_string(r.hs[s.i % 8 + 2:], '')) END,
+            s.doc_id, s.leaf, s.own, r.run IS NULL AND s.part = 1
+          FROM steps s LEFT JOIN runs r ON r.part = s.part AND r.tree = s.tree AND r.level = s.level AND r.run = s.i // 8
+          LEFT JOIN subroots u ON u.tree = s.own
+          WHERE NOT s.done)
+        SELECT doc_id, leaf, u.h AS subroot, t.h AS root, sha256(proof) AS proof_sha256, folded AS folded_root, folded = t.h AS verified
+        FROM steps s JOIN subroots u ON u.tree = s.own JOIN (SELECT h FROM upper WHERE n = 1) t ON true
+        WHERE s.done
+    """,
 }
