@@ -56,6 +56,8 @@ READ = "conv_id bigint, n_turns bigint, turns_sha256 string, loss_chars bigint,
 
 
 def escape(text: str) -> str:
+    if "|" not in text:
+        return text
     return re.sub(r"<(\\*)\|", r"<\\\1|", text)
 
 

@@ -21,7 +21,7 @@ def texts_of(df):
 @pytest.mark.parametrize("name", sorted(plans.ORACLES))
 def test_queries_match_sql(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "pages", "embeddings"):
+    for t in ("documents", "pages", "embeddings", "conversations"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     want = con.execute(plans.ORACLES[name])
     names = [c[0] for c in want.description]
