@@ -55,8 +55,8 @@ from formweave.llm.shared import new_folder, written
 
 LENGTH = 100
 ANCHOR = 25
-#: Text of a block, in bytes; a task has one block at a time.
-BLOCK_BYTES = 1 << 21
+#: Text of a block, in bytes, unless one anchor alone has more; a task has one block at a time.
+BLOCK_BYTES = 1 << 20
 #: Runs of an anchor from which on its strings are compared one by one.
 HOT_RUNS = 10_000
 #: Runs that a task folds before it passes them on.
@@ -189,29 +189,33 @@ def suffix_order(text: np.ndarray, ends: np.ndarray, depth: int) -> np.ndarray:
     n, width = len(text), 8
     is_end = np.zeros(n + width, bool)
     is_end[ends] = True
-    to_end = ends[np.searchsorted(ends, np.arange(n))] - np.arange(n)
+    ends = ends.astype(np.int32)
+    separator = np.repeat(np.arange(len(ends), dtype=np.int32), np.diff(ends, prepend=np.int32(-1)))
+    to_end = ends[separator] - np.arange(n, dtype=np.int32)
     packed = np.zeros(n, np.uint64)
-    padded = np.append(text, np.zeros(width, np.uint8)).astype(np.uint64)
+    padded = np.append(text, np.zeros(width, np.uint8))
     for i in range(width):
         # what follows a separator counts for nothing, and a separator is less than a zero byte
-        packed = (packed << np.uint64(8)) | np.where(to_end > i, padded[i : i + n], np.uint64(0))
-    short = to_end < width
+        packed <<= np.uint64(8)
+        packed |= np.where(to_end > i, padded[i : i + n], np.uint8(0))
     # shorter suffixes first where bytes are equal, then by separator
-    last = np.where(short, to_end * (len(ends) + 1) + np.searchsorted(ends, np.arange(n)), np.iinfo(np.int64).max)
-    order = np.lexsort((last, packed))
+    last = np.where(to_end < width, to_end * np.int64(len(ends) + 1) + separator, np.iinfo(np.int64).max)
+    del separator, to_end, padded
+    order = np.lexsort((last, packed)).astype(np.int32)
     ends_first = is_end[order]
     order = np.concatenate([order[ends_first], order[~ends_first]])
     new = np.ones(n, bool)
     new[1:] = (packed[order[1:]] != packed[order[:-1]]) | (last[order[1:]] != last[order[:-1]])
+    del packed, last
     # a rank is where the suffixes that are alike so far begin
-    rank = np.empty(n, np.int64)
-    rank[order] = np.maximum.accumulate(np.where(new, np.arange(n), 0))
+    rank = np.empty(n, np.int32)
+    rank[order] = np.maximum.accumulate(np.where(new, np.arange(n, dtype=np.int32), np.int32(0)))
     open_ = ~new
     open_[:-1] |= ~new[1:]
     slots = np.flatnonzero(open_)
     while width < depth and len(slots):
         some = order[slots]
-        key = rank[some] * (n + 1) + np.where(some + width < n, rank[np.minimum(some + width, n - 1)] + 1, 0)
+        key = rank[some] * np.int64(n + 1) + np.where(some + width < n, rank[np.minimum(some + width, n - 1)] + 1, 0)
         by = np.argsort(key, kind="stable")
         some, key = some[by], key[by]
         order[slots] = some
@@ -238,16 +242,16 @@ def common_prefixes(text: np.ndarray, ends: np.ndarray, order: np.ndarray, lengt
     is_end[ends] = True
     before = order - 1  # -1, the last, is a separator
     stop = is_end[before]
-    bwt = np.where(stop, np.int64(-1), text[before].astype(np.int64))
+    bwt = np.where(stop, np.int16(-1), text[before].astype(np.int16))
     # place of each suffix's extension: equal symbols keep their order
-    by_symbol = np.argsort(bwt, kind="stable")
-    extension = np.empty(n, np.int64)
-    extension[by_symbol] = np.arange(n)  # separators first, as in the order
-    symbol = np.where(is_end[order], -1, text[order].astype(np.int64))
+    extension = np.empty(n, np.int32)
+    extension[np.argsort(bwt, kind="stable")] = np.arange(n, dtype=np.int32)  # separators first, as in the order
+    symbol = np.where(is_end[order], np.int16(-1), text[order].astype(np.int16))
+    del before, bwt
     known = np.zeros(n + 1, bool)
     known[: m + 1] = True
     known[n] = True
-    owner = np.empty(n, np.int64)
+    owner = np.empty(n, np.int32)
     low, high = np.array([0]), np.array([n])
     for size in range(length):
         if size == 1:
@@ -256,8 +260,9 @@ def common_prefixes(text: np.ndarray, ends: np.ndarray, order: np.ndarray, lengt
         if not len(low):
             break
         sizes = high - low
-        rows = np.arange(sizes.sum()) + np.repeat(low - (np.cumsum(sizes) - sizes), sizes)
-        ids = np.repeat(np.arange(len(low)), sizes)
+        rows = np.repeat((low - (np.cumsum(sizes) - sizes)).astype(np.int32), sizes)
+        rows += np.arange(len(rows), dtype=np.int32)
+        ids = np.repeat(np.arange(len(low), dtype=np.int32), sizes)
         open_ = ~stop[rows]
         at, ids = extension[rows[open_]], ids[open_]
         owner[at] = ids
@@ -328,9 +333,10 @@ def _starts_batch(rows):
 
 
 def _block_rows(batches, length: int, block_bytes: int):
-    """Runs sorted by anchor, run and place to STARTS."""
+    """Runs sorted by anchor, run and place to STARTS; a block holds block_bytes, or else one anchor."""
     runs, places, out, held = [], [], [], 0
-    group_first, anchor, last = 0, None, None
+    #: where the anchor at work begins, and the bytes of the anchors before it
+    group_first, settled, anchor, last = 0, 0, None, None
     for batch in batches:
         columns = (batch[c].to_pylist() for c in ("a", "run", "doc", "text_key", "start", "starts"))
         for a, run, doc, key, start, starts in zip(*columns, strict=True):
@@ -339,10 +345,7 @@ def _block_rows(batches, length: int, block_bytes: int):
                 if len(runs) == group_first + 1:
                     held -= len(runs.pop())
                     places.pop()
-                if held > block_bytes:
-                    out += repeated_starts(runs, places, length)
-                    runs, places, held = [], [], 0
-                anchor, last, group_first = a, None, len(runs)
+                anchor, last, group_first, settled = a, None, len(runs), held
             if run == last:
                 if (doc, key, start) != places[-1]:  # else a repeated row
                     out.append((doc, key, start, starts))
@@ -351,6 +354,11 @@ def _block_rows(batches, length: int, block_bytes: int):
                 places.append((doc, key, start))
                 held += len(run)
                 last = run
+                if held > block_bytes and group_first:
+                    # what came before this anchor makes a block
+                    out += repeated_starts(runs[:group_first], places[:group_first], length)
+                    runs, places, held = runs[group_first:], places[group_first:], held - settled
+                    group_first, settled = 0, 0
             if len(out) > 50_000:
                 yield _starts_batch(out)
                 out = []
