@@ -16,6 +16,7 @@ from pyspark.sql.window import Window
 
 from formweave.functions.text import clean_label, collapse, humanize_name
 from formweave.functions.urls import ats_of_host, detect_ats, url_host
+from formweave.operators.spread import spread
 from formweave.rules.hosts import ATS_HOSTS
 from formweave.sources import html_nodes
 from formweave.sources.html_nodes import NODE_SCHEMA, node_rows
@@ -37,7 +38,7 @@ def with_form_controls(pages: DataFrame, at_least: int = 2) -> DataFrame:
 def page_nodes(pages: DataFrame, own_ui_attr: str | None = None) -> DataFrame:
     hosts = pages.select(F.col("page_id").cast("string").alias("page_id"), url_host(F.col("url")).alias("host"), "html")
     slim = hosts.select("page_id", ats_of_host(F.col("host")).alias("ats"), "html")
-    return slim.mapInArrow(partial(node_rows, own_ui_attr=own_ui_attr), NODE_SCHEMA)
+    return spread(slim, "page_id", "html").mapInArrow(partial(node_rows, own_ui_attr=own_ui_attr), NODE_SCHEMA)
 
 
 def _attr(name: str) -> Column:

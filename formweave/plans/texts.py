@@ -11,6 +11,7 @@ from formweave.functions import text as X
 from formweave.operators import answers as A
 from formweave.operators import options as O
 from formweave.operators import retrieval as R
+from formweave.operators.spread import spread
 from formweave.plans.common import table
 
 
@@ -30,7 +31,7 @@ def label_normalize(spark: SparkSession, d: str) -> DataFrame:
 
 def label_sets(spark: SparkSession, d: str) -> DataFrame:
     """Sizes of the word and trigram sets of whole texts."""
-    norm = label_normalize(spark, d)
+    norm = spread(label_normalize(spark, d), "src", "id", "norm")
     return norm.select(
         "src", "id", F.size(X.tokens_of(F.col("norm"))).cast("long").alias("words"),
         F.size(X.trigrams_of(F.col("norm"))).cast("long").alias("trigrams"),
