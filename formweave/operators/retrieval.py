@@ -1,128 +1,123 @@
 """Finding saved answers by question: exact keys, then set similarity.
 
 The similarity join is lossless.  Jaccard >= t needs an overlap of at least
-ceil(t * n) elements for a set of n, so two similar sets share their k
-rarest common elements inside their first n - ceil(t * n) + k elements
-(prefix filter: Bayardo et al. 2007; k > 1: Wang et al. 2012).  Sets up to
-PAIR_LIMIT elements are keyed by element pairs (k = 2), which are far more
-selective than single words; larger sets by single elements (k = 1).  Sets
-near the limit carry both kinds, so no pair is missed.
+t / (1 + t) of both sizes together, so with all sets in one order two similar
+ones share an element among the first n - ceil(t * n) + 1 of each (prefix
+filter).  A row is such an element with its place in the set and the set's
+size, nothing else of the text.  Where two rows meet, no more elements can be
+common than lie before both places and behind both (positional filter: Xiao
+et al. 2008); a pair's rows are then counted, and what the count and the
+places behind the last of them allow must still reach the overlap.  Only such
+pairs are scored, on their texts.
+
+Elements are ordered rare first by counts per hash bucket, which also say in
+how many parts the rows of a frequent element are dealt out, on each side by
+its own count.  The counts are a scalar subquery: nothing runs while a plan is
+built, and nothing comes to the driver but 2 * BUCKETS numbers per measure.
 """
 
 from __future__ import annotations
 
-import json
+import math
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from formweave.functions.text import fuzzy_score, tokens_of, trigram_jaccard, trigrams_of
-from formweave.session import checkpoint_dir
+from formweave.operators.spread import spread
 
 FUZZY_THRESHOLD = 0.85
 DEDUP_THRESHOLD = 0.92
-PAIR_LIMIT = 48
-RARITY_BUCKETS = 2048
-HOT_KEY_ROWS = 512
-HOT_SALTS = 32
-
-
-def _buckets(elements: Column) -> Column:
-    return F.transform(elements, lambda e: F.pmod(F.xxhash64(e), F.lit(RARITY_BUCKETS)).cast("int"))
-
-
-def rarity(texts: DataFrame, measures: list[Callable[[Column], Column]]) -> list[Column]:
-    """Per measure a literal array: how often the elements of each hash bucket occur.
-
-    The counts come to the driver as at most RARITY_BUCKETS numbers per
-    measure whatever the data.  They only order the elements rare first; any
-    order gives the same result.
-    """
-    offset = lambda i: lambda b: b + F.lit(i * RARITY_BUCKETS)
-    buckets = [F.transform(_buckets(m(F.col("text"))), offset(i)) for i, m in enumerate(measures)]
-    counts = texts.select(F.explode(F.concat(*buckets)).alias("bucket")).groupBy("bucket").count()
-    found = dict(counts.collect())
-    return [
-        F.from_json(
-            F.lit(json.dumps([found.get(i * RARITY_BUCKETS + b, 0) for b in range(RARITY_BUCKETS)])), "array<long>"
-        )
-        for i in range(len(measures))
-    ]
-
-
-def _signatures(texts: DataFrame, measures: list[Callable[[Column], Column]], counts: list[Column], t: float) -> DataFrame:
-    """Rows (grp, text, n, prefix, key, k, sig) of every text, one per measure and prefix key."""
-    def rare_first(elements: Callable[[Column], Column], c: Column) -> Column:
-        # 64-bit hashes sort and travel cheaper than strings; what they select is scored on the texts
-        hashes = F.transform(elements(F.col("text")), lambda e: F.xxhash64(e))
-        ranked = F.transform(
-            hashes, lambda h: F.struct(F.get(c, F.pmod(h, F.lit(RARITY_BUCKETS)).cast("int")).alias("c"), h.alias("h"))
-        )
-        return F.transform(F.sort_array(ranked), lambda s: s["h"])
-
-    sets = F.array(
-        *[
-            F.struct(F.lit(m).alias("m"), rare_first(elements, c).alias("ordered"))
-            for m, (elements, c) in enumerate(zip(measures, counts, strict=True))
-        ]
-    )
-    n, ordered = F.col("n"), F.col("ordered")
-    single = F.greatest(n - F.ceil(n * t - 1e-9).cast("int") + 1, F.lit(0))
-    double = F.least(single + 1, n)
-    one = F.when(n >= PAIR_LIMIT * t - 1, F.transform(F.slice(ordered, 1, single), lambda e: F.array(e)))
-    pairs = F.flatten(
-        F.transform(
-            F.slice(ordered, 1, single),
-            lambda a, i: F.transform(
-                F.slice(F.slice(ordered, 1, double), i + 2, F.greatest(double - i - 1, F.lit(0))),
-                lambda b: F.array(a, b),
-            ),
-        )
+#: Hash buckets in which elements are counted: 2 ** 13, for ranks of 13 bits.
+BUCKETS = 1 << 13
+#: Rows with one element that meet in one task, of each side.
+PART_ROWS = 4096
+
+Measure = Callable[[Column], Column]
+
+
+def _bucket(element: Column) -> Column:
+    return element.bitwiseAND(F.lit(BUCKETS - 1)).cast("int")
+
+
+def _sets(measures: list[Measure]) -> Column:
+    """Per measure (m, e): the 64-bit hashes of the elements of `text`."""
+    return F.array(*[
+        F.struct(F.lit(m).alias("m"), F.transform(elements(F.col("text")), lambda x: F.xxhash64(x)).alias("e"))
+        for m, elements in enumerate(measures)
+    ])
+
+
+def _order(left: DataFrame, right: DataFrame, measures: list[Measure]) -> Column:
+    """(ranks, left, right), arrays measure after measure: the buckets' ranks, rarest first, and by rank the elements of each side."""
+    size = BUCKETS * len(measures)
+    seen = lambda texts, l, r: texts.select(F.explode(_sets(measures)).alias("s")).select(
+        "s.m", F.explode("s.e").alias("e"), F.lit(l).cast("long").alias("l"), F.lit(r).cast("long").alias("r")
+    ).select((F.col("m") * BUCKETS + _bucket(F.col("e"))).cast("long").alias("id"), "l", "r")
+    sums = lambda rows: rows.groupBy("id").agg(F.sum("l").alias("l"), F.sum("r").alias("r"))
+    none = left.sparkSession.range(size).select("id", F.lit(0).cast("long").alias("l"), F.lit(0).cast("long").alias("r"))
+    counts = sums(sums(seen(left, 1, 0)).union(sums(seen(right, 0, 1))).union(none))
+    each = counts.agg(F.sort_array(F.collect_list(F.struct("id", "l", "r"))).alias("all"))
+    often = lambda x: F.struct((x["l"] + x["r"]).alias("n"), x["id"].alias("id"), x["l"].alias("l"), x["r"].alias("r"))
+    for m in range(len(measures)):
+        each = each.withColumn(f"by{m}", F.sort_array(F.transform(F.slice("all", m * BUCKETS + 1, BUCKETS), often)))
+    rank = lambda m: F.sort_array(F.transform(f"by{m}", lambda x, i: F.struct(x["id"].alias("id"), i.cast("short").alias("i"))))["i"]
+    joined = lambda of: F.concat(*[of(m) for m in range(len(measures))])
+    return each.select(F.struct(
+        joined(rank).alias("ranks"), joined(lambda m: F.col(f"by{m}.l")).alias("left"), joined(lambda m: F.col(f"by{m}.r")).alias("right")
+    )).scalar()
+
+
+def _rows(texts: DataFrame, measures: list[Measure], order: Column, own: str, other: str, t: float) -> DataFrame:
+    """(grp, m, e, id, n, at, size, parts, others): each element of each text's prefix that the other side may have."""
+    # rank and hash in one number: 13 bits of rank, 50 more bits of the hash
+    ranked = lambda m: F.sort_array(F.transform(
+        F.get("s", F.lit(m))["e"],
+        lambda e: F.shiftleft(F.get("ranks", F.lit(m * BUCKETS) + _bucket(e)).cast("long"), 50).bitwiseOR(F.shiftrightunsigned(e, 14)),
+    ))
+    # the only array that goes into a row, and no further than here
+    sets = texts.select("grp", F.xxhash64("text").alias("id"), _sets(measures).alias("s"), order["ranks"].alias("ranks")).select(
+        "grp", "id", F.array(*[F.struct(F.lit(m).alias("m"), ranked(m).alias("ordered")) for m in range(len(measures))]).alias("s")
     )
-    # a lone element has no second one: two such sets are equal or disjoint
-    two = F.when(n == 1, F.array(F.slice(ordered, 1, 1))).when(n <= PAIR_LIMIT, pairs)
-    none = F.array().cast("array<array<bigint>>")
-    return (
-        # the outer form keeps the optimizer from computing all sets twice, once to see whether there are any
-        texts.select("grp", "text", F.explode_outer(sets).alias("s"))
-        .select("grp", "text", F.col("s.m").alias("m"), F.col("s.ordered").alias("ordered"), F.size("s.ordered").alias("n"))
-        .select(
-            "grp", "text", "m", "n", F.slice("ordered", 1, double).alias("prefix"),
-            F.explode_outer(F.concat(F.coalesce(one, none), F.coalesce(two, none))).alias("key"),
-        )
-        .filter("key IS NOT NULL")
-        .select("grp", "text", "n", "prefix", F.size("key").alias("k"), F.xxhash64("m", "key").alias("sig"), "key")
+    # the outer form keeps the optimizer from computing all sets twice, once to see whether there are any
+    sets = sets.select("grp", "id", F.explode_outer("s").alias("s")).select(
+        "grp", "id", "s.m", F.size("s.ordered").alias("n"), "s.ordered"
+    ).filter("n > 0")
+    prefix = F.slice("ordered", F.lit(1), F.col("n") - F.ceil(F.col("n") * t - 1e-9).cast("int") + 1)
+    # sets of similar sizes have the same or neighbouring size classes
+    size = F.floor(F.log(F.col("n").cast("double")) / -math.log(t)).cast("int") if t < 1 else F.col("n")
+    rows = sets.select("grp", "id", "m", "n", size.alias("size"), F.posexplode_outer(prefix).alias("at", "e"))
+    place = F.col("m") * BUCKETS + F.shiftrightunsigned("e", 50).cast("int")
+    count = lambda side: F.get(order[side], place)
+    parts = lambda side: F.greatest(F.ceil(count(side) / PART_ROWS).cast("int"), F.lit(1))
+    return rows.filter(count(other) > 0).select("grp", "m", "e", "id", "n", "at", "size", parts(own).alias("parts"), parts(other).alias("others"))
+
+
+def _candidates(left: DataFrame, right: DataFrame, measures: list[Measure], t: float) -> DataFrame:
+    """(grp, a, b): ids of texts whose sets may be similar, each pair once."""
+    order = _order(left, right, measures)
+    l, r = _rows(left, measures, order, "left", "right", t), _rows(right, measures, order, "right", "left", t)
+    part = F.pmod(F.hash("id"), F.col("parts"))
+    every = F.explode(F.sequence(F.lit(0), F.col("others") - 1))
+    near = F.explode(F.sequence(F.col("size") - 1, F.col("size") + 1))
+    key = ["grp", "m", "e", "size", "i", "j"]
+    l = l.select("grp", "m", "e", "size", part.alias("i"), every.alias("j"), F.col("id").alias("a"), F.col("n").alias("na"), F.col("at").alias("ia"))
+    r = r.select("grp", "m", "e", "n", "id", "at", "others", near.alias("size"), part.alias("j")).select(
+        "grp", "m", "e", "size", every.alias("i"), "j", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("at").alias("ib")
     )
-
-
-def _salted(left: DataFrame, right: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Spread keys that many right-hand rows share: left rows draw a salt, right rows are copied."""
-    hot = (
-        right.groupBy("grp", "sig").agg(F.count("*").alias("rows"))
-        .filter(F.col("rows") > HOT_KEY_ROWS).select("grp", "sig", F.lit(True).alias("hot"))
+    na, nb, ia, ib = (F.col(c) for c in ("na", "nb", "ia", "ib"))
+    overlap = F.ceil((na + nb) * (t / (1 + t)) - 1e-9)
+    behind = lambda x, y: F.least(na - 1 - x, nb - 1 - y)
+    met = l.join(r, key).filter(
+        (na >= nb * t - 1e-9) & (nb >= na * t - 1e-9) & (F.least(ia, ib) + 1 + behind(ia, ib) >= overlap)
     )
-    salts = F.when(F.col("hot"), F.sequence(F.lit(0), F.lit(HOT_SALTS - 1))).otherwise(F.array(F.lit(0)))
-    l_salt = F.when(F.col("hot"), F.pmod(F.xxhash64("text"), F.lit(HOT_SALTS)).cast("int")).otherwise(F.lit(0))
-    l = left.join(hot, ["grp", "sig"], "left").withColumn("salt", l_salt).drop("hot")
-    r = right.join(hot, ["grp", "sig"], "left").withColumn("salt", F.explode(salts)).drop("hot")
-    return l, r
-
-
-def _candidates(left: DataFrame, right: DataFrame, measures, t: float, counts: list[Column]) -> DataFrame:
-    l, r = _salted(_signatures(left, measures, counts, t), _signatures(right, measures, counts, t))
-    a, b = l.alias("a"), r.alias("b")
-    common = F.array_intersect(F.col("a.prefix"), F.col("b.prefix"))
-    return (
-        a.join(
-            b,
-            (F.col("a.grp") == F.col("b.grp")) & (F.col("a.sig") == F.col("b.sig")) & (F.col("a.salt") == F.col("b.salt"))
-            & (F.col("b.n") >= F.col("a.n") * t - 1e-9) & (F.col("a.n") >= F.col("b.n") * t - 1e-9)
-            # each pair only at its first common key
-            & (F.slice(common, F.lit(1), F.col("a.k")) == F.col("a.key")),
-        )
-        .select(F.col("a.grp").alias("grp"), F.col("a.text").alias("text"), F.col("b.text").alias("other"))
+    counted = met.groupBy("grp", "a", "b", "m", "na", "nb").agg(
+        F.count("*").alias("common"), F.max("ia").alias("la"), F.max("ib").alias("lb")
     )
+    left_over = F.col("common") + behind(F.col("la"), F.col("lb")) >= overlap
+    found = counted.filter(left_over).select("grp", "a", "b")
+    return found if len(measures) == 1 else found.distinct()
 
 
 def similar_pairs(left: DataFrame, right: DataFrame, t: float, tokens: bool = True) -> DataFrame:
@@ -131,15 +126,15 @@ def similar_pairs(left: DataFrame, right: DataFrame, t: float, tokens: bool = Tr
     The score is the trigram Jaccard, or its maximum with the word Jaccard
     when `tokens`.
     """
-    both = left.select("grp", "text").unionByName(right.select("grp", "text"))
     measures = [trigrams_of, tokens_of] if tokens else [trigrams_of]
+    # sets are dear to make; what is dealt out here is read by counting, by the rows and for the scores
+    left, right = (spread(side.select("grp", "text"), "grp", "text") for side in (left, right))
     score = fuzzy_score if tokens else trigram_jaccard
-    found = _candidates(left, right, measures, t, rarity(both, measures))
-    # distinct pairs first, spread evenly; the score hangs on the count so that
-    # it is not pulled into the join and computed for every shared key
-    pairs = found.groupBy("grp", "text", "other").agg(F.count("*").alias("keys"))
-    scored = pairs.withColumn("score", F.when(F.col("keys") > 0, score(F.col("text"), F.col("other"))))
-    return scored.filter(F.col("score") >= t).drop("keys")
+    named = lambda df, key, name: df.select("grp", F.xxhash64("text").alias(key), F.col("text").alias(name))
+    pairs = _candidates(left, right, measures, t)
+    texts = pairs.join(named(left, "a", "text"), ["grp", "a"]).join(named(right, "b", "other"), ["grp", "b"])
+    scored = texts.select("grp", "text", "other", score(F.col("text"), F.col("other")).alias("score"))
+    return scored.filter(F.col("score") >= t)
 
 
 def answer_keys(answers: DataFrame) -> DataFrame:
@@ -149,9 +144,8 @@ def answer_keys(answers: DataFrame) -> DataFrame:
 
 
 def _match(questions: DataFrame, answers: DataFrame, t: float, tokens: bool) -> DataFrame:
-    # used several times below: written once, so that what the questions come from is not run again
-    checkpoint_dir(questions.sparkSession)
-    distinct = questions.filter("key <> ''").select("cand", "key").distinct().checkpoint()
+    # its shuffle is read by all that follows
+    distinct = questions.filter("key <> ''").select("cand", "key").distinct()
     looked_up = distinct.join(answer_keys(answers), ["cand", "key"], "left")
     exact = looked_up.filter("id IS NOT NULL").select(
         "cand", "key", "id", F.lit("answer-exact").alias("source"), F.lit(1.0).alias("score")

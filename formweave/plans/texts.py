@@ -56,7 +56,8 @@ def _lines(df: DataFrame, *keep: str) -> DataFrame:
 
 
 def _questions(spark: SparkSession, d: str) -> DataFrame:
-    return _lines(table(spark, d, "documents").select("doc_id", "text"), "doc_id").select(F.lit("c").alias("cand"), "key")
+    docs = spread(table(spark, d, "documents").select("doc_id", "text"), "doc_id", "text")
+    return _lines(docs, "doc_id").select(F.lit("c").alias("cand"), "key")
 
 
 def _stored(spark: SparkSession, d: str) -> DataFrame:

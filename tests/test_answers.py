@@ -54,7 +54,7 @@ def phrases(n, seed, longest=12):
 
 @pytest.mark.parametrize("t,tokens,longest", [(0.85, True, 12), (0.92, False, 12), (0.85, True, 45), (0.6, True, 6)])
 def test_similarity_join_loses_nothing(spark, monkeypatch, t, tokens, longest):
-    monkeypatch.setattr(R, "HOT_KEY_ROWS", 3)  # so that salting is exercised
+    monkeypatch.setattr(R, "PART_ROWS", 7)  # so that frequent elements are dealt out in parts on both sides
     left, right = sorted(set(phrases(150, 1, longest))), sorted(set(phrases(150, 2, longest) + phrases(40, 1, longest)))
     df = lambda rows: spark.createDataFrame([("g", r) for r in rows], "grp string, text string")
     got = {(r.text, r.other): r.score for r in R.similar_pairs(df(left), df(right), t, tokens).collect()}
@@ -64,6 +64,30 @@ def test_similarity_join_loses_nothing(spark, monkeypatch, t, tokens, longest):
     assert all(abs(got[k] - want[k]) < 1e-9 for k in want)
 
 
+def test_similarity_join_with_very_long_texts(spark):
+    """A line of 5,000 words, the same with some words less, and short ones."""
+    rnd = random.Random(4)
+    words = ["".join(rnd.choice("abcdefgh") for _ in range(rnd.randint(3, 7))) for _ in range(5000)]
+    left = [" ".join(words), "notice period", "a"]
+    right = [" ".join(words[:4700]), " ".join(words[:2000]), " ".join(words[1:]), "notice periods", "a", ""]
+    df = lambda rows: spark.createDataFrame([("g", r) for r in rows], "grp string, text string")
+    got = {(r.text, r.other): r.score for r in R.similar_pairs(df(left), df(right), 0.85).collect()}
+    want = {(a, b): fuzzy(a, b) for a in left for b in right if fuzzy(a, b) >= 0.85}
+    assert len(want) == 4 and got.keys() == want.keys()
+    assert all(abs(got[k] - want[k]) < 1e-9 for k in want)
+
+
+def test_no_job_runs_while_the_join_is_planned(spark):
+    df = spark.createDataFrame([("g", "why here"), ("g", "why there")], "grp string, text string")
+    spark.sparkContext.setJobGroup("planning", "similar_pairs")
+    try:
+        pairs = R.similar_pairs(df, df, 0.85)
+        assert spark.sparkContext.statusTracker().getJobIdsForGroup("planning") == []
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert {(r.text, r.other) for r in pairs.collect()} == {("why here",) * 2, ("why there",) * 2}
+
+
 def test_retrieval_and_dedup(spark):
     saved = answers(
         spark,
