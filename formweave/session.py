@@ -12,6 +12,8 @@ SETTINGS = {
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     # rows of texts and pages are dear to process: more and smaller scan tasks
     "spark.sql.files.maxPartitionBytes": "16m",
+    # list states and timers of streams
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     # checkpoint files go when the data frames they belong to are gone
     "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
 }

@@ -1,8 +1,10 @@
 """Usage events as streams.
 
 Event rows as in operators/telemetry.py plus ts (event time).  Late data is
-bounded by a watermark; with all data on time each stream gives what the
-batch operator gives.
+bounded by a watermark.  Sessions, daily counts and session ids go by event
+time: they give what the batch operator gives in whatever order rows arrive
+within the lateness.  Firsts and caps go by arrival: they give what the batch
+operator gives if rows arrive in order of time.
 """
 
 from __future__ import annotations
@@ -12,6 +14,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from formweave import schemas
@@ -102,37 +105,75 @@ def capped_errors(
     )
 
 
+class _Sessions(StatefulProcessor):
+    """Of one client: rows that wait for the watermark, and the session that may still go on."""
+
+    def __init__(self, gap_us: int, waiting: str, columns: list[str]):
+        self.gap_us, self.schema, self.columns = gap_us, waiting, columns
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.waiting = handle.getListState("waiting", self.schema)
+        self.open = handle.getValueState("open", "last long, start long")
+
+    def handleInputRows(self, key, rows, timerValues):
+        first = None
+        for frame in rows:
+            taken = [(k, int(t)) for k, t in zip(frame["event_id"], frame["ts_us"], strict=True)]
+            self.waiting.appendList(taken)
+            least = min(t for _, t in taken)
+            first = least if first is None else min(first, least)
+        if first is not None:
+            self.handle.registerTimer(max(first // 1000 + 1, timerValues.getCurrentWatermarkInMs() + 1))
+        yield from ()
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        passed = timerValues.getCurrentWatermarkInMs() * 1000
+        rows = list(self.waiting.get()) if self.waiting.exists() else []
+        ready = sorted((t, k) for k, t in rows if t < passed)
+        last, start = self.open.get() if self.open.exists() else (None, None)
+        found = []
+        for t, k in ready:
+            if last is None or t - last > self.gap_us:
+                start = t
+            last = t
+            found.append((key[0], k, str(start // 1000)))
+        later = [(k, t) for k, t in rows if t >= passed]
+        if later:
+            self.waiting.put(later)
+            self.handle.registerTimer(max(min(t for _, t in later) // 1000 + 1, timerValues.getCurrentWatermarkInMs() + 1))
+        else:
+            self.waiting.clear()
+        if later or last is not None and passed <= last + self.gap_us:
+            if last is not None:
+                self.open.update((last, start))
+                # what comes after the gap begins anew, so nothing need be known of the session then
+                self.handle.registerTimer((last + self.gap_us) // 1000 + 2)
+        else:
+            self.open.clear()
+        if found:
+            yield pd.DataFrame(found, columns=self.columns)
+
+    def close(self) -> None:
+        pass
+
+
 def event_sessions(stream: DataFrame, lateness: str = LATENESS, gap_minutes: int = rules.SESSION_GAP_MINUTES) -> DataFrame:
-    """client_id, event_id, session_id as events arrive.
+    """client_id, event_id, session_id, given out when the watermark has passed an event.
 
-    The state of a client is its last event time and session; it ends when
-    the watermark has passed the gap.  Within a micro-batch a client's events
-    are ordered by time.
+    Rows wait in their client's list state until then and are taken in order
+    of event time, so the result is that of the batch operator in whatever
+    order rows arrive within `lateness`; rows that come later than that are
+    dropped.  A client's state ends a gap after its last event.  Needs a
+    state store with lists and timers (RocksDB; session.SETTINGS names it).
     """
-    names = ["client_id", "event_id", "ts_us"]
     kinds = dict(stream.dtypes)
-    output = ", ".join(f"{n} {kinds[n]}" for n in names[:2]) + ", session_id string"
-    gap = gap_minutes * T.US_PER_MINUTE
-
-    def number(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        last, start = state.get if state.exists else (None, None)
-        rows = pd.concat([f[names] for f in frames]).sort_values(["ts_us", "event_id"])
-        at = rows["ts_us"].astype("int64")
-        before = at.shift(fill_value=int(last) if last is not None else int(at.iloc[0]) - gap - 1)
-        opens = (at - before) > gap
-        starts = at.where(opens).ffill()
-        starts = starts.fillna(start if start is not None else at.iloc[0]).astype("int64")
-        state.update((int(max(at.iloc[-1], last or 0)), int(starts.iloc[-1])))
-        state.setTimeoutTimestamp(max((int(at.iloc[-1]) + gap) // 1000 + 1, state.getCurrentWatermarkMs() + 1))
-        yield rows.assign(session_id=(starts // 1000).astype(str))[["client_id", "event_id", "session_id"]]
-
+    names = ["client_id", "event_id", "session_id"]
+    output = f"client_id {kinds['client_id']}, event_id {kinds['event_id']}, session_id string"
+    processor = _Sessions(gap_minutes * T.US_PER_MINUTE, f"event_id {kinds['event_id']}, ts_us long", names)
     return (
-        stream.withWatermark("ts", lateness)
-        .groupBy("client_id")
-        .applyInPandasWithState(number, output, "last long, start long", "append", GroupStateTimeout.EventTimeTimeout)
+        stream.select("client_id", "event_id", "ts_us", "ts").withWatermark("ts", lateness).groupBy("client_id")
+        .transformWithStateInPandas(processor, output, "Append", "EventTime")
     )
 
 

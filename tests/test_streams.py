@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import os
 import random
 
 import pytest
@@ -74,6 +75,47 @@ def test_event_sessions(spark, source):
     assert got == want
 
 
+def feed_in_order(folder, parts):
+    """Files that a stream reads one a micro-batch, in this order."""
+    folder.mkdir()
+    for i, rows in enumerate(parts):
+        path = folder / f"{i:03}.json"
+        path.write_text("\n".join(json.dumps(r) for r in rows))
+        os.utime(path, (1_700_000_000 + i, 1_700_000_000 + i))
+    return str(folder)
+
+
+def one_file_a_batch(spark, folder):
+    raw = spark.readStream.schema(schemas.USAGE_EVENTS).option("maxFilesPerTrigger", 1).json(folder)
+    return raw.withColumn("ts", F.timestamp_micros("ts_us"))
+
+
+FLUSH = {"client_id": "flush", "event_id": -1, "ts_us": 1_800_000_000_000_000, "event": "panel_opened", "params_json": "{}", "once": False}
+
+
+def test_event_sessions_of_shuffled_batches(spark, tmp_path):
+    """Rows out of order by less than the lateness, over many micro-batches: the ids of the batch operator."""
+    rnd = random.Random(6)
+    rows = sorted(events(120, seed=9), key=lambda r: r["ts_us"] + rnd.randrange(9 * MINUTE))
+    # a file spans more than it is out of order, so no row is behind the watermark of the files before it
+    parts = [rows[i:i + 30] for i in range(0, len(rows), 30)]
+    folder = feed_in_order(tmp_path / "in", [*parts, [FLUSH]])
+    batch = spark.read.schema(schemas.USAGE_EVENTS).json(folder).filter("client_id <> 'flush'")
+    want = {r.event_id: r.session_id for r in T.with_session_id(batch).collect()}
+    got = [(r.event_id, r.session_id) for r in run(spark, usage.event_sessions(one_file_a_batch(spark, folder))) if r.client_id != "flush"]
+    assert len(got) == len(want) and dict(got) == want
+
+
+def test_late_events_are_dropped(spark, tmp_path):
+    at = 1_700_000_000_000_000
+    event = lambda i, t: {**FLUSH, "client_id": "a", "event_id": i, "ts_us": at + t * MINUTE}
+    # the watermark stands at 110 minutes when 3 (late) and 4 (not late) come; 4 joins the session of 2
+    folder = feed_in_order(tmp_path / "in", [[event(1, 0), event(2, 120)], [event(9, 121)], [event(3, 20), event(4, 115)], [FLUSH]])
+    got = {r.event_id: r.session_id for r in run(spark, usage.event_sessions(one_file_a_batch(spark, folder))) if r.client_id != "flush"}
+    first, second = str(at // 1000), str((at + 115 * MINUTE) // 1000)
+    assert got == {1: first, 4: second, 2: second, 9: second}
+
+
 def test_capped_errors(spark, source):
     stream, batch = source
     limit = 2
