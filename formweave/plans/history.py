@@ -90,10 +90,11 @@ def fill_log_ring(spark: SparkSession, d: str) -> DataFrame:
 
 
 def outcome_rollup(spark: SparkSession, d: str) -> DataFrame:
-    """Field outcomes by domain (of the supplier), board (of the part) and tier, with totals; 'all' stands for a total."""
+    """Field outcomes by domain (of the supplier), board (of the part) and tier, with totals; n_summed tells a total, shown as 'all', from a null, shown alike."""
     shown = lambda c: F.coalesce(F.col(c), F.lit("all")).alias(c)
     rates = K.outcome_rates(_outcomes(spark, d), "domain", "ats", "source", totals=True)
-    return rates.select("day", *[shown(c) for c in ("domain", "ats", "source")], "fields", "filled", "review", "abstain", "failed")
+    return rates.select("day", *[shown(c) for c in ("domain", "ats", "source")], "fields", "filled", "review", "abstain", "failed",
+                        F.col("n_summed").cast("long").alias("n_summed"))
 
 
 def outcome_rates(spark: SparkSession, d: str) -> DataFrame:
@@ -262,7 +263,8 @@ WITH o AS (SELECT epoch_us(l_shipdate) // 86400000000 AS day, 'shop' || (l_suppk
         WHEN l_quantity > 25 THEN 'review' ELSE 'abstain' END AS outcome FROM lineitem)
 SELECT day, coalesce(domain, 'all') AS domain, coalesce(ats, 'all') AS ats, coalesce(source, 'all') AS source,
    count(*) AS fields, count(*) FILTER (outcome = 'filled') AS filled, count(*) FILTER (outcome = 'review') AS review,
-   count(*) FILTER (outcome = 'abstain') AS abstain, count(*) FILTER (outcome = 'failed') AS failed
+   count(*) FILTER (outcome = 'abstain') AS abstain, count(*) FILTER (outcome = 'failed') AS failed,
+   (GROUPING(domain) + GROUPING(ats) + GROUPING(source))::BIGINT AS n_summed
 FROM o GROUP BY day, ROLLUP (domain, ats, source)""",
     "documents_by_role": f"""WITH {_CHANGES}
 SELECT cand, seq AS id, ts_us AS added_us, CASE WHEN ats = 'lever' THEN 'resume' ELSE 'coverLetter' END AS role FROM c

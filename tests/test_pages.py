@@ -183,35 +183,47 @@ def test_golden_gates(spark, signals):
     assert gate.recall_ok and gate.precision_ok and gate.forbidden_ok
 
 
-POST = [
-    {"label": "Surname"}, {"label": "Forename"}, {"label": "Contact email", "kind": "email"}, {"label": "Mobile number", "kind": "tel"},
-    {"label": "Curriculum vitae", "kind": "file", "accept": ".odt,.pdf"},
-    {"label": "Do you have the right to work on this island?", "kind": "radio_group"},
-]
-FORMS = {
-    "board": ("https://boards.greenhouse.io/lighthouse/jobs/77", "Lamp Keeper", POST, 11, True),
-    "careers": ("https://harbour.example/careers/apply/pilot", "Harbour", POST, 11, True),
-    "login": ("https://crew.example/enter", "Crew room", [{"label": "E-mail", "kind": "email"}, {"label": "Password"}], -3, False),
-    "shop": ("https://chandler.example/till", "Till", [{"label": x} for x in ("Forename", "Surname", "Contact email", "Card number", "CVV")], -1, False),
-    "news": ("https://tides.example/letter", "Tide letter", [{"label": "E-mail", "kind": "email"}, {"label": "Your name"}], 2, False),
-    "one": ("https://mast.example/apply", "Rigging", [{"label": "Resume", "kind": "file"}], 0, False),
-    "cv": ("https://mast.example/jobs/apply", "Mast",
-           [{"label": "E-mail address", "kind": "email"}, {"label": "Attach your CV", "kind": "file", "accept": ".pdf"}], 6, True),
-    "title": ("https://mast.example/y", "Job list",
-              [{"label": "p"}, {"label": "q", "kind": "file"}, {"label": "unseen email", "visible": False}], 2, False),
+# one page a rule of the scoring table, its edges, and sums around the threshold; each has two fields that score nothing besides
+PLAIN = [{"label": "Lantern"}, {"label": "Rope"}]
+QUIET = ("https://mast.example/y", "Mast")
+FILE = {"label": "Chart", "kind": "file"}
+PLACES = [{"label": x} for x in ("First name", "Last name", "City", "Country", "LinkedIn")]
+SCORES = {
+    "nothing": (*QUIET, [], 0),
+    "file named a resume": (*QUIET, [{**FILE, "label": "Resume"}], 3),
+    "file for documents": (*QUIET, [{**FILE, "accept": ".doc"}], 3),
+    "file for pictures": (*QUIET, [{**FILE, "accept": ".png"}], 1),
+    "both kinds of file": (*QUIET, [FILE, {**FILE, "accept": ".doc"}], 3),
+    "one known": (*QUIET, PLACES[:1], 0),
+    "two known": (*QUIET, PLACES[:2], 1),
+    "three known": (*QUIET, PLACES[:3], 2),
+    "four known": (*QUIET, PLACES[:4], 2),
+    "five known": (*QUIET, PLACES, 3),
+    "unseen": (*QUIET, [{**f, "visible": False} for f in PLACES], 0),
+    "sensitive": (*QUIET, [{"label": "Gender"}], 2),
+    "mail by kind": (*QUIET, [{"label": "Gull", "kind": "email"}], 1),
+    "mail by autocomplete": (*QUIET, [{"label": "Gull", "autocomplete": "email"}], 1),
+    "address": ("https://mast.example/careers/9", "Mast", [], 2),
+    "title": ("https://mast.example/y", "Jobs on board", [], 1),
+    "address before title": ("https://mast.example/careers/9", "Jobs on board", [], 2),
+    "coupon": (*QUIET, [{"label": "Coupon"}], -4),
+    "two negatives count once": (*QUIET, [{"label": "Coupon"}, {"label": "Password"}], -4),
+    "five": ("https://mast.example/careers/9", "Mast", [{**FILE, "accept": ".doc"}], 5),
+    "six": ("https://mast.example/careers/9", "Mast", [{**FILE, "accept": ".doc"}, {"label": "Gull", "kind": "email"}], 6),
+    "six less four": ("https://mast.example/careers/9", "Mast", [{**FILE, "accept": ".doc"}, {"label": "Gull", "kind": "email"}, {"label": "Coupon"}], 2),
 }
 
 
 def test_form_classifier(spark):
-    cases = {f"{p}/{i}": {"page_id": p, **f} for p, (_, _, fs, _, _) in FORMS.items() for i, f in enumerate(fs)}
-    pages = spark.createDataFrame([(p, u, t) for p, (u, t, *_) in FORMS.items()], "page_id string, url string, title string")
+    cases = {f"{p}/{i}": {"page_id": p, **f} for p, (_, _, fs, _) in SCORES.items() for i, f in enumerate(PLAIN + fs)}
+    cases["alone/0"] = {"page_id": "alone", **FILE, "accept": ".doc"}
+    of = {p: (u, t) for p, (u, t, *_) in SCORES.items()} | {"alone": ("https://mast.example/careers/9", "Mast")}
+    pages = spark.createDataFrame([(p, u, t) for p, (u, t) in of.items()], "page_id string, url string, title string")
     got = {r.page_id: r for r in classify_forms(pages, fields(spark, cases)).collect()}
-    assert {p: (r.score, r.is_application) for p, r in got.items()} == {p: (s, a) for p, (_, _, _, s, a) in FORMS.items()}
-    assert got["board"].reasons == [
-        "+3 resume/CV upload field", "+3 6 recognized application fields", "+2 work-authorization/EEO questions present",
-        "+1 email field", "+2 application-like URL"]
-    assert got["login"].reasons == ["+1 email field", "-4 password/payment fields present"]
-    assert got["one"].reasons == ["fewer than 2 visible fields"]
+    assert {p: got[p].score for p in SCORES} == {p: s for p, (*_, s) in SCORES.items()}
+    assert {p for p, r in got.items() if r.is_application} == {p for p, (*_, s) in SCORES.items() if s >= 6}
+    assert got["six less four"].reasons == ["+3 resume/CV upload field", "+1 email field", "+2 application-like URL", "-4 password/payment fields present"]
+    assert (got["alone"].score, got["alone"].reasons) == (0, ["fewer than 2 visible fields"])
 
 
 def test_few_controls_and_empty_for(spark):
