@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from formweave import schemas
 from formweave.operators import telemetry as T
 from formweave.operators import tracker as K
+from formweave.operators.answers import save_answers
 from formweave.streaming import live, usage
 
 MINUTE = 60_000_000
@@ -167,27 +168,113 @@ def changes(n, seed=4):
              rnd.choice(["offer", "rejected"]), rnd.choice([0, 3])) for i in range(n)]
 
 
+def by_batch(spark, rows, schema, n):
+    size = -(-len(rows) // n)
+    return [spark.createDataFrame(rows[i * size:(i + 1) * size], schema) for i in range(n)]
+
+
+def as_rows(df):
+    return sorted(map(tuple, df.collect()), key=str)
+
+
+def files_of(run):
+    return sorted((p, os.path.getmtime(os.path.join(d, p))) for d, _, names in os.walk(run.path.removeprefix("file:")) for p in names)
+
+
 def test_live_applications_and_replay(spark, tmp_path):
     rows = sorted(changes(200), key=lambda r: (r[2], r[1]))
-    apply = live.fold_into(str(tmp_path / "apps"), live.applications_fold, buckets=4)
-    frames = [spark.createDataFrame(rows[i * 70:(i + 1) * 70], CHANGE) for i in range(3)]
+    path = str(tmp_path / "apps")
+    apply = live.fold_into(path, live.applications_fold, fanout=3)
+    frames = by_batch(spark, rows, CHANGE, 5)
     for batch_id, frame in enumerate(frames):
         apply(frame, batch_id)
-    apply(frames[2], 2)  # replay
-    want = sorted(map(tuple, K.applications(spark.createDataFrame(rows, CHANGE)).collect()), key=str)
-    got = sorted(map(tuple, live.live_applications(spark, str(tmp_path / "apps")).collect()), key=str)
-    assert got == want and len(want) > 3
+    runs = live.current_runs(spark, path)
+    assert len(runs) < 5 and (runs[0].first, runs[-1].last) == (0, 4)
+    assert all(a.last + 1 == b.first for a, b in zip(runs, runs[1:]))
+    want = as_rows(K.applications(spark.createDataFrame(rows, CHANGE)))
+    assert as_rows(live.live_applications(spark, path)) == want and len(want) > 3
+    # batches replayed, alone or merged into a larger run meanwhile, have no effect
+    apply(frames[4], 4)
+    apply(frames[2], 2)
+    assert as_rows(live.live_applications(spark, path)) == want
+    assert as_rows(live.live_applications(spark, path, "p")) == [r for r in want if r[0] == "p"]
+    assert live.live_applications(spark, path, "nobody").isEmpty()
+
+
+def test_a_batch_writes_only_its_own_rows(spark, tmp_path):
+    path = str(tmp_path / "apps")
+    apply = live.fold_into(path, live.applications_fold, fanout=4)
+    frames = by_batch(spark, sorted(changes(90), key=lambda r: (r[2], r[1])), CHANGE, 3)
+    before = {}
+    for batch_id, frame in enumerate(frames):
+        apply(frame, batch_id)
+        runs = live.current_runs(spark, path)
+        assert len(runs) == batch_id + 1 and spark.read.parquet(runs[-1].path).count() == 30
+        assert all(files_of(r) == before[r.path] for r in runs[:-1])
+        before = {r.path: files_of(r) for r in runs}
+
+
+def test_a_broken_write_is_done_again_and_empty_batches_pass(spark, tmp_path):
+    path = str(tmp_path / "log")
+    schema = "cand string, id string, at_us long"
+    apply = live.fold_into(path, live.fill_log_fold)
+    frame = spark.createDataFrame([("p", "e1", 1), ("p", "e2", 2)], schema)
+    with pytest.raises(FileNotFoundError):
+        live.stored_rows(spark, path)
+    apply(frame.limit(0), 0)
+    apply(frame, 1)
+    [run] = live.current_runs(spark, path)
+    os.remove(run.path.removeprefix("file:") + "/_SUCCESS")
+    with pytest.raises(FileNotFoundError):
+        live.stored_rows(spark, path)
+    apply(frame, 1)
+    assert as_rows(live.live_fill_log(spark, path).select("id")) == [("e1",), ("e2",)]
+
+
+def test_buckets_are_split_as_the_table_grows(spark, tmp_path):
+    path = str(tmp_path / "log")
+    schema = "cand string, id string, at_us long"
+    # candidate c0 holds a third of the rows
+    entries = [(f"c{0 if i % 3 == 0 else i % 40}", f"e{i:04}", i) for i in range(800)]
+    apply = live.fold_into(path, live.fill_log_fold, fanout=2, bucket_bytes=4000)
+    seen = []
+    for batch_id, frame in enumerate(by_batch(spark, entries, schema, 5)):
+        apply(frame, batch_id)
+        seen.append(live.current_runs(spark, path)[0].buckets)
+    assert seen[0] == 1 and seen == sorted(seen) and seen[-1] >= 4
+    want = K.fill_log(spark.createDataFrame(entries, schema))
+    assert as_rows(live.live_fill_log(spark, path).select("cand", "id")) == as_rows(want.select("cand", "id"))
+    for cand in ("c0", "c7"):
+        one = live.live_fill_log(spark, path, cand)
+        assert as_rows(one.select("cand", "id")) == as_rows(want.filter(F.col("cand") == cand).select("cand", "id"))
 
 
 def test_live_fill_log(spark, tmp_path):
     entries = [("p" if i % 3 else "q", f"e{i:03}", i * 10) for i in range(200)]
-    apply = live.fold_into(str(tmp_path / "log"), live.fill_log_fold, buckets=2)
+    path = str(tmp_path / "log")
+    apply = live.fold_into(path, live.fill_log_fold, fanout=2)
     for b in range(2):
         apply(spark.createDataFrame(entries[b::2], "cand string, id string, at_us long"), b)
-    kept = spark.read.parquet(str(tmp_path / "log")).groupBy("cand").agg(F.count("*").alias("n"), F.min("at_us").alias("m")).collect()
+    # merged into one run that holds no more than is kept
+    [run] = live.current_runs(spark, path)
+    assert spark.read.parquet(run.path).count() == 100
+    kept = live.live_fill_log(spark, path).groupBy("cand").agg(F.count("*").alias("n"), F.min("at_us").alias("m")).collect()
     assert {r.cand: r.n for r in kept} == {"p": 50, "q": 50} and min(r.m for r in kept) > 500
 
 
+def test_live_answers(spark, tmp_path):
+    schema = "cand string, seq long, ts_us long, question string, answer string"
+    asked = ["Why this team?", "Why this  TEAM", "What is your notice period?", "What is your notice periods?", "Your favourite tool"]
+    rnd = random.Random(8)
+    saves = [(rnd.choice("pq"), i, i * 10, rnd.choice(asked), f"A{i}") for i in range(40)]
+    path = str(tmp_path / "answers")
+    apply = live.fold_into(path, live.answers_fold, fanout=2)
+    for batch_id, frame in enumerate(by_batch(spark, saves, schema, 4)):
+        apply(frame, batch_id)
+    want = save_answers(spark.createDataFrame(saves, schema), spark.createDataFrame([], schemas.ANSWERS))
+    assert as_rows(live.live_answers(spark, path)) == as_rows(want)
+
+
 def test_milestones(spark):
     rows = spark.createDataFrame(changes(40), CHANGE)
     out = T.first_only(live.milestones(rows).filter("once"))
