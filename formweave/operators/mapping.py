@@ -4,10 +4,10 @@ signals: cand, page_id, ref, kind, label, placeholder, name_attr, id_attr,
 autocomplete, section_heading, options, visible, accept, max_length, ats,
 company, role, date_format_hint.
 
-Keys come from literal rule tables without a join.  Profile values join on
-(cand, key), documents on (cand, role); only what the rules leave open goes
-to the saved answers, as distinct questions.  Rows without a join key get a
-private one, so they never gather in one partition.
+Keys come from literal rule tables without a join.  Profile values and
+documents, one row a candidate, join on the candidate; only what the rules
+leave open goes to the saved answers, as distinct questions.  Rows without a
+join key get a private one, so they never gather in one partition.
 """
 
 from __future__ import annotations
@@ -20,9 +20,10 @@ from formweave.functions.dates import format_for_field
 from formweave.functions.text import looks_like_consent, normalize_label, numeric_only, truncate
 from formweave.functions.urls import has_placeholders, substitute_template
 from formweave.operators.options import resolve_each, resolve_option
-from formweave.operators.profiles import profile_values
+from formweave.operators.profiles import value_maps
 from formweave.operators.retrieval import FUZZY_THRESHOLD, retrieve_answers
-from formweave.operators.tracker import documents_by_role
+from formweave.schemas import DOCUMENT_ROLES
+from formweave.session import checkpoint_dir
 
 OPTION = "struct<value:string,text:string>"
 DECISION = {
@@ -76,27 +77,33 @@ def _own_key(wanted: Column) -> Column:
 
 
 def attach_values(matched: DataFrame, profiles: DataFrame, documents: DataFrame) -> DataFrame:
-    """Adds risk, the profile value of the key (p_*) and the stored document of a file field (doc)."""
+    """Adds risk, the profile value of the key (p_*) and the stored document of a file field (doc).
+
+    A candidate's values and documents are one row, and fields meet it in one
+    join by candidate: they are sent once, and values are not unfolded.  Fields
+    no rule knows join nothing; the fields of a candidate with very many of
+    them are split by adaptive execution, which repeats the candidate's row.
+    """
     key = F.col("rule_key")
     rows = matched.withColumn("risk", F.when(key.isNotNull(), R.risk_class(key))).withColumn(
         "is_file", key.isNotNull() & ((F.col("risk") == "file") | (F.col("kind") == "file"))
     )
     role = F.when(F.col("is_file"), F.when(key == "attachments.coverLetter", "coverLetter").otherwise("resume"))
-    values = profile_values(profiles).select(
-        "cand", F.col("key").alias("v_key"), F.col("text").alias("p_text"), F.col("values").alias("p_values"),
-        F.col("bool_value").alias("p_bool"), F.col("explicit").alias("p_explicit"),
-    )
-    docs = documents_by_role(documents).select(
-        "cand", F.col("role").alias("d_role"),
-        F.struct(F.col("id"), F.col("file_name"), F.col("mime")).alias("doc"),
-    )
+    doc = F.struct(F.col("id"), F.col("file_name"), F.col("mime"))
+    newest = lambda r: F.max_by(doc, F.when(F.col("role") == r, F.struct("added_us", "id"))).alias(f"doc_{r}")
+    docs = documents.groupBy("cand").agg(*[newest(r) for r in DOCUMENT_ROLES])
+    kept = value_maps(profiles).join(docs, "cand", "full").withColumnRenamed("cand", "owner")
+    value = F.when(~F.col("is_file"), F.col("by_key")[key])
     return (
         rows.withColumn("doc_role", role)
-        .withColumn("v_key", _own_key(F.when(~F.col("is_file"), key)))
-        .join(values, ["cand", "v_key"], "left")
-        .withColumn("d_role", _own_key(role))
-        .join(docs, ["cand", "d_role"], "left")
-        .drop("v_key", "d_role")
+        .withColumn("owner", _own_key(F.when(key.isNotNull(), F.col("cand"))))
+        .join(kept, "owner", "left")
+        .withColumns({
+            "p_text": value["text"], "p_values": value["values"], "p_bool": value["bool_value"],
+            "p_explicit": value["explicit"],
+            "doc": F.coalesce(*[F.when(F.col("doc_role") == r, F.col(f"doc_{r}")) for r in DOCUMENT_ROLES]),
+        })
+        .drop("owner", "by_key", *[f"doc_{r}" for r in DOCUMENT_ROLES])
     )
 
 
@@ -254,6 +261,12 @@ def map_fields(
     signals: DataFrame, profiles: DataFrame, answers: DataFrame, documents: DataFrame,
     threshold: float = FUZZY_THRESHOLD,
 ) -> DataFrame:
-    """Decisions for all signals: rules, values, answers, options, score and gates."""
-    valued = attach_values(match_keys(signals), profiles, documents)
+    """Decisions for all signals: rules, values, answers, options, score and gates.
+
+    Fields with their keys and values are read several times by the lookup of
+    answers, and the rules are dear, so they are written once by a checkpoint in
+    the session's shared folder.
+    """
+    checkpoint_dir(signals.sparkSession)
+    valued = attach_values(match_keys(signals), profiles, documents).checkpoint()
     return decide(attach_answers(valued, answers, threshold))

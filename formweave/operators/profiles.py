@@ -19,11 +19,10 @@ EXPLICIT_KEYS = {
 }
 
 
-def profile_values(profiles: DataFrame) -> DataFrame:
-    """cand, key, text, values, bool_value, explicit; keys without a value have no row.
+def _entries() -> Column:
+    """Array of (key, text, values, bool_value, explicit) of a profile; keys without a value are left out.
 
-    The most recent work and education entries are the first ones.  A narrow
-    step: each profile unfolds into at most 47 rows where it lies.
+    The most recent work and education entries are the first ones.
     """
     text = lambda c: F.coalesce(c, F.lit(""))
     part = lambda group, name: text(F.col(f"{group}.{name}"))
@@ -62,7 +61,22 @@ def profile_values(profiles: DataFrame) -> DataFrame:
         row("skills.list", F.array_join("skills", ", "), values=F.col("skills")),
         *[row(key, trim_ws(part("explicit", name)), explicit=True) for name, key in EXPLICIT_KEYS.items()],
     ]
-    return profiles.select("cand", F.inline(F.array(*rows))).filter("text <> '' OR size(values) > 0")
+    has_value = lambda e: (e["text"] != "") | (F.size(e["values"]) > 0)
+    return F.filter(F.array(*rows), has_value)
+
+
+def profile_values(profiles: DataFrame) -> DataFrame:
+    """cand, key, text, values, bool_value, explicit; keys without a value have no row.
+
+    A narrow step: each profile unfolds into at most 47 rows where it lies.
+    """
+    return profiles.select("cand", F.inline(_entries()))
+
+
+def value_maps(profiles: DataFrame) -> DataFrame:
+    """cand, by_key: a map of the rows of profile_values, so that a profile stays one row."""
+    entry = lambda e: F.struct(e["key"], e.dropFields("key"))
+    return profiles.select("cand", F.map_from_entries(F.transform(_entries(), entry)).alias("by_key"))
 
 
 def ready(profiles: DataFrame, settings: DataFrame | None = None) -> DataFrame:

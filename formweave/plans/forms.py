@@ -94,7 +94,7 @@ def page_gate(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _stored_signals(spark: SparkSession, d: str) -> DataFrame:
-    """Signals written once: mapping reads them twice, and pages are dear to parse."""
+    """Signals written once: they are read beside their decisions, and pages are dear to parse."""
     checkpoint_dir(spark)
     return _signals(spark, d).checkpoint()
 
@@ -173,13 +173,13 @@ def form_detection(spark: SparkSession, d: str) -> DataFrame:
 
 
 def field_mapping(spark: SparkSession, d: str) -> DataFrame:
-    return _decisions(spark, d, _stored_signals(spark, d)).select(
+    return _decisions(spark, d, _signals(spark, d)).select(
         "page_id", "ref", "canonical", "source", "value", "action", "confidence"
     )
 
 
 def field_actions(spark: SparkSession, d: str) -> DataFrame:
-    return L.action_counts(_decisions(spark, d, _stored_signals(spark, d))).drop("cand")
+    return L.action_counts(_decisions(spark, d, _signals(spark, d))).drop("cand")
 
 
 def fill_instructions(spark: SparkSession, d: str) -> DataFrame:

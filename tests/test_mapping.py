@@ -5,7 +5,8 @@ from __future__ import annotations
 import pytest
 from people import EXPLICIT, answer, answers, document, documents, fields, options, person, profiles
 
-from formweave.operators.mapping import map_fields
+from formweave.operators.mapping import attach_values, map_fields
+from formweave.operators.profiles import profile_values
 
 GENDER = options(("1", "Woman"), ("2", "Man"), ("3", "Nonbinary"), ("9", "Prefer not to answer"))
 YES_NO = options(("j", "Yes"), ("n", "No"))
@@ -137,3 +138,38 @@ def test_decision(decided, name):
 
 def test_every_field_decided_once(decided):
     assert set(decided) == set(CASES)
+
+
+def test_values_and_documents_of_a_candidate_with_most_fields(spark):
+    """Fields of one candidate, a third of all, meet their values in split partitions, whole."""
+    hot = [{"cand": "set" if i % 3 == 0 else "teo" if i % 2 else f"c{i % 50}"} for i in range(3000)]
+    keys = ["basics.email", "eeo.gender", "attachments.resume", "attachments.coverLetter", "work.school", None]
+    rows = [(f["cand"], f"p{i}", str(i), "text" if i % 7 else "file", keys[i % len(keys)]) for i, f in enumerate(hot)]
+    # a candidate without a name, and one with documents only
+    rows += [(None, "n", "0", "text", "basics.email"), ("doc", "n", "1", "file", "attachments.resume")]
+    matched = spark.createDataFrame(rows, "cand string, page_id string, ref string, kind string, rule_key string").repartition(8)
+    people = profiles(spark, person("set", EXPLICIT), person("teo"), *[person(f"c{i}") for i in range(50)])
+    papers = documents(spark, document("set", "d1", "resume", "a.pdf"), document("set", "d2", "coverLetter", "b.pdf"),
+                       document("doc", "d3", "resume", "c.pdf"))
+    values = {(r.cand, r.key): r.text for r in profile_values(people).collect()}
+    given = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "8k", "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.2",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "4k",
+    }
+    before = {k: spark.conf.get(k, None) for k in given}
+    try:
+        for k, v in given.items():
+            spark.conf.set(k, v)
+        out = attach_values(matched, people, papers)
+        got = out.collect()
+        plan = out._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v) if v is not None else spark.conf.unset(k)
+    assert "skew=true" in plan
+    assert len(got) == len(rows) and {r.ref for r in got if r.page_id != "n"} == {r[2] for r in rows[:-2]}
+    stored = {("set", "resume"): "d1", ("set", "coverLetter"): "d2", ("doc", "resume"): "d3"}
+    for r in got:
+        assert r.p_text == (None if r.is_file else values.get((r.cand, r.rule_key)))
+        assert (r.doc.id if r.doc else None) == (stored.get((r.cand, r.doc_role)) if r.is_file else None)
