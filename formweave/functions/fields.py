@@ -81,12 +81,18 @@ def file_key(kind: Column, norm: Column) -> Column:
     )
 
 
-def match_field(ats: str, id_attr: str, name_attr: str, autocomplete: str, norm: str, section_norm: str, kind: str) -> Column:
-    """struct(canonical, source) of the first tier that knows the field; arguments are column names."""
+def match_field(
+    ats: str, id_attr: str, name_attr: str, autocomplete: str, norm: str, section_norm: str, kind: str,
+    looked_up: Column | None = None,
+) -> Column:
+    """struct(canonical, source) of the first tier that knows the field; arguments are column names.
+
+    `looked_up` is the lexicon's key where a rule table has found it already.
+    """
     tiers = [
         (adapter_key(ats, id_attr, name_attr), "adapter"),
         (autocomplete_key(F.col(autocomplete)), "autocomplete"),
-        (lexicon_key(norm, section_norm), "lexicon"),
+        (lexicon_key(norm, section_norm) if looked_up is None else looked_up, "lexicon"),
         (file_key(F.col(kind), F.col(norm)), "lexicon"),
     ]
     return F.coalesce(

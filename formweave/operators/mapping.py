@@ -22,6 +22,7 @@ from formweave.functions.urls import has_placeholders, substitute_template
 from formweave.operators.options import resolve_each, resolve_option
 from formweave.operators.profiles import value_maps
 from formweave.operators.retrieval import FUZZY_THRESHOLD, retrieve_answers
+from formweave.operators.rule_tables import with_lexicon
 from formweave.schemas import DOCUMENT_ROLES
 from formweave.session import checkpoint_dir
 
@@ -53,21 +54,29 @@ def _review(reason: Column, **given: Column) -> Column:
     return _decision(action=F.lit("review"), reason=reason, confidence=F.lit(0.0), **given)
 
 
-def match_keys(signals: DataFrame) -> DataFrame:
-    """Adds norm, hidden, consent and the key a rule finds (rule_key, rule_source)."""
+def match_keys(signals: DataFrame, lexicon: DataFrame | None = None) -> DataFrame:
+    """Adds norm, hidden, consent and the key a rule finds (rule_key, rule_source).
+
+    `lexicon` is a table of rules (`rule_tables`) in place of the literal one.
+    """
     label = F.coalesce(F.col("label"), F.lit(""))
     hidden = ~F.coalesce(F.col("visible"), F.lit(True))
     consent = (F.col("kind") == "checkbox") & looks_like_consent(label)
-    match = R.match_field("ats", "id_attr", "name_attr", "autocomplete", "norm", "section_norm", "kind")
+    columns = ["ats", "id_attr", "name_attr", "autocomplete", "norm", "section_norm", "kind"]
+    rows = signals.withColumn("norm", normalize_label(label)).withColumn(
+        "section_norm", normalize_label(F.coalesce(F.col("section_heading"), F.lit("")))
+    )
+    if lexicon is None:
+        match = R.match_field(*columns)
+    else:
+        rows, match = with_lexicon(rows, lexicon), R.match_field(*columns, looked_up=F.col("lexicon_key"))
     return (
-        signals.withColumn("norm", normalize_label(label))
-        .withColumn("section_norm", normalize_label(F.coalesce(F.col("section_heading"), F.lit(""))))
-        .withColumn("hidden", hidden)
+        rows.withColumn("hidden", hidden)
         .withColumn("consent", consent)
         .withColumn("_match", F.when(~hidden & ~consent, match))
         .withColumn("rule_key", F.col("_match.canonical"))
         .withColumn("rule_source", F.col("_match.source"))
-        .drop("_match", "section_norm")
+        .drop("_match", "section_norm", "lexicon_key")
     )
 
 
@@ -259,14 +268,16 @@ def decide(rows: DataFrame) -> DataFrame:
 
 def map_fields(
     signals: DataFrame, profiles: DataFrame, answers: DataFrame, documents: DataFrame,
-    threshold: float = FUZZY_THRESHOLD,
+    threshold: float = FUZZY_THRESHOLD, lexicon: DataFrame | None = None,
 ) -> DataFrame:
     """Decisions for all signals: rules, values, answers, options, score and gates.
 
+    `lexicon` is a table of label rules of any size in place of the literal one.
+
     Fields with their keys and values are read several times by the lookup of
     answers, and the rules are dear, so they are written once by a checkpoint in
     the session's shared folder.
     """
     checkpoint_dir(signals.sparkSession)
-    valued = attach_values(match_keys(signals), profiles, documents).checkpoint()
+    valued = attach_values(match_keys(signals, lexicon), profiles, documents).checkpoint()
     return decide(attach_answers(valued, answers, threshold))

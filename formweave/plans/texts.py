@@ -11,6 +11,7 @@ from formweave.functions import text as X
 from formweave.operators import answers as A
 from formweave.operators import options as O
 from formweave.operators import retrieval as R
+from formweave.operators.rule_tables import with_lexicon
 from formweave.operators.spread import spread
 from formweave.plans.common import table
 
@@ -80,6 +81,29 @@ def answer_duplicates(spark: SparkSession, d: str) -> DataFrame:
     return hits.select("key", "id", "source", F.round("score", 6).alias("score"))
 
 
+def _passage_rules(spark: SparkSession, d: str) -> DataFrame:
+    """Rules from benchmark lines: the first by the whole line, one per pair of words; odd ones under lines that hold the next word."""
+    lines = _lines(table(spark, d, "benchmark"), "item_id").select("item_id", "line", F.split("key", " ").alias("w"), "key")
+    places = F.explode(F.sequence(F.lit(1), F.size("w"))).alias("n")
+    at = lambda i: F.get("w", F.col("n") + i)
+    some = lambda when, value: F.when(when, F.array(value)).otherwise(F.array().cast("array<string>"))
+    return lines.select("item_id", "line", "w", F.col("key").alias("whole"), places).select(
+        (F.col("item_id") * 1_000_000 + F.col("line") * 1000 + F.col("n")).alias("ord"),
+        F.concat_ws("-", "item_id", "line", "n").alias("key"),
+        some(F.col("n") == 1, F.col("whole")).alias("exact"),
+        some((F.col("n") > 1) & at(-1).isNotNull(), F.concat(at(-2), F.lit(" "), at(-1))).alias("contains"),
+        some((F.col("n") % 2 == 1) & at(0).isNotNull(), at(0)).alias("section_any"),
+    )
+
+
+def label_rules(spark: SparkSession, d: str) -> DataFrame:
+    """Lines of documents as labels under the line before, keyed by a table of rules."""
+    before = F.coalesce(F.lag("key").over(Window.partitionBy("doc_id").orderBy("line")), F.lit(""))
+    lines = _lines(spread(table(spark, d, "documents").select("doc_id", "text"), "doc_id", "text"), "doc_id")
+    labels = lines.select("doc_id", F.col("line").cast("long").alias("line"), F.col("key").alias("norm"), before.alias("section_norm"))
+    return with_lexicon(labels, _passage_rules(spark, d)).select("doc_id", "line", F.col("lexicon_key").alias("key"))
+
+
 def question_answer_pairs(spark: SparkSession, d: str) -> DataFrame:
     """User turns with the assistant turn that follows."""
     w = Window.partitionBy("conv_id").orderBy("turn")
@@ -149,7 +173,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         label_normalize, label_sets, turn_similarity, answer_retrieval, answer_duplicates, question_answer_pairs,
-        answers_saved, option_resolution, meaning_pairs,
+        label_rules, answers_saved, option_resolution, meaning_pairs,
     )
 }
 
@@ -228,6 +252,18 @@ SELECT conv_id, turn, round({_jaccard('wa', 'wb')}, 6) AS words, round({_jaccard
        round(greatest({_jaccard('wa', 'wb')}, {_jaccard('ta', 'tb')}), 6) AS score FROM s""",
     "answer_retrieval": _retrieval_sql(R.FUZZY_THRESHOLD, True),
     "answer_duplicates": _retrieval_sql(R.DEDUP_THRESHOLD, False),
+    "label_rules": f"""WITH
+l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS raw, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line FROM documents),
+n AS (SELECT doc_id, line, {_NORM.format('raw')} AS norm FROM l),
+f AS MATERIALIZED (SELECT doc_id, line, norm, coalesce(lag(norm) OVER (PARTITION BY doc_id ORDER BY line), '') AS heading FROM n WHERE norm <> ''),
+b AS (SELECT item_id, unnest(string_split(text, chr(10))) AS raw, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line FROM benchmark),
+w AS (SELECT item_id, line, {_NORM.format('raw')} AS whole, string_split({_NORM.format('raw')}, ' ') AS w FROM b),
+p AS (SELECT *, unnest(range(1, len(w) + 1)) AS n FROM w WHERE whole <> ''),
+r AS MATERIALIZED (SELECT (item_id, line, n) AS ord, item_id || '-' || line || '-' || n AS key, CASE WHEN n = 1 THEN whole END AS exact,
+        CASE WHEN n > 1 THEN w[n - 1] || ' ' || w[n] END AS phrase, CASE WHEN n % 2 = 1 THEN w[n + 1] END AS word FROM p),
+k AS (SELECT doc_id, line, arg_min(key, ord) AS key FROM f JOIN r
+      ON (norm = exact OR contains(norm, phrase)) AND (word IS NULL OR contains(heading, word)) GROUP BY doc_id, line)
+SELECT f.doc_id, f.line, key FROM f LEFT JOIN k USING (doc_id, line)""",
     "answers_saved": _saved_sql(),
     "question_answer_pairs": f"""
 WITH n AS (SELECT *, lead(text) OVER w AS answer, lead(role) OVER w AS next_role FROM conversations
