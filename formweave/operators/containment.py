@@ -17,6 +17,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from formweave.operators.spread import spread
+
 #: Characters of the longest window; shorter ones serve shorter phrases.
 Q = 4
 #: Hash buckets in which windows are counted.
@@ -55,17 +57,19 @@ def contained_pairs(texts: DataFrame, phrases: DataFrame) -> DataFrame:
     texts: grp, text; phrases: grp, phrase.  Rows may repeat; null and empty
     texts and phrases are in no pair, nor are rows without a group.
     """
-    texts = texts.select("grp", "text").filter("grp IS NOT NULL AND text <> ''").distinct()
-    phrases = phrases.select("grp", "phrase").filter("grp IS NOT NULL AND phrase <> ''").distinct()
+    # windows are dear to make, so distinct rows are dealt out before
+    texts = spread(texts.select("grp", "text").filter("grp IS NOT NULL AND text <> ''").distinct(), "grp", "text")
+    phrases = spread(phrases.select("grp", "phrase").filter("grp IS NOT NULL AND phrase <> ''").distinct(), "grp", "phrase")
     of_text = _hashed(F.concat(*[_windows(F.col("text"), n) for n in range(1, Q + 1)]))
-    seen = texts.select("grp", "text", F.explode(of_text).alias("e"))
+    # the outer form keeps the optimizer from computing all windows twice, once to see whether there are any
+    seen = texts.select("grp", "text", F.explode_outer(of_text).alias("e"))
     n_texts = _counts(seen)
 
     short = F.length("phrase") < Q
     of_phrase = _hashed(F.when(short, F.array("phrase")).otherwise(_windows(F.col("phrase"), Q)))
-    # the aggregation follows the shuffle of distinct
+    # the aggregation follows that shuffle
     rarest = (
-        phrases.select("grp", "phrase", F.explode(of_phrase).alias("e"))
+        phrases.select("grp", "phrase", F.explode_outer(of_phrase).alias("e"))
         .withColumn("n", F.get(n_texts, _bucket(F.col("e"))))
         .groupBy("grp", "phrase").agg(F.min(F.struct("n", "e")).alias("kept"))
         .filter("kept.n > 0")
