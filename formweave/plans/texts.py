@@ -11,6 +11,7 @@ from formweave.functions import text as X
 from formweave.operators import answers as A
 from formweave.operators import options as O
 from formweave.operators import retrieval as R
+from formweave.operators.option_lists import resolve_in_lists
 from formweave.operators.rule_tables import with_lexicon
 from formweave.operators.spread import spread
 from formweave.plans.common import table
@@ -155,6 +156,29 @@ def option_resolution(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def option_lists(spark: SparkSession, d: str) -> DataFrame:
+    """Per order a spelling of its customer, resolved against the list of all customers of the market segment."""
+    customers = table(spark, d, "customer")
+    options = customers.select(
+        F.col("c_mktsegment").alias("list_id"), F.col("c_custkey").alias("pos"), F.col("c_custkey").cast("string").alias("value"),
+        F.concat("c_name", F.lit(" ("), "c_nationkey", F.lit(")")).alias("text"),
+    )
+    orders = table(spark, d, "orders").select("o_orderkey", "o_custkey")
+    digits = F.substring("c_name", 10, 9)
+    spelt = F.get(
+        F.array(
+            F.col("c_name"), F.col("c_custkey").cast("string"), digits, F.concat(digits, F.lit(", customer")), F.lit("Customer"),
+            F.concat("c_name", F.lit(" / "), "c_nationkey", F.lit(" please")), F.concat(F.lit("Client "), "c_custkey"),
+        ),
+        (F.col("o_orderkey") % 7).cast("int"),
+    )
+    wanted = orders.join(customers, F.col("o_custkey") == F.col("c_custkey")).select(
+        "o_orderkey", F.col("c_mktsegment").alias("list_id"), spelt.alias("desired")
+    )
+    found = resolve_in_lists(wanted, options)
+    return wanted.join(found, ["list_id", "desired"], "left").select("o_orderkey", "desired", F.col("option.value").alias("value"), "quality")
+
+
 def meaning_pairs(spark: SparkSession, d: str) -> DataFrame:
     """Do a customer's country and market mean the same as their neighbours' spellings?"""
     pick = lambda values: F.get(F.array(*[F.lit(v) for v in values]), F.col("c_nationkey") % len(values))
@@ -173,11 +197,12 @@ QUERIES = {
     f.__name__: f
     for f in (
         label_normalize, label_sets, turn_similarity, answer_retrieval, answer_duplicates, question_answer_pairs,
-        label_rules, answers_saved, option_resolution, meaning_pairs,
+        label_rules, answers_saved, option_resolution, option_lists, meaning_pairs,
     )
 }
 
 _NORM = r"trim(regexp_replace(regexp_replace(lower({0}), '\(required\)|\(optional\)', ' ', 'g'), '[^\p{{L}}\p{{N}}]+', ' ', 'g'))"
+_BARE = r"regexp_replace({0}, '\([^)]*\)', ' ', 'g')"
 _TRI = (
     "list_distinct(list_concat(list_concat(regexp_extract_all(' ' || {0} || ' ', '(?s).{{3}}'), "
     "regexp_extract_all({0} || ' ', '(?s).{{3}}')), regexp_extract_all(substr({0} || ' ', 2), '(?s).{{3}}')))"
@@ -279,6 +304,23 @@ SELECT c_custkey,
 FROM customer""".replace(
         "CASE WHEN c_nationkey % 4 = 3 THEN NULL", "CASE WHEN c_nationkey % 4 >= 2 THEN NULL"
     ),
+    "option_lists": f"""WITH
+o AS (SELECT c_mktsegment AS list_id, c_custkey AS pos, CAST(c_custkey AS VARCHAR) AS value, c_name || ' (' || c_nationkey || ')' AS text FROM customer),
+p AS MATERIALIZED (SELECT list_id, pos, value, {_NORM.format('text')} AS norm, {_TOK.format(_NORM.format("(text || ' ' || value)"))} AS words,
+       [{_NORM.format('text')}, {_NORM.format(_BARE.format('text'))}, {_NORM.format('value')}] AS keys FROM o),
+n AS (SELECT o_orderkey, c_mktsegment AS list_id, [c_name, CAST(c_custkey AS VARCHAR), substr(c_name, 10, 9), substr(c_name, 10, 9) || ', customer',
+        'Customer', c_name || ' / ' || c_nationkey || ' please', 'Client ' || c_custkey][o_orderkey % 7 + 1] AS desired
+      FROM orders JOIN customer ON o_custkey = c_custkey),
+w AS MATERIALIZED (SELECT DISTINCT list_id, desired, {_NORM.format('desired')} AS norm, {_TOK.format(_NORM.format('desired'))} AS words,
+       [{_NORM.format('desired')}, {_NORM.format(_BARE.format('desired'))}] AS keys FROM n),
+m AS (SELECT w.list_id, w.desired, list_has_any(p.keys, w.keys) AS meant, contains(p.norm, w.norm) OR contains(w.norm, p.norm) AS part,
+        list_has_all(p.words, w.words) AS worded, p.pos, p.value FROM w JOIN p ON p.list_id = w.list_id),
+r AS (SELECT list_id, desired, arg_min(value, pos) FILTER (meant) AS exact,
+        CASE WHEN count(*) FILTER (part) = 1 THEN max(value) FILTER (part) WHEN count(*) FILTER (worded) = 1 THEN max(value) FILTER (worded) END AS near
+      FROM m GROUP BY list_id, desired)
+SELECT o_orderkey, n.desired, coalesce(exact, near) AS value,
+  CASE WHEN exact IS NOT NULL THEN 'exact' WHEN near IS NOT NULL THEN 'substring' END AS quality
+FROM n LEFT JOIN r ON r.list_id = n.list_id AND r.desired = n.desired""",
     "meaning_pairs": """
 SELECT c_custkey, [true, true, true, true, false, true, false][c_nationkey % 7 + 1] AS same,
   ['US', 'NO', 'MA', 'TR', NULL, NULL, NULL][c_nationkey % 7 + 1] AS country,
