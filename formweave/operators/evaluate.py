@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from formweave.functions.selectors import element_keys, is_simple, lookup_key, passes, selector_tests
 from formweave.functions.urls import detect_ats
 
 GATES = {"recall": 0.95, "precision": 0.98}
@@ -25,18 +26,33 @@ def labelled_fields(golden: DataFrame) -> DataFrame:
     return wanted.unionByName(forbidden)
 
 
-def _selector_owners(signals: DataFrame) -> DataFrame:
-    """The first field in document order that each selector spelling names."""
-    keys = signals.select("page_id", "ref", "pos", F.explode("selector_keys").alias("selector"))
-    return keys.groupBy("page_id", "selector").agg(F.min_by("ref", "pos").alias("ref"))
+def _selector_owners(labels: DataFrame, signals: DataFrame) -> DataFrame:
+    """(page_id, selector, ref): the first field in document order that a label's selector names.
+
+    A simple selector is tested on the attributes of all elements that share
+    one value or attribute with it; any other is compared with the spellings
+    a field is known by.
+    """
+    asked = labels.select("page_id", "selector").distinct()
+    element = signals.select("page_id", "ref", F.explode("elements").alias("e")).select(
+        "page_id", "ref", "e.pos", "e.attrs", F.explode(F.array_distinct(element_keys(F.col("e.attrs")))).alias("key")
+    )
+    tested = (
+        asked.filter(is_simple(F.col("selector"))).withColumn("tests", selector_tests(F.col("selector")))
+        .withColumn("key", lookup_key(F.col("tests"))).join(element, ["page_id", "key"])
+        .filter(F.forall("tests", lambda t: passes(t, F.col("attrs"))))
+    )
+    spelt = signals.select("page_id", "ref", "pos", F.explode("selector_keys").alias("selector")).join(asked, ["page_id", "selector"])
+    named = ["page_id", "selector", "ref", "pos"]
+    return tested.select(named).unionByName(spelt.select(named)).groupBy("page_id", "selector").agg(F.min_by("ref", "pos").alias("ref"))
 
 
 def judge(golden: DataFrame, signals: DataFrame, decisions: DataFrame) -> DataFrame:
     """One row per label: detected, filled, correct, forbidden and the mistake, if any."""
     c = F.col
+    labels = labelled_fields(golden)
     rows = (
-        labelled_fields(golden)
-        .join(_selector_owners(signals), ["page_id", "selector"], "left")
+        labels.join(_selector_owners(labels, signals), ["page_id", "selector"], "left")
         .join(decisions.select("page_id", "ref", "canonical", "value", "action"), ["page_id", "ref"], "left")
     )
     is_label = c("expected").isNotNull()
@@ -48,9 +64,10 @@ def judge(golden: DataFrame, signals: DataFrame, decisions: DataFrame) -> DataFr
         .when(
             is_label & filled & ~correct,
             F.concat(F.lit("WRONG "), c("selector"), F.lit(": mapped to "), shown(c("canonical")), F.lit(" (wanted "),
-                     c("expected"), F.lit(')')),
+                     c("expected"), F.lit('), value="'), shown(c("value")), F.lit('"')),
         )
-        .when(~is_label & filled, F.concat(F.lit("FORBIDDEN FILL "), c("selector"), F.lit(": "), shown(c("canonical"))))
+        .when(~is_label & filled, F.concat(F.lit("FORBIDDEN FILL "), c("selector"), F.lit(": "), shown(c("canonical")),
+                                            F.lit(' = "'), shown(c("value")), F.lit('"')))
     )
     return rows.select(
         "page_id", "ats", "i", "selector", is_label.alias("is_label"), (is_label & c("ref").isNotNull()).alias("detected"),

@@ -152,6 +152,7 @@ def form_signals(nodes: DataFrame, frame_path: str = "top", inline_styles: bool
         widget_hint().alias("widget_hint"),
         F.when(F.col("kind") == "file", _attr("accept")).alias("accept"),
         F.when((length > 0) & F.col("tag").isin("input", "textarea"), length).alias("max_length"),
+        F.array_append(F.map_entries("attrs"), F.struct(F.lit("").alias("key"), F.col("tag").alias("value"))).alias("_attrs"),
         value.alias("_value"), checked.alias("_checked"),
         F.struct(
             F.when(value != "on", value).otherwise(text).alias("value"), text.alias("text")
@@ -160,8 +161,8 @@ def form_signals(nodes: DataFrame, frame_path: str = "top", inline_styles: bool
         .when(F.col("kind") != "file", F.nullif(F.col("current"), F.lit(""))).alias("current_value"),
     )
     # partitioned by page already, so neither the grouping nor the numbering shuffles again
-    members = F.array_sort(F.collect_list(F.struct("pos", "selector", "selector_keys", "_option", "_value", "_checked")))
-    first = F.min(F.struct("pos", F.struct(*[c for c in rows.columns if c not in ("page_id", "_group", "pos")]).alias("f")))
+    members = F.array_sort(F.collect_list(F.struct("pos", "selector", "selector_keys", "_attrs", "_option", "_value", "_checked")))
+    first = F.min(F.struct("pos", F.struct(*[c for c in rows.columns if c not in ("page_id", "_group", "pos", "_attrs")]).alias("f")))
     grouped = rows.groupBy("page_id", "_group").agg(
         first.alias("first"), members.alias("members"), F.count("*").alias("n"),
         F.bool_or("required").alias("any_required"), F.bool_or("visible").alias("any_visible"),
@@ -183,6 +184,7 @@ def form_signals(nodes: DataFrame, frame_path: str = "top", inline_styles: bool
         F.col("first.pos").alias("pos"), F.lit(frame_path).alias("frame_path"), f("selector").alias("selector"),
         F.when(as_group, F.transform("members", lambda m: m["selector"])).alias("member_selectors"),
         F.flatten(F.transform("members", lambda m: m["selector_keys"])).alias("selector_keys"),
+        F.transform("members", lambda m: F.struct(m["pos"].alias("pos"), m["_attrs"].alias("attrs"))).alias("elements"),
         F.when(as_group & many, "multiselect").otherwise(f("kind")).alias("kind"),
         label.alias("label"),
         F.when(as_group, F.when(f("legend").isNotNull(), "label-for").otherwise("geometric"))

@@ -279,5 +279,6 @@ def map_fields(
     the session's shared folder.
     """
     checkpoint_dir(signals.sparkSession)
-    valued = attach_values(match_keys(signals, lexicon), profiles, documents).checkpoint()
+    needed = signals.drop("elements", "selector_keys", "member_selectors", "selector")
+    valued = attach_values(match_keys(needed, lexicon), profiles, documents).checkpoint()
     return decide(attach_answers(valued, answers, threshold))

@@ -58,6 +58,17 @@ GOLDEN = {
     "HOUSEHOLD": ({"#co": "location.country", 'input[name="sk"]': "skills.list", "#min": "preferences.salary"}, ["#ok"]),
     "MACHINERY": ({"#p": "custom.password"}, ["#e"]),
 }
+# other spellings of selectors: segment, selector, wanted key (None: must not be filled), the field it names
+SPELLED = [
+    ("AUTOMOBILE", "input#first_name", "work.title", 0), ("AUTOMOBILE", "input[type = 'file']", "attachments.coverLetter", 2),
+    ("AUTOMOBILE", "[id=email][type=email]", "basics.email", 1), ("AUTOMOBILE", "select#q2", "eeo.race", None), ("AUTOMOBILE", "select", None, 3),
+    ("BUILDING", "[name=org]", "work.company", 1), ("BUILDING", "textarea[name^='cards[']", "custom.other", 2),
+    ("BUILDING", "input[name=name][required]", None, None), ("FURNITURE", "div[role=listbox]", "preferences.requiresSponsorship", 2),
+    ("FURNITURE", "INPUT[role|=combobox]", "eeo.race", 1), ("FURNITURE", "input:not([id])", None, None),
+    ("HOUSEHOLD", "[name='sk'][checked]", "skills.list", 2), ("HOUSEHOLD", "input[value=go]", "location.city", 2),
+    ("HOUSEHOLD", "[autocomplete~=given-name]", "basics.lastName", 0), ("HOUSEHOLD", "[type$=ber]", None, 3),
+    ("MACHINERY", "input[type=password].x", "custom.password", None), ("MACHINERY", "input", None, 0),
+]
 
 
 def _by_segment(values: dict[str, Column]) -> Column:
@@ -188,21 +199,34 @@ def fill_instructions(spark: SparkSession, d: str) -> DataFrame:
     return out.select("page_id", "ref", F.col("payload.type").alias("type"), "amber")
 
 
-def _scored(spark: SparkSession, d: str) -> DataFrame:
+def _judged(spark: SparkSession, d: str, wanted: dict[str, tuple[dict[str, str], list[str]]]) -> DataFrame:
     """Golden labels of every page against the decisions."""
     label = lambda s, c: F.struct(F.lit(s).alias("selector"), F.lit(c).alias("canonical"))
     golden = table(spark, d, "customer").select(
         F.col("c_custkey").cast("string").alias("page_id"),
         _by_segment({s: _fill(u) for s, (u, _) in LAYOUTS.items()}).alias("url"),
-        _by_segment({s: F.array(*[label(k, c) for k, c in fields.items()]) for s, (fields, _) in GOLDEN.items()}).alias("fields"),
-        _by_segment({s: F.array(*[F.lit(x) for x in no]).cast("array<string>") for s, (_, no) in GOLDEN.items()}).alias("expect_no_fill"),
+        _by_segment({s: F.array(*[label(k, c) for k, c in fields.items()]) for s, (fields, _) in wanted.items()}).alias("fields"),
+        _by_segment({s: F.array(*[F.lit(x) for x in no]).cast("array<string>") for s, (_, no) in wanted.items()}).alias("expect_no_fill"),
     )
     signals = _stored_signals(spark, d)
-    return E.scores(E.judge(golden, signals, _decisions(spark, d, signals))).withColumns({
+    return E.judge(golden, signals, _decisions(spark, d, signals))
+
+
+def _scored(spark: SparkSession, d: str) -> DataFrame:
+    return E.scores(_judged(spark, d, GOLDEN)).withColumns({
         "recall": F.round("recall", 6), "precision": F.round("precision", 6),
     })
 
 
+def eval_mistakes(spark: SparkSession, d: str) -> DataFrame:
+    """Labels in other spellings that were missed, filled wrongly or filled at all."""
+    wanted = {
+        s: ({x: key for seg, x, key, _ in SPELLED if seg == s and key}, [x for seg, x, key, _ in SPELLED if seg == s and not key])
+        for s in LAYOUTS
+    }
+    return E.mistakes(_judged(spark, d, wanted))
+
+
 _SCORES = ["labels", "detected", "filled", "correct", "forbidden", "recall", "precision"]
 
 
@@ -237,7 +261,7 @@ def bundle_round_trip(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (form_signals, page_gate, form_detection, field_mapping, field_actions, fill_instructions, eval_scores, eval_pages, profile_lookup,
+    for f in (form_signals, page_gate, form_detection, field_mapping, field_actions, fill_instructions, eval_scores, eval_pages, eval_mistakes, profile_lookup,
               bundle_round_trip)
 }
 
@@ -326,6 +350,19 @@ SELECT *, CASE WHEN labels > 0 THEN round(detected / labels, 6) END AS recall,
   CASE WHEN filled > 0 THEN round(correct / filled, 6) END AS precision FROM r"""
 
 
+def _mistakes_sql() -> str:
+    quoted = lambda x: "NULL" if x is None else "'" + str(x).replace("'", "''") + "'"
+    spelled = ", ".join(
+        f"({quoted(s)}, {quoted(x)}, {quoted(key)}, {quoted(None if f is None else f'top:f{f}')})" for s, x, key, f in SPELLED
+    )
+    return f"""WITH {_C}, {_X}, s(seg, selector, wanted, ref) AS (VALUES {spelled})
+SELECT k AS page_id, selector, 'MISSED ' || selector || ' (' || wanted || ')' AS mistake
+FROM c JOIN s USING (seg) WHERE ref IS NULL AND wanted IS NOT NULL
+UNION ALL SELECT page_id, selector, CASE WHEN wanted IS NULL THEN 'FORBIDDEN FILL ' || selector || ': ' || canonical || ' = "' || value || '"'
+    ELSE 'WRONG ' || selector || ': mapped to ' || canonical || ' (wanted ' || wanted || '), value="' || value || '"' END
+FROM x JOIN s USING (seg, ref) WHERE action IN ('fill', 'fill-amber') AND (wanted IS NULL OR wanted <> canonical)"""
+
+
 ORACLES = {
     "page_gate": "SELECT CAST(c_custkey AS VARCHAR) AS page_id FROM customer",
     "form_signals": f"WITH {_C} " + "\nUNION ALL ".join(
@@ -352,6 +389,7 @@ SELECT page_id, ref, CASE WHEN canonical = 'attachments.resume' THEN 'file' WHEN
   THEN 'option' ELSE 'text' END AS type, action <> 'fill' AS amber FROM x WHERE value IS NOT NULL""",
     "eval_scores": _eval_sql("coalesce(ats, 'all') AS ats", "ROLLUP (ats)"),
     "eval_pages": _eval_sql("page_id, ats", "page_id, ats"),
+    "eval_mistakes": _mistakes_sql(),
     "profile_lookup": f"""WITH {_C}
 SELECT k AS cand, key, text, explicit FROM (
   SELECT k, unnest(['basics.firstName', 'basics.lastName', 'basics.fullName', 'basics.email', 'basics.phone', 'basics.phoneCountryCode',
