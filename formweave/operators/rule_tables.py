@@ -11,6 +11,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import AtomicType
 
 from formweave.operators.containment import contained_pairs
 from formweave.rules.lexicon import LexiconEntry, lexicon
@@ -71,7 +72,9 @@ def with_lexicon(fields: DataFrame, rules: DataFrame) -> DataFrame:
     found = lexicon_keys(fields, rules).select(
         F.col("norm").alias("_norm"), F.col("section_norm").alias("_section"), F.col("key").alias("lexicon_key")
     )
-    own = F.concat(F.lit("\u0001"), F.pmod(F.monotonically_increasing_id(), F.lit(1024)))
+    # the same for a row that is made again after an executor was lost
+    plain = [f.name for f in fields.schema if isinstance(f.dataType, AtomicType)]
+    own = F.concat(F.lit("\u0001"), F.pmod(F.xxhash64(*plain), F.lit(1024)))
     asks = F.when(F.col("norm") != "", F.col("norm"))
     return (
         fields.withColumn("_norm", F.coalesce(asks, own))
