@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from formweave.functions.selectors import element_keys, is_simple, lookup_key, passes, selector_tests
 from formweave.functions.urls import detect_ats
+from formweave.operators.spread import growing
 
 GATES = {"recall": 0.95, "precision": 0.98}
 
@@ -39,10 +40,10 @@ def _selector_owners(labels: DataFrame, signals: DataFrame) -> DataFrame:
     )
     tested = (
         asked.filter(is_simple(F.col("selector"))).withColumn("tests", selector_tests(F.col("selector")))
-        .withColumn("key", lookup_key(F.col("tests"))).join(element, ["page_id", "key"])
+        .withColumn("key", lookup_key(F.col("tests"))).join(growing(element), ["page_id", "key"])
         .filter(F.forall("tests", lambda t: passes(t, F.col("attrs"))))
     )
-    spelt = signals.select("page_id", "ref", "pos", F.explode("selector_keys").alias("selector")).join(asked, ["page_id", "selector"])
+    spelt = signals.select("page_id", "ref", "pos", F.explode("selector_keys").alias("selector")).join(growing(asked), ["page_id", "selector"])
     named = ["page_id", "selector", "ref", "pos"]
     return tested.select(named).unionByName(spelt.select(named)).groupBy("page_id", "selector").agg(F.min_by("ref", "pos").alias("ref"))
 
@@ -52,8 +53,8 @@ def judge(golden: DataFrame, signals: DataFrame, decisions: DataFrame) -> DataFr
     c = F.col
     labels = labelled_fields(golden)
     rows = (
-        labels.join(_selector_owners(labels, signals), ["page_id", "selector"], "left")
-        .join(decisions.select("page_id", "ref", "canonical", "value", "action"), ["page_id", "ref"], "left")
+        labels.join(growing(_selector_owners(labels, signals)), ["page_id", "selector"], "left")
+        .join(growing(decisions.select("page_id", "ref", "canonical", "value", "action")), ["page_id", "ref"], "left")
     )
     is_label = c("expected").isNotNull()
     filled = F.coalesce(c("action").isin("fill", "fill-amber"), F.lit(False))

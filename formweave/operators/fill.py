@@ -34,12 +34,12 @@ def _picked(option: Column) -> Column:
 def _with_fields(decisions: DataFrame, signals: DataFrame, *extra: str) -> DataFrame:
     """Decisions with the columns of their field; many candidates may share a page's signals."""
     on = KEYS if "cand" in signals.columns else KEYS[1:]
-    return decisions.join(signals.select(*on, *FIELD_COLUMNS, *extra), on)
+    return decisions.join(growing(signals.select(*on, *FIELD_COLUMNS, *extra)), on)
 
 
 def _with_files(rows: DataFrame, documents: DataFrame) -> DataFrame:
     files = documents.select("cand", F.col("id").alias("document_id"), F.struct("file_name", "mime").alias("file"))
-    return rows.join(files, ["cand", "document_id"], "left")
+    return rows.join(growing(files), ["cand", "document_id"], "left")
 
 
 def _instructions(rows: DataFrame, payload: Column) -> DataFrame:

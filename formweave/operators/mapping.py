@@ -23,6 +23,7 @@ from formweave.operators.options import resolve_each, resolve_option
 from formweave.operators.profiles import value_maps
 from formweave.operators.retrieval import FUZZY_THRESHOLD, retrieve_answers
 from formweave.operators.rule_tables import with_lexicon
+from formweave.operators.spread import growing
 from formweave.schemas import DOCUMENT_ROLES
 from formweave.session import checkpoint_dir
 
@@ -106,7 +107,7 @@ def attach_values(matched: DataFrame, profiles: DataFrame, documents: DataFrame)
     return (
         rows.withColumn("doc_role", role)
         .withColumn("owner", _own_key(F.when(key.isNotNull(), F.col("cand"))))
-        .join(kept, "owner", "left")
+        .join(growing(kept), "owner", "left")
         .withColumns({
             "p_text": value["text"], "p_values": value["values"], "p_bool": value["bool_value"],
             "p_explicit": value["explicit"],
@@ -125,7 +126,7 @@ def attach_answers(valued: DataFrame, answers: DataFrame, threshold: float = FUZ
     stored = answers.select("cand", "id", "normalized_key", "answer")
     hits = (
         retrieve_answers(questions, answers, threshold)
-        .join(stored, ["cand", "id"])
+        .join(growing(stored), ["cand", "id"])
         .select(
             "cand", F.col("key").alias("q_key"),
             F.struct("id", "normalized_key", "answer", "source", "score").alias("hit"),
@@ -133,7 +134,7 @@ def attach_answers(valued: DataFrame, answers: DataFrame, threshold: float = FUZ
     )
     return (
         rows.withColumn("q_key", _own_key(F.when(F.col("asks"), F.col("norm"))))
-        .join(hits, ["cand", "q_key"], "left")
+        .join(growing(hits), ["cand", "q_key"], "left")
         .drop("q_key")
     )
 

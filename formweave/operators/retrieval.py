@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from formweave.functions.text import fuzzy_score, tokens_of, trigram_jaccard, trigrams_of
-from formweave.operators.spread import spread
+from formweave.operators.spread import growing, spread
 
 FUZZY_THRESHOLD = 0.85
 DEDUP_THRESHOLD = 0.92
@@ -109,7 +109,7 @@ def _candidates(left: DataFrame, right: DataFrame, measures: list[Measure], t: f
     na, nb, ia, ib = (F.col(c) for c in ("na", "nb", "ia", "ib"))
     overlap = F.ceil((na + nb) * (t / (1 + t)) - 1e-9)
     behind = lambda x, y: F.least(na - 1 - x, nb - 1 - y)
-    met = l.join(r, key).filter(
+    met = l.join(growing(r), key).filter(
         (na >= nb * t - 1e-9) & (nb >= na * t - 1e-9) & (F.least(ia, ib) + 1 + behind(ia, ib) >= overlap)
     )
     counted = met.groupBy("grp", "a", "b", "m", "na", "nb").agg(
@@ -132,7 +132,7 @@ def similar_pairs(left: DataFrame, right: DataFrame, t: float, tokens: bool = Tr
     score = fuzzy_score if tokens else trigram_jaccard
     named = lambda df, key, name: df.select("grp", F.xxhash64("text").alias(key), F.col("text").alias(name))
     pairs = _candidates(left, right, measures, t)
-    texts = pairs.join(named(left, "a", "text"), ["grp", "a"]).join(named(right, "b", "other"), ["grp", "b"])
+    texts = pairs.join(growing(named(left, "a", "text")), ["grp", "a"]).join(growing(named(right, "b", "other")), ["grp", "b"])
     scored = texts.select("grp", "text", "other", score(F.col("text"), F.col("other")).alias("score"))
     return scored.filter(F.col("score") >= t)
 
@@ -146,7 +146,7 @@ def answer_keys(answers: DataFrame) -> DataFrame:
 def _match(questions: DataFrame, answers: DataFrame, t: float, tokens: bool) -> DataFrame:
     # its shuffle is read by all that follows
     distinct = questions.filter("key <> ''").select("cand", "key").distinct()
-    looked_up = distinct.join(answer_keys(answers), ["cand", "key"], "left")
+    looked_up = distinct.join(growing(answer_keys(answers)), ["cand", "key"], "left")
     exact = looked_up.filter("id IS NOT NULL").select(
         "cand", "key", "id", F.lit("answer-exact").alias("source"), F.lit(1.0).alias("score")
     )
@@ -157,7 +157,7 @@ def _match(questions: DataFrame, answers: DataFrame, t: float, tokens: bool) ->
     # the best one; the first answer wins a tie
     best = (
         similar_pairs(left, right, t, tokens)
-        .join(owners, (F.col("grp") == F.col("cand")) & (F.col("other") == F.col("normalized_key")))
+        .join(growing(owners), (F.col("grp") == F.col("cand")) & (F.col("other") == F.col("normalized_key")))
         .groupBy("grp", "text")
         .agg(F.min(F.struct((-F.col("score")).alias("s"), F.col("id").alias("id"))).alias("best"))
     )

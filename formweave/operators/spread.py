@@ -1,4 +1,4 @@
-"""Dealing out rows that are dear to process."""
+"""Dealing out rows that are dear to process, and keeping growing tables from being broadcast."""
 
 from __future__ import annotations
 
@@ -14,3 +14,13 @@ def spread(rows: DataFrame, *keys: str) -> DataFrame:
     a key don't meet in one task.
     """
     return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
+def growing(rows: DataFrame) -> DataFrame:
+    """The rows as a side that is sorted and merged, never broadcast.
+
+    Sizes are guessed from compressed files, from one entry a map or array and
+    from one row an unfolded one: profiles of a million candidates pass for a
+    few MB, and would be built as one table in the driver.
+    """
+    return rows.hint("merge")
