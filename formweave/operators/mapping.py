@@ -23,7 +23,7 @@ from formweave.operators.options import resolve_each, resolve_option
 from formweave.operators.profiles import value_maps
 from formweave.operators.retrieval import FUZZY_THRESHOLD, retrieve_answers
 from formweave.operators.rule_tables import with_lexicon
-from formweave.operators.spread import growing
+from formweave.operators.spread import growing, spread
 from formweave.schemas import DOCUMENT_ROLES
 from formweave.session import checkpoint_dir
 
@@ -102,7 +102,8 @@ def attach_values(matched: DataFrame, profiles: DataFrame, documents: DataFrame)
     doc = F.struct(F.col("id"), F.col("file_name"), F.col("mime"))
     newest = lambda r: F.max_by(doc, F.when(F.col("role") == r, F.struct("added_us", "id"))).alias(f"doc_{r}")
     docs = documents.groupBy("cand").agg(*[newest(r) for r in DOCUMENT_ROLES])
-    kept = value_maps(profiles).join(docs, "cand", "full").withColumnRenamed("cand", "owner")
+    # files come as few splits, and values are dear to make; the join by candidate follows that shuffle
+    kept = value_maps(spread(profiles, "cand")).join(docs, "cand", "full").withColumnRenamed("cand", "owner")
     value = F.when(~F.col("is_file"), F.col("by_key")[key])
     return (
         rows.withColumn("doc_role", role)

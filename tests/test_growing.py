@@ -40,3 +40,9 @@ def test_questions_and_saved_answers_are_never_broadcast(spark):
     pairs = similar_pairs(side, side, 0.85)
     assert "BroadcastHashJoin" not in plan_of(pairs)
     assert [(r.text == r.other, r.score) for r in pairs.collect()] == [(True, 1.0)]
+
+
+def test_profiles_are_dealt_out_before_their_values_are_made(spark):
+    asked = fields(spark, {"f": {"label": "Email"}})
+    plan = plan_of(attach_values(match_keys(asked), profiles(spark, person("runa")).coalesce(1), documents(spark)))
+    assert [line for line in plan.splitlines() if "REPARTITION_BY_NUM" in line and "hashpartitioning(cand" in line]
