@@ -1,123 +1,83 @@
 """Finding saved answers by question: exact keys, then set similarity.
 
-The similarity join is lossless.  Jaccard >= t needs an overlap of at least
-t / (1 + t) of both sizes together, so with all sets in one order two similar
-ones share an element among the first n - ceil(t * n) + 1 of each (prefix
-filter).  A row is such an element with its place in the set and the set's
-size, nothing else of the text.  Where two rows meet, no more elements can be
-common than lie before both places and behind both (positional filter: Xiao
-et al. 2008); a pair's rows are then counted, and what the count and the
-places behind the last of them allow must still reach the overlap.  Only such
-pairs are scored, on their texts.
-
-Elements are ordered rare first by counts per hash bucket, which also say in
-how many parts the rows of a frequent element are dealt out, on each side by
-its own count.  The counts are a scalar subquery: nothing runs while a plan is
-built, and nothing comes to the driver but 2 * BUCKETS numbers per measure.
+The similarity join is lossless.  Two sets that are similar enough are equal
+in one of the parts they are dealt into (`set_signatures`), so rows of parts
+meet by a hash of the part's elements; sizes and parities of the sets then
+leave few pairs that are not similar, and only these are scored, on their
+texts.
+
+Parts are counted by hash buckets on both sides: rows of buckets that the
+other side has not are left out, and those of a frequent one are dealt out in
+parts, on each side by its own count.  The counts are a scalar subquery:
+nothing runs while a plan is built, and nothing comes to the driver but
+2 * BUCKETS numbers.
 """
 
 from __future__ import annotations
 
-import math
-from collections.abc import Callable
+from functools import partial
 
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from formweave.functions.text import fuzzy_score, tokens_of, trigram_jaccard, trigrams_of
+from formweave.functions.text import fuzzy_score, trigram_jaccard
+from formweave.operators import set_signatures
 from formweave.operators.spread import growing, spread
 
+# executors need not have the package
+cloudpickle.register_pickle_by_value(set_signatures)
+
 FUZZY_THRESHOLD = 0.85
 DEDUP_THRESHOLD = 0.92
-#: Hash buckets in which elements are counted: 2 ** 13, for ranks of 13 bits.
-BUCKETS = 1 << 13
-#: Rows with one element that meet in one task, of each side.
+#: Hash buckets in which signatures are counted.
+BUCKETS = 1 << 16
+#: Rows with one signature that meet in one task, of each side.
 PART_ROWS = 4096
 
-Measure = Callable[[Column], Column]
-
-
-def _bucket(element: Column) -> Column:
-    return element.bitwiseAND(F.lit(BUCKETS - 1)).cast("int")
 
+def _bucket(e: Column) -> Column:
+    return e.bitwiseAND(F.lit(BUCKETS - 1)).cast("int")
 
-def _sets(measures: list[Measure]) -> Column:
-    """Per measure (m, e): the 64-bit hashes of the elements of `text`."""
-    return F.array(*[
-        F.struct(F.lit(m).alias("m"), F.transform(elements(F.col("text")), lambda x: F.xxhash64(x)).alias("e"))
-        for m, elements in enumerate(measures)
-    ])
 
-
-def _order(left: DataFrame, right: DataFrame, measures: list[Measure]) -> Column:
-    """(ranks, left, right), arrays measure after measure: the buckets' ranks, rarest first, and by rank the elements of each side."""
-    size = BUCKETS * len(measures)
-    seen = lambda texts, l, r: texts.select(F.explode(_sets(measures)).alias("s")).select(
-        "s.m", F.explode("s.e").alias("e"), F.lit(l).cast("long").alias("l"), F.lit(r).cast("long").alias("r")
-    ).select((F.col("m") * BUCKETS + _bucket(F.col("e"))).cast("long").alias("id"), "l", "r")
+def _counts(left: DataFrame, right: DataFrame) -> Column:
+    """(left, right, usual_left, usual_right): the rows of each side by the bucket of their signature, and how many may meet in one task."""
     sums = lambda rows: rows.groupBy("id").agg(F.sum("l").alias("l"), F.sum("r").alias("r"))
-    none = left.sparkSession.range(size).select("id", F.lit(0).cast("long").alias("l"), F.lit(0).cast("long").alias("r"))
+    long = lambda v, name: F.lit(v).cast("long").alias(name)
+    seen = lambda rows, l, r: rows.select(_bucket(F.col("e")).cast("long").alias("id"), long(l, "l"), long(r, "r"))
+    none = left.sparkSession.range(BUCKETS).select("id", long(0, "l"), long(0, "r"))
     counts = sums(sums(seen(left, 1, 0)).union(sums(seen(right, 0, 1))).union(none))
-    each = counts.agg(F.sort_array(F.collect_list(F.struct("id", "l", "r"))).alias("all"))
-    often = lambda x: F.struct((x["l"] + x["r"]).alias("n"), x["id"].alias("id"), x["l"].alias("l"), x["r"].alias("r"))
-    for m in range(len(measures)):
-        each = each.withColumn(f"by{m}", F.sort_array(F.transform(F.slice("all", m * BUCKETS + 1, BUCKETS), often)))
-    rank = lambda m: F.sort_array(F.transform(f"by{m}", lambda x, i: F.struct(x["id"].alias("id"), i.cast("short").alias("i"))))["i"]
-    joined = lambda of: F.concat(*[of(m) for m in range(len(measures))])
+    # buckets fill with the tables, so a frequent signature is one that stands out
+    usual = lambda c: F.greatest(F.lit(PART_ROWS), F.sum(c) * 8 / BUCKETS)
+    each = counts.agg(F.sort_array(F.collect_list(F.struct("id", "l", "r"))).alias("all"), usual("l").alias("ul"), usual("r").alias("ur"))
     return each.select(F.struct(
-        joined(rank).alias("ranks"), joined(lambda m: F.col(f"by{m}.l")).alias("left"), joined(lambda m: F.col(f"by{m}.r")).alias("right")
+        F.col("all.l").alias("left"), F.col("all.r").alias("right"), F.col("ul").alias("usual_left"), F.col("ur").alias("usual_right")
     )).scalar()
 
 
-def _rows(texts: DataFrame, measures: list[Measure], order: Column, own: str, other: str, t: float) -> DataFrame:
-    """(grp, m, e, id, n, at, size, parts, others): each element of each text's prefix that the other side may have."""
-    # rank and hash in one number: 13 bits of rank, 50 more bits of the hash
-    ranked = lambda m: F.sort_array(F.transform(
-        F.get("s", F.lit(m))["e"],
-        lambda e: F.shiftleft(F.get("ranks", F.lit(m * BUCKETS) + _bucket(e)).cast("long"), 50).bitwiseOR(F.shiftrightunsigned(e, 14)),
-    ))
-    # the only array that goes into a row, and no further than here
-    sets = texts.select("grp", F.xxhash64("text").alias("id"), _sets(measures).alias("s"), order["ranks"].alias("ranks")).select(
-        "grp", "id", F.array(*[F.struct(F.lit(m).alias("m"), ranked(m).alias("ordered")) for m in range(len(measures))]).alias("s")
-    )
-    # the outer form keeps the optimizer from computing all sets twice, once to see whether there are any
-    sets = sets.select("grp", "id", F.explode_outer("s").alias("s")).select(
-        "grp", "id", "s.m", F.size("s.ordered").alias("n"), "s.ordered"
-    ).filter("n > 0")
-    prefix = F.slice("ordered", F.lit(1), F.col("n") - F.ceil(F.col("n") * t - 1e-9).cast("int") + 1)
-    # sets of similar sizes have the same or neighbouring size classes
-    size = F.floor(F.log(F.col("n").cast("double")) / -math.log(t)).cast("int") if t < 1 else F.col("n")
-    rows = sets.select("grp", "id", "m", "n", size.alias("size"), F.posexplode_outer(prefix).alias("at", "e"))
-    place = F.col("m") * BUCKETS + F.shiftrightunsigned("e", 50).cast("int")
-    count = lambda side: F.get(order[side], place)
-    parts = lambda side: F.greatest(F.ceil(count(side) / PART_ROWS).cast("int"), F.lit(1))
-    return rows.filter(count(other) > 0).select("grp", "m", "e", "id", "n", "at", "size", parts(own).alias("parts"), parts(other).alias("others"))
-
-
-def _candidates(left: DataFrame, right: DataFrame, measures: list[Measure], t: float) -> DataFrame:
-    """(grp, a, b): ids of texts whose sets may be similar, each pair once."""
-    order = _order(left, right, measures)
-    l, r = _rows(left, measures, order, "left", "right", t), _rows(right, measures, order, "right", "left", t)
-    part = F.pmod(F.hash("id"), F.col("parts"))
-    every = F.explode(F.sequence(F.lit(0), F.col("others") - 1))
-    near = F.explode(F.sequence(F.col("size") - 1, F.col("size") + 1))
-    key = ["grp", "m", "e", "size", "i", "j"]
-    l = l.select("grp", "m", "e", "size", part.alias("i"), every.alias("j"), F.col("id").alias("a"), F.col("n").alias("na"), F.col("at").alias("ia"))
-    r = r.select("grp", "m", "e", "n", "id", "at", "others", near.alias("size"), part.alias("j")).select(
-        "grp", "m", "e", "size", every.alias("i"), "j", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("at").alias("ib")
+def _candidates(left: DataFrame, right: DataFrame, measures: int, t: float) -> DataFrame:
+    """(a, b): ids of texts whose sets may be similar, each pair once."""
+    rows = lambda side, near: side.select("id", "g", "text").mapInArrow(
+        partial(set_signatures.signature_rows, measures=measures, t=t, near=near), set_signatures.SIGNATURES
     )
-    na, nb, ia, ib = (F.col(c) for c in ("na", "nb", "ia", "ib"))
-    overlap = F.ceil((na + nb) * (t / (1 + t)) - 1e-9)
-    behind = lambda x, y: F.least(na - 1 - x, nb - 1 - y)
-    met = l.join(growing(r), key).filter(
-        (na >= nb * t - 1e-9) & (nb >= na * t - 1e-9) & (F.least(ia, ib) + 1 + behind(ia, ib) >= overlap)
+    l, r = rows(left, 0), rows(right, 1)
+    counts = _counts(l, r)
+    at = lambda side: F.get(counts[side], _bucket(F.col("e")))
+    met = lambda side, other: side.filter(at(other) > 0)
+    parts = lambda side: F.greatest(F.ceil(at(side) / counts[f"usual_{side}"]).cast("int"), F.lit(1))
+    every = lambda side: F.explode(F.sequence(F.lit(0), parts(side) - 1))
+    own = lambda side: F.pmod(F.hash("id"), parts(side))
+    l = met(l, "right").select(
+        "m", "e", own("left").alias("i"), every("right").alias("j"), F.col("id").alias("a"), F.col("n").alias("na"), F.col("x").alias("xa"), F.col("y").alias("ya")
     )
-    counted = met.groupBy("grp", "a", "b", "m", "na", "nb").agg(
-        F.count("*").alias("common"), F.max("ia").alias("la"), F.max("ib").alias("lb")
+    r = met(r, "left").select(
+        "m", "e", every("left").alias("i"), own("right").alias("j"), F.col("id").alias("b"), F.col("n").alias("nb"), F.col("x").alias("xb"), F.col("y").alias("yb")
     )
-    left_over = F.col("common") + behind(F.col("la"), F.col("lb")) >= overlap
-    found = counted.filter(left_over).select("grp", "a", "b")
-    return found if len(measures) == 1 else found.distinct()
+    na, nb = F.col("na"), F.col("nb")
+    differ = F.bit_count(F.col("xa").bitwiseXOR(F.col("xb"))) + F.bit_count(F.col("ya").bitwiseXOR(F.col("yb")))
+    may = F.floor((na + nb) * ((1 - t) / (1 + t)) + 1e-6)
+    near = l.join(growing(r), ["m", "e", "i", "j"]).filter((na >= nb * t - 1e-9) & (nb >= na * t - 1e-9) & (differ <= may))
+    return near.select("a", "b").distinct()
 
 
 def similar_pairs(left: DataFrame, right: DataFrame, t: float, tokens: bool = True) -> DataFrame:
@@ -126,13 +86,17 @@ def similar_pairs(left: DataFrame, right: DataFrame, t: float, tokens: bool = Tr
     The score is the trigram Jaccard, or its maximum with the word Jaccard
     when `tokens`.
     """
-    measures = [trigrams_of, tokens_of] if tokens else [trigrams_of]
-    # sets are dear to make; what is dealt out here is read by counting, by the rows and for the scores
-    left, right = (spread(side.select("grp", "text"), "grp", "text") for side in (left, right))
+    # rows without a group or text are similar to none
+    named = lambda side: side.select("grp", "text").filter("grp IS NOT NULL AND text IS NOT NULL").select(
+        "grp", "text", F.xxhash64("grp", "text").alias("id"), F.xxhash64(F.lit(0), "grp").alias("g")
+    )
+    # what is dealt out here is read by counting, by the rows and for the scores
+    left, right = (spread(named(side), "grp", "text") for side in (left, right))
     score = fuzzy_score if tokens else trigram_jaccard
-    named = lambda df, key, name: df.select("grp", F.xxhash64("text").alias(key), F.col("text").alias(name))
-    pairs = _candidates(left, right, measures, t)
-    texts = pairs.join(growing(named(left, "a", "text")), ["grp", "a"]).join(growing(named(right, "b", "other")), ["grp", "b"])
+    pairs = _candidates(left, right, 2 if tokens else 1, t)
+    a = left.select(F.col("id").alias("a"), "grp", "text")
+    b = right.select(F.col("id").alias("b"), F.col("grp").alias("_grp"), F.col("text").alias("other"))
+    texts = pairs.join(growing(a), "a").join(growing(b), "b").filter("grp = _grp")
     scored = texts.select("grp", "text", "other", score(F.col("text"), F.col("other")).alias("score"))
     return scored.filter(F.col("score") >= t)
 
