@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from formweave.functions.text import meaning_keys, normalize_label, tokens_of
 from formweave.operators.containment import contained_pairs
 from formweave.operators.options import prepared
+from formweave.operators.spread import spread
 
 
 def _first() -> Column:
@@ -78,7 +79,9 @@ def resolve_in_lists(wanted: DataFrame, options: DataFrame) -> DataFrame:
     they are counted: at most its list, never lists times values.
     """
     shape = F.get(prepared(F.array(F.struct("value", "text"))), F.lit(0))
-    offered = options.filter("list_id IS NOT NULL").select("list_id", "pos", shape.alias("o")).select("list_id", "pos", "o.*")
+    # the forms of an option are dear to make, and a list may come as one split
+    dealt = spread(options.filter("list_id IS NOT NULL").select("list_id", "pos", "value", "text"), "list_id", "pos", "value", "text")
+    offered = dealt.select("list_id", "pos", shape.alias("o")).select("list_id", "pos", "o.*")
     asked = (
         wanted.filter("list_id IS NOT NULL").select("list_id", "desired").distinct()
         .withColumn("norm", normalize_label(F.col("desired"))).filter("norm <> ''")

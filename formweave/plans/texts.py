@@ -137,7 +137,7 @@ SHOWN = [("ZA", "South Africa (ZA)"), ("DE", "Germany"), ("x", "United States of
 
 def option_resolution(spark: SparkSession, d: str) -> DataFrame:
     """Per customer a segment and a country resolved against drop-downs."""
-    customers = table(spark, d, "customer")
+    customers = spread(table(spark, d, "customer").select("c_custkey", "c_nationkey", "c_mktsegment"), "c_custkey", "c_nationkey", "c_mktsegment")
     pick = lambda values: F.get(F.array(*[F.lit(v) for v in values]), F.col("c_nationkey") % 5)
     seg = F.col("c_mktsegment")
     wanted = (
