@@ -7,14 +7,15 @@ at a few entries.  `aggregate` folds the merges that make these tokens over
 the pieces by ascending rank: each turns every pair it applies to, from the
 left, into one piece.  That is the order of pair-wise merging, for a merged
 piece only enters merges of higher rank, and a token is only ever made from
-one pair of pieces, the one that its own bytes end up as.  Decoding looks pieces up in a literal array and
-concatenates them.
+one pair of pieces, the one that its own bytes end up as.  Decoding takes
+each id's piece from an array and cuts the row of pieces by documents.
 
 Words repeat, and folding is dear, so it is done for distinct words.  One
-pass counts words over all texts.  The `frequent` most frequent ones, a
-bounded number, are folded once and sent to the second pass over the texts,
-which puts their ids in place; the distinct other words of each text are
-folded in the row itself.  No text and no id is shuffled.
+pass counts the texts that have a word.  The `frequent` most frequent ones,
+a bounded number, are folded in Spark and sent to the second pass over the
+texts, which puts their ids in place.  There other words are folded in the
+worker by the same merges, and the latest ones remembered.  No text and no
+id is shuffled.
 
 A fold takes time with the square of the word's length.  Words over
 `fold_bytes` bytes therefore are merged by a heap over a linked list in the
@@ -29,23 +30,28 @@ from __future__ import annotations
 
 import json
 import zlib
+from collections import Counter
 from functools import partial
 from heapq import heapify, heappop, heappush
+from struct import pack
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from formweave.llm.shared import written
-from formweave.llm.vocabulary import BYTE_LEVEL_WORDS, read_ranks
+from formweave.llm.shared import kept, written
+from formweave.llm.vocabulary import BYTE_LEVEL_WORDS, WordCache, finder, read_ranks
 
 FREQUENT = 500_000
 FOLD_BYTES = 64
 BUCKETS = 16384
 #: Words that a counting task holds before it passes them on.
 HELD = 500_000
+#: Words that a worker remembers besides the frequent ones.
+REMEMBERED = 200_000
 NO_RANK = (1 << 31) - 1
 
 
@@ -74,18 +80,14 @@ class Literals:
 
     def __init__(self, ranks: dict[bytes, int]):
         maps: list[dict[str, dict]] = [{} for _ in range(BUCKETS)]
-        names = [""] * (max(ranks.values()) + 1)
         self.longest = max(map(len, ranks))
         for piece, rank in ranks.items():
             digits = piece.hex().upper()
-            names[rank] = digits
             pair = merged_pair(piece, ranks)
             entry = {"r": rank} | ({"f": "".join(f"<{x.hex().upper()}>" for x in pair), "t": f"<{digits}>"} if pair else {})
             maps[zlib.crc32(digits.encode()) % BUCKETS][digits] = entry
         # all fold to constants before the query runs
         self.maps = F.from_json(F.lit(json.dumps(maps)), "array<map<string,struct<r:int,f:string,t:string>>>")
-        self.pieces = F.split(F.lit(",".join(names)), ",")
-        self.numbers = F.split(F.lit(",".join(np.array([i], "<u4").tobytes().hex() for i in range(len(names)))), ",")
 
     @staticmethod
     def entry(maps: Column, digits: Column) -> Column:
@@ -114,14 +116,6 @@ class Literals:
         found = _let(self.maps, lambda maps: _let(F.hex(word), lambda d: ids(maps, d)))
         return F.when(n == 0, F.array().cast("array<int>")).otherwise(found)
 
-    def decode(self, ids: Column) -> Column:
-        """binary: the concatenated pieces of ids."""
-        return F.unhex(F.array_join(F.transform(ids, lambda i: F.get(self.pieces, i)), ""))
-
-    def packed(self, ids: Column) -> Column:
-        """binary: ids as little-endian unsigned 32-bit integers."""
-        return F.unhex(F.array_join(F.transform(ids, lambda i: F.get(self.numbers, i)), ""))
-
 
 def heap_ids(word: bytes, ranks: dict[bytes, int]) -> list[int]:
     """Ids of one word in time n log n: a heap of pairs over a linked list of pieces."""
@@ -148,79 +142,86 @@ def heap_ids(word: bytes, ranks: dict[bytes, int]) -> list[int]:
     return [ranks[p] for p in piece if p]
 
 
-def _word_counts(batches, pattern: str):
-    import regex
+class RankedMerges:
+    """The fold in a worker: ids of a word as little-endian unsigned 32-bit integers.
+
+    A piece is the character with its rank's number, so that a merge is one
+    `replace` and the ids are the characters' code points.
+    """
+
+    def __init__(self, ranks: dict[bytes, int], fold_bytes: int):
+        self.ranks, self.fold_bytes, self.longest = ranks, fold_bytes, max(map(len, ranks))
+        self.letters = [chr(ranks[bytes([b])]) for b in range(256)]
+        self.merges = {
+            piece: (rank, "".join(chr(ranks[x]) for x in pair), chr(rank))
+            for piece, rank in ranks.items() if (pair := merged_pair(piece, ranks))
+        }
+
+    def ids(self, word: str) -> bytes:
+        raw = word.encode()
+        n = len(raw)
+        if raw in self.ranks:
+            return pack("<I", self.ranks[raw])
+        if n > self.fold_bytes:
+            return np.array(heap_ids(raw, self.ranks), "<u4").tobytes()
+        find = self.merges.get
+        merges = [m for i in range(n - 1) for j in range(i + 2, min(n, i + self.longest) + 1) if (m := find(raw[i:j]))]
+        merges.sort()
+        pieces = "".join([self.letters[b] for b in raw])
+        for _, pair, merged in merges:
+            pieces = pieces.replace(pair, merged)
+        return pieces.encode("utf-32-le", "surrogatepass")
 
-    find, counts = regex.compile(pattern).findall, {}
+
+def _word_counts(batches, pattern: str):
+    find, counts = finder(pattern), Counter()
 
     def passed_on():
         yield pa.RecordBatch.from_arrays([pa.array(counts.keys(), pa.string()), pa.array(counts.values(), pa.int64())], names=["word", "n"])
 
     for batch in batches:
         for text in batch["text"].to_pylist():
-            for word in find(text or ""):
-                counts[word] = counts.get(word, 0) + 1
+            counts.update(set(find(text or "")))
             if len(counts) > HELD:
                 yield from passed_on()
                 counts.clear()
     yield from passed_on()
 
 
-class KnownWords:
-    """Ids of frequent words: on the driver and on the way an Arrow table in bytes, in a worker a dictionary, made once."""
+class KnownWords(dict):
+    """Ids of frequent words by word; others are folded when they are asked for, and the latest ones remembered.
 
-    def __init__(self, table: pa.Table):
-        sink = pa.BufferOutputStream()
-        with pa.ipc.new_stream(sink, table.schema) as out:
-            out.write_table(table)
-        self.data, self.made = sink.getvalue().to_pybytes(), None
+    table: word, ids as an Arrow stream; so it lies on the driver and goes on its way.
+    """
+
+    def __init__(self, table: bytes, ranks: dict[bytes, int], fold_bytes: int):
+        found = pa.ipc.open_stream(table).read_all()
+        ids = found["ids"].combine_chunks()
+        cuts, flat = np.asarray(ids.offsets), ids.values.to_numpy().astype("<u4")
+        super().__init__((w, flat[a:b].tobytes()) for w, a, b in zip(found["word"].to_pylist(), cuts[:-1], cuts[1:], strict=True))
+        self.rare = WordCache(RankedMerges(ranks, fold_bytes).ids, REMEMBERED)
 
-    def __getstate__(self):
-        return {"data": self.data, "made": None}
+    def __missing__(self, word):
+        return self.rare[word]
 
-    def ids(self) -> dict[str, bytes]:
-        if self.made is None:
-            table = pa.ipc.open_stream(self.data).read_all()
-            values = table["ids"].combine_chunks()
-            cuts, flat = np.asarray(values.offsets), values.values.to_numpy().astype("<i4")
-            self.made = {w: flat[a:b].tobytes() for w, a, b in zip(table["word"].to_pylist(), cuts[:-1], cuts[1:], strict=True)}
-            self.data = b""
-        return self.made
 
+def _stream(table: pa.Table) -> bytes:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, table.schema) as out:
+        out.write_table(table)
+    return sink.getvalue().to_pybytes()
 
-def _placed(batches, pattern: str, sent, ranks: dict[bytes, int], fold_bytes: int):
-    """docs with __known: ids by stretches between words that are not known, __open: those words, __which: which of them comes when."""
-    import regex
 
-    find, known = regex.compile(pattern).findall, sent.value.ids()
+def _encoded(batches, pattern: str, sent):
+    """docs with ids."""
+    known = kept(sent, lambda held: KnownWords(held.pop("table"), held["ranks"], held["fold_bytes"]))
+    find, look = finder(pattern), known.__getitem__
     for batch in batches:
-        stretches, words, order = [], [], []
-        for text in batch["text"].to_pylist():
-            parts, row, numbers, which = [], [], {}, []
-            for word in find(text or ""):
-                ids = known.get(word)
-                if ids is None:
-                    raw = word.encode()
-                    if raw in ranks or len(raw) > fold_bytes:
-                        ids = np.array(heap_ids(raw, ranks), "<i4").tobytes()
-                if ids is not None:
-                    parts.append(ids)
-                else:
-                    row.append(b"".join(parts))
-                    parts = []
-                    which.append(numbers.setdefault(raw, len(numbers)))
-            row.append(b"".join(parts))
-            stretches.append(row)
-            words.append(list(numbers))
-            order.append(which)
-        rows = np.cumsum([0] + [len(r) for r in stretches])
-        flat = [s for r in stretches for s in r]
-        cuts = np.cumsum([0] + [len(s) // 4 for s in flat])
-        values = pa.array(np.frombuffer(b"".join(flat), "<i4"), pa.int32())
-        inner = pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), values)
+        found = [b"".join(map(look, find(text or ""))) for text in batch["text"].to_pylist()]
+        cuts = np.cumsum([0] + [len(f) // 4 for f in found])
+        values = pa.array(np.frombuffer(b"".join(found), "<i4"), pa.int32())
         yield pa.RecordBatch.from_arrays(
-            [*batch.columns, pa.ListArray.from_arrays(pa.array(rows, pa.int32()), inner), pa.array(words, pa.list_(pa.binary())), pa.array(order, pa.list_(pa.int32()))],
-            names=[*batch.schema.names, "__known", "__open", "__which"],
+            [*batch.columns, pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), values)], names=[*batch.schema.names, "ids"]
         )
 
 
@@ -228,29 +229,50 @@ def encode_documents(docs: DataFrame, path: str, pattern: str = BYTE_LEVEL_WORDS
     """docs with ids (array<int>) by the ranks in the file at `path`, each match of `pattern` separately."""
     ranks = read_ranks(path)
     literals = Literals(ranks)
-    docs = docs.drop("ids", "__known", "__open", "__which")
+    docs = docs.drop("ids")
     counts = docs.select("text").mapInArrow(partial(_word_counts, pattern=pattern), "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
     # a bounded number of rows
     top = written(counts.filter(F.octet_length("word") <= fold_bytes).orderBy(F.desc("n"), "word").limit(frequent).select("word"), "frequent-words")
     spread = top.repartition(4 * docs.sparkSession.sparkContext.defaultParallelism)
     found = written(spread.select("word", literals.encode(F.col("word").cast("binary")).alias("ids")), "frequent-ids").toArrow()
     # a broadcast variable, for a worker keeps it from task to task
-    known = docs.sparkSession.sparkContext.broadcast(KnownWords(found))
+    known = docs.sparkSession.sparkContext.broadcast({"table": _stream(found), "ranks": ranks, "fold_bytes": fold_bytes})
+    encode = partial(_encoded, pattern=pattern, sent=known)
+    return docs.mapInArrow(encode, T.StructType([*docs.schema.fields, T.StructField("ids", T.ArrayType(T.IntegerType()))]))
+
 
-    extra = [
-        T.StructField("__known", T.ArrayType(T.ArrayType(T.IntegerType()))), T.StructField("__open", T.ArrayType(T.BinaryType())),
-        T.StructField("__which", T.ArrayType(T.IntegerType())),
-    ]
-    place = partial(_placed, pattern=pattern, sent=known, ranks=ranks, fold_bytes=fold_bytes)
-    placed = docs.mapInArrow(place, T.StructType([*docs.schema.fields, *extra]))
-    none = F.array().cast("array<int>")
-    folded = F.transform("__open", lambda w: literals.encode(w))
-    open_ids = _let(folded, lambda ids: F.transform("__which", lambda i: F.get(ids, i)))
-    ids = F.flatten(F.zip_with("__known", open_ids, lambda k, o: F.concat(k, F.coalesce(o, none))))
-    return placed.withColumn("ids", ids).drop("__known", "__open", "__which")
+def _cut(flat: pa.Buffer, cuts: np.ndarray) -> pa.Array:
+    """binary values, one after the other in flat."""
+    if len(cuts) and cuts[-1] >= 1 << 31:
+        raise ValueError("a batch of rows holds 2 GB of ids or more: lower spark.sql.execution.arrow.maxRecordsPerBatch")
+    return pa.BinaryArray.from_buffers(pa.binary(), len(cuts) - 1, [None, pa.py_buffer(cuts.astype(np.int32)), flat])
+
+
+def _flat(lists: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The ids of all rows and where each row's begin (one more entry: the end)."""
+    sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+    return lists.flatten(), np.cumsum(np.append(0, sizes), dtype=np.int64)
 
 
 def decode(docs: DataFrame, path: str) -> DataFrame:
     """docs with decoded (binary) and packed (ids as little-endian unsigned 32-bit integers) of their ids."""
-    literals = Literals(read_ranks(path))
-    return docs.withColumns({"decoded": literals.decode(F.col("ids")), "packed": literals.packed(F.col("ids"))})
+    ranks = read_ranks(path)
+    names = [b""] * (max(ranks.values()) + 1)
+    for piece, rank in ranks.items():
+        names[rank] = piece
+    sent = docs.sparkSession.sparkContext.broadcast({"pieces": names})
+
+    def decoded(ids: pa.Array) -> pa.Array:
+        flat, cuts = _flat(ids)
+        pieces = kept(sent, lambda held: pa.array(held["pieces"], pa.large_binary())).take(flat)
+        _, where, data = pieces.buffers()
+        ends = np.frombuffer(where, np.int64)[: len(flat) + 1] if len(flat) else np.zeros(1, np.int64)
+        return _cut(data, ends[cuts])
+
+    def packed(ids: pa.Array) -> pa.Array:
+        flat, cuts = _flat(ids)
+        return _cut(pa.py_buffer(flat.to_numpy(zero_copy_only=False).astype("<i4")), 4 * cuts)
+
+    # null ids of a row are null in the result, as they came
+    of_ids = lambda make: F.when(F.col("ids").isNotNull(), F.arrow_udf(make, "binary")(F.col("ids")))
+    return docs.withColumns({"decoded": of_ids(decoded), "packed": of_ids(packed)})

@@ -48,3 +48,13 @@ def ascii_lower(c: Column) -> Column:
 
 def whole_text(c: str = "text") -> Column:
     return F.coalesce(F.col(c), F.lit(""))
+
+
+def kept(sent, make):
+    """make(a broadcast dictionary), made once in a worker and kept there from task to task.
+
+    The dictionary holds built-in values only: what is broadcast is not sent by value.
+    """
+    if "made" not in sent.value:
+        sent.value["made"] = make(sent.value)
+    return sent.value["made"]

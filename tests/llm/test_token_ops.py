@@ -8,6 +8,7 @@ import zlib
 import numpy as np
 import public_tokenizers
 import pytest
+import regex
 import tiktoken
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -50,6 +51,46 @@ def test_heap_merging_as_the_library(own, word):
     assert byte_bpe.heap_ids(word, own["ranks"]) == own["tiktoken"]._core_bpe.encode_single_piece(word)
 
 
+SPLIT = vocabulary.read_json(WORDS)["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
+
+
+@pytest.mark.parametrize("pattern", [vocabulary.BYTE_LEVEL_WORDS, SPLIT, r"[\p{L}]+|\s+(?!\S)", r"\w+|\S"])
+def test_words_found_as_by_regex(pattern):
+    find = vocabulary.finder(pattern)
+    every = " ".join(chr(c) * 2 for c in range(0x10000) if not 0xD800 <= c < 0xE000)
+    for text in [every, every + "\U0001f600a", *(t or "" for t in random_texts(300, 5))]:
+        same = find(text) == regex.findall(pattern, text)
+        assert same
+
+
+@pytest.fixture(scope="module")
+def folds(own):
+    return [byte_bpe.RankedMerges(own["ranks"], fold_bytes) for fold_bytes in (8, 1000)]
+
+
+@given(TEXT.filter(bool) | st.text(st.characters(exclude_categories=["Cs"]), min_size=1, max_size=40))
+@settings(max_examples=150, deadline=None)
+def test_ranked_merges_as_the_library(own, folds, word):
+    for fold in folds:
+        assert np.frombuffer(fold.ids(word), "<u4").tolist() == own["tiktoken"]._core_bpe.encode_single_piece(word.encode())
+
+
+def test_texts_are_not_folded_row_by_row(spark, capsys):
+    docs = spark.createDataFrame([(1, "a rare word")], "doc_id long, text string")
+    byte_bpe.decode(byte_bpe.encode_documents(docs, MULTI), MULTI).explain()
+    assert "lambda" not in capsys.readouterr().out
+
+
+def test_decode_ids_of_any_rows(spark):
+    docs = spark.createDataFrame([(1, [72, 72]), (2, None), (3, []), (4, [300])], "doc_id long, ids array<int>").coalesce(1)
+    ranks = {r: t for t, r in vocabulary.read_ranks(MULTI).items()}
+    got = {r["doc_id"]: r for r in byte_bpe.decode(docs, MULTI).collect()}
+    assert got[2]["decoded"] is None and got[2]["packed"] is None
+    for doc, ids in ((1, [72, 72]), (3, []), (4, [300])):
+        assert bytes(got[doc]["decoded"]) == b"".join(ranks[i] for i in ids)
+        assert bytes(got[doc]["packed"]) == np.array(ids, "<u4").tobytes()
+
+
 def test_merge_counts_of_long_words(own):
     for word in ("a" * 20_000, "ab" * 5000 + "ç" * 300):
         assert own["count"](word) == len(own["bytes"].encode(word, add_special_tokens=False).ids)
