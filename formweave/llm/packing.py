@@ -36,7 +36,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from formweave.llm.shared import new_folder, written
+from formweave.llm.shared import kept, new_folder, written
 from formweave.llm.vocabulary import read_json
 from formweave.llm.word_ids import encoder
 
@@ -51,8 +51,8 @@ PIECES = "item bigint, doc_id bigint, piece int, start bigint, length bigint, id
 SWEPT = "item bigint, length bigint, seq bigint, part int, rank bigint, is_slot boolean"
 
 
-def _pieces(batches, spec: dict, capacity: int, end_id: int):
-    encode = encoder(spec)
+def _pieces(batches, sent, capacity: int, end_id: int):
+    encode = kept(sent, lambda held: encoder(held["spec"]))
     end = np.array([end_id], "<u4").tobytes()
     item = TaskContext.get().partitionId() << 40
     for batch in batches:
@@ -70,7 +70,9 @@ def _pieces(batches, spec: dict, capacity: int, end_id: int):
 
 def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
     """item (a number for each piece), doc_id, piece, start, length, ids_crc32; by the tokenizer in the json file at `path`."""
-    make = partial(_pieces, spec=read_json(path), capacity=capacity, end_id=end_id)
+    # a broadcast variable, for a worker keeps it, with the words it met, from task to task
+    sent = docs.sparkSession.sparkContext.broadcast({"spec": read_json(path)})
+    make = partial(_pieces, sent=sent, capacity=capacity, end_id=end_id)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(make, PIECES)
 
 

@@ -13,7 +13,7 @@ import re
 import unicodedata
 from struct import pack
 
-from formweave.llm.vocabulary import WordCache, byte_letters, plain_specials
+from formweave.llm.vocabulary import WordCache, byte_letters, finder, plain_specials
 
 #: The only chain of steps that is known here, as the vocabulary's file states it.
 NORMALIZERS = ["NFC", "Replace", "Lowercase"]
@@ -21,7 +21,6 @@ NORMALIZERS = ["NFC", "Replace", "Lowercase"]
 
 def encoder(spec: dict):
     """text -> ids as little-endian unsigned 32-bit integers in bytes, without special tokens of its own."""
-    import regex
     from tokenizers import Tokenizer
 
     split, level = spec["pre_tokenizer"]["pretokenizers"]
@@ -42,7 +41,7 @@ def encoder(spec: dict):
         found = [t.id for t in tokenize(plain)]
         return pack(f"<{len(found)}I", *found)
 
-    find = regex.compile(split["pattern"]["Regex"]).findall
+    find = finder(split["pattern"]["Regex"])
     numbers = plain_specials(spec)
     cut = re.compile(f"({'|'.join(map(re.escape, numbers))})" if numbers else r"(?!)").split
     look = WordCache(ids).__getitem__

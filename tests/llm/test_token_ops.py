@@ -15,6 +15,7 @@ from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
 from formweave.llm import byte_bpe, impact_topk, packing, token_counts, vptree, vocabulary, word_ids
+from formweave.llm.shared import kept
 
 BYTES, WORDS = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("word_bpe_49k.json")
 MULTI = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -250,3 +251,13 @@ def test_pruning_passes_over_leaves():
     gaps = tree.gaps(x[:50])
     _, d = vptree.search(tree, np.arange(2000), x[:50], np.arange(50), 10, 1.0)
     assert (gaps <= d[:, -1:]).mean() < 0.5
+
+
+def test_a_worker_keeps_what_it_made():
+    class Sent:
+        value = {"spec": 3}
+
+    made = []
+    for _ in range(3):
+        assert kept(Sent, lambda held: made.append(held["spec"]) or len(made)) == 1
+    assert made == [3]
