@@ -24,7 +24,8 @@ LOWER_VALUES = _VALUES.copy()
 LOWER_VALUES[65:91] = _VALUES[97:123]
 _POWERS: dict[str, np.ndarray] = {}
 
-CHUNK_BYTES = 1 << 21
+#: Text that is worked on at once; some ten arrays of eight bytes a byte stand beside it.
+CHUNK_BYTES = 1 << 19
 
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
