@@ -1,49 +1,129 @@
 """Which phrases stand in which texts, for any number of both.
 
-An inverted index of q-grams.  A phrase is kept under a single one of its
-windows of `Q` characters, the one the fewest texts have (a shorter phrase
-under itself); a text meets phrases under its windows of 1 to `Q` characters,
-and `contains` decides.  Nothing is lost: a text that contains a phrase has
-all windows of it.
-
-Texts are counted by hash buckets of their windows, phrases by the bucket they
-are kept under; texts send only windows of buckets in use.  Both counts are
-scalar subqueries of `BUCKETS` numbers, so no job runs while a plan is built.
+An inverted index of windows of `WIDTHS` bytes of UTF-8.  A phrase is
+kept under a single one of its widest windows, the one the fewest texts have; a
+text meets phrases under its windows of every width, and `contains` decides.
+Nothing is lost: a text that contains a phrase has all windows of it.
+
+Windows are numbers made by numpy in the tasks, all of a stretch of texts at
+once.  They are counted there by hash buckets, for texts, and phrases by the
+bucket they are kept under; texts send only windows of buckets in use.  Both
+counts are scalar subqueries of `BUCKETS` numbers, so no job runs while a plan
+is built.
 They also say in how many parts each side of a frequent window is dealt out.
 """
 
 from __future__ import annotations
 
+from functools import partial
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from formweave.operators.spread import spread
 
-#: Characters of the longest window; shorter ones serve shorter phrases.
-Q = 4
-#: Hash buckets in which windows are counted.
+#: Bytes of windows, 8 at most; narrow ones serve short phrases, wide ones are rarer.
+WIDTHS = (1, 2, 3, 4, 6, 8)
+#: Hash buckets in which windows are counted, a power of two.
 BUCKETS = 1 << 16
+#: Bits of a window's number; the rest of 64 tell apart the texts of a stretch.
+BITS = 40
+#: Bytes of texts that are worked on at once, unless one has more.
+STRETCH = 1 << 18
 #: Rows of one window that meet in one task, of each side.
 PART_ROWS = 4096
 
 
-def _windows(c: Column, n: int) -> Column:
-    return F.regexp_extract_all(c, F.lit(rf"(?s)(?=(.{{{n}}}))"), F.lit(1))
-
-
-def _hashed(windows: Column) -> Column:
-    return F.array_distinct(F.transform(windows, lambda w: F.xxhash64("grp", w)))
+def _mix(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def _stretches(batch: pa.RecordBatch, column: str):
+    """(first row, byte offsets, bytes, group hashes) of stretches of a batch's rows."""
+    texts, groups = batch[column], batch["g"].to_numpy().view(np.uint64)
+    kind = np.int64 if pa.types.is_large_string(texts.type) else np.int32
+    _, offsets, data = texts.buffers()
+    at = np.frombuffer(offsets, kind)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
+    whole = np.frombuffer(data, np.uint8) if data else np.zeros(0, np.uint8)
+    first = 0
+    while first < len(texts):
+        end = max(first + 1, int(np.searchsorted(at, at[first] + STRETCH, "right")) - 1)
+        # the number of texts leaves room for that of a window
+        end = min(end, first + (1 << 64 - BITS) - 1)
+        yield first, at[first : end + 1] - at[first], whole[at[first] : at[end]], groups[first:end]
+        first = end
+
+
+def _numbers(offsets: np.ndarray, data: np.ndarray, groups: np.ndarray, widest: bool) -> np.ndarray:
+    """(text << BITS) | window of all windows of texts, with repeats; of each text all widths, or the widest that it has."""
+    sizes = np.diff(offsets)
+    owner = np.repeat(np.arange(len(sizes)), sizes)
+    left = offsets[1:][owner] - np.arange(len(data))
+    packed, done, found = np.zeros(len(data), np.uint64), 0, []
+    for width, wider in zip(WIDTHS, [*WIDTHS[1:], None], strict=True):
+        for i in range(done, min(width, len(data))):
+            packed[: len(data) - i] |= data[i:].astype(np.uint64) << np.uint64(8 * i)
+        done = width
+        fits = left >= width
+        if widest and wider:
+            fits &= sizes[owner] < wider
+        text = owner[fits]
+        salt = _mix(groups + np.uint64(width))
+        h = _mix(packed[fits] ^ salt[text]) >> np.uint64(64 - BITS)
+        found.append((text.astype(np.uint64) << np.uint64(BITS)) | h)
+    return np.concatenate(found)
+
+
+def _window_rows(batches, column: str, widest: bool):
+    """Rows with e, the distinct windows of their text."""
+    for batch in batches:
+        for first, offsets, data, groups in _stretches(batch, column):
+            found = np.sort(_numbers(offsets, data, groups, widest))
+            new = np.ones(len(found), bool)
+            new[1:] = found[1:] != found[:-1]
+            found = found[new]
+            cuts = np.searchsorted(found, np.arange(len(offsets), dtype=np.uint64) << np.uint64(BITS))
+            windows = (found & np.uint64((1 << BITS) - 1)).view(np.int64)
+            lists = pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(windows))
+            rows = batch.slice(first, len(offsets) - 1)
+            yield pa.RecordBatch.from_arrays([rows["grp"], rows[column], lists], names=["grp", column, "e"])
+
+
+def _count_rows(batches):
+    """(id, n): how many windows a task's texts have in each bucket."""
+    total = np.zeros(BUCKETS, np.int64)
+    for batch in batches:
+        for _, offsets, data, groups in _stretches(batch, "text"):
+            found = _numbers(offsets, data, groups, False) & np.uint64(BUCKETS - 1)
+            total += np.bincount(found.view(np.int64), minlength=BUCKETS)
+    used = np.flatnonzero(total)
+    yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(total[used])], names=["id", "n"])
+
+
+def _with_group(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("g", F.xxhash64("grp"))
+
+
+def _windows(rows: DataFrame, column: str, widest: bool) -> DataFrame:
+    """(grp, column, e): a row for each distinct window."""
+    schema = T.StructType([rows.schema["grp"], rows.schema[column], T.StructField("e", T.ArrayType(T.LongType()))])
+    made = _with_group(rows).mapInArrow(partial(_window_rows, column=column, widest=widest), schema)
+    return made.withColumn("e", F.explode("e"))
 
 
 def _bucket(e: Column) -> Column:
-    return F.pmod(e, F.lit(BUCKETS)).cast("int")
+    return e.bitwiseAND(F.lit(BUCKETS - 1)).cast("int")
 
 
-def _counts(rows: DataFrame) -> Column:
-    """An array of the number of rows by the bucket of their window e."""
-    one = rows.select(_bucket(F.col("e")).cast("long").alias("id"), F.lit(1).cast("long").alias("n"))
-    none = rows.sparkSession.range(BUCKETS).select("id", F.lit(0).cast("long").alias("n"))
-    summed = one.groupBy("id").agg(F.sum("n").alias("n")).union(none).groupBy("id").agg(F.sum("n").alias("n"))
+def _summed(counts: DataFrame) -> Column:
+    """An array of counts (id, n) by bucket."""
+    none = counts.sparkSession.range(BUCKETS).select("id", F.lit(0).cast("long").alias("n"))
+    summed = counts.groupBy("id").agg(F.sum("n").alias("n")).union(none).groupBy("id").agg(F.sum("n").alias("n"))
     return summed.agg(F.sort_array(F.collect_list(F.struct("id", "n")))["n"]).scalar()
 
 
@@ -60,22 +140,18 @@ def contained_pairs(texts: DataFrame, phrases: DataFrame) -> DataFrame:
     # windows are dear to make, so distinct rows are dealt out before
     texts = spread(texts.select("grp", "text").filter("grp IS NOT NULL AND text <> ''").distinct(), "grp", "text")
     phrases = spread(phrases.select("grp", "phrase").filter("grp IS NOT NULL AND phrase <> ''").distinct(), "grp", "phrase")
-    of_text = _hashed(F.concat(*[_windows(F.col("text"), n) for n in range(1, Q + 1)]))
-    # the outer form keeps the optimizer from computing all windows twice, once to see whether there are any
-    seen = texts.select("grp", "text", F.explode_outer(of_text).alias("e"))
-    n_texts = _counts(seen)
+    seen = _windows(texts, "text", widest=False)
+    n_texts = _summed(_with_group(texts).mapInArrow(_count_rows, "id bigint, n bigint"))
 
-    short = F.length("phrase") < Q
-    of_phrase = _hashed(F.when(short, F.array("phrase")).otherwise(_windows(F.col("phrase"), Q)))
     # the aggregation follows that shuffle
     rarest = (
-        phrases.select("grp", "phrase", F.explode_outer(of_phrase).alias("e"))
+        _windows(phrases, "phrase", widest=True)
         .withColumn("n", F.get(n_texts, _bucket(F.col("e"))))
         .groupBy("grp", "phrase").agg(F.min(F.struct("n", "e")).alias("kept"))
         .filter("kept.n > 0")
         .select("grp", "phrase", "kept.e", "kept.n")
     )
-    n_phrases = _counts(rarest)
+    n_phrases = _summed(rarest.select(_bucket(F.col("e")).cast("long").alias("id"), F.lit(1).cast("long").alias("n")))
 
     count_t, count_p = F.get(n_texts, _bucket(F.col("e"))), F.get(n_phrases, _bucket(F.col("e")))
     every = lambda parts: F.explode(F.sequence(F.lit(0), parts - 1))

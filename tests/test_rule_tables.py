@@ -91,3 +91,34 @@ def test_fifty_thousand_rules_map_fields_as_the_literal_lexicon(spark):
     assert keys(lexicon_table(spark, [*lexicon(), *others])) == {
         "one": ("other.40000", "lexicon"), "two": ("other.8", "lexicon"), "gated": (None, None), "heading": ("other.7", "lexicon"),
     }
+
+
+def test_windows_of_a_stretch_are_those_of_its_texts(monkeypatch):
+    monkeypatch.setattr(containment, "STRETCH", 16)
+    texts = ["of the cat", "", "é😀", "of", "a long text beyond the stretch", None, "of the cat"]
+    batch = containment.pa.RecordBatch.from_arrays(
+        [containment.pa.array([0] * 7), containment.pa.array(texts), containment.pa.array([5, 5, 5, 5, 5, 5, 6])], names=["grp", "text", "g"]
+    )
+    # the first and last rows are cut off, as a part of a larger batch
+    rows = [r for out in containment._window_rows([batch.slice(1, 5)], "text", False) for r in out.to_pylist()]
+    assert [r["text"] for r in rows] == texts[1:6]
+    for r in rows:
+        raw = (r["text"] or "").encode()
+        assert len(set(r["e"])) == len(r["e"]) == len({raw[i : i + w] for w in containment.WIDTHS for i in range(len(raw) - w + 1)})
+    widest = [r["e"] for out in containment._window_rows([batch], "text", True) for r in out.to_pylist()]
+    every = [r["e"] for out in containment._window_rows([batch], "text", False) for r in out.to_pylist()]
+    assert [len(e) for e in widest] == [3, 0, 1, 1, 23, 0, 3] and set(widest[3]) <= set(every[0])
+    # equal texts of other groups have other windows
+    assert not set(every[0]) & set(every[6])
+    counted = [r for out in containment._count_rows([batch]) for r in out.to_pylist()]
+    assert sum(r["n"] for r in counted) == sum(max(0, len((t or "").encode()) - w + 1) for t in texts for w in containment.WIDTHS)
+
+
+def test_a_long_phrase_meets_only_texts_with_a_wide_window_of_it(spark):
+    texts = [("g", f"{i:05} rent out the hen, other flowers") for i in range(200)] + [("g", "of the other"), ("g", "é of thé other")]
+    phrases = [("g", "of the other"), ("g", "é of thé")]
+    rows = containment.contained_pairs(spark.createDataFrame(texts, "grp string, text string"), spark.createDataFrame(phrases, "grp string, phrase string"))
+    assert sorted(tuple(r) for r in rows.collect()) == _all_pairs(texts, phrases)
+    widest = containment._windows(spark.createDataFrame(phrases, "grp string, phrase string"), "phrase", True)
+    seen = containment._windows(spark.createDataFrame(texts, "grp string, text string"), "text", False)
+    assert seen.join(widest, "e").select("text").distinct().count() < 10
