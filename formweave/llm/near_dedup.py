@@ -44,7 +44,7 @@ from pyspark.sql import functions as F
 
 from formweave.llm.bytewords import grams, mix, text_chunks, words
 from formweave.llm.components import components
-from formweave.llm.shared import written
+from formweave.llm.shared import lean, written
 
 SHINGLE = 5
 #: Similarity in hundredths.
@@ -239,7 +239,7 @@ def near_components(docs: DataFrame, shingle: int = SHINGLE, similar: int = SIMI
         F.col("doc_id").cast("long").alias("doc"), F.xxhash64(text).alias("text_key"), text.alias("text")
     )
     profile = partial(_profiles, size=shingle, halves=halves, width=width)
-    profiles = written(named.mapInArrow(profile, PROFILE), "profiles")
+    profiles = written(named.mapInArrow(lean(profile), PROFILE), "profiles")
     filled = profiles.filter("n > 0")
     classes = written(filled.groupBy("s1", "s2").agg(F.min("doc").alias("node"), F.first("halves").alias("halves")), "classes")
     # a document with several texts has several classes; they are one node
@@ -251,7 +251,7 @@ def near_components(docs: DataFrame, shingle: int = SHINGLE, similar: int = SIMI
     needed = stars.select(F.col("a").alias("node")).union(stars.select("b")).distinct()
     # alike at every size: a small `needed` would be broadcast, a large one not
     wanted = named.join(needed.hint("merge"), named["doc"] == needed["node"]).select("node", "text")
-    sets = written(wanted.mapInArrow(partial(_set_rows, size=shingle), "node bigint, shingles array<bigint>, sketch binary"), "sets")
+    sets = written(wanted.mapInArrow(lean(partial(_set_rows, size=shingle)), "node bigint, shingles array<bigint>, sketch binary"), "sets")
     links = written(_confirmed(stars, sets, similar), "star-links")
     # a node whose document has another node is linked with it
     twice = member.join(member.groupBy("doc").agg(F.min("node").alias("a"), F.max("node").alias("b")).filter("a < b"), "doc").select(
@@ -262,7 +262,7 @@ def near_components(docs: DataFrame, shingle: int = SHINGLE, similar: int = SIMI
 
     rest = _unconnected(shared, sets, labels)
     order = ["bucket", "i", "j"]
-    close = rest.repartition(*order).sortWithinPartitions(*order).mapInArrow(partial(_near_pairs, similar=similar), "a bigint, b bigint")
+    close = rest.repartition(*order).sortWithinPartitions(*order).mapInArrow(lean(partial(_near_pairs, similar=similar)), "a bigint, b bigint")
     more = close.distinct().join(stars, ["a", "b"], "left_anti")
     late = written(_confirmed(written(more, "rest-pairs"), sets, similar), "rest-links")
     if not late.isEmpty():

@@ -36,7 +36,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from formweave.llm.shared import kept, new_folder, written
+from formweave.llm.shared import kept, lean, new_folder, written
 from formweave.llm.vocabulary import read_json
 from formweave.llm.word_ids import encoder
 
@@ -73,7 +73,7 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = E
     # a broadcast variable, for a worker keeps it, with the words it met, from task to task
     sent = docs.sparkSession.sparkContext.broadcast({"spec": read_json(path)})
     make = partial(_pieces, sent=sent, capacity=capacity, end_id=end_id)
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(make, PIECES)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(lean(make), PIECES)
 
 
 def _sweep(batches):
@@ -147,7 +147,7 @@ class Packing:
             slots.select(size.cast("long").alias("size"), F.lit(True).alias("is_slot"), F.col("seq").alias("id"), "slot")
         )
         order = ["size", "is_slot", "id", "slot"]
-        swept = self._written(both.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(_sweep, SWEPT), "swept")
+        swept = self._written(both.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(lean(_sweep), SWEPT), "swept")
 
         counts = swept.groupBy("part").agg(
             F.count(F.when(~F.col("is_slot"), 1)).alias("pieces"), F.count(F.when(F.col("is_slot"), 1)).alias("slots"), F.count("*").alias("n")

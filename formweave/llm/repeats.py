@@ -51,7 +51,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from formweave.llm.bytewords import _VALUES, _powers, mix, text_chunks
-from formweave.llm.shared import new_folder, written
+from formweave.llm.shared import lean, new_folder, written
 
 LENGTH = 100
 ANCHOR = 25
@@ -137,7 +137,7 @@ def _anchor_rows(batches, length: int):
 
 def repeated_anchors(named: DataFrame, length: int) -> DataFrame:
     """(doc, anchors): for each text the anchors that are elsewhere too; named: doc, text."""
-    rows = named.mapInArrow(partial(_anchor_rows, length=length), "a bigint, doc bigint, known boolean, first boolean")
+    rows = named.mapInArrow(lean(partial(_anchor_rows, length=length)), "a bigint, doc bigint, known boolean, first boolean")
     # of what a task has settled only the first row meets other tasks' rows
     dealt = rows.withColumn("key", F.when(F.col("first"), F.col("a")).otherwise(F.xxhash64("a", "doc")))
     met = dealt.withColumn("n", F.count("*").over(Window.partitionBy("key", "first")))
@@ -434,14 +434,14 @@ def repeats(docs: DataFrame, length: int = LENGTH, hot_runs: int = HOT_RUNS, blo
     anchors = repeated_anchors(named.select("doc", "text"), length).join(copied, "doc", "left")
     is_copy = F.coalesce(F.array_contains("copied", F.col("text_key")), F.lit(False))
     owned = named.select("doc", "text_key", "text").join(anchors, "doc").filter(~is_copy).drop("copied")
-    runs = written(owned.mapInArrow(partial(_run_rows, length=length), "a bigint, run binary, doc bigint, text_key bigint, start bigint, starts bigint"), "runs", folder)
+    runs = written(owned.mapInArrow(lean(partial(_run_rows, length=length)), "a bigint, run binary, doc bigint, text_key bigint, start bigint, starts bigint"), "runs", folder)
 
     hot = runs.filter("a IS NOT NULL").groupBy("a").count().filter(F.col("count") > hot_runs).select("a", F.lit(True).alias("hot"))
     hot = written(hot, "hot", folder)
     marked = runs.filter("a IS NOT NULL").join(hot, "a", "left")
     order = ["a", "run", "doc", "text_key", "start"]
     cold = marked.filter("hot IS NULL").drop("hot").repartition("a").sortWithinPartitions(*order)
-    found = cold.mapInArrow(partial(_block_rows, length=length, block_bytes=block_bytes), STARTS)
+    found = cold.mapInArrow(lean(partial(_block_rows, length=length, block_bytes=block_bytes)), STARTS)
     whole = runs.filter("a IS NULL").select("doc", "text_key", "start", "starts")
     starts = found.unionByName(whole).unionByName(_one_by_one(marked.filter("hot"), length))
     return written(starts, "starts", folder), copies
@@ -465,4 +465,4 @@ def cut_repeats(docs: DataFrame, length: int = LENGTH, as_text: bool = False, **
         T.StructField("n_removed", T.LongType()), T.StructField("n_spans", T.LongType()),
     ]
     schema = T.StructType([*docs.select(*columns).schema.fields, *made])
-    return joined.mapInArrow(partial(_cut_rows, length=length, as_text=as_text), schema)
+    return joined.mapInArrow(lean(partial(_cut_rows, length=length, as_text=as_text)), schema)

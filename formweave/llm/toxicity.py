@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from formweave.llm.bytewords import MARKS, grams, text_chunks, words
-from formweave.llm.shared import written
+from formweave.llm.shared import give_back, lean, written
 
 #: Labelled rows of each class that are learnt from, at most.
 PER_CLASS = 10_000
@@ -92,16 +92,24 @@ def _fit(batches, epochs: int, alpha: float, beta: float, l1: float, l2: float):
             at = coarse(r)
             twice[at[once[at]]] = True
             once[at] = True
+        at = None
         rows = [r[twice[coarse(r)]] for r in rows]
-    keys, counts = np.unique(np.concatenate(rows), return_counts=True)
-    keys = keys[counts >= least]
+        del once, twice
+    # the batches go, and nothing stands twice from here on
+    batch = r = None
+    give_back()
+    keys = np.concatenate(rows)
+    keys.sort()
+    first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else np.zeros(0, np.int64)
+    keys = keys[first[np.diff(first, append=len(keys)) >= least]]
+    del first
     order = np.random.default_rng(5).permutation(len(rows))
     z, n = np.zeros(len(keys) + 1), np.zeros(len(keys) + 1)  # the last is the intercept
-    places = []
-    for r in rows:
+    places = rows
+    for i, r in enumerate(rows):
         at = np.searchsorted(keys, r)
         at = at[(at < len(keys)) & (keys[np.minimum(at, max(0, len(keys) - 1))] == r)] if len(keys) else at[:0]
-        places.append(np.append(at, len(keys)))
+        places[i] = np.append(at, len(keys)).astype(np.int32)
 
     def weights(z, n):
         return np.where(np.abs(z) <= l1, 0.0, (np.sign(z) * l1 - z) / ((beta + np.sqrt(n)) / alpha + l2))
@@ -137,13 +145,13 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, epochs
     sample = written(parts[0].unionByName(parts[1]), "sample")
     # proven bound: 2 * per_class rows
     chosen = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("toxic", "text")
-    rows = written(chosen.mapInArrow(_feature_rows, "toxic int, features array<bigint>"), "sample-features")
+    rows = written(chosen.mapInArrow(lean(_feature_rows), "toxic int, features array<bigint>"), "sample-features")
     seen = {r["toxic"]: r["count"] for r in rows.groupBy("toxic").count().collect()}
     if len(seen) < 2:
         p = shares[1] / (shares[0] + shares[1])
         return Model(math.log(p / (1 - p)))
     fit = partial(_fit, epochs=epochs, alpha=alpha, beta=beta, l1=l1, l2=l2)
-    found = rows.repartition(1).mapInArrow(fit, "key bigint, weight double, intercept boolean").collect()
+    found = rows.repartition(1).mapInArrow(lean(fit), "key bigint, weight double, intercept boolean").collect()
     shift = math.log(shares[1] / shares[0]) - math.log(seen[1] / seen[0])
     model = [(r["key"] & 0xFFFFFFFFFFFFFFFF, r["weight"]) for r in found if not r["intercept"]]
     model.sort()
@@ -176,7 +184,7 @@ def score(docs: DataFrame, model: Model, name: str = "score") -> DataFrame:
     """docs with their score from 0 to 1 in a column `name`."""
     docs = docs.drop(name)
     schema = T.StructType([*docs.schema.fields, T.StructField(name, T.DoubleType())])
-    return docs.mapInArrow(partial(_scored, model=model, name=name), schema)
+    return docs.mapInArrow(lean(partial(_scored, model=model, name=name)), schema)
 
 
 def held_out(doc_id: str = "doc_id"):

@@ -45,6 +45,8 @@ def _mix(x: np.ndarray) -> np.ndarray:
 
 def _stretches(batch: pa.RecordBatch, column: str):
     """(first row, byte offsets, bytes, group hashes) of stretches of a batch's rows."""
+    if not len(batch):
+        return
     texts, groups = batch[column], batch["g"].to_numpy().view(np.uint64)
     kind = np.int64 if pa.types.is_large_string(texts.type) else np.int32
     _, offsets, data = texts.buffers()
