@@ -6,11 +6,12 @@ text meets phrases under its windows of every width, and `contains` decides.
 Nothing is lost: a text that contains a phrase has all windows of it.
 
 Windows are numbers made by numpy in the tasks, all of a stretch of texts at
-once.  They are counted there by hash buckets, for texts, and phrases by the
-bucket they are kept under; texts send only windows of buckets in use.  Both
-counts are scalar subqueries of `BUCKETS` numbers, so no job runs while a plan
-is built.
-They also say in how many parts each side of a frequent window is dealt out.
+once.  Tasks over texts get the windows in use as bits, beside their first row:
+those of any phrase for counting by hash buckets, those that phrases are kept
+under for sending.  A text goes to its windows' phrases and back as a number
+of `ID_BITS`; texts of one number are told apart where they are tested.
+Bits and counts are scalar subqueries, so no job runs while a plan is built.
+Counts also say in how many parts each side of a frequent window is dealt out.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from formweave.operators.spread import spread
+from formweave.operators.spread import growing, spread
 
 #: Bytes of windows, 8 at most; narrow ones serve short phrases, wide ones are rarer.
 WIDTHS = (1, 2, 3, 4, 6, 8)
@@ -35,6 +36,10 @@ BITS = 40
 STRETCH = 1 << 18
 #: Rows of one window that meet in one task, of each side.
 PART_ROWS = 4096
+#: Numbers of 64 bits that tell which windows are in use, a power of two.
+WORDS = 1 << 18
+#: Bits of a text's number: few bytes to send, and few texts share one.
+ID_BITS = 40
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -61,8 +66,8 @@ def _stretches(batch: pa.RecordBatch, column: str):
         first = end
 
 
-def _numbers(offsets: np.ndarray, data: np.ndarray, groups: np.ndarray, widest: bool) -> np.ndarray:
-    """(text << BITS) | window of all windows of texts, with repeats; of each text all widths, or the widest that it has."""
+def _numbers(offsets: np.ndarray, data: np.ndarray, groups: np.ndarray, widest: bool, used: np.ndarray | None = None) -> np.ndarray:
+    """(text << BITS) | window of all windows of texts, with repeats; of each text all widths, or the widest that it has; of `used` bits only."""
     sizes = np.diff(offsets)
     owner = np.repeat(np.arange(len(sizes)), sizes)
     left = offsets[1:][owner] - np.arange(len(data))
@@ -77,6 +82,10 @@ def _numbers(offsets: np.ndarray, data: np.ndarray, groups: np.ndarray, widest:
         text = owner[fits]
         salt = _mix(groups + np.uint64(width))
         h = _mix(packed[fits] ^ salt[text]) >> np.uint64(64 - BITS)
+        if used is not None:
+            at = h & np.uint64(64 * len(used) - 1)
+            some = ((used[at >> np.uint64(6)] >> (at & np.uint64(63))) & np.uint64(1)).astype(bool)
+            text, h = text[some], h[some]
         found.append((text.astype(np.uint64) << np.uint64(BITS)) | h)
     return np.concatenate(found)
 
@@ -96,12 +105,32 @@ def _window_rows(batches, column: str, widest: bool):
             yield pa.RecordBatch.from_arrays([rows["grp"], rows[column], lists], names=["grp", column, "e"])
 
 
+def _with_used(batches):
+    """Batches with the bits of the windows in use, which come beside a task's first row; none without such a column."""
+    used = None
+    for batch in batches:
+        if used is None and "used" in batch.schema.names and len(batch):
+            used = batch["used"][0].values.to_numpy().view(np.uint64)
+        yield batch, used
+
+
+def _seen_rows(batches):
+    """(a, e): the distinct windows in use of each text, by its number."""
+    for batch, used in _with_used(batches):
+        ids = batch["a"].to_numpy()
+        for first, offsets, data, groups in _stretches(batch, "text"):
+            found = np.unique(_numbers(offsets, data, groups, False, used))
+            text = (found >> np.uint64(BITS)).view(np.int64)
+            windows = (found & np.uint64((1 << BITS) - 1)).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(ids[first + text]), pa.array(windows)], names=["a", "e"])
+
+
 def _count_rows(batches):
-    """(id, n): how many windows a task's texts have in each bucket."""
+    """(id, n): how many windows, of those in use, a task's texts have in each bucket."""
     total = np.zeros(BUCKETS, np.int64)
-    for batch in batches:
+    for batch, used in _with_used(batches):
         for _, offsets, data, groups in _stretches(batch, "text"):
-            found = _numbers(offsets, data, groups, False) & np.uint64(BUCKETS - 1)
+            found = _numbers(offsets, data, groups, False, used) & np.uint64(BUCKETS - 1)
             total += np.bincount(found.view(np.int64), minlength=BUCKETS)
     used = np.flatnonzero(total)
     yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(total[used])], names=["id", "n"])
@@ -122,48 +151,100 @@ def _bucket(e: Column) -> Column:
     return e.bitwiseAND(F.lit(BUCKETS - 1)).cast("int")
 
 
+def _by_number(rows: DataFrame, size: int, total) -> Column:
+    """An array of `size` values (id, n), those of an id folded by total, 0 where there are none."""
+    none = rows.sparkSession.range(size).select("id", F.lit(0).cast("long").alias("n"))
+    folded = rows.groupBy("id").agg(total("n").alias("n")).union(none).groupBy("id").agg(total("n").alias("n"))
+    return folded.agg(F.sort_array(F.collect_list(F.struct("id", "n")))["n"]).scalar()
+
+
 def _summed(counts: DataFrame) -> Column:
     """An array of counts (id, n) by bucket."""
-    none = counts.sparkSession.range(BUCKETS).select("id", F.lit(0).cast("long").alias("n"))
-    summed = counts.groupBy("id").agg(F.sum("n").alias("n")).union(none).groupBy("id").agg(F.sum("n").alias("n"))
-    return summed.agg(F.sort_array(F.collect_list(F.struct("id", "n")))["n"]).scalar()
+    return _by_number(counts, BUCKETS, F.sum)
+
+
+def bits_of(hashes: DataFrame, words: int) -> Column:
+    """An array of numbers whose bits say which hashes there are, by the last bits of column e."""
+    e = F.col("e")
+    word = F.shiftright(e, 6).bitwiseAND(F.lit(words - 1)).alias("id")
+    one = F.call_function("shiftleft", F.lit(1).cast("long"), e.bitwiseAND(F.lit(63)).cast("int")).alias("n")
+    return _by_number(hashes.select(word, one), words, F.bit_or)
+
+
+def has_bit(bits: Column, e: Column, words: int) -> Column:
+    """Whether the bit of a hash is set."""
+    word = F.get(bits, F.shiftright(e, 6).bitwiseAND(F.lit(words - 1)).cast("int"))
+    return F.getbit(word, e.bitwiseAND(F.lit(63)).cast("int")) == 1
+
+
+def beside_first(value: Column) -> Column:
+    """The value in the first row of each task, null in the others."""
+    return F.when(F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)) == 0, value)
 
 
 def _parts(count: Column) -> Column:
     return F.greatest(F.ceil(count / PART_ROWS).cast("int"), F.lit(1))
 
 
-def contained_pairs(texts: DataFrame, phrases: DataFrame) -> DataFrame:
-    """(grp, text, phrase): each pair of one group, once, whose text contains the phrase.
+def number_of(grp: Column, text: Column) -> Column:
+    """A text's number in its group."""
+    return F.xxhash64(grp, text).bitwiseAND(F.lit((1 << ID_BITS) - 1))
 
-    texts: grp, text; phrases: grp, phrase.  Rows may repeat; null and empty
-    texts and phrases are in no pair, nor are rows without a group.
+
+def numbered(texts: DataFrame) -> DataFrame:
+    """(a, g, grp, text): the distinct texts, dealt out by their number a; null and empty ones and those without a group are left out."""
+    some = texts.select("grp", "text").filter("grp IS NOT NULL AND text <> ''")
+    sets = some.groupBy(number_of(F.col("grp"), F.col("text")).alias("a")).agg(F.collect_set(F.struct("grp", "text")).alias("t"))
+    return sets.select("a", F.explode("t").alias("t")).select("a", F.xxhash64("t.grp").alias("g"), "t.grp", "t.text")
+
+
+def candidates(texts: DataFrame, phrases: DataFrame) -> DataFrame:
+    """(a, grp, phrase, ...): numbers of texts that may contain a phrase, with all columns of phrases.
+
+    texts: as `numbered`; phrases: grp, phrase, distinct, and any others.
+    By chance a pair may come more than once.
     """
-    # windows are dear to make, so distinct rows are dealt out before
-    texts = spread(texts.select("grp", "text").filter("grp IS NOT NULL AND text <> ''").distinct(), "grp", "text")
-    phrases = spread(phrases.select("grp", "phrase").filter("grp IS NOT NULL AND phrase <> ''").distinct(), "grp", "phrase")
-    seen = _windows(texts, "text", widest=False)
-    n_texts = _summed(_with_group(texts).mapInArrow(_count_rows, "id bigint, n bigint"))
+    some = phrases.filter("grp IS NOT NULL AND phrase <> ''")
+    # windows are dear to make
+    every = _windows(spread(some.select("grp", "phrase"), "grp", "phrase"), "phrase", widest=True)
+    beside = lambda bits: texts.withColumn("used", beside_first(bits))
+    n_texts = _summed(beside(bits_of(every, WORDS)).select("g", "text", "used").mapInArrow(_count_rows, "id bigint, n bigint"))
 
-    # the aggregation follows that shuffle
     rarest = (
-        _windows(phrases, "phrase", widest=True)
-        .withColumn("n", F.get(n_texts, _bucket(F.col("e"))))
+        every.withColumn("n", F.get(n_texts, _bucket(F.col("e"))))
         .groupBy("grp", "phrase").agg(F.min(F.struct("n", "e")).alias("kept"))
         .filter("kept.n > 0")
         .select("grp", "phrase", "kept.e", "kept.n")
     )
     n_phrases = _summed(rarest.select(_bucket(F.col("e")).cast("long").alias("id"), F.lit(1).cast("long").alias("n")))
+    seen = beside(bits_of(rarest, WORDS)).select("a", "g", "text", "used").mapInArrow(_seen_rows, "a bigint, e bigint")
 
     count_t, count_p = F.get(n_texts, _bucket(F.col("e"))), F.get(n_phrases, _bucket(F.col("e")))
-    every = lambda parts: F.explode(F.sequence(F.lit(0), parts - 1))
+    parts_of = lambda parts: F.explode(F.sequence(F.lit(0), parts - 1))
+    # a window and the parts of both sides in 32 bits: what meets by chance is tested like all others
+    met = F.hash("e", "i", "j").alias("k")
     left = (
         seen.withColumn("p", count_p).filter("p > 0")
-        .select("grp", "text", "e", F.pmod(F.hash("text"), _parts(count_t)).alias("i"), _parts(F.col("p")).alias("parts"))
-        .select("grp", "text", "e", "i", every(F.col("parts")).alias("j"))
+        .select("a", "e", F.pmod(F.hash("a"), _parts(count_t)).alias("i"), parts_of(_parts(F.col("p"))).alias("j"))
+        .select("a", met)
     )
     right = (
-        rarest.select("grp", "phrase", "e", F.pmod(F.hash("phrase"), _parts(count_p)).alias("j"), _parts(F.col("n")).alias("parts"))
-        .select("grp", "phrase", "e", every(F.col("parts")).alias("i"), "j")
+        rarest.select("grp", "phrase", "e", F.pmod(F.hash("phrase"), _parts(count_p)).alias("j"), parts_of(_parts(F.col("n"))).alias("i"))
+        .select("grp", "phrase", met)
     )
-    return left.join(right, ["grp", "e", "i", "j"]).filter(F.contains("text", "phrase")).select("grp", "text", "phrase")
+    if len(phrases.columns) > 2:
+        right = right.join(some, ["grp", "phrase"])
+    return left.join(growing(right), "k").drop("k")
+
+
+def contained_pairs(texts: DataFrame, phrases: DataFrame) -> DataFrame:
+    """(grp, text, phrase): each pair of one group, once, whose text contains the phrase.
+
+    texts: grp, text; phrases: grp, phrase.  Rows may repeat; null and empty
+    texts and phrases are in no pair, nor are rows without a group.
+    """
+    texts = numbered(texts)
+    met = candidates(texts, phrases.select("grp", "phrase").distinct())
+    found = texts.join(growing(met.withColumnRenamed("grp", "_grp")), "a").filter(F.contains("text", "phrase") & (F.col("grp") == F.col("_grp")))
+    # what met twice by chance is in one task
+    return found.select("a", "grp", "text", "phrase").distinct().drop("a")

@@ -100,7 +100,8 @@ def _passage_rules(spark: SparkSession, d: str) -> DataFrame:
 def label_rules(spark: SparkSession, d: str) -> DataFrame:
     """Lines of documents as labels under the line before, keyed by a table of rules."""
     before = F.coalesce(F.lag("key").over(Window.partitionBy("doc_id").orderBy("line")), F.lit(""))
-    lines = _lines(spread(table(spark, d, "documents").select("doc_id", "text"), "doc_id", "text"), "doc_id")
+    # the window needs a document's lines together, so its texts are sent once
+    lines = _lines(spread(table(spark, d, "documents").select("doc_id", "text"), "doc_id"), "doc_id")
     labels = lines.select("doc_id", F.col("line").cast("long").alias("line"), F.col("key").alias("norm"), before.alias("section_norm"))
     return with_lexicon(labels, _passage_rules(spark, d)).select("doc_id", "line", F.col("lexicon_key").alias("key"))
 

@@ -7,10 +7,11 @@ import random
 from people import fields
 
 from formweave.functions import fields as R
-from formweave.operators import containment
+from formweave.operators import containment, rule_tables
 from formweave.operators.containment import contained_pairs
 from formweave.operators.mapping import match_keys
 from formweave.operators.rule_tables import RULES, lexicon_keys, lexicon_table
+from formweave.plans import texts as texts_plans
 from formweave.rules.lexicon import LexiconEntry, lexicon
 
 
@@ -122,3 +123,60 @@ def test_a_long_phrase_meets_only_texts_with_a_wide_window_of_it(spark):
     widest = containment._windows(spark.createDataFrame(phrases, "grp string, phrase string"), "phrase", True)
     seen = containment._windows(spark.createDataFrame(texts, "grp string, text string"), "text", False)
     assert seen.join(widest, "e").select("text").distinct().count() < 10
+
+
+def _random_lexicon(spark, dice):
+    word = lambda: "".join(dice.choice("abé😀 ") for _ in range(dice.randint(0, 5)))
+    some = lambda most: dice.choice([None, [word() for _ in range(dice.randint(0, most))]])
+    return spark.createDataFrame([(dice.randint(0, 30), f"k{i}", some(2), some(2), some(2)) for i in range(80)], RULES)
+
+
+def test_few_rules_are_looked_up_in_place_and_many_joined_with_the_same_keys(spark, monkeypatch):
+    dice = random.Random(11)
+    word = lambda: dice.choice(["", None, *("".join(dice.choice("abé😀 ") for _ in range(dice.randint(1, 14))) for _ in range(9))])
+    rules = _random_lexicon(spark, dice)
+    labels = spark.createDataFrame([(i % 300, word(), word()) for i in range(400)], "i int, norm string, section_norm string")
+    rows = labels.unionByName(labels).unionByName(labels.selectExpr("i", "'ab abé' AS norm", "section_norm"))
+    keys = lambda: sorted((tuple(r) for r in rule_tables.with_lexicon(rows, rules).collect()), key=str)
+    here, first = keys(), sorted(map(tuple, lexicon_keys(rows, rules).collect()), key=str)
+    assert "SortMergeJoin" not in _plan(rule_tables.with_lexicon(rows, rules))
+    monkeypatch.setattr(rule_tables, "FEW_BYTES", 0)
+    assert "SortMergeJoin" in _plan(rule_tables.with_lexicon(rows, rules))
+    assert keys() == here and sorted(map(tuple, lexicon_keys(rows, rules).collect()), key=str) == first
+    by_hand = {
+        (n, s): min(
+            ((r.ord, r.key) for r in rules.collect()
+             if (n in [x for x in r.exact or [] if x] or any(x and x in n for x in r.contains or []))
+             and (not r.section_any or any(x and x in (s or "") for x in r.section_any))), default=(None, None),
+        )[1]
+        for _, n, s in rows.distinct().collect() if n
+    }
+    assert len(here) == 1200 and all(k == (by_hand[n, s] if n else None) for _, n, s, k in here)
+    assert len(set(by_hand.values())) > 10
+
+
+def _plan(df) -> str:
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_texts_of_documents_are_sent_once(spark, tmp_path):
+    lines = ["First Name", "Of the cat and of the hen", "", "Other: of the hen", "cat and", "The hen"]
+    docs = [(i, "\n".join(lines[i % 3 :] + [f"line {i}"])) for i in range(12)] + [(3, "of the hen"), (None, "cat and\nof the")]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, "The cat and of the hen\nof the")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    found = texts_plans.label_rules(spark, str(tmp_path))
+    assert sum("Exchange" in line and "doc_id" in line for line in _plan(found).splitlines()) == 1 and "Join" not in _plan(found)
+    rows = found.collect()
+    assert len(rows) == sum(len([x for x in t.split("\n") if x]) for _, t in docs) and [r.key for r in rows if r.doc_id is None] == [None, "1-1-2"]
+
+
+def test_texts_send_few_windows_by_number(spark):
+    """Texts without a window of a phrase send nothing, however many windows all texts have; none is sent with its text."""
+    dice = random.Random(3)
+    word = lambda n: "".join(dice.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))
+    phrases = [word(12) for _ in range(3000)]
+    texts = [" ".join(word(7) for _ in range(40)) for _ in range(300)] + [f"{word(90)} {p} {word(90)}" for p in phrases[:100]]
+    numbered = containment.numbered(spark.createDataFrame([("g", t) for t in texts], "grp string, text string"))
+    met = containment.candidates(numbered, spark.createDataFrame([("g", p) for p in phrases], "grp string, phrase string"))
+    assert met.columns == ["a", "grp", "phrase"]
+    assert 100 <= met.count() <= 110
