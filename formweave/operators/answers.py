@@ -13,9 +13,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from formweave.functions.text import normalize_label
-from formweave.operators.retrieval import DEDUP_THRESHOLD, answer_keys, similar_pairs
-from formweave.session import checkpoint_dir
+from formweave.functions.text import normalize_label, trigram_jaccard
+from formweave.operators.containment import bits_of, has_bit
+from formweave.operators.retrieval import DEDUP_THRESHOLD, NUMBER_WORDS, answer_keys, similar_numbers, similar_pairs, text_number
+from formweave.operators.spread import growing
+from formweave.session import checkpoint_dir, release
 
 KEY = ["cand", "key"]
 
@@ -52,6 +54,46 @@ def _leaders(pairs: DataFrame) -> DataFrame:
         settled = settled.unionByName(fresh)
 
 
+def _similar_before(keyed: DataFrame, existing: DataFrame, threshold: float) -> DataFrame:
+    """(cand, key, other, fixed, score, other_first): new keys with the similar keys that came before them, existing or new.
+
+    All that is compared reads the one shuffle that makes the keys distinct;
+    of texts only those that may be similar to another are sent again.
+    """
+    keys = keyed.groupBy(*KEY).agg(F.min(F.struct("ts_us", "seq")).alias("first"))
+    # never null, but so no reader can do with less than the shuffle has, or filter before it
+    fresh = keys.select("cand", F.when(F.col("first").isNotNull(), F.col("key")).alias("key"), "first")
+    some_old = not existing.isEmpty()
+    if some_old:
+        fresh = fresh.join(growing(answer_keys(existing).select(*KEY)), KEY, "left_anti")
+    near = similar_numbers(fresh.select(F.col("cand").alias("grp"), F.col("key").alias("text")), threshold)
+
+    asked = bits_of(near.select(F.explode(F.array("a", "b")).alias("e")), NUMBER_WORDS)
+    numbered = fresh.withColumn("a", text_number(F.col("cand"), F.col("key")))
+    first = numbered.filter(has_bit(asked, F.col("a"), NUMBER_WORDS))
+    other = first.select(F.col("a").alias("b"), F.col("cand").alias("_cand"), F.col("key").alias("other"), F.col("first").alias("other_first"))
+    scored = (
+        near.join(growing(first), "a").join(growing(other), "b").filter("cand = _cand AND key <> other")
+        .withColumn("score", trigram_jaccard(F.col("key"), F.col("other"))).filter(F.col("score") >= threshold)
+    )
+    ends = lambda x, y: F.struct(F.col(x).alias("key"), F.col(y).alias("other"))
+    turned = F.when(F.col("other_first") < F.col("first"), ends("key", "other")).when(F.col("first") < F.col("other_first"), ends("other", "key"))
+    pairs = scored.withColumn("p", turned).filter("p IS NOT NULL").select(
+        "cand", "p.key", "p.other", F.lit(False).alias("fixed"), "score", F.least("first", "other_first").alias("other_first")
+    ).distinct()
+    if some_old:
+        side = lambda df, name: df.select(F.col("cand").alias("grp"), F.col(name).alias("text"))
+        old = existing.select("cand", "normalized_key").distinct()
+        when = pairs.schema["other_first"].dataType
+        pairs = pairs.unionByName(
+            similar_pairs(side(fresh, "key"), side(old, "normalized_key"), threshold, tokens=False).select(
+                F.col("grp").alias("cand"), F.col("text").alias("key"), "other", F.lit(True).alias("fixed"), "score",
+                F.lit(None).cast(when).alias("other_first"),
+            )
+        )
+    return pairs.checkpoint()
+
+
 def save_answers(saves: DataFrame, existing: DataFrame, threshold: float = DEDUP_THRESHOLD) -> DataFrame:
     """The answers table after all saves in (ts_us, seq) order.
 
@@ -59,38 +101,18 @@ def save_answers(saves: DataFrame, existing: DataFrame, threshold: float = DEDUP
     carries its key or alias, else to the most similar one by trigrams, else
     it makes a new answer.  Answers scan existing ones first, by id, then new
     ones in the order they were made.
+
+    A key's saves are brought together by 128 bits of its hashes.  A key alone
+    in its answer is that answer; only the others are gathered by answer.
     """
     checkpoint_dir(saves.sparkSession)
-    keyed = saves.withColumn("key", normalize_label(F.col("question")))
-    per_key = keyed.groupBy(*KEY).agg(
-        F.min(F.struct("ts_us", "seq")).alias("first"),
-        F.max(F.struct("ts_us", "seq", "question", "answer")).alias("last"),
-    ).checkpoint()
-
-    placed = per_key.join(answer_keys(existing), KEY, "left")
-    by_key = placed.filter("id IS NOT NULL").select(*KEY, "id")
-    fresh = placed.filter("id IS NULL").select(*KEY, "first")
-
-    owners = existing.groupBy("cand", "normalized_key").agg(F.min("id").alias("id"))
-    old = owners.select("cand", F.col("normalized_key").alias("key"), F.lit(True).alias("fixed"))
-    targets = old.unionByName(fresh.select(*KEY, F.lit(False).alias("fixed"))).select(
-        "cand", F.col("key").alias("other"), "fixed"
-    )
-    side = lambda df, name: df.select(F.col("cand").alias("grp"), F.col(name).alias("text"))
-    when = fresh.select("cand", F.col("key").alias("other"), F.col("first").alias("other_first"))
-    pairs = (
-        similar_pairs(side(fresh, "key"), side(targets, "other"), threshold, tokens=False)
-        .filter("text <> other").distinct()
-        .select(F.col("grp").alias("cand"), F.col("text").alias("key"), "other", "score")
-        .join(fresh, KEY)
-        .join(targets, ["cand", "other"])
-        .join(when, ["cand", "other"], "left")
-        .filter(F.col("fixed") | (F.col("other_first") < F.col("first")))
-        .select(*KEY, "other", "fixed", "score", "other_first")
-        .checkpoint()
-    )
+    keyed = saves.withColumn("key", normalize_label(F.col("question"))).filter("cand IS NOT NULL AND question IS NOT NULL")
+    pairs = _similar_before(keyed, existing, threshold)
+    release(saves.sparkSession)
     settled = _leaders(pairs)
+    release(saves.sparkSession)
     followers = settled.filter("NOT leads").select(*KEY)
+    owners = existing.groupBy("cand", "normalized_key").agg(F.min("id").alias("id"))
 
     # followers join the most similar leader; existing answers come first on a tie
     not_leading = followers.select("cand", F.col("key").alias("other"))
@@ -105,14 +127,32 @@ def save_answers(saves: DataFrame, existing: DataFrame, threshold: float = DEDUP
     )
     new_id = lambda first: F.concat_ws("-", F.col("cand"), F.col(f"{first}.seq"))
     follows = choice.withColumn("first", F.col("c.other_first")).select(
-        *KEY, F.coalesce(F.col("c.old_id"), new_id("first")).alias("id")
+        *KEY, F.coalesce(F.col("c.old_id"), new_id("first")).alias("home")
     )
-    leads = fresh.join(followers, KEY, "left_anti").select(*KEY, new_id("first").alias("id"))
-    home = by_key.unionByName(follows).unionByName(leads)
+    hashes = [F.xxhash64("key").alias("n1"), F.xxhash64(F.lit(1), "key").alias("n2")]
+    mine = ["cand", "n1", "n2"]
+    homes = answer_keys(existing).select(*KEY, F.col("id").alias("home")).unionByName(follows).select("cand", *hashes, "home")
 
-    # fold the keys of each answer
+    # the key is that of any of its questions, so it is not sent; all that follows reads one shuffle
+    per_key = keyed.groupBy("cand", *hashes).agg(
+        F.min(F.struct("ts_us", "seq")).alias("first"),
+        F.max(F.struct("ts_us", "seq", "question", "answer")).alias("last"),
+    ).filter("last IS NOT NULL")
+    homed = per_key.join(growing(homes), mine, "left").withColumn("id", F.coalesce("home", new_id("first"))).drop("home")
+    none = F.lit(None).cast("long")
+    ids = homed.select(*mine, "id").unionByName(existing.select("cand", none.alias("n1"), none.alias("n2"), "id"))
+    shared = ids.groupBy("cand", "id").agg(F.collect_list(F.struct("n1", "n2")).alias("k")).filter(F.size("k") > 1)
+    crowded = shared.select("cand", F.explode("k").alias("k")).select("cand", "k.n1", "k.n2", F.lit(True).alias("crowded"))
+    placed = homed.join(growing(crowded), mine, "left").withColumn("key", normalize_label(F.col("last.question")))
+
+    alone = placed.filter("crowded IS NULL").select(
+        "cand", "id", F.col("last.question").alias("question_text"), F.col("key").alias("normalized_key"),
+        F.array().cast("array<string>").alias("alias_keys"), F.col("last.answer").alias("answer"),
+        F.lit(0).cast("long").alias("times_used"), F.col("last.ts_us").alias("last_used_us"), F.col("first.ts_us").alias("created_us"),
+    )
+    # fold the keys of each other answer
     touched = (
-        per_key.join(home, KEY)
+        placed.filter("crowded")
         .groupBy("cand", "id")
         .agg(
             F.array_sort(F.collect_list(F.struct("first", "key"))).alias("keys"),
@@ -131,7 +171,7 @@ def save_answers(saves: DataFrame, existing: DataFrame, threshold: float = DEDUP
             ),
         )
     )
-    return merged.select(
+    folded = merged.select(
         "cand", "id",
         F.coalesce("last.question", "question_text").alias("question_text"),
         norm.alias("normalized_key"),
@@ -141,6 +181,7 @@ def save_answers(saves: DataFrame, existing: DataFrame, threshold: float = DEDUP
         F.coalesce("last.ts_us", "last_used_us").alias("last_used_us"),
         F.when(made, F.col("origin.first.ts_us")).otherwise(F.col("created_us")).alias("created_us"),
     )
+    return folded.unionByName(alone)
 
 
 def saves_from_review(decisions, signals, overrides) -> DataFrame:

@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 
 from formweave.functions.text import fuzzy_score, trigram_jaccard
 from formweave.operators import set_signatures
+from formweave.operators.containment import bits_of, has_bit
 from formweave.operators.spread import growing, spread
 
 # executors need not have the package
@@ -32,6 +33,8 @@ FUZZY_THRESHOLD = 0.85
 DEDUP_THRESHOLD = 0.92
 #: Hash buckets in which signatures are counted.
 BUCKETS = 1 << 16
+#: Numbers of 64 bits that tell which texts are asked for, by their number; a power of two.
+NUMBER_WORDS = 1 << 18
 #: Rows with one signature that meet in one task, of each side.
 PART_ROWS = 4096
 
@@ -101,6 +104,33 @@ def similar_pairs(left: DataFrame, right: DataFrame, t: float, tokens: bool = Tr
     return scored.filter(F.col("score") >= t)
 
 
+def similar_numbers(texts: DataFrame, t: float) -> DataFrame:
+    """(a, b), a < b: numbers (`text_number`) of distinct (grp, text) rows whose trigram sets may be similar, each pair once.
+
+    Parts of sets are sent in packs and met in the tasks.  Only texts that share a part get a size and
+    parities, and those under a frequent part meet block by block.
+    """
+    rows = texts.select(text_number(F.col("grp"), F.col("text")).alias("a"), F.xxhash64(F.lit(0), "grp").alias("g"), "text")
+    made = rows.mapInArrow(partial(set_signatures.pack_rows, t=t), "p int, b binary")
+    shared = spread(made, "p").mapInArrow(set_signatures.shared_rows, "k bigint, a bigint, r bigint")
+    some = rows.filter(has_bit(bits_of(shared.select(F.col("a").alias("e")), NUMBER_WORDS), F.col("a"), NUMBER_WORDS))
+    sketches = some.mapInArrow(set_signatures.sketch_rows, "a bigint, n int, x bigint, y bigint")
+    parts = F.ceil(F.col("r") / PART_ROWS).cast("int")
+    blocks = (
+        shared.select("k", "a", parts.alias("parts"), F.pmod(F.hash("a"), parts).alias("u"))
+        .select("k", "a", "u", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("v"))
+        .join(growing(sketches), "a")
+        .select("k", F.least("u", "v").alias("i"), F.greatest("u", "v").alias("j"), "u", "a", "n", "x", "y")
+    )
+    met = spread(blocks, "k", "i", "j").mapInArrow(partial(set_signatures.pair_rows, t=t), "a bigint, b bigint")
+    return met.distinct()
+
+
+def text_number(grp: Column, text: Column) -> Column:
+    """A text's number in its group; two texts may share one."""
+    return F.xxhash64(grp, text).bitwiseAND(F.lit((1 << set_signatures.ID_BITS) - 1))
+
+
 def answer_keys(answers: DataFrame) -> DataFrame:
     """(cand, key, id): every key or alias with the first answer that carries it."""
     keys = F.array_distinct(F.concat(F.array("normalized_key"), F.coalesce("alias_keys", F.array().cast("array<string>"))))

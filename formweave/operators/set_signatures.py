@@ -10,6 +10,12 @@ elements, the sets cannot be similar.
 Elements are distinct windows of three characters of ' text ', or words; they
 are those of `functions.text.trigrams_of` and `tokens_of`.  Windows are told
 apart exactly, words by 64-bit hashes.
+
+Where one set of texts meets itself (`pack_rows` and what follows), a part is
+nine bytes: 32 bits of its hash in one of 1,024 buckets and 40 bits of the
+text's number.  Numbers of parts are few, so that most sets are dealt out once:
+for their own class, and for the one below if that has another number.  Sizes
+and parities are made only for texts that share a part.
 """
 
 from __future__ import annotations
@@ -139,3 +145,165 @@ def signature_rows(batches: Iterator[pa.RecordBatch], measures: int, t: float, n
             for m in range(measures):
                 yield from _rows(names[first:last], groups[first:last], texts[first:last], m, t, near)
             first = last
+
+
+#: Hash buckets in which the parts of one side are sent, a power of two.
+PACKS = 1 << 10
+#: Bits of a text's number in a pack.
+ID_BITS = 40
+
+
+def _schemes(t: float) -> Iterator[int]:
+    """Numbers of parts that sets are dealt into: every few, then a quarter more each time."""
+    n = 1
+    while True:
+        yield n
+        n = max(n + 1, math.ceil(n * 1.25))
+
+
+def scheme(size: int, t: float) -> int:
+    """The number of parts for sets of class `size` and similar ones of this or the next class; 0 for no class."""
+    return next(n for n in _schemes(t) if n >= parts_of(size, t)) if size >= 0 else 0
+
+
+def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, list[str]]]:
+    """(a, g, texts) of CHUNK_CHARS, or of one text."""
+    for batch in batches:
+        texts, names, groups = batch["text"].to_pylist(), batch["a"].to_numpy(), batch["g"].to_numpy().view(np.uint64)
+        ends = np.cumsum([len(s) + 3 for s in texts])
+        first = 0
+        while first < len(texts):
+            before = ends[first - 1] if first else 0
+            last = max(first + 1, int(np.searchsorted(ends, before + CHUNK_CHARS, "right")))
+            yield names[first:last], groups[first:last], texts[first:last]
+            first = last
+
+
+def _parts_hashes(groups: np.ndarray, texts: list[str], t: float) -> tuple[np.ndarray, np.ndarray]:
+    """(owner, hash) of the parts of each text's trigrams, dealt out for its own class and for the one below."""
+    row, h = trigram_sets(texts)
+    n = np.bincount(row, minlength=len(texts))
+    sizes = np.array([size_class(int(k), t) if k else -1 for k in n], np.int64)
+    known = {int(k): scheme(int(k), t) for k in np.unique(np.concatenate([sizes, sizes - 1]))}
+    own, below = (np.array([known[int(k)] for k in which], np.int64) for which in (sizes, sizes - 1))
+    below[(below == own) | (sizes < 0)] = 0
+    place, content = _mix(h) >> np.uint64(32), _mix(h ^ np.uint64(0xA0761D6478BD642F))
+    owners, hashes = [], []
+    for parts in (own, below):
+        first, total = np.cumsum(parts) - parts, int(parts.sum())
+        has = parts[row] > 0
+        r = row[has]
+        part = ((place[has] * parts[r].astype(np.uint64)) >> np.uint64(32)).astype(np.int64)
+        sums = _sums(first[r] + part, content[has], total)
+        owner = np.repeat(np.arange(len(texts)), parts)
+        kind = (parts[owner].astype(np.uint64) << np.uint64(32)) | (np.arange(total) - first[owner]).astype(np.uint64)
+        owners.append(owner)
+        hashes.append(_mix(_mix(sums ^ _mix(kind)) ^ groups[owner]))
+    return np.concatenate(owners), np.concatenate(hashes)
+
+
+def pack_rows(batches: Iterator[pa.RecordBatch], t: float) -> Iterator[pa.RecordBatch]:
+    """(p, b): the parts of (a, g, text) by bucket, 32 bits of a part's hash and a text's number in nine bytes."""
+    for names, groups, texts in _chunks(batches):
+        owner, h = _parts_hashes(groups, texts, t)
+        bucket = (h >> np.uint64(32)) & np.uint64(PACKS - 1)
+        order = np.argsort(bucket, kind="stable")
+        raw = np.empty((len(order), 9), np.uint8)
+        raw[:, :4] = (h[order] & np.uint64(0xFFFFFFFF)).astype("<u4").view(np.uint8).reshape(-1, 4)
+        raw[:, 4:] = names[owner[order]].astype("<i8").view(np.uint8).reshape(-1, 8)[:, :5]
+        used, cuts = np.unique(bucket[order], return_index=True)
+        ends = np.append(cuts, len(order)) * 9
+        packs = pa.Array.from_buffers(pa.binary(), len(used), [None, pa.py_buffer(ends.astype("<i4")), pa.py_buffer(raw)])
+        yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), packs], names=["p", "b"])
+
+
+def shared_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(k, a, r): the parts, of all packs of a task, that r > 1 texts have."""
+    keys, names = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+    for batch in batches:
+        for p, b in zip(batch["p"].to_pylist(), batch["b"].to_pylist(), strict=True):
+            raw = np.frombuffer(b, np.uint8).reshape(-1, 9)
+            keys.append(np.ascontiguousarray(raw[:, :4]).view("<u4")[:, 0].astype(np.uint64) | np.uint64(p << 32))
+            wide = np.zeros((len(raw), 8), np.uint8)
+            wide[:, :5] = raw[:, 4:]
+            names.append(wide.view("<i8")[:, 0])
+    key, name = np.concatenate(keys), np.concatenate(names)
+    del keys, names
+    order = np.argsort(key, kind="stable")
+    key = key[order]
+    twin = np.zeros(len(key), bool)
+    twin[1:] = key[1:] == key[:-1]
+    twin[:-1] |= twin[1:]
+    key, name = key[twin], name[order][twin]
+    order = np.lexsort((name, key))
+    key, name = key[order], name[order]
+    new = np.ones(len(key), bool)
+    new[1:] = (key[1:] != key[:-1]) | (name[1:] != name[:-1])
+    key, name = key[new], name[new]
+    _, which, n = np.unique(key, return_inverse=True, return_counts=True)
+    runs = n[which]
+    key, name, runs = key[runs > 1], name[runs > 1], runs[runs > 1]
+    for at in range(0, len(key), 1 << 16):
+        cut = slice(at, at + (1 << 16))
+        yield pa.RecordBatch.from_arrays([pa.array(x[cut].view(np.int64)) for x in (key, name, runs.astype(np.int64))], names=["k", "a", "r"])
+
+
+def sketch_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(a, n, x, y): the size of each text's set of trigrams and the parity of its elements."""
+    for names, _, texts in _chunks(batches):
+        row, h = trigram_sets(texts)
+        cell = row * 128 + (h & np.uint64(127)).astype(np.int64)
+        parity = (np.bincount(cell, minlength=len(texts) * 128) & 1).astype(np.uint8)
+        sketch = np.packbits(parity.reshape(-1, 128), axis=1).view(np.int64)
+        n = np.bincount(row, minlength=len(texts)).astype(np.int32)
+        yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(n), pa.array(sketch[:, 0]), pa.array(sketch[:, 1])], names=["a", "n", "x", "y"])
+
+
+def pair_rows(batches: Iterator[pa.RecordBatch], t: float) -> Iterator[pa.RecordBatch]:
+    """(a, b): pairs of texts under one (k, i, j), of the blocks i and j, whose sizes and parities allow a similarity of t.
+
+    Rows are k, i, j, u, a, n, x, y with u the text's own block; all of one (k, i, j) are in one task.
+    """
+    columns = ["k", "i", "j", "u", "a", "n", "x", "y"]
+    parts = [np.stack([batch[c].to_numpy().astype(np.int64) for c in columns]) for batch in batches if len(batch)]
+    if not parts:
+        return
+    rows = np.concatenate(parts, axis=1)
+    rows = rows[:, np.lexsort(rows[2::-1])]
+    i, j, u, a, n = rows[1:6]
+    x, y = (rows[c].view(np.uint64) for c in (6, 7))
+    new = np.ones(len(a), bool)
+    new[1:] = (rows[:3, 1:] != rows[:3, :-1]).any(axis=0)
+    starts = np.flatnonzero(new)
+    sizes = np.diff(np.append(starts, len(a)))
+
+    def near(l: np.ndarray, r: np.ndarray) -> np.ndarray:
+        differ = np.bitwise_count(x[l] ^ x[r]).astype(np.int64) + np.bitwise_count(y[l] ^ y[r])
+        may = np.floor((n[l] + n[r]) * ((1 - t) / (1 + t)) + 1e-6)
+        met = (i[l] == j[l]) | (u[l] != u[r])
+        ok = met & (n[l] >= n[r] * t - 1e-9) & (n[r] >= n[l] * t - 1e-9) & (differ <= may)
+        l, r = a[l[ok]], a[r[ok]]
+        return np.stack([np.minimum(l, r), np.maximum(l, r)])
+
+    found, fresh = [np.zeros((2, 0), np.int64)], 0
+    # each row of a run with the one `step` after it, for all runs at once
+    for step in range(1, int(sizes.max())):
+        runs = sizes > step
+        sizes, starts = sizes[runs], starts[runs]
+        for at in range(0, len(starts), 1 << 16):
+            count = sizes[at : at + (1 << 16)] - step
+            l = np.repeat(starts[at : at + (1 << 16)] - np.cumsum(count) + count, count) + np.arange(int(count.sum()))
+            found.append(near(l, l + step))
+            fresh += found[-1].shape[1]
+        if fresh > 1 << 20:
+            found, fresh = [_distinct(np.concatenate(found, axis=1))], 0
+    pairs = _distinct(np.concatenate(found, axis=1))
+    for at in range(0, pairs.shape[1], 1 << 16):
+        yield pa.RecordBatch.from_arrays([pa.array(pairs[0, at : at + (1 << 16)]), pa.array(pairs[1, at : at + (1 << 16)])], names=["a", "b"])
+
+
+def _distinct(pairs: np.ndarray) -> np.ndarray:
+    pairs = pairs[:, np.lexsort(pairs)]
+    new = np.ones(pairs.shape[1], bool)
+    new[1:] = (pairs[:, 1:] != pairs[:, :-1]).any(axis=0)
+    return pairs[:, new]

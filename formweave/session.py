@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import gc
+import time
+
 from pyspark.sql import SparkSession
 
 SETTINGS = {
@@ -42,3 +45,17 @@ def checkpoint_dir(spark: SparkSession) -> str:
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(folder)
     return folder
+
+
+def release(spark: SparkSession) -> None:
+    """Lets go of the shuffle files of what nothing refers to any more.
+
+    Spark removes them when the driver's garbage is collected, which may be
+    long after the job that made them, when the next one's are written.  The
+    first collection ends what holds on to the last job, the second finds its
+    shuffles.
+    """
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.3)

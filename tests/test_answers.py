@@ -5,8 +5,10 @@ from __future__ import annotations
 import random
 
 import pytest
+from pyspark.sql import functions as F
 from people import answer, answers
 
+from formweave.operators import answers as A
 from formweave.operators import retrieval as R
 from formweave.operators.answers import save_answers
 from formweave.operators.tracker import answers_after_use
@@ -155,3 +157,33 @@ def test_usage_counts_and_learnt_aliases(spark):
     got = {r.id: r for r in answers_after_use(saved, uses).collect()}
     assert (got["a1"].times_used, got["a1"].last_used_us, got["a1"].alias_keys) == (5, 7, ["old", "new a", "new b"])
     assert got["a2"].times_used == 0
+
+
+def test_keys_with_one_first_save_are_one_answer_and_others_stay_alone(spark):
+    schema = "cand string, seq string, ts_us long, question string, answer string"
+    saves = [
+        ("c", "s1", 5, "Notice period?", "a"), ("c", "s1", 5, "Which river would you measure", "b"), ("c", "s2", 6, "notice PERIOD", "later"),
+        ("c", "s3", 7, "Salary", "x"), ("c", "s3", 7, "salary", "y"), ("d", "s1", 5, "Notice period", "d"), (None, "s1", 5, "nobody", "n"),
+        ("c", "s4", 8, None, "n"), ("c", "a9", 9, "Old id", "n"),
+    ]
+    existing = [answer("c", "c-a9", "something quite different", "old"), answer("e", "e1", "untouched", "u")]
+    got = {
+        r.id: (r.cand, r.normalized_key, list(r.alias_keys), r.answer, r.question_text, r.created_us, r.last_used_us)
+        for r in save_answers(spark.createDataFrame(saves, schema), answers(spark, *existing)).collect()
+    }
+    assert got["c-s1"] == ("c", "notice period", ["which river would you measure"], "later", "notice PERIOD", 5, 6)
+    assert got["c-s3"] == ("c", "salary", [], "y", "salary", 7, 7)
+    assert got["d-s1"] == ("d", "notice period", [], "d", "Notice period", 5, 5)
+    assert got["c-a9"][:4] == ("c", "something quite different", ["old id"], "n") and got["e1"][3] == "u"
+    assert len(got) == 5
+
+
+def test_a_key_is_sent_once_before_it_is_compared(spark):
+    """Old code sent each key to both sides and wrote it with its question to a checkpoint."""
+    rows = [("c", f"s{i}", i, f"Question {i} of the long list: describe in your own words which unusual project, team or customer taught you most about planning work, finding errors early", "a") for i in range(40)]
+    saves = spark.createDataFrame(rows, "cand string, seq string, ts_us long, question string, answer string")
+    keyed = saves.withColumn("key", F.lower("question"))
+    pairs = A._similar_before(keyed, answers(spark), 0.92)
+    want = {(a, b) for _, _, i, a, _ in rows for _, _, j, b, _ in rows if j < i and jac(grams(a.lower()), grams(b.lower())) >= 0.92}
+    assert {(r.key, r.other) for r in pairs.collect()} == {(a.lower(), b.lower()) for a, b in want} and len(want) > 5
+    assert not pairs.filter("fixed").count()

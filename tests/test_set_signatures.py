@@ -37,3 +37,39 @@ def test_few_pairs_of_texts_with_common_elements_meet(spark):
     met = R._candidates(side, side, 1, R.DEDUP_THRESHOLD).count()
     found = R.similar_pairs(df, df, R.DEDUP_THRESHOLD, tokens=False).filter("text <> other").count()
     assert found >= 30 and met <= 640 + 2 * found
+
+
+def _jaccard(a: str, b: str) -> float:
+    x, y = ({f" {s} "[i : i + 3] for i in range(len(s))} for s in (a, b))
+    return len(x & y) / len(x | y) if x and y else 0.0
+
+
+def test_texts_that_meet_themselves_lose_no_similar_pair(spark, monkeypatch):
+    monkeypatch.setattr(R, "PART_ROWS", 3)  # so that frequent parts meet block by block
+    rnd = random.Random(8)
+    words = "notice period of the last project you led at work describe".split()
+    some = [" ".join(rnd.choice(words) for _ in range(rnd.randint(1, 40))) for _ in range(120)]
+    texts = {w for s in some for w in (s, s + "s", s.replace(" of", " off", 1), s[1:])} | {"", "a", "ab", "x" * 50, "x" * 60, "\U0001d49c b"}
+    rows = [(g, s) for g in "gh" for s in sorted(texts)]
+    df = spark.createDataFrame(rows, "grp string, text string")
+    numbers = {r.a: (r.grp, r.text) for r in df.select("grp", "text", R.text_number(F.col("grp"), F.col("text")).alias("a")).collect()}
+    assert len(numbers) == len(rows)
+    for t in (0.92, 0.7):
+        met = [(numbers[r.a], numbers[r.b]) for r in R.similar_numbers(df, t).collect()]
+        near = {frozenset(p) for p in met}
+        assert len(near) == len(met) and all(a[0] == b[0] and a != b for a, b in met)
+        want = {frozenset([("g", a), ("g", b)]) for a in texts for b in texts if a < b and _jaccard(a, b) >= t}
+        assert len(want) > 100 and want <= near
+
+
+def test_a_text_sends_few_bytes_of_parts():
+    """A part in nine bytes, and parts for one class or two, not for three on one side and one on the other."""
+    rnd = random.Random(9)
+    texts = [" ".join("".join(rnd.choice("aeinorst") for _ in range(rnd.randint(2, 9))) for _ in range(55)) for _ in range(200)]
+    batch = S.pa.RecordBatch.from_arrays([S.pa.array(range(200)), S.pa.array([7] * 200), S.pa.array(texts)], names=["a", "g", "text"])
+    packs = [r for out in S.pack_rows([batch], 0.92) for r in out.to_pylist()]
+    assert len({r["p"] for r in packs}) > 500
+    assert sum(len(r["b"]) for r in packs) < 200 * 9 * 45
+    shared = [r for out in S.shared_rows([S.pa.RecordBatch.from_pylist(packs + packs)]) for r in out.to_pylist()]
+    # a text does not meet itself
+    assert all(r["r"] > 1 for r in shared) and len(shared) < 50
