@@ -6,12 +6,16 @@ text meets phrases under its windows of every width, and `contains` decides.
 Nothing is lost: a text that contains a phrase has all windows of it.
 
 Windows are numbers made by numpy in the tasks, all of a stretch of texts at
-once.  Tasks over texts get the windows in use as bits, beside their first row:
-those of any phrase for counting by hash buckets, those that phrases are kept
-under for sending.  A text goes to its windows' phrases and back as a number
-of `ID_BITS`; texts of one number are told apart where they are tested.
-Bits and counts are scalar subqueries, so no job runs while a plan is built.
-Counts also say in how many parts each side of a frequent window is dealt out.
+once.  They are counted there by hash buckets; counts are scalar subqueries,
+so no job runs while a plan is built, and also say in how many parts each side
+of a frequent window is dealt out.
+
+`contained_pairs` is for short texts: they go with their windows to the
+phrases, under buckets in use.  `candidates` is for texts of any length: tasks
+over texts get the windows in use as bits, beside their first row (those of any
+phrase for counting, those that phrases are kept under for sending), and a text
+goes to its windows' phrases and back as a number of `ID_BITS`.  Texts of one
+number are told apart where they are tested.
 """
 
 from __future__ import annotations
@@ -243,8 +247,31 @@ def contained_pairs(texts: DataFrame, phrases: DataFrame) -> DataFrame:
     texts: grp, text; phrases: grp, phrase.  Rows may repeat; null and empty
     texts and phrases are in no pair, nor are rows without a group.
     """
-    texts = numbered(texts)
-    met = candidates(texts, phrases.select("grp", "phrase").distinct())
-    found = texts.join(growing(met.withColumnRenamed("grp", "_grp")), "a").filter(F.contains("text", "phrase") & (F.col("grp") == F.col("_grp")))
-    # what met twice by chance is in one task
-    return found.select("a", "grp", "text", "phrase").distinct().drop("a")
+    # windows are dear to make, so distinct rows are dealt out before
+    texts = spread(texts.select("grp", "text").filter("grp IS NOT NULL AND text <> ''").distinct(), "grp", "text")
+    phrases = spread(phrases.select("grp", "phrase").filter("grp IS NOT NULL AND phrase <> ''").distinct(), "grp", "phrase")
+    seen = _windows(texts, "text", widest=False)
+    n_texts = _summed(_with_group(texts).mapInArrow(_count_rows, "id bigint, n bigint"))
+
+    # the aggregation follows that shuffle
+    rarest = (
+        _windows(phrases, "phrase", widest=True)
+        .withColumn("n", F.get(n_texts, _bucket(F.col("e"))))
+        .groupBy("grp", "phrase").agg(F.min(F.struct("n", "e")).alias("kept"))
+        .filter("kept.n > 0")
+        .select("grp", "phrase", "kept.e", "kept.n")
+    )
+    n_phrases = _summed(rarest.select(_bucket(F.col("e")).cast("long").alias("id"), F.lit(1).cast("long").alias("n")))
+
+    count_t, count_p = F.get(n_texts, _bucket(F.col("e"))), F.get(n_phrases, _bucket(F.col("e")))
+    every = lambda parts: F.explode(F.sequence(F.lit(0), parts - 1))
+    left = (
+        seen.withColumn("p", count_p).filter("p > 0")
+        .select("grp", "text", "e", F.pmod(F.hash("text"), _parts(count_t)).alias("i"), _parts(F.col("p")).alias("parts"))
+        .select("grp", "text", "e", "i", every(F.col("parts")).alias("j"))
+    )
+    right = (
+        rarest.select("grp", "phrase", "e", F.pmod(F.hash("phrase"), _parts(count_p)).alias("j"), _parts(F.col("n")).alias("parts"))
+        .select("grp", "phrase", "e", every(F.col("parts")).alias("i"), "j")
+    )
+    return left.join(right, ["grp", "e", "i", "j"]).filter(F.contains("text", "phrase")).select("grp", "text", "phrase")
